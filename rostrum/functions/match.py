@@ -48,7 +48,7 @@ def _similarity(a: Column, b: Column) -> Column:
     def take(acc: Column, t: Column) -> Column:
         free = F.filter(F.transform(b, lambda x, i: F.when(
             T.tokens_match(t, x) & ~F.array_contains(acc["used"], i), i)), lambda i: i.isNotNull())
-        telling = (F.length(t) >= 4) & ~t.isin(vocab.GENERIC_TOKENS)
+        telling = (F.length(t) >= 4) & ~T.in_words(t, vocab.GENERIC_TOKENS)
         return T.let(F.slice(free, 1, 1), lambda hit: F.struct(
             (acc["n"] + F.size(hit)).alias("n"),
             F.concat(acc["used"], hit).alias("used"),

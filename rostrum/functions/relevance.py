@@ -15,7 +15,7 @@ def query_constraints(q: Column) -> Column:
     phrases = F.transform(F.regexp_extract_all(q, F.lit('"([^"]+)"'), F.lit(1)), F.lower)
     bare = F.replace(F.regexp_replace(q, rf"(?i){T.WB}site:\S+", " "), F.lit('"'), F.lit(" "))
     toks = F.filter(F.split(F.regexp_replace(F.lower(bare), r"[^a-z0-9\s]", " "), r"\s+"),
-                    lambda t: (F.length(t) >= 3) & ~t.isin(vocab.QUERY_STOPWORDS))
+                    lambda t: (F.length(t) >= 3) & ~T.in_words(t, vocab.QUERY_STOPWORDS))
     return F.struct(site.alias("site"), phrases.alias("phrases"), toks.alias("tokens"))
 
 
@@ -77,7 +77,7 @@ def has_company_evidence(title: Column, snippet: Column, url: Column, company: C
 def company_evidence(title: Column, snippet: Column, url: Column, company: Column) -> Column:
     """F5 -> STRUCT<in_title, in_snippet>. Singularised, accents kept."""
     toks = F.filter(F.array_distinct(T.comparable_tokens(company)),
-                    lambda t: (F.length(t) >= 3) & ~t.isin(vocab.GENERIC_TOKENS))
+                    lambda t: (F.length(t) >= 3) & ~T.in_words(t, vocab.GENERIC_TOKENS))
 
     def matches(c: Column, wanted: Column) -> Column:
         words = F.transform(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: w != ""), T.singular)

@@ -28,7 +28,15 @@ def let(value, fn) -> Column:
 
 
 def one_of(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    """The words as one constant array."""
+    quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+    return F.expr(f"array({quoted})")
+
+
+def in_words(t: Column, words: list[str]) -> Column:
+    """Membership in a word list, as a single constant instead of one literal
+    per word (which costs seconds of plan building for the longer lists)."""
+    return F.array_contains(one_of(words), t)
 
 
 def squash(c: Column) -> Column:
@@ -105,7 +113,7 @@ def company_key(c: Column) -> Column:
     core = _drop_suffixes(basic_clean(search_name(c)),
                           vocab.LEGAL_SUFFIXES + vocab.DESCRIPTIVE_SUFFIXES)
     return F.array_join(
-        F.filter(F.split(core, " "), lambda t: (t != "") & ~t.isin(vocab.NAME_STOPWORDS)), " ")
+        F.filter(F.split(core, " "), lambda t: (t != "") & ~in_words(t, vocab.NAME_STOPWORDS)), " ")
 
 
 def brand_tokens(c: Column) -> Column:
@@ -113,7 +121,7 @@ def brand_tokens(c: Column) -> Column:
     core = _drop_suffixes(basic_clean(search_name(c)),
                           vocab.LEGAL_SUFFIXES + vocab.BRAND_ONLY_SUFFIXES)
     return F.filter(F.split(core, " "),
-                    lambda t: (t != "") & ~t.isin(vocab.NAME_STOPWORDS + ["&"]))
+                    lambda t: (t != "") & ~in_words(t, vocab.NAME_STOPWORDS + ["&"]))
 
 
 def brand_text(c: Column) -> Column:
@@ -138,7 +146,7 @@ def company_words(c: Column, non_names: list[str] | None = None) -> Column:
     """S8. Accents are not folded here."""
     words = non_names or vocab.non_name_words()
     cleaned = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z\s]", " ")
-    return F.filter(F.split(cleaned, r"\s+"), lambda t: (F.length(t) >= 3) & ~t.isin(words))
+    return F.filter(F.split(cleaned, r"\s+"), lambda t: (F.length(t) >= 3) & ~in_words(t, words))
 
 
 _ENTITIES = [("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " ")]
@@ -180,7 +188,7 @@ def singular(t: Column) -> Column:
 def comparable_tokens(c: Column) -> Column:
     """S12."""
     bare = F.transform(brand_tokens(c), lambda t: F.regexp_replace(t, "[^a-z0-9]", ""))
-    kept = F.filter(bare, lambda t: (t != "") & ~t.isin(vocab.EXTRA_LEGAL_TOKENS))
+    kept = F.filter(bare, lambda t: (t != "") & ~in_words(t, vocab.EXTRA_LEGAL_TOKENS))
     return F.transform(kept, singular)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rostrum import vocab
-from rostrum.functions.text import decode_entities, let
+from rostrum.functions.text import decode_entities, in_words, let
 
 URL_RE = r"^(?i)(https?)://(?:[^/?#@]*@)?([^/?#:@\s]+)(?::(\d*))?(/[^?#]*)?(\?[^#]*)?(#.*)?$"
 
@@ -62,7 +62,7 @@ def _core(parts: Column, dom: Column) -> Column:
     n = F.size(parts)
     pair = F.concat_ws(".", F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-1)))
     return (F.when(n <= 1, F.coalesce(F.try_element_at(parts, F.lit(1)), dom))
-            .when((n >= 3) & pair.isin(vocab.TWO_LABEL_SUFFIXES), F.try_element_at(parts, F.lit(-3)))
+            .when((n >= 3) & in_words(pair, vocab.TWO_LABEL_SUFFIXES), F.try_element_at(parts, F.lit(-3)))
             .otherwise(F.try_element_at(parts, F.lit(-2))))
 
 

@@ -65,7 +65,7 @@ def spread_outages(rows: DataFrame) -> DataFrame:
     return (rows.join(first, "company_id", "left")
             .withColumn("url", F.coalesce(known, F.when(~later, F.col("url"))))
             .withColumn("outage", F.when(F.col("url").isNull(), F.when(later, F.col("stop.outage")).otherwise(F.col("outage"))))
-            .drop("stop"))
+            .withColumn("stopped", F.col("stop").isNotNull()).drop("stop"))
 
 
 def null_rows(companies: DataFrame, rows: DataFrame, status: str, source: str = vocab.WEBSITE_SOURCE, reason: str | None = None) -> DataFrame:
@@ -141,21 +141,22 @@ def _override(old: Column, reg: Column) -> Column:
 
 
 # --- cascades ------------------------------------------------------------------------------
-def website_leaders(crawled: DataFrame, titles: DataFrame, snippets: DataFrame) -> DataFrame:
-    """C4, people half: title finds top up companies with fewer than two titled
-    people, snippet finds those with none; untitled people go once any is titled."""
-    def titled(df: DataFrame) -> DataFrame:
-        return df.groupBy("company_id").agg(F.count_if(F.coalesce(F.col("role"), F.lit("")) != "").alias("titled"))
+def website_leaders(pool: DataFrame) -> DataFrame:
+    """C4, people half, over ``(company_id, name_key, source_rank, pos, role, ...)``
+    with ranks 0 = crawled, 1 = result titles, 2 = snippets.
 
-    def needing(extra: DataFrame, known: DataFrame, below: int) -> DataFrame:
-        full = titled(known).where(F.col("titled") >= below)
-        return extra.join(full, "company_id", "left_anti")
-
-    one = add_unseen(crawled, needing(titles, crawled, 2))
-    two = add_unseen(one, needing(snippets, one, 1))
-    has_titled = titled(two).where(F.col("titled") > 0).select("company_id", F.lit(True).alias("any_titled"))
-    return (two.join(has_titled, "company_id", "left")
-            .where((F.coalesce(F.col("role"), F.lit("")) != "") | F.col("any_titled").isNull()).drop("any_titled"))
+    Titles top up companies with fewer than two titled people, snippets those
+    with none; untitled people go once any is titled.  Snippets are only read
+    where titles are, so one row per person can be chosen before the counts.
+    """
+    people = first_source(pool)
+    titled = F.coalesce(F.col("role"), F.lit("")) != ""
+    n = people.groupBy("company_id").agg(*[F.count_if(titled & (F.col("source_rank") == i)).alias(f"n{i}") for i in range(3)])
+    with_1 = F.col("n0") < 2
+    with_2 = with_1 & (F.col("n0") + F.col("n1") == 0)
+    used = F.col("n0") + F.when(with_1, F.col("n1")).otherwise(0) + F.when(with_2, F.col("n2")).otherwise(0)
+    read = (F.col("source_rank") == 0) | ((F.col("source_rank") == 1) & with_1) | ((F.col("source_rank") == 2) & with_2)
+    return people.join(n, "company_id").where(read & (titled | (used == 0))).drop("n0", "n1", "n2")
 
 
 def resolve_companies(companies: DataFrame, sites: DataFrame, leaders: DataFrame, lookups: DataFrame, registry: DataFrame) -> DataFrame:
@@ -167,27 +168,28 @@ def resolve_companies(companies: DataFrame, sites: DataFrame, leaders: DataFrame
     No people at all: its rows, whatever they say.  People, some without an
     address: rows merged with the registry's.  Otherwise the rows as found.
     """
+    # the looked-up people feed several branches: keep them once
+    people = cut_lineage(leaders.join(lookups, ["company_id", "name_key"], "left")
+                         .withColumn("person_pos", F.col("rank")).withColumn("known_url", F.nullif("profile_url", F.lit("")))
+                         .withColumn("blocking", F.coalesce("blocking", F.lit(False))))
     has_site = sites.select("company_id", F.lit(True).alias("has_site")).distinct()
-    answered = (registry.groupBy("company_id").agg(F.max(F.col("person_name").isNotNull() | (F.col("status") == "search_unavailable")).alias("answered")))
-    named = leaders.groupBy("company_id").agg(F.lit(True).alias("named"))
-    plan = (companies.select("company_id").join(has_site, "company_id", "left").join(answered, "company_id", "left").join(named, "company_id", "left")
-            .select("company_id", ((F.col("has_site").isNull() & F.coalesce("answered", F.lit(False))) | F.col("named").isNull()).alias("registry_only")))
-    people = (leaders.join(plan.where(~F.col("registry_only")), "company_id", "left_semi")
-              .join(lookups, ["company_id", "name_key"], "left")
-              .withColumn("person_pos", F.col("rank")).withColumn("known_url", F.nullif("profile_url", F.lit("")))
-              .withColumn("blocking", F.coalesce("blocking", F.lit(False))))
-    rows = spread_outages(people).select(
+    answered = registry.groupBy("company_id").agg(F.max(F.col("person_name").isNotNull() | (F.col("status") == "search_unavailable")).alias("answered"))
+    looked = spread_outages(people)
+    state = looked.groupBy("company_id").agg(F.max(F.col("url").isNull()).alias("open"), F.max("stopped").alias("stopped"))
+    plan = (companies.select("company_id").join(has_site, "company_id", "left").join(answered, "company_id", "left").join(state, "company_id", "left"))
+    way = (F.when((F.col("has_site").isNull() & F.coalesce("answered", F.lit(False))) | F.col("open").isNull(), "registry")
+           .when(F.col("open") & ~F.col("stopped"), "merge").otherwise("rows"))
+    plan = cut_lineage(plan.select("company_id", way.alias("way")))
+    rows = looked.join(plan.where("way != 'registry'"), "company_id").select(
         "company_id", F.col("rank").cast("bigint").alias("pos"), F.col("name").alias("person_name"),
         F.coalesce(F.nullif("role", F.lit("")), F.lit("Director")).alias("designation"), F.col("url").alias("linkedin_url"),
         person_status(F.col("url"), F.lit(""), F.col("outage")).alias("status"), F.lit(vocab.WEBSITE_SOURCE).alias("source"),
-        *[F.lit(None).cast("string").alias(c) for c in ("din", "appointment_date", "source_url")], F.col("outage").alias("reason"))
-    stopped = people.where(F.col("blocking") & F.col("outage").isNotNull()).select("company_id").distinct()
-    open_rows = rows.where(F.col("linkedin_url").isNull()).select("company_id").distinct().join(stopped, "company_id", "left_anti")
-    merged = merge_director_rows(rows.join(open_rows, "company_id", "left_semi"), registry.join(open_rows, "company_id", "left_semi")).drop("late")
-    done = rows.join(open_rows, "company_id", "left_anti")
-    only = registry.join(plan.where("registry_only"), "company_id", "left_semi").select("company_id", "pos", *ROW_FIELDS)
-    out = merged.unionByName(done).unionByName(only)
-    return out.unionByName(null_rows(companies, out, "error"))
+        *[F.lit(None).cast("string").alias(c) for c in ("din", "appointment_date", "source_url")], F.col("outage").alias("reason"), "way")
+    reg = registry.join(plan, "company_id").select("company_id", "pos", *ROW_FIELDS, "way")
+    merged = merge_director_rows(rows.where("way = 'merge'").drop("way"), reg.where("way = 'merge'").drop("way")).drop("late")
+    out = merged.unionByName(rows.where("way = 'rows'").drop("way")).unionByName(reg.where("way = 'registry'").drop("way"))
+    silent = plan.where("way = 'registry'").join(registry.select("company_id").distinct(), "company_id", "left_anti")
+    return out.unionByName(null_rows(silent, registry.where(F.lit(False)), "error"))
 
 
 def resolve_direct(companies: DataFrame, supplied: DataFrame, found: DataFrame, fallback: DataFrame, lookups: DataFrame) -> DataFrame:

@@ -415,12 +415,11 @@ def source_merge_rows(spark, sf):
 @query
 def fallback_cascade(spark, sf):
     r = view(spark, sf, "v_row").withColumn("name_key", P.name_key(F.col("person_name")))
-    people = rows.first_source(r.where(F.col("person_name").isNotNull()).select(
+    people = (r.where(F.col("person_name").isNotNull()).select(
         "company_id", "name_key", (F.col("pos") % 3).cast("int").alias("source_rank"), "pos", F.col("person_name").alias("name"),
         F.when(F.col("pos") % 5 > 0, F.col("designation")).alias("role"), (F.col("pos") % 9).alias("score"), F.when(F.col("pos") % 13 == 0, F.col("linkedin_url")).alias("profile_url")))
-    split = [people.where(F.col("source_rank") == i) for i in range(3)]
-    leaders = rows.rank_people(rows.website_leaders(*split))
-    lookups = people.select("company_id", "name_key", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("https://in.linkedin.com/in/"), "name_key")).alias("url"),
+    leaders = rows.rank_people(rows.website_leaders(people))
+    lookups = rows.first_source(people).select("company_id", "name_key", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("https://in.linkedin.com/in/"), "name_key")).alias("url"),
                             F.when(F.col("pos") % 17 == 0, "captcha").alias("outage"), (F.col("pos") % 34 == 0).alias("blocking"))
     companies = view(spark, sf, "v_row").select("company_id").distinct()
     have_site = companies.where(F.col("company_id") % 4 > 0)
