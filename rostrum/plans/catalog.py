@@ -205,7 +205,9 @@ def html_blocks(spark, sf):
 
 @query
 def anchor_snippets(spark, sf):
-    return markup.anchor_snippets(view(spark, sf, "pages"))
+    pages = view(spark, sf, "v_page")
+    card = Q.fill('<div class="hit"><p><a href="{u}">Team page {i}</a></p><p>Who runs the company, who sits on its board and since when they do so</p></div></body>', u=F.col("url"), i=F.col("page_id").cast("string"))
+    return markup.anchor_snippets(pages.select("page_id", F.concat(F.regexp_replace("html", "(?s)<footer>.*$", ""), card).alias("html")))
 
 
 @query

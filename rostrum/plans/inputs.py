@@ -16,7 +16,7 @@ ROLES = "Managing Director,Independent Director,Chief Financial Officer,Company
 
 
 def _pick(words: str, key: str) -> str:
-    return f"split_part('{words}', ',', CAST({key} % {len(words.split(','))} AS INT) + 1)"
+    return f"split_part('{words}', ',', CAST(({key}) % {len(words.split(','))} AS INT) + 1)"
 
 
 def first_name(key: str) -> str:
@@ -35,8 +35,8 @@ def div(a: str, b: int) -> str:
     return f"CAST(floor(({a}) / {b}.0) AS BIGINT)"
 
 
-SUFFIX = "split_part(' Private Limited| Pvt. Ltd.| Ltd| LLP|', '|', CAST({k} % 5 AS INT) + 1)"
-FIELD = "split_part('Foods,Steel,Textiles,Services,Biosciences,Labs,Motors,Consultancy Services,India', ',', CAST({k} % 9 AS INT) + 1)"
+SUFFIX = "split_part(' Private Limited| Pvt. Ltd.| Ltd| LLP|', '|', CAST(({k}) % 5 AS INT) + 1)"
+FIELD = "split_part('Foods,Steel,Textiles,Services,Biosciences,Labs,Motors,Consultancy Services,India', ',', CAST(({k}) % 9 AS INT) + 1)"
 
 VIEWS: dict[str, str] = {}
 
@@ -115,7 +115,7 @@ UNION ALL SELECT row_no, 2, company FROM {v_sheet} UNION ALL SELECT row_no, 3, p
 # --- people ----------------------------------------------------------------------------------
 VIEWS["v_person"] = f"""
 SELECT c_custkey AS person_id, {div('c_custkey', 5)} AS company_id, c_nationkey, {first_name('c_custkey')} AS fn, {last_name(div('c_custkey', 3))} AS ln,
-  {_pick("Acme,Kestrel,Bajaj,Orient,Plasmagen,Zenith,Rao", div('c_custkey', 5))} || ' ' || {_pick("Biosciences,Foods,Auto,Solar", div('c_custkey', 35))}
+  {_pick("Acme,Kestrel,Bajaj,Orient,Plasmagen,Zenith,Meridian", div('c_custkey', 5))} || ' ' || {_pick("Biosciences,Foods,Auto,Solar", div('c_custkey', 35))}
     || ' ' || CAST({div('c_custkey', 5)} AS STRING) || ' Pvt Ltd' AS company_name, {role('c_custkey')} AS role FROM {{customer}}"""
 VIEWS["v_raw_name"] = """
 SELECT person_id, company_id, company_name, CASE CAST(person_id % 13 AS INT)
@@ -143,12 +143,11 @@ def _full(key: str) -> str:
 
 VIEWS["v_leader_page"] = f"""
 SELECT page_id, {div('page_id', 5)} AS company_id, page_id AS visit_no, 'Kestrel Foods Pvt Ltd' AS company_name, replace(html, '</article>',
-  '<div class="card"><h3>' || {_full(_A)} || '</h3><p>' || {role(_A)} || '</p></div><ul><li>Mr. ' || {_full(_B)} || ', ' || {role(_B)} || '</li></ul><section><p>'
-  || {role(_C)} || ': ' || {_full(_C)} || '</p></section></article>') AS html FROM {{pages}}"""
+  '</article><div class="card"><h3>' || {_full(_A)} || '</h3><p>' || {role(_A)} || '</p></div><ul><li>Mr. ' || {_full(_B)} || ', ' || {role(_B)} || '</li></ul><section><p>'
+  || {role(_C)} || ': ' || {_full(_C)} || '</p></section>') AS html FROM {{pages}}"""
 VIEWS["v_leader_truth"] = f"""
-SELECT page_id, {_full(_A)} AS name, {role(_A)} AS role FROM {{pages}} WHERE instr(html, '</article>') > 0
-UNION ALL SELECT page_id, {_full(_B)}, {role(_B)} FROM {{pages}} WHERE instr(html, '</article>') > 0
-UNION ALL SELECT page_id, {_full(_C)}, {role(_C)} FROM {{pages}} WHERE instr(html, '</article>') > 0"""
+SELECT page_id, 0 AS ord, {_full(_A)} AS name, {role(_A)} AS role FROM {{pages}} UNION ALL SELECT page_id, 1, {_full(_B)}, {role(_B)} FROM {{pages}}
+UNION ALL SELECT page_id, 2, {_full(_C)}, {role(_C)} FROM {{pages}}"""
 
 
 def _officer_row(k: str, ceased: str) -> str:
@@ -176,9 +175,9 @@ SELECT p.company_id, p.company_name, o.o_orderkey AS pos, CASE CAST(o.o_orderkey
     WHEN 0 THEN 'Directors of ' || upper(p.company_name) || ' are ' || p.fn || ' ' || p.ln || ' and Zoya Lobo. Details follow.'
     WHEN 3 THEN 'Former Directors of ' || upper(p.company_name) || ' are ' || p.fn || ' ' || p.ln || '.'
     WHEN 6 THEN 'Directors of UNRELATED POWER LIMITED are ' || p.fn || ' ' || p.ln || '.'
-    WHEN 1 THEN 'Companies Associated With ; ' || upper(p.company_name) || ', Director, 20-Sep-2006 ; ORIENS SOLAR LIMITED, Director, 01-Jan-2010'
+    WHEN 1 THEN 'Companies Associated With ; ' || upper(p.company_name) || ', Director, 20-Sep-2006 ; UNRELATED POWER LIMITED, Director, 01-Jan-2010'
     WHEN 2 THEN 'Past Companies Associated With ; ' || upper(p.company_name) || ', Director, 20-Sep-2006'
-    WHEN 4 THEN 'Companies Associated With ; ORIENS SOLAR LIMITED, Director, 01-Jan-2010 ; Past Companies Associated With ; ' || upper(p.company_name) || ', Director, 20-Sep-2006'
+    WHEN 4 THEN 'Companies Associated With ; UNRELATED POWER LIMITED, Director, 01-Jan-2010 ; Past Companies Associated With ; ' || upper(p.company_name) || ', Director, 20-Sep-2006'
     WHEN 5 THEN 'Companies Associated With ; ' || upper(p.company_name) || ', Managing Director, soon'
     WHEN 7 THEN 'Companies Associated With ; ' || upper(p.company_name) || ', Former Director, 20-Sep-2006'
     ELSE 'Companies Associated With ; ' || upper(p.company_name) || ', Company Secretary, 20-Sep-2006' END AS snippet

@@ -147,7 +147,7 @@ def slug(u):
 
 def is_profile(u):
     return (f"(regexp_matches(lower({u}), '^https?://([a-z]{{{{2,3}}}}\\.)?linkedin\\.com/(in|pub)/[^/]+') AND NOT regexp_matches(lower({u}), '{'|'.join(vocab.NON_PROFILE_PATHS)}') "
-            f"AND length({slug(u)}) >= 3)").replace("{{", "{").replace("}}", "}")
+            f"AND length({slug(u)}) >= 3)")
 
 
 CLEAN_CTE = r"""
@@ -332,6 +332,147 @@ oracle("company_registry_link", f"""WITH RECURSIVE h AS (SELECT company_id, pos,
   z AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY score DESC, pos) AS rn FROM y WHERE dist AND sim >= {vocab.MATCH_ACCEPT})
   SELECT company_id, cin, candidate_name, score, CASE WHEN sim >= {vocab.MATCH_HIGH} THEN 'high' ELSE 'medium' END AS confidence FROM z WHERE rn = 1""")
 
+# --- pages -------------------------------------------------------------------------------------------------
+_A_RE = '(?i)<a[^>]+href="([^"]*)"[^>]*>([\\s\\S]{{0,400}}?)</a>'.replace("\\\\", "\\")
+_EXCL = rf"(?i)\b(?:{vocab.LINK_EXCLUDE})\b"
+
+
+def ents(x):
+    for a, b in (("&amp;", "&"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " ")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+def link_ctes(html: str) -> str:
+    return f"""a0 AS (SELECT page_id, url AS base, regexp_extract_all({html}, '{_A_RE}', 1) AS hs, regexp_extract_all({html}, '{_A_RE}', 2) AS ts FROM {{v_page}}),
+  a1 AS (SELECT page_id, base, unnest(hs) AS href, unnest(ts) AS inner_, generate_subscripts(hs, 1) AS pos FROM a0),
+  a2 AS (SELECT page_id, base, pos, href, lower({squash(ents("regexp_replace(inner_, '<[^>]+>', ' ', 'g')"))}) AS text FROM a1),
+  a3 AS (SELECT page_id, base, pos, text, regexp_replace(CASE WHEN starts_with(href, '/') THEN {origin('base')} || href ELSE {origin('base')} || regexp_replace({path('base')}, '[^/]*$', '') || href END, '#.*$', '') AS url
+    FROM a2 WHERE NOT regexp_matches(text, '{_EXCL}') AND href <> '' AND NOT starts_with(href, '#')),
+  a4 AS (SELECT *, list_position(list_transform({arr(vocab.LINK_KEYWORDS)}, lambda k: contains(text || ' ' || lower({path('url')}), k)), true) - 1 AS score FROM a3
+    WHERE NOT regexp_matches({path('url')}, '{_EXCL}') AND NOT regexp_matches({path('url')}, '(?i){vocab.DOCUMENT_PATH}') AND regexp_replace({path('url')}, '/$', '') <> ''),
+  links AS (SELECT page_id, url, min(pos) AS pos, arg_min(text, pos) AS text, CAST(arg_min(score, pos) AS INT) AS score FROM a4 WHERE score >= 0 GROUP BY page_id, url)"""
+
+
+_EXTRA = '<li><a href="/our-team/">Our Team</a></li><li><a href="leadership?x=1#top">Leadership</a></li><li><a href="/blog/board">Board news</a></li></ul></nav>'
+oracle("page_links_ranked", f"""WITH {link_ctes(f"replace(html, '</ul></nav>', '{_EXTRA}')")}, r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score, pos) AS rank FROM links)
+  SELECT page_id, CAST(rank AS INT) AS rank, url, substr(text, 1, 80) AS text, score FROM r WHERE rank <= 5""")
+oracle("guessed_links", f"""WITH {link_ctes('html')}, n AS (SELECT page_id, count(*) AS n FROM links GROUP BY 1),
+  g AS (SELECT page_id, 'https://' || {host('url')} AS h, unnest({arr(vocab.GUESSED_PATHS[:8])}) AS p FROM {{v_page}} LEFT JOIN n USING (page_id) WHERE coalesce(n, 0) < 2)
+  SELECT page_id, h || p AS url, 'guess:' || p AS text, 99 AS score FROM g WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.page_id = g.page_id AND regexp_replace(l.url, '/$', '') = g.h || g.p)""")
+_TXT = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+_TXT = f"regexp_replace({_TXT}, '(?i)<br\\s*/?>', ' | ', 'g')"
+_TXT = f"regexp_replace({_TXT}, '(?i)</(p|div|h[1-6]|li|tr|td|th|section|article|span|strong|b|em|a|figcaption|dt|dd)\\s*>', ' </\\1> ', 'g')"
+for _t in ("script", "style", "noscript", "svg", "iframe", "head"):
+    _TXT = f"regexp_replace({_TXT}, '(?is)<{_t}(?:\\s[^>]*)?>.*?</{_t}\\s*>', '', 'g')"
+_TXT = f"regexp_replace({_TXT}, '<[^>]*>', '', 'g')"
+for _e, _c in (("&copy;", "©"), ("&middot;", "·")):
+    _TXT = f"replace({_TXT}, '{_e}', '{_c}')"
+oracle("page_text_blocked", f"""WITH t AS (SELECT page_id, {squash(ents(_TXT))} AS txt, len(regexp_extract_all(html, '(?i)<a[\\s>]')) AS links FROM {{pages}})
+  SELECT page_id, length(txt) AS n_chars, md5(txt) AS digest, length(txt) = 0 OR (length(txt) < 500 AND regexp_matches(txt, '(?i){vocab.BLOCK_PHRASES.replace("'", "''")}')) OR (length(txt) < 200 AND links = 0) AS blocked FROM t""")
+oracle("anchor_snippets", """SELECT page_id, 0 AS pos, url AS href, 'Team page ' || page_id AS title, 'Team page ' || page_id || ' Who runs the company, who sits on its board and since when they do so' AS snippet FROM {v_page}""")
+_TITLES = f"""p AS (SELECT company_id, pos, len(list_filter(list_transform(regexp_split_to_array(title, '\\s+[-–—|]\\s+'), lambda t: trim(t)), lambda t: t <> '')) AS n FROM {{v_title_hit}})"""
+oracle("richest_page", f"WITH {_TITLES} SELECT company_id, arg_max(pos, struct_pack(a := n, b := -pos)) AS page_id, max(n) AS n FROM p WHERE n > 0 GROUP BY 1")
+oracle("name_variant_merge", f"""WITH {_SRC}, {CLEAN_CTE},
+  k AS (SELECT r.company_id, c.id AS ord, c.name, v.role, {name_key('c.name')} AS name_key FROM cleaned c JOIN {{v_raw_name}} r ON r.person_id = c.id JOIN {{v_person}} v ON v.person_id = c.id),
+  q AS (SELECT *, {quality('role')} AS q FROM k WHERE name_key <> ''),
+  g AS (SELECT company_id, name_key, arg_max(name, struct_pack(a := length(name), b := -ord)) AS name, arg_max(role, struct_pack(a := q, b := length(role), c := -ord)) AS role,
+    3 * count(*) AS score, min(ord) AS ord, string_split(name_key, '-') AS toks FROM q GROUP BY company_id, name_key),
+  sub AS (SELECT a.company_id, a.name_key AS member, b.name_key AS host, len(b.toks) AS n, b.score, b.ord FROM g a JOIN g b ON a.company_id = b.company_id AND len(b.toks) > 1 AND len(b.toks) < len(a.toks)
+    AND len(list_intersect(a.toks, b.toks)) = len(b.toks)),
+  h AS (SELECT company_id, member, arg_min(host, struct_pack(a := n, b := -score, c := ord)) AS host FROM sub s WHERE NOT EXISTS (SELECT 1 FROM sub t WHERE t.company_id = s.company_id AND t.member = s.host) GROUP BY 1, 2),
+  f AS (SELECT g.*, coalesce(h.host, g.name_key) AS host, {quality('role')} AS q FROM g LEFT JOIN h ON g.company_id = h.company_id AND g.name_key = h.member)
+  SELECT company_id, host AS name_key, max(name) FILTER (WHERE host = name_key) AS name,
+    arg_max(role, struct_pack(a := q, b := length(role), o := host = name_key, d := -len(toks), e := score, f := -ord)) AS role, CAST(sum(score) AS BIGINT) AS score FROM f GROUP BY company_id, host""")
+
+_TRUTH = f"""t AS (SELECT page_id, name, {norm_role('role')} AS role, 10 - row_number() OVER (PARTITION BY page_id ORDER BY ord) AS k, CASE ord WHEN 0 THEN 9 WHEN 1 THEN 4 ELSE 3 END AS score FROM {{v_leader_truth}})"""
+oracle("page_leaders", f"""WITH {_TRUTH} SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC) AS INT) AS rank, name, role, CAST(score AS BIGINT) AS score FROM t""")
+oracle("company_leaders", f"""WITH {_TRUTH}, v AS (SELECT t.*, floor(page_id / 5.0) AS company_id, page_id % 5 AS visit_no FROM t), n AS (SELECT company_id, visit_no, count(*) AS n FROM v GROUP BY 1, 2),
+  c AS (SELECT company_id, visit_no, sum(n) OVER (PARTITION BY company_id ORDER BY visit_no) AS seen FROM n), s AS (SELECT company_id, min(visit_no) AS stop FROM c WHERE seen >= 12 GROUP BY 1)
+  SELECT CAST(company_id AS BIGINT) AS company_id, name, role, CAST(score + CASE WHEN visit_no > 0 THEN 2 ELSE 0 END AS BIGINT) AS score FROM v LEFT JOIN s USING (company_id) WHERE stop IS NULL OR visit_no <= stop""")
+
+# --- registry ------------------------------------------------------------------------------------------------
+from rostrum.plans.inputs import _full, role as role_sql  # noqa: E402
+
+
+def _officer(k):
+    return f"upper({_full(k)}) AS person_name, {norm_role(role_sql(k))} AS designation, lpad(CAST({k} AS VARCHAR), 8, '0') AS din, '17/03/2015' AS appointment_date"
+
+
+oracle("registry_officers", f"""SELECT c_custkey AS page_id, {_officer('c_custkey * 2')} FROM {{customer}} WHERE c_custkey % 3 = 2
+  UNION ALL SELECT c_custkey, {_officer('c_custkey * 2 + 1')} FROM {{customer}} WHERE c_custkey % 3 = 2 AND c_custkey % 4 <> 0""")
+oracle("registry_summary", f"""SELECT c_custkey AS page_id, upper({_full('c_custkey * 2')}) AS person_name, 'Director' AS designation FROM {{customer}} WHERE c_custkey % 3 = 0
+  UNION ALL SELECT c_custkey, upper({_full('c_custkey * 2 + 1')}), 'Director' FROM {{customer}} WHERE c_custkey % 3 = 0""")
+oracle("registry_index", f"""WITH h AS (SELECT i.*, o.o_orderkey % 9 AS k, p.fn || ' ' || p.ln AS nm, lpad(CAST(p.person_id AS VARCHAR), 8, '0') AS id FROM {{v_index_hit}} i JOIN {{orders}} o ON i.pos = o.o_orderkey JOIN {{v_person}} p ON o.o_custkey = p.person_id),
+  f AS (SELECT company_id, 0 AS late, pos, 0 AS j, nm AS person_name, 'Director' AS designation, NULL AS din, NULL AS appointment_date, url AS source_url FROM h WHERE k = 0
+    UNION ALL SELECT company_id, 0, pos, 1, 'Zoya Lobo', 'Director', NULL, NULL, url FROM h WHERE k = 0
+    UNION ALL SELECT company_id, 1, pos, 0, upper(nm), 'Director', id, '20-Sep-2006', url FROM h WHERE k = 1
+    UNION ALL SELECT company_id, 1, pos, 0, upper(nm), 'Managing Director', id, NULL, url FROM h WHERE k = 5),
+  r AS (SELECT *, row_number() OVER (PARTITION BY company_id, {name_key('person_name')} ORDER BY late, pos, j) AS rn FROM f)
+  SELECT company_id, person_name, designation, din, appointment_date, source_url FROM r WHERE rn = 1""")
+oracle("registry_cascade", """WITH b AS (SELECT c_custkey AS company_id, c_custkey % 5 = 0 AS other, CASE c_custkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 2 END END AS n FROM {customer})
+  SELECT company_id, NOT other AND n > 0 AS ok, CASE WHEN other THEN 'Company match confidence too low' WHEN n = 0 THEN 'Directors unavailable' ELSE '' END AS reason,
+  CASE WHEN other THEN 'none' ELSE 'high' END AS confidence, CASE WHEN other THEN 0 ELSE n END AS officers,
+  CASE WHEN other THEN 'zauba_low_confidence' WHEN n = 0 THEN 'zauba_no_directors' ELSE 'zauba_error' END AS status FROM b""")
+
+# --- profiles -----------------------------------------------------------------------------------------------------
+_EVID = f"""fb AS (SELECT company_name, {brand('company_name')} AS br FROM (SELECT DISTINCT company_name FROM {{v_person}})),
+  fw AS (SELECT company_name, br, {words("array_to_string(br, ' ')")} AS dw FROM fb), ft AS (SELECT company_name, list_distinct(CASE WHEN len(dw) > 0 THEN dw ELSE br END) AS toks,
+    CASE WHEN len(dw) > 0 THEN {dedupe('dw')} ELSE {dedupe('br')} END AS ord_toks FROM fw)"""
+_HITS = """h0 AS (SELECT h.person_id, h.pos, h.url, h.title, h.snippet, p.company_name, [lower(p.fn), lower(p.ln)] AS toks FROM {v_profile_hit} h JOIN {v_person} p ON h.person_id = p.person_id)"""
+
+
+def score_ctes(src: str) -> str:
+    """M5 for two-word names: ``src(url, title, snippet, company_name, toks)``."""
+    return f"""s1 AS (SELECT *, {slug('url')} AS slug, lower(title) AS low FROM {src} WHERE {is_profile('url')}),
+  s2 AS (SELECT *, regexp_replace(slug, '[^a-z]', '', 'g') AS tight, list_filter(regexp_split_to_array(slug, '[-_.0-9]+'), lambda x: x <> '') AS parts,
+    trim(regexp_replace(low, '[^a-z]+', ' ', 'g')) AS flat, {words('company_name')} AS cw FROM s1),
+  s3 AS (SELECT *, len(list_filter(cw, lambda t: contains(low || ' ' || lower(snippet), t) OR contains(tight, t))) > 0 AS co,
+    (instr(flat, toks[1] || ' ' || toks[2]) BETWEEN 1 AND 25 OR instr(flat, toks[2] || ' ' || toks[1]) BETWEEN 1 AND 25) AS named,
+    len(list_filter(toks, lambda t: contains(low, t))) AS n_title FROM s2),
+  scored AS (SELECT *, CASE WHEN NOT (list_contains(parts, toks[2]) OR contains(tight, toks[2])) THEN CASE WHEN named AND co THEN 12 ELSE 0 END
+    ELSE 6 + CASE WHEN list_contains(parts, toks[1]) OR contains(tight, toks[1]) THEN 6 WHEN starts_with(tight, left(toks[1], 3)) THEN 2 ELSE 0 END
+      + CASE WHEN low = '' THEN 0 ELSE CASE WHEN n_title = 2 THEN 5 ELSE n_title * 2 END + CASE WHEN co THEN 4 ELSE 0 END END
+      - CASE WHEN regexp_matches(slug, '[0-9]{{{{4,}}}}') THEN 3 ELSE 0 END END AS score FROM s3)""".replace("{{{{", "{{").replace("}}}}", "}}")
+
+
+_F4 = f"""f4 AS (SELECT s.*, list_filter(string_split_regex(strip_accents(lower(title || ' ' || snippet || ' ' || slug)), '[^a-z0-9]+'), lambda w: w <> '') AS ws, ft.toks AS need, ft.ord_toks FROM scored s JOIN ft USING (company_name)),
+  proven AS (SELECT * FROM f4 WHERE len(need) > 0 AND (len(list_filter(need, lambda t: NOT list_contains(ws, t))) = 0 OR contains(array_to_string(ws, ''), array_to_string(ord_toks, ''))))"""
+_SCORED = f"{_EVID}, {_HITS}, {score_ctes('h0')}, {_F4}"
+oracle("profile_link_best", f"""WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY score DESC, pos) AS rn FROM proven WHERE score >= 10)
+  SELECT person_id, url, CAST(score AS INT) AS score, pos FROM r WHERE rn = 1""")
+oracle("profile_shortlist", f"""WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY pos) AS item FROM proven) SELECT person_id, CAST(item AS INT) AS item, url FROM r WHERE item <= 8""")
+oracle("model_picks", f"""WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY pos) AS item FROM proven) SELECT person_id, arg_min(url, pos) AS url FROM r WHERE item <= 8 AND score > 0 GROUP BY 1""")
+_ET0 = f"list_filter({comparable('company_name')}, lambda t: length(t) >= 3 AND t NOT IN {lst(vocab.GENERIC_TOKENS)})"
+
+
+def _seen(x):
+    ws = f"list_transform(list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: w <> ''), lambda t: {singular('t')})"
+    return f"(len(et) > 0 AND (len(list_filter(et, lambda t: NOT list_contains({ws}, t))) = 0 OR contains(array_to_string({ws}, ''), array_to_string(et, ''))))"
+
+
+oracle("officer_verification", f"""WITH e0 AS (SELECT company_name, {_ET0} AS l FROM (SELECT DISTINCT company_name FROM {{v_person}})), e AS (SELECT company_name, {dedupe('l')} AS et FROM e0), {_HITS}, {score_ctes('h0')},
+  v AS (SELECT s.*, {_seen('title')} OR {_seen('url')} AS in_title, {_seen('snippet')} AS in_snippet FROM scored s JOIN e USING (company_name)),
+  b AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY in_title DESC, score DESC, pos) AS rn FROM v WHERE score >= 10 AND (in_title OR in_snippet)),
+  t AS (SELECT person_id, arg_max(score, struct_pack(a := in_title, b := score, c := -pos)) AS top FROM v GROUP BY 1)
+  SELECT p.person_id, b.url, CASE WHEN b.url IS NULL THEN 'none' WHEN b.in_title THEN 'high' ELSE 'medium' END AS confidence,
+    CASE WHEN b.url IS NOT NULL THEN '' WHEN t.top IS NULL THEN 'LinkedIn verification failed: no profile in results'
+      WHEN t.top >= 10 THEN 'LinkedIn verification failed: name matched but company did not' ELSE 'LinkedIn verification failed: no confident name match' END AS reason
+  FROM {{v_person}} p LEFT JOIN b ON p.person_id = b.person_id AND b.rn = 1 LEFT JOIN t ON p.person_id = t.person_id""")
+_TH = "th AS (SELECT h.*, o.o_orderkey % 6 AS tf, o.o_orderkey % 5 AS sf, p.fn || ' ' || p.ln AS nm, p.role FROM {v_title_hit} h JOIN {orders} o ON h.pos = o.o_orderkey JOIN {v_person} p ON o.o_custkey = p.person_id)"
+oracle("title_leaders", f"""WITH {_TH}, r AS (SELECT *, CASE WHEN tf IN (0, 4) THEN role WHEN sf = 0 THEN 'Founder' WHEN sf IN (1, 2, 3) THEN role END AS found FROM th WHERE tf IN (0, 1, 2, 4)
+    AND len(list_filter({words('company_name')}, lambda t: contains(lower(title || ' ' || snippet), t))) > 0),
+  k AS (SELECT *, {name_key('nm')} AS name_key FROM r WHERE found IS NOT NULL), f AS (SELECT *, row_number() OVER (PARTITION BY company_id, name_key ORDER BY pos) AS rn FROM k)
+  SELECT company_id, name_key, nm AS name, {norm_role('found')} AS role, url, pos FROM f WHERE rn = 1""")
+oracle("profile_leaders", f"""WITH {_TH} SELECT company_id, pos, url, nm AS name, {norm_role('role')} AS role FROM th WHERE tf = 0 OR (tf IN (1, 2, 4) AND sf IN (1, 2))""")
+oracle("model_output_people", f"""SELECT conv_id * 1000 + turn AS answer_id, 0 AS pos, {_full('conv_id * 7 + turn')} AS person_name, {norm_role(role_sql('conv_id + turn'))} AS designation
+  FROM {{conversations}} WHERE (conv_id + turn) % 4 < 3""")
+oracle("result_cards", f"""SELECT page_id, CASE WHEN page_id % 6 < 4 THEN 0 ELSE -1 END AS pos, CASE page_id % 6 WHEN 4 THEN 'empty' WHEN 5 THEN 'blocked' ELSE 'results' END AS status,
+  CASE WHEN page_id % 6 < 4 THEN {result('url')} END AS url, CASE WHEN page_id % 6 < 4 THEN {squash('title')} END AS title, CASE WHEN page_id % 6 < 4 THEN {squash('head')} END AS snippet FROM {{v_page}}""")
+oracle("people_cards", f"""SELECT person_id AS page_id, CASE person_id % 7 WHEN 1 THEN 'empty' WHEN 2 THEN 'rate_limited' WHEN 3 THEN 'not_connected' WHEN 4 THEN 'verification_required' WHEN 5 THEN 'unexpected' WHEN 6 THEN 'unavailable' ELSE 'results' END AS page_class,
+  CASE WHEN person_id % 7 IN (0, 6) THEN 'https://www.linkedin.com/in/' || lower(fn) || '-' || lower(ln) END AS profile_url, CASE WHEN person_id % 7 IN (0, 6) THEN fn || ' ' || ln END AS name,
+  CASE WHEN person_id % 7 IN (0, 6) THEN role || ' at ' || company_name END AS headline, CASE WHEN person_id % 7 IN (0, 6) THEN {norm_role('role')} END AS designation FROM {{v_person}}""")
+
 # --- stored responses ---------------------------------------------------------------------------------------
 oracle("search_json_a", """SELECT page_id AS query_id, 0 AS pos, url AS href, 'T' AS title, 'd' AS snippet FROM {v_page}
   UNION ALL SELECT page_id, 1, url, title, para FROM {v_page} UNION ALL SELECT page_id, 2, url || '/s', 'S', '' FROM {v_page}""")
@@ -344,6 +485,24 @@ oracle("search_json_c", """SELECT page_id AS query_id, url AS href, title, para
 oracle("source_priority", f"""WITH r AS (SELECT company_id, {name_key('person_name')} AS name_key, CAST(pos % 4 AS INT) AS source_rank, pos, person_name, designation FROM {{v_row}} WHERE person_name IS NOT NULL),
   o AS (SELECT *, row_number() OVER (PARTITION BY company_id, name_key ORDER BY source_rank, pos) AS rn FROM r WHERE name_key <> '')
   SELECT company_id, name_key, source_rank, pos, person_name, designation FROM o WHERE rn = 1""")
+_DIRECT = f"""b AS (SELECT *, fn || ' ' || ln AS name, person_id AS pos, company_id % 4 AS k FROM {{v_person}}), kb AS (SELECT *, {name_key('name')} AS name_key FROM b),
+  look AS (SELECT company_id, name_key, max(CASE WHEN pos % 3 = 0 THEN 'https://in.linkedin.com/in/' || name_key END) AS url, max(CASE WHEN pos % 7 = 1 THEN 'limited' END) AS outage FROM kb GROUP BY 1, 2),
+  sup AS (SELECT company_id, name_key, pos, name, role, NULL AS source FROM kb WHERE k = 0),
+  low AS (SELECT company_id, min(pos % 2) AS r FROM kb WHERE k = 2 GROUP BY 1),
+  fb0 AS (SELECT kb.*, row_number() OVER (PARTITION BY kb.company_id, name_key ORDER BY pos) AS rn FROM kb JOIN low ON kb.company_id = low.company_id AND pos % 2 = r WHERE k = 2),
+  fb AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY pos) AS n FROM fb0 WHERE rn = 1),
+  asked AS (SELECT * FROM sup UNION ALL SELECT company_id, name_key, pos, name, role, CASE WHEN pos % 2 = 0 THEN 'ZaubaCorp' ELSE 'SearXNG' END FROM fb WHERE n <= 8),
+  al AS (SELECT a.*, look.url AS url0, look.outage AS out0 FROM asked a JOIN look USING (company_id, name_key)),
+  st AS (SELECT company_id, min(pos) AS stop, arg_min(out0, pos) AS why FROM al WHERE out0 IS NOT NULL GROUP BY 1),
+  done AS (SELECT al.*, CASE WHEN coalesce(pos > stop, false) THEN NULL ELSE url0 END AS url, coalesce(pos > stop, false) AS later, why FROM al LEFT JOIN st USING (company_id)),
+  res AS (SELECT *, CASE WHEN url IS NULL THEN CASE WHEN later THEN why ELSE out0 END END AS reason FROM done)"""
+oracle("direct_cascade", f"""WITH {_DIRECT}, {_TH}, own0 AS (SELECT company_id, pos, nm, role, url, {name_key('nm')} AS nk FROM th WHERE company_id % 4 = 1 AND (tf = 0 OR (tf IN (1, 2, 4) AND sf IN (1, 2)))),
+  own AS (SELECT *, row_number() OVER (PARTITION BY company_id, nk ORDER BY pos) AS rn FROM own0),
+  o AS (SELECT company_id, pos, name AS person_name, role AS designation, url AS linkedin_url, CASE WHEN url IS NOT NULL THEN 'ok' WHEN reason IS NOT NULL THEN 'search_unavailable' ELSE 'no_linkedin' END AS status,
+      coalesce(source, 'LinkedIn Direct') AS source, reason FROM res
+    UNION ALL SELECT company_id, pos, nm, {norm_role('role')}, url, 'ok', 'LinkedIn Direct', NULL FROM own WHERE rn = 1)
+  SELECT * FROM o UNION ALL SELECT DISTINCT company_id, 0, NULL, NULL, NULL, 'linkedin_unverified', 'LinkedIn Direct',
+    'Neither LinkedIn nor SearXNG identified a named director at this company. Add a Director Name column to search known directors.' FROM {{v_person}} p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.company_id = p.company_id)""")
 _LABEL = "coalesce(CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in vocab.STATUS_LABELS.items()) + " END, nullif(status, ''), 'NULL')"
 oracle("report_rows", f"""SELECT coalesce(company_name, 'NULL') AS company_name, coalesce(person_name, 'NULL') AS person_name, coalesce(designation, 'NULL') AS designation, coalesce(linkedin_url, 'NULL') AS linkedin_url,
   coalesce(source, 'Official Website') AS source, {_LABEL} AS status, coalesce(din, 'NULL') AS din, coalesce(appointment_date, 'NULL') AS appointment_date, coalesce(source_url, 'NULL') AS source_url,

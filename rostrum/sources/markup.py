@@ -192,7 +192,8 @@ def anchor_snippets(pages: DataFrame) -> DataFrame:
             yield pos, href, title, next((t[:300] for t in near if len(t) > len(title) + 40), "")
             pos += 1
 
-    return _pages_to(pages.select("page_id", "html"), rows, "page_id BIGINT, pos INT, href STRING, title STRING, snippet STRING", ["page_id"])
+    html = with_separators(F.regexp_replace("html", r"(?i)<br\s*/?>", " "))
+    return _pages_to(pages.select("page_id", html.alias("html")), rows, "page_id BIGINT, pos INT, href STRING, title STRING, snippet STRING", ["page_id"])
 
 
 BLOCK = ("STRUCT<pos: INT, tag: STRING, depth: INT, parent: INT, sib: INT, n_children: INT, own_text: STRING, text: STRING, "

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum import vocab
@@ -104,18 +104,21 @@ def _transfer(t, cool, empty, limit, pause, longest):
     return rows, t[-1]
 
 
-def paused_timeline(events: DataFrame, keys: list[str], limit: int = 0, bucket_seconds: int = 86400,
-                    order: str = "event_id", pause: float = float(vocab.ENGINE_COOLDOWN),
+def paused_timeline(events: DataFrame, keys: list[str], limit: int = 0, bucket_rows: int = 200_000,
+                    slot_seconds: int = 600, order: str = "event_id", pause: float = float(vocab.ENGINE_COOLDOWN),
                     longest: float = float(vocab.CAPTCHA_SUSPENSION)) -> DataFrame:
     """Batch form: adds ``skipped``, ``streak`` and ``until`` (epoch seconds, -1 =
     none) to ``events(keys, ts, order, cool, is_empty)``.
 
-    No task ever holds more than one bucket of one key; ``longest`` is the
-    longest pause that can occur.
+    Time slots of a key are packed into buckets of about ``bucket_rows`` events,
+    so a quiet key is one bucket and a busy one is spread over many tasks;
+    ``longest`` is the longest pause that can occur.
     """
     t = F.col("ts").cast("timestamp").cast("double")
-    rows = events.withColumn("_t", t).withColumn("_b", F.floor(F.col("_t") / bucket_seconds))
-    slim = rows.select(*keys, "_b", "_t", F.col(order).alias("_o"), "cool", "is_empty")
+    slim = events.select(*keys, t.alias("_t"), F.floor(t / slot_seconds).alias("_s"), F.col(order).alias("_o"), "cool", "is_empty")
+    slots = slim.groupBy(*keys, "_s").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_s")) - F.col("_n")
+    slim = slim.join(slots.select(*keys, "_s", F.floor(before / bucket_rows).alias("_b")), [*keys, "_s"]).drop("_s")
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema if f.name in keys)
 
     def summarise(key, pdf):
@@ -153,7 +156,7 @@ def paused_timeline(events: DataFrame, keys: list[str], limit: int = 0, bucket_s
     entry = pieces.groupBy(*keys).applyInPandas(chain, f"{key_ddl}, _b bigint, in_streak int, in_until double")
     state = slim.join(entry, [*keys, "_b"]).groupBy(*keys, "_b").applyInPandas(
         replay, f"{key_ddl}, _o bigint, skipped boolean, streak int, until double")
-    return rows.drop("_t", "_b").join(state.withColumnRenamed("_o", order), [*keys, order])
+    return events.join(state.withColumnRenamed("_o", order), [*keys, order])
 
 
 def health_snapshot(timeline: DataFrame, keys: list[str], now: Column, order: str = "event_id") -> DataFrame:
