@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum import vocab
@@ -27,6 +27,17 @@ def let(value, fn) -> Column:
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
+def once(df: DataFrame, **cols: Column) -> DataFrame:
+    """``withColumns`` whose values are worked out exactly once per row.
+
+    A filter on an ordinary derived column is pushed below it together with a
+    second copy of its expression; a one-element ``explode`` keeps a costly
+    expression in one place.
+    """
+    row = F.explode(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))).alias("_once")
+    return df.select("*", row).select(*[c for c in df.columns if c not in cols], *[F.col("_once")[k].alias(k) for k in cols])
+
+
 def one_of(words: list[str]) -> Column:
     """The words as one constant array."""
     quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)

@@ -12,6 +12,8 @@ from rostrum import vocab
 from rostrum.functions.text import decode_entities, in_words, let
 
 URL_RE = r"^(?i)(https?)://(?:[^/?#@]*@)?([^/?#:@\s]+)(?::(\d*))?(/[^?#]*)?(\?[^#]*)?(#.*)?$"
+HOST_RE = r"^(?i)https?://(?:[^/?#@]*@)?([^/?#:@\s]+)(?:[:/?#].*)?$"
+PATH_RE = r"^(?i)https?://[^/?#\s]+(/[^?#]*)"
 
 
 def _part(url: Column, i: int) -> Column:
@@ -23,7 +25,7 @@ def is_web(url: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.lower(_part(url, 2))
+    return F.lower(F.regexp_extract(url, HOST_RE, 1))
 
 
 def has_credentials(url: Column) -> Column:
@@ -31,21 +33,20 @@ def has_credentials(url: Column) -> Column:
 
 
 def path(url: Column) -> Column:
-    return F.coalesce(F.nullif(_part(url, 4), F.lit("")), F.lit("/"))
+    return F.coalesce(F.nullif(F.regexp_extract(url, PATH_RE, 1), F.lit("")), F.lit("/"))
 
 
 def origin(url: Column) -> Column:
-    scheme, port = F.lower(_part(url, 1)), _part(url, 3)
-    default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    tail = F.when((port == "") | default, "").otherwise(F.concat(F.lit(":"), port))
-    return F.concat(scheme, F.lit("://"), host(url), tail)
+    """Scheme and host, lower case, without user and default port."""
+    base = F.lower(F.regexp_replace(F.regexp_extract(url, r"^(?i)(https?://[^/?#\s]+)", 1), "//[^@]*@", "//"))
+    return F.regexp_replace(base, r"^(http://[^:]*):(?:80)?$|^(https://[^:]*):(?:443)?$", "$1$2")
 
 
 def query_param(url: Column, name: str) -> Column:
     """Decoded value of the first parameter called ``name``; NULL when absent."""
-    hit = F.regexp_extract(_part(url, 5), rf"[?&]{name}=([^&]*)", 1)
-    present = _part(url, 5).rlike(rf"[?&]{name}(?:=|&|$)")
-    return F.when(present, F.try_url_decode(hit))
+    found = F.regexp_extract(url, rf"^[^?#]*\?(?:[^#]*&)??({name}(?:=[^&#]*)?)(?:[&#].*)?$", 1)
+    return F.when(url.contains("?"), let(found, lambda f: F.when(f != "", F.try_url_decode(
+        F.substring(f, len(name) + 2, 1 << 30)))))
 
 
 def domain(url: Column) -> Column:
@@ -215,18 +216,23 @@ def registry_record(url: Column) -> Column:
 
 
 def _registry_record(url: Column) -> Column:
-    p = path(url)
     new, old = rf"^/({_REG_NAME})-({_REG_ID})/?$", rf"^(?i)/company/({_REG_NAME})/({_REG_ID})/?$"
-    slug = F.when(p.rlike(new), F.regexp_extract(p, new, 1)).otherwise(F.regexp_extract(p, old, 1))
-    ident = F.when(p.rlike(new), F.regexp_extract(p, new, 2)).otherwise(F.regexp_extract(p, old, 2))
-    name = F.try_url_decode(F.replace(slug, F.lit("+"), F.lit("%2B")))
-    valid_id = (ident.rlike(r"^[A-Za-z]\d{5}[A-Za-z]{2}\d{4}[A-Za-z]{3}\d{6}$")
-                | ident.rlike(r"^[A-Za-z]{3}-?\d{4}$"))
-    ok = (domain(url) == vocab.REGISTRY_HOST) & (slug != "") & name.isNotNull() & valid_id
-    return F.when(ok, F.struct(
-        F.concat(F.lit(f"https://www.{vocab.REGISTRY_HOST}/"), F.upper(name), F.lit("-"), F.upper(ident)).alias("url"),
-        F.upper(ident).alias("cin"),
-        F.trim(F.regexp_replace(F.regexp_replace(name, "-+", " "), r"\s+", " ")).alias("name")))
+
+    def cut(p: Column) -> Column:
+        modern = p.rlike(new)
+        return F.struct(F.when(modern, F.regexp_extract(p, new, 1)).otherwise(F.regexp_extract(p, old, 1)).alias("slug"),
+                        F.when(modern, F.regexp_extract(p, new, 2)).otherwise(F.regexp_extract(p, old, 2)).alias("ident"))
+
+    def build(x: Column) -> Column:
+        valid = x["ident"].rlike(r"^(?:[A-Za-z]\d{5}[A-Za-z]{2}\d{4}[A-Za-z]{3}\d{6}|[A-Za-z]{3}-?\d{4})$")
+        return F.when(valid & x["name"].isNotNull() & (x["name"] != ""), F.struct(
+            F.concat(F.lit(f"https://www.{vocab.REGISTRY_HOST}/"), F.upper(x["name"]), F.lit("-"), F.upper(x["ident"])).alias("url"),
+            F.upper(x["ident"]).alias("cin"),
+            F.trim(F.regexp_replace(x["name"], r"[-\s]+", " ")).alias("name")))
+
+    parts = let(path(url), lambda p: let(cut(p), lambda x: F.struct(
+        F.try_url_decode(F.replace(x["slug"], F.lit("+"), F.lit("%2B"))).alias("name"), x["ident"].alias("ident"))))
+    return F.when(domain(url) == vocab.REGISTRY_HOST, let(parts, build))
 
 
 def registry_source_url(v: Column) -> Column:

@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 from rostrum import vocab
 from rostrum.functions import match as M
 from rostrum.functions import relevance as R
+from rostrum.functions import text as T
 from rostrum.functions import urls as U
 
 
 def _pairs(people: DataFrame, results: DataFrame) -> DataFrame:
     """Profile rows of each person's own results (equi-join on ``person_id``);
     the address test runs before the join."""
-    return results.where(U.is_profile_url(F.col("url"))).join(people, "person_id")
+    return results.where(U.is_profile_url(F.col("url"))).join(people, "person_id")  # small filter, runs at the scan
 
 
 def score_profiles(people: DataFrame, results: DataFrame) -> DataFrame:
     """J3: rows with employer evidence (F4) and their M5 score."""
     rows = _pairs(people, results)
     args = F.col("url"), F.col("title"), F.col("person_name"), F.col("company_name"), F.col("snippet")
-    return (rows.where(R.has_company_evidence(F.col("title"), F.col("snippet"), F.col("url"), F.col("company_name")))
-            .withColumn("score", M.profile_score(*args)))
+    proven = rows.where(R.has_company_evidence(F.col("title"), F.col("snippet"), F.col("url"), F.col("company_name")))
+    return T.once(proven, score=M.profile_score(*args))
 
 
 def best_profile(scored: DataFrame) -> DataFrame:
@@ -34,8 +35,8 @@ def best_profile(scored: DataFrame) -> DataFrame:
 def verify_officers(people: DataFrame, results: DataFrame) -> DataFrame:
     """M6 + W3 (registry variant): every person with url, confidence, reason."""
     args = F.col("url"), F.col("title"), F.col("person_name"), F.col("company_name"), F.col("snippet")
-    scored = (_pairs(people, results).withColumn("score", M.profile_score(*args))
-              .withColumn("ev", R.company_evidence(F.col("title"), F.col("snippet"), F.col("url"), F.col("company_name"))))
+    scored = T.once(_pairs(people, results), score=M.profile_score(*args),
+                    ev=R.company_evidence(F.col("title"), F.col("snippet"), F.col("url"), F.col("company_name")))
     rank = F.struct("ev.in_title", "score", (-F.col("pos")).alias("p"))
     proven = (F.col("score") >= vocab.PROFILE_ACCEPT) & (F.col("ev.in_title") | F.col("ev.in_snippet"))
     row = F.struct("url", "score", F.when(F.col("ev.in_title"), "high").otherwise("medium").alias("confidence"))

@@ -14,7 +14,7 @@ from rostrum.operators.results import first_seen
 def registry_candidates(results: DataFrame) -> DataFrame:
     """U11 + W8 on ``(company_id, pos, url, title)``: one candidate per registry id."""
     title = F.trim(F.regexp_replace(F.coalesce("title", F.lit("")), r"(?i)\s*[|-]\s*Zauba.*$", ""))
-    rows = (results.withColumn("rec", U.registry_record(F.col("url"))).where(F.col("rec").isNotNull())
+    rows = (T.once(results, rec=U.registry_record(F.col("url"))).where(F.col("rec").isNotNull())
             .select("company_id", F.col("rec.cin").alias("cin"), "pos", F.col("rec.url").alias("url"),
                     F.when(F.length(title) >= 4, title).otherwise(F.col("rec.name")).alias("candidate_name"),
                     F.col("rec.name").alias("alt_name")))
@@ -25,13 +25,17 @@ def match_candidates(companies: DataFrame, candidates: DataFrame) -> DataFrame:
     """J2 + M3 + M4: every candidate with the better of its two verdicts."""
     names = companies.select("company_id", "company_name", T.comparable_tokens(F.col("company_name")).alias("want"))
 
-    def verdict(c: str):
-        return M.name_verdict(M.name_similarity(F.col("want"), T.comparable_tokens(F.col(c))))
+    def better(x):
+        return F.when(x["by_slug"]["score"] > x["by_name"]["score"], x["by_slug"]).otherwise(x["by_name"])
 
-    rows = (candidates.join(names, "company_id")
-            .withColumn("by_name", verdict("candidate_name")).withColumn("by_slug", verdict("alt_name")))
-    return rows.withColumn("match", F.when(F.col("by_slug.score") > F.col("by_name.score"), F.col("by_slug"))
-                           .otherwise(F.col("by_name"))).drop("want", "by_name", "by_slug")
+    def verdicts(x):
+        by_name = M.name_verdict(M.name_similarity(F.col("want"), x["printed"]))
+        # the slug mostly spells the printed name: one verdict serves both
+        by_slug = F.when(x["printed"] == x["slug"], F.lit(None)).otherwise(M.name_verdict(M.name_similarity(F.col("want"), x["slug"])))
+        return T.let({"by_name": by_name, "by_slug": by_slug}, better)
+
+    printed, slug = T.comparable_tokens(F.col("candidate_name")), T.comparable_tokens(F.col("alt_name"))
+    return T.once(candidates.join(names, "company_id"), match=T.let({"printed": printed, "slug": slug}, verdicts)).drop("want")
 
 
 def best_candidate(matched: DataFrame) -> DataFrame:

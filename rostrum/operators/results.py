@@ -21,9 +21,8 @@ def merge_fuller_title(hits: DataFrame, keys: tuple[str, ...] = ("query_id",)) -
     Copies of a snippet collapse before the per-address step (they cannot change
     the result), so a much repeated hit never gathers in one task.
     """
-    rows = hits.select(*keys, "pos", F.lower(U.unwrap_url(F.col("href"))).alias("url"),
-                       T.clean_title(F.col("title")).alias("title"), T.clean_title(F.col("snippet")).alias("snippet")
-                       ).where(F.col("url").isNotNull())
+    rows = T.once(hits.select(*keys, "pos", "href", "title", "snippet"), url=F.lower(U.unwrap_url(F.col("href")))).where(F.col("url").isNotNull()).select(
+        *keys, "pos", "url", T.clean_title(F.col("title")).alias("title"), T.clean_title(F.col("snippet")).alias("snippet"))
     words = F.size(F.filter(F.split("title", " "), lambda t: t != ""))
     rank = F.struct(words.alias("w"), F.length("title").alias("n"), (-F.col("pos")).alias("p"), F.col("title"))
 
@@ -41,7 +40,7 @@ def merge_fuller_title(hits: DataFrame, keys: tuple[str, ...] = ("query_id",)) -
 def merge_sources(hits: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """A3 over the union (E2) of several engines' hits
     ``(keys, pos, url, title, snippet, source)``; ``pos`` is arrival order."""
-    rows = (hits.withColumn("url", U.result_url(F.col("url"))).where(F.col("url").isNotNull())
+    rows = (T.once(hits, url=U.result_url(F.col("url"))).where(F.col("url").isNotNull())
             .select(*keys, "pos", "url", U.merge_key(F.col("url")).alias("merge_key"),
                     T.squash(F.col("title")).alias("title"), T.squash(F.col("snippet")).alias("snippet"), "source"))
 
@@ -63,7 +62,8 @@ def merge_sources(hits: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> Dat
 def relevant(queries: DataFrame, results: DataFrame, trusted: bool = False, min_coverage: float = 0.0,
              low_trust_engine: str | None = None) -> DataFrame:
     """F1 + F2 (+ F3) on the equi-join of queries ``(query_id, q)`` and results."""
-    rows = results.join(queries.select("query_id", query_constraints(F.col("q")).alias("want")), "query_id")
+    wants = T.once(queries.select("query_id", "q"), want=query_constraints(F.col("q"))).drop("q")
+    rows = results.join(wants, "query_id")
     args = (F.col("url"), F.col("title"), F.col("snippet"), F.col("want"))
     keep = is_relevant(*args, trusted=trusted, min_coverage=min_coverage)
     if low_trust_engine:

@@ -14,6 +14,7 @@ from rostrum.functions import text as T
 from rostrum.functions import urls as U
 from rostrum.operators import extract, links, profiles, queries as Q, registry, report, results, rows, sites
 from rostrum.plans.inputs import view
+from rostrum.session import cut_lineage
 from rostrum.sources import cells, markup, model_output, search_json
 from rostrum.streaming import arrivals, health, jobs
 
@@ -253,7 +254,7 @@ def registry_officers(spark, sf):
 @query
 def registry_summary(spark, sf):
     pages = view(spark, sf, "v_registry_page")
-    return extract.officers_from_summary(pages, markup.registry_rows(pages)).select("page_id", "person_name", "designation")
+    return extract.officers_from_summary(pages, cut_lineage(markup.registry_rows(pages))).select("page_id", "person_name", "designation")
 
 
 @query
@@ -268,7 +269,7 @@ def registry_cascade(spark, sf):
     hits = pages.select("company_id", F.lit(1).alias("pos"), F.concat(F.lit("https://www.zaubacorp.com/"), F.when(F.col("company_id") % 5 == 0, "OTHER-POWER").otherwise("KESTREL-FOODS"),
                         F.lit("-U12345AA2000PTC"), F.lpad((F.col("company_id") % 1000000).cast("string"), 6, "0")).alias("url"), F.lit("").alias("title"))
     matched = registry.match_candidates(companies, registry.registry_candidates(hits))
-    rows_ = markup.registry_rows(pages)
+    rows_ = cut_lineage(markup.registry_rows(pages))
     cols = ["company_id", "pos", "person_name", "designation"]
     on_page = extract.officers_from_rows(rows_, pages).withColumn("company_id", F.col("page_id")).select(*cols)
     summary = extract.officers_from_summary(pages, rows_).withColumn("company_id", F.col("page_id")).select(*cols)

@@ -166,7 +166,8 @@ def anchors(pages: DataFrame) -> DataFrame:
     pattern = r'(?i)<a[^>]+href="([^"]*)"[^>]*>([\s\S]{0,400}?)</a>'
     pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)).alias("href"),
                          F.regexp_extract_all("html", F.lit(pattern), F.lit(2)).alias("inner"))
-    return (pages.select("page_id", "url", F.posexplode(pairs).alias("pos", "a"))
+    found = T.once(pages.select("page_id", "url", "html"), pairs=pairs)
+    return (found.select("page_id", "url", F.posexplode("pairs").alias("pos", "a"))
             .select("page_id", F.col("url").alias("base"), "pos", F.col("a.href").alias("href"),
                     T.squash(T.decode_entities(F.regexp_replace("a.inner", "<[^>]+>", " "))).alias("text")))
 

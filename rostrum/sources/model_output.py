@@ -27,9 +27,10 @@ def parse_people(answer: Column) -> Column:
 
 def validated_people(answers: DataFrame) -> DataFrame:
     """``(answer_id, company_name, answer)`` -> people with a valid name and a role."""
-    rows = (answers.select("answer_id", "company_name", F.posexplode(parse_people(F.col("answer"))).alias("pos", "p"))
-            .where(F.col("p.name").isNotNull())
-            .withColumn("person_name", P.clean_name(F.col("p.name"))))
+    parsed = T.once(answers, people=parse_people(F.col("answer")))
+    rows = (parsed.select("answer_id", "company_name", F.posexplode("people").alias("pos", "p"))
+            .where(F.col("p.name").isNotNull()))
+    rows = T.once(rows, person_name=P.clean_name(F.col("p.name")))
     valid = rows.where(P.is_person_name(F.col("person_name"), T.company_words(F.col("company_name"))))
     return (valid.select("answer_id", "pos", "person_name", P.normalize_role(F.coalesce("p.designation", F.lit(""))).alias("designation"))
             .where(F.col("designation") != ""))

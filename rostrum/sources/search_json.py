@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rostrum.functions.text import once
+
 _HIT = "STRUCT<link: STRING, title: STRING, snippet: STRING>"
 SCHEMA_A = (f"knowledgeGraph STRUCT<website: STRING, title: STRING, description: STRING>, "
             f"organic ARRAY<STRUCT<link: STRING, title: STRING, snippet: STRING, sitelinks: ARRAY<{_HIT}>>>")
@@ -26,7 +28,7 @@ def _list(c: Column) -> Column:
 def _emit(df: DataFrame, hits: Column, keep: list[str]) -> DataFrame:
     """Positions count the kept hits, as a list would."""
     kept = F.filter(hits, lambda h: F.coalesce(h["href"], F.lit("")) != "")
-    return df.select(*keep, F.posexplode(kept).alias("pos", "h")).select(*keep, "pos", "h.*")
+    return once(df, hits=kept).select(*keep, F.posexplode("hits").alias("pos", "h")).select(*keep, "pos", "h.*")
 
 
 def hits_a(responses: DataFrame) -> DataFrame:
