@@ -1,7 +1,6 @@
 """Session defaults used by tests and the benchmark; a cluster brings its own."""
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +21,15 @@ def local_session(cpus: str = "8", memory: str = "12g", name: str = "rostrum") -
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in
-    ``spark.checkpoint.dir``; only where that is unset is a folder of our own used."""
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(
-            shared or tempfile.mkdtemp(prefix="rostrum-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp")))
+    """Reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a scratch folder of its own;
+    a cluster has to name one, as a folder of a single machine would be lost
+    with it."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="rostrum-checkpoint-"))
     return df.checkpoint()
