@@ -116,3 +116,15 @@ def test_profile_score(spark):
     got = ev(spark, rows, "u string, t string, p string, c string, s string, want boolean", u=F.col("u"), want=F.col("want"),
              ok=M.profile_score(F.col("u"), F.col("t"), F.col("p"), F.col("c"), F.col("s")) >= 10)
     assert [r for r in got if r["ok"] != r["want"]] == []
+
+
+def test_small_helpers(spark):
+    assert vals(spark, ["https://www.zaubacorp.com/X?y=1#d", "https://u:p@zaubacorp.com/", "ftp://zaubacorp.com/", "https://zaubacorp.com.evil.test/"],
+                U.registry_source_url) == ["https://www.zaubacorp.com/X?y=1#d", None, None, None]
+    assert vals(spark, ["https://in.linkedin.com/in/asha-rao", "https://linkedin.com/in/ab", "https://www.linkedin.com/posts/asha", "https://linkedin.com/in/x/posts/"],
+                U.is_profile_url) == [True, False, False, False]
+    assert vals(spark, ["https://in.linkedin.com/in/Jos%C3%A9-X/", "https://a.test/"], U.profile_slug) == ["josé-x", ""]
+    assert vals(spark, ["www.a.test/x", "https://www.a.test/x"], U.display_url) == ["a.test/x", "a.test/x"]
+    assert vals(spark, ["a < b & c > d"], T.escape_html) == ["a &lt; b &amp; c &gt; d"]
+    assert vals(spark, ["Asha Kumar Rao", "Asha Rao"], P.short_name) == ["Asha Rao", "Asha Rao"]
+    assert vals(spark, ["Foo Bar Pvt Ltd", "Ltd"], T.brand_text) == ["foo bar", "ltd"]
