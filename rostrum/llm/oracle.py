@@ -1,6 +1,38 @@
 """The same results as SQL for DuckDB, where SQL can express them."""
 
-ORACLE = {"op10_decontamination": r"""
+_STOPS = """'the','of','and','to','in','that','is','with','be','it','for','on','are','as','by','this','from','at','was','or','an',
+ 'der','die','das','und','den','von','mit','ist','im','für','nicht','ein','eine','zu','des','sich','auf','le','la','les','de','et','en','un','une','que','du',
+ 'dans','est','pour','qui','par','au','sur','el','los','las','y','del','por','para','una','como','más','su','al','con'"""
+
+ORACLE = {"op6_sharding": r"""
+WITH RECURSIVE shards AS (SELECT i, printf('shard-%02d', i) AS shard, ('0x' || substr(md5(printf('shard-%02d', i)), 1, 15))::BIGINT % 4099 AS head,
+        ('0x' || substr(md5(printf('shard-%02d', i)), 16, 15))::BIGINT % 4098 + 1 AS stride FROM range(16) t(i)),
+ turns AS (SELECT 0 AS turn, list_transform(range(4099), lambda x: -1) AS owner
+    UNION ALL
+    SELECT turn + 1, list_concat(owner[:slot], [turn % 16], owner[slot + 2:])
+    FROM (SELECT turn, owner, list_filter(list_transform(range(4099), lambda j: (head + j * stride) % 4099), lambda x: owner[x + 1] = -1)[1] AS slot
+          FROM turns JOIN shards ON i = turn % 16 WHERE turn < 4099)),
+ slots AS (SELECT unnest(range(4099)) AS slot, unnest(owner) AS i FROM turns WHERE turn = 4099)
+SELECT doc_id, slot, shard FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text:' || coalesce(text, ''))), 1, 15))::BIGINT % 4099 AS slot
+    FROM documents) JOIN slots USING (slot) JOIN shards USING (i)""",
+          "op7_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+ w AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM d WHERE len(ws) >= 3),
+ g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM w),
+ r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+ rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM r) GROUP BY doc_id),
+ m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+        len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines,
+        len(list_filter(ws, lambda x: lower(x) IN (STOPS))) AS n_stop,
+        len(list_filter(ls, lambda l: regexp_matches(l, '^[ \t\n\x0B\f\r]*[-*•]'))) AS n_bullet,
+        len(list_filter(ls, lambda l: regexp_matches(l, '(\.\.\.|…)[ \t\n\x0B\f\r]*$'))) AS n_cut
+    FROM d LEFT JOIN rep USING (doc_id)),
+ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 10 * n_symbols <= 3 * n_words AND n_stop >= 2
+       AND 2 * n_dup_lines <= n_lines AND 10 * n_bullet <= 9 * n_lines AND 2 * n_cut <= n_lines AS kept FROM f""".replace("STOPS", _STOPS),
+          "op10_decontamination": r"""
 WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower_az, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w,
         generate_subscripts(regexp_extract_all(lower_az, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), 1) AS i
     FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM documents)),

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import decontaminate, token_counts
+from rostrum.llm import decontaminate, quality_rules, sharding, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         decontaminate.is_contaminated().alias("contaminated"))
 
 
+SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(16)], 4_099
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.place(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS, SLOTS)
+    return placed.select("doc_id", "slot", "shard")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judged(quality_rules.measured(table(spark, sf_dir, "documents")))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         failed.alias("base_failed"), (~failed & F.col("passes")).alias("kept"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,4 +40,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {"op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
+QUERIES = {"op6_sharding": op6_sharding, "op7_quality_rules": op7_quality_rules, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
