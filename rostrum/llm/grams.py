@@ -6,6 +6,8 @@ finished by a mixer; it is the same in every process.
 """
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +19,11 @@ _P = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
 
+def worker_store() -> dict:
+    """A place that lasts as long as the Python worker, across its tasks."""
+    return sys.modules.setdefault("rostrum_worker_store", types.ModuleType("rostrum_worker_store")).__dict__
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finish a hash so that every bit depends on all bits."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

@@ -4,7 +4,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import decontaminate, quality_rules, sharding, token_counts
+from rostrum.llm import decontaminate, embeddings, language_id, quality_rules, sharding, token_counts, toxicity
+from rostrum.llm.samples import fold
+
+
+TOXIC = 0.7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +22,28 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         decontaminate.is_contaminated().alias("contaminated"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = embeddings.fit(docs, table(spark, sf_dir, "labels"), "quality", fold("doc_id", 3) != 1)
+    return _judged(embeddings.score(docs, model), 0.5)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", fold("doc_id", 3) != 1)
+    return _judged(toxicity.score(docs, model), TOXIC)
+
+
+def _judged(scored: DataFrame, cutoff: float) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    filters = language_id.fit(docs, fold("doc_id", 4) != 2)
+    return language_id.predict(docs, filters).select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(16)], 4_099
 
 
@@ -40,4 +66,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {"op6_sharding": op6_sharding, "op7_quality_rules": op7_quality_rules, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
+QUERIES = {"op2_quality_classifier": op2_quality_classifier, "op3_toxicity": op3_toxicity, "op4_language_id": op4_language_id, "op6_sharding": op6_sharding, "op7_quality_rules": op7_quality_rules, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}

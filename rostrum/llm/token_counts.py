@@ -14,8 +14,6 @@ and looked up in the same cache.
 from __future__ import annotations
 
 import re
-import sys
-import types
 from collections import Counter
 
 import numpy as np
@@ -32,11 +30,6 @@ SUFFIX_ONE, SUFFIX_TWO = "stmd", ("re", "ve", "ll")
 CACHE_ENTRIES = 300_000
 
 
-def worker_store() -> dict:
-    """A place that lasts as long as the Python worker, across its tasks."""
-    return sys.modules.setdefault("rostrum_worker_store", types.ModuleType("rostrum_worker_store")).__dict__
-
-
 class Pieces:
     """The tokenizer, what it says of each low character, and the cache."""
 
@@ -60,7 +53,7 @@ class Pieces:
 
     @classmethod
     def get(cls, source: str) -> Pieces:
-        store = worker_store()
+        store = grams.worker_store()
         if store.get("source") != source:
             store.update(source=source, pieces=cls(source))
         return store["pieces"]
