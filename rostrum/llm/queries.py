@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import decontaminate, embeddings, language_id, quality_rules, sharding, token_counts, toxicity
+from rostrum.llm import decontaminate, embeddings, jaccard, language_id, quality_rules, sharding, token_counts, toxicity
 from rostrum.llm.samples import fold
 
 
@@ -59,6 +59,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          failed.alias("base_failed"), (~failed & F.col("passes")).alias("kept"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,4 +70,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {"op2_quality_classifier": op2_quality_classifier, "op3_toxicity": op3_toxicity, "op4_language_id": op4_language_id, "op6_sharding": op6_sharding, "op7_quality_rules": op7_quality_rules, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
+QUERIES = {"op2_quality_classifier": op2_quality_classifier, "op3_toxicity": op3_toxicity, "op4_language_id": op4_language_id, "op6_sharding": op6_sharding, "op7_quality_rules": op7_quality_rules, "op8_jaccard_join": op8_jaccard_join, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
