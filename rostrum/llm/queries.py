@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import decontaminate, embeddings, jaccard, language_id, quality_rules, sharding, token_counts, toxicity
+from rostrum.llm import decontaminate, embeddings, jaccard, language_id, quality_rules, secrets, sharding, token_counts, toxicity
 from rostrum.llm.samples import fold
 
 
@@ -22,6 +22,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         decontaminate.is_contaminated().alias("contaminated"))
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(strong, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(F.expr(secrets.listed("strong")), 256).alias("base_sha256"), F.expr(secrets.listed("spans")).alias("spans"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = embeddings.fit(docs, table(spark, sf_dir, "labels"), "quality", fold("doc_id", 3) != 1)
@@ -70,4 +76,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {"op2_quality_classifier": op2_quality_classifier, "op3_toxicity": op3_toxicity, "op4_language_id": op4_language_id, "op6_sharding": op6_sharding, "op7_quality_rules": op7_quality_rules, "op8_jaccard_join": op8_jaccard_join, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_secrets": op1_secrets, "op2_quality_classifier": op2_quality_classifier, "op3_toxicity": op3_toxicity, "op4_language_id": op4_language_id, "op6_sharding": op6_sharding, "op7_quality_rules": op7_quality_rules, "op8_jaccard_join": op8_jaccard_join, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
