@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import decontaminate, embeddings, jaccard, language_id, quality_rules, secrets, sharding, token_counts, toxicity
+from rostrum.llm import decontaminate, embeddings, jaccard, language_id, mixing, quality_rules, secrets, sharding, token_counts, toxicity
 from rostrum.llm.samples import fold
 
 
@@ -50,6 +50,16 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, filters).select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+#: Wanted shares of tokens; values that are not listed share the rest as they come.
+MIX = {"source": {"src0": 0.1}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}, "topic": {"prose": 0.85}}
+MIX_RATE = 0.5
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.sample(table(spark, sf_dir, "documents"), MIX, MIX_RATE)
+    return mixed.select("doc_id", "source", "lang", "topic", "probability", "sampled")
+
+
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(16)], 4_099
 
 
@@ -76,4 +86,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_quality_classifier": op2_quality_classifier, "op3_toxicity": op3_toxicity, "op4_language_id": op4_language_id, "op6_sharding": op6_sharding, "op7_quality_rules": op7_quality_rules, "op8_jaccard_join": op8_jaccard_join, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_secrets": op1_secrets, "op2_quality_classifier": op2_quality_classifier, "op3_toxicity": op3_toxicity, "op4_language_id": op4_language_id, "op5_mixing": op5_mixing, "op6_sharding": op6_sharding, "op7_quality_rules": op7_quality_rules, "op8_jaccard_join": op8_jaccard_join, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
