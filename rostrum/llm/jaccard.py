@@ -236,7 +236,7 @@ def _hot_grams(docs: DataFrame, k: int, sample: int, often: int) -> np.ndarray:
     return seen[n >= often]
 
 
-def link(docs: DataFrame, k: int = 5, percent: int = 75, sample: int = 4_096, often: int = 3) -> DataFrame:
+def link(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles`` and
     ``component_id``, the smallest doc_id reachable by links.  Two rows link
     when ``100 * overlap >= percent * union`` of their sets.
@@ -245,8 +245,37 @@ def link(docs: DataFrame, k: int = 5, percent: int = 75, sample: int = 4_096, of
     component is their own doc_id.  Rows with a null doc_id link as others do
     but give a component no id (null if it has no other).  Repeated rows are
     copies.  ``sample`` and ``often`` only set the order of grams, on which the
-    result doesn't depend.  Other columns are not read.
+    result doesn't depend.  Other columns are not read.  Options are ``k``
+    words a gram, ``percent``, ``sample`` and ``often``.
     """
+    return _linked(docs, **options).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each component, all columns kept: the one with
+    the smallest doc_id (null last).  Rows without a word all stay.  Only the
+    rows that go are joined back; they are broadcast when their count is small."""
+    named = shared_table(_linked(docs, **options).where("n > 0"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    groups = named.groupBy("comp_c", "comp_n").agg(F.min(rank).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.mark") == F.col("mark"))
+    gone = named.join(groups, ["comp_c", "comp_n"]).where(~same).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    gone = shared_table(gone)
+    repeated = shared_table(named.groupBy("doc_id", "mark").count().where("count > 1").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")))
+
+    def hit(other):
+        return F.col("doc_id").cast("long").eqNullSafe(other["gone_id"]) & (F.xxhash64("text") == other["gone_mark"])
+
+    kept = docs.join(_maybe_broadcast(gone, gone.count()), hit(gone), "left_anti")
+    if n := repeated.count():
+        few = _maybe_broadcast(repeated, n)
+        kept = kept.join(few, hit(repeated), "left_anti").union(kept.join(few, hit(repeated), "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept
+
+
+def _linked(docs: DataFrame, k: int = 5, percent: int = 75, sample: int = 4_096, often: int = 3) -> DataFrame:
+    """Per row: doc_id, ``mark`` of the text, ``n`` grams, the component as
+    (comp_c, comp_n) and by its smallest doc_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
     hot = _hot_grams(docs, k, sample, often)
@@ -254,9 +283,14 @@ def link(docs: DataFrame, k: int = 5, percent: int = 75, sample: int = 4_096, of
     sieve[hot >> np.uint64(44)] = True
     held = spark.sparkContext.broadcast((hot, np.packbits(sieve)))
 
-    def describe(data, offsets, powers):
-        sets = text_sets(data, offsets, powers, k)
-        return {"n": [len(s) for s in sets], "cls": [digest(s) for s in sets]}
+    def describe(batches):
+        powers = grams.Powers()
+        for batch in batches:
+            for lo, hi, data, offsets in grams.chunks(batch.column("text")):
+                sets = text_sets(data, offsets, powers, k)
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "mark")], pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()),
+                     pa.array([point(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "mark", "n", "cls", "pts"])
 
     def first_grams(batches):
         powers, told = grams.Powers(), set()
@@ -275,7 +309,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 75, sample: int = 4_096, of
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(cls, np.int64), times)),
                                                       pa.array(np.repeat(np.array(sizes, np.int64), times))], names=["key", "cls", "n"])
 
-    about = shared_table(samples.map_texts(docs, describe, {"n": pa.int64(), "cls": pa.int64()}))
+    about = shared_table(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(describe, "doc_id bigint, mark bigint, n bigint, cls bigint, pts binary"))
     by_key = Window.partitionBy("key")
     keyed = docs.select("text").mapInArrow(first_grams, "key bigint, cls bigint, n bigint")
     ends = keyed.select("*", F.min("cls").over(by_key).alias("lo"), F.max("cls").over(by_key).alias("hi"))
@@ -285,18 +319,18 @@ def link(docs: DataFrame, k: int = 5, percent: int = 75, sample: int = 4_096, of
     kept = members.groupBy("lo", "hi", "m", "mark").agg(F.min("key").alias("key")).select("key")
     blocks = shared_table(members.join(kept, "key", "left_semi").select("key", "cls", "n", "m"))
 
-    sets = _sets(docs, about, blocks, k)
-    first = _verified(_search(_tiled(blocks, sets, None), percent, True), sets, percent)
+    # One text of each class in a block stands for it.
+    one = about.select("cls", "n", F.struct("doc_id", "pts").alias("x")).groupBy("cls", "n").agg(F.min("x").alias("x")).select("cls", "n", "x.*")
+    classes = shared_table(one.join(blocks.select("cls", "n").distinct(), ["cls", "n"]))
+    first = _verified(_search(_tiled(blocks, classes, None), percent, True), docs, classes, k, percent)
     found = _components(first)
-    across = _search(_tiled(blocks, sets, found), percent, False)
-    links = shared_table(first.union(_verified(across, sets, percent)))
-    return _named(about, _components(links))
+    across = _search(_tiled(blocks, classes, found), percent, False)
+    links = shared_table(first.union(_verified(across, docs, classes, k, percent)))
+    return _named(about.drop("pts"), _components(links))
 
 
-def _sets(docs: DataFrame, about: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """Set and point of every class in a block, from one text of each."""
-    wanted = blocks.select("cls", "n").distinct()
-    chosen = shared_table(about.join(wanted, ["cls", "n"]).groupBy("cls", "n").agg(F.min("doc_id").alias("doc_id")))
+def _sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+    """Sets of the chosen classes, from the text of each one's ``doc_id``."""
     ids = chosen.select(F.col("doc_id").alias("chosen_id")).distinct()
     texts = docs.join(_maybe_broadcast(ids, chosen.count()), F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi").select("text")
 
@@ -309,15 +343,14 @@ def _sets(docs: DataFrame, about: DataFrame, blocks: DataFrame, k: int) -> DataF
                 new = [i for i, x in enumerate(named) if x not in told and not told.add(x)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([named[i][0] for i in new], pa.int64()), pa.array([named[i][1] for i in new], pa.int64()),
-                     pa.array([sets[i].view(np.int64) for i in new], pa.list_(pa.int64())), pa.array([point(sets[i]).tobytes() for i in new], pa.binary())],
-                    names=["cls", "n", "grams", "pts"])
+                     pa.array([sets[i].view(np.int64) for i in new], pa.list_(pa.int64()))], names=["cls", "n", "grams"])
 
-    made = texts.mapInArrow(run, "cls bigint, n bigint, grams array<bigint>, pts binary")
+    made = texts.mapInArrow(run, "cls bigint, n bigint, grams array<bigint>")
     # A doc_id that is repeated with other texts brings sets that nobody asked for.
     return shared_table(made.join(chosen.select("cls", "n"), ["cls", "n"], "left_semi").dropDuplicates(["cls", "n"]))
 
 
-def _tiled(blocks: DataFrame, sets: DataFrame, found: DataFrame | None) -> DataFrame:
+def _tiled(blocks: DataFrame, classes: DataFrame, found: DataFrame | None) -> DataFrame:
     """Rows of the blocks with their points, dealt into tiles.  Before
     components are known (``found`` is None) a tile is searched by itself; then
     every pair of tiles of a block that still has two components."""
@@ -333,11 +366,14 @@ def _tiled(blocks: DataFrame, sets: DataFrame, found: DataFrame | None) -> DataF
         rows = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
             "key", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), (F.col("own") > F.col("other")).cast("int").alias("side"),
             "cls", "n", "comp_c", "comp_n")
-    return rows.join(sets.select("cls", "n", "pts"), ["cls", "n"])
+    return rows.join(classes.select("cls", "n", "pts"), ["cls", "n"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets do link."""
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose sets do link; only classes of a pair have their set made."""
+    pairs = shared_table(pairs)
+    ends = pairs.select(F.col("a").alias("cls"), F.col("an").alias("n")).union(pairs.select("b", "bn")).distinct()
+    sets = _sets(docs, shared_table(classes.drop("pts").join(ends, ["cls", "n"])), k)
     x = sets.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("grams").alias("ga"))
     y = sets.select(F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("grams").alias("gb"))
     both = pairs.join(x, ["a", "an"]).join(y, ["b", "bn"])
@@ -352,14 +388,15 @@ def _components(links: DataFrame) -> DataFrame:
 
 
 def _named(about: DataFrame, found: DataFrame) -> DataFrame:
-    """The least doc_id of each row's component."""
+    """Component of each row and its least doc_id."""
     some, none = about.where("n > 0"), about.where("n = 0")
     classes = some.groupBy("cls", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     linked = classes.join(found, ["cls", "n"])
     least = linked.groupBy("comp_c", "comp_n").agg(F.min("first").alias("least"))
-    by_link = linked.join(least, ["comp_c", "comp_n"]).select("cls", "n", "least")
-    by_copy = classes.where("copies > 1").join(found, ["cls", "n"], "left_anti").select("cls", "n", F.col("first").alias("least"))
+    by_link = linked.join(least, ["comp_c", "comp_n"]).select("cls", "n", "comp_c", "comp_n", "least")
+    by_copy = classes.where("copies > 1").join(found, ["cls", "n"], "left_anti").select("cls", "n", F.col("cls").alias("comp_c"), F.col("n").alias("comp_n"), F.col("first").alias("least"))
     # A class that stands alone needs no partner row: its document names itself.
-    named = by_link.union(by_copy).withColumn("known", F.lit(True))
-    whole = some.join(named, ["cls", "n"], "left").select("doc_id", "n", F.when(F.col("known"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
-    return whole.union(none.select("doc_id", "n", F.col("doc_id").alias("component_id"))).withColumnRenamed("n", "n_shingles")
+    whole = some.join(by_link.union(by_copy), ["cls", "n"], "left")
+    own = F.when(F.col("comp_c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
+    whole = whole.select("doc_id", "mark", "n", F.coalesce("comp_c", "cls").alias("comp_c"), F.coalesce("comp_n", "n").alias("comp_n"), own)
+    return whole.union(none.select("doc_id", "mark", "n", "cls", "n", F.col("doc_id").alias("component_id")))

@@ -105,3 +105,19 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).orderBy(F.rand(1)).union(spark.createDataFrame([(9000, 9000), (None, 5)], "a long, b long"))
     got = {r.node: r.label for r in components(edges, "a", "b").collect()}
     assert len(got) == n + 2 and {got[i] for i in range(n + 1)} == {0} and got[9000] == 9000
+
+
+def test_one_row_of_each_component_stays(spark):
+    body = texts(9, 12, 6, 80) + EDGE
+    rows = [(i + 1, t, "a") for i, t in enumerate(body)] + [(None, body[0], "b"), (None, "only here and without any id", "c"), (3, body[2], "a"), (3, "some other text of the same id", "d"),
+                                                           (None, "only here and without any id", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string").repartition(3)
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    plain = brute([(i, r[1]) for i, r in enumerate(rows)])
+    group = {i: g for i, n, g in plain if n}
+    best = {}
+    for i, g in group.items():
+        best[g] = min(best.get(g, i), i, key=lambda j: (rows[j][0] is None, rows[j][0] or 0, j))
+    want = [rows[i] for i in best.values()] + [rows[i] for i, n, _ in plain if not n]
+    assert sorted([(r[0], r[1]) for r in kept.collect()], key=str) == sorted([(a, b) for a, b, _ in want], key=str)
