@@ -129,7 +129,7 @@ def result_url(href: Column, base: Column | None = None) -> Column:
 def merge_key(url: Column) -> Column:
     """U13."""
     profile = F.concat(F.lit(vocab.PROFILE_HOST), F.lower(F.regexp_replace(path(url), "/$", "")))
-    return (F.when(host(url).rlike(r"(?:^|\.)linkedin\.com$"), profile)
+    return (F.when(host(url).rlike(rf"(?:^|\.){vocab.PROFILE_HOST_RE}$"), profile)
             .otherwise(F.regexp_replace(url, "/$", "")))
 
 
@@ -191,19 +191,19 @@ def is_profile_url(url: Column) -> Column:
     """U8."""
     low = F.lower(F.coalesce(url, F.lit("")))
     bad = "|".join(vocab.NON_PROFILE_PATHS)
-    return (low.rlike(r"^https?://(?:[a-z]{2,3}\.)?linkedin\.com/(?:in|pub)/[^/]+")
+    return (low.rlike(rf"^https?://(?:[a-z]{{2,3}}\.)?{vocab.PROFILE_HOST_RE}/(?:in|pub)/[^/]+")
             & ~low.rlike(bad) & (F.length(profile_slug(url)) >= 3))
 
 
 def canonical_profile_url(raw: Column) -> Column:
     """U10. Empty string when it is not a profile address."""
-    url = F.when(raw.rlike("^/[^/]"), F.concat(F.lit("https://www.linkedin.com"), raw)).otherwise(raw)
+    url = F.when(raw.rlike("^/[^/]"), F.concat(F.lit(f"https://www.{vocab.PROFILE_HOST}"), raw)).otherwise(raw)
     slug = F.regexp_extract(path(url), r"^(?i)/in/([^/]+)/?$", 1)
     decoded = F.try_url_decode(slug)
-    ok = (is_web(url) & ~has_credentials(url) & host(url).rlike(r"(?:^|\.)linkedin\.com$")
+    ok = (is_web(url) & ~has_credentials(url) & host(url).rlike(rf"(?:^|\.){vocab.PROFILE_HOST_RE}$")
           & (F.regexp_extract(url, URL_RE, 3) == "") & (slug != "")
           & decoded.isNotNull() & ~decoded.rlike(r"[\\/\s?#]"))
-    return F.when(ok, F.concat(F.lit("https://www.linkedin.com/in/"), slug)).otherwise("")
+    return F.when(ok, F.concat(F.lit(f"https://www.{vocab.PROFILE_HOST}/in/"), slug)).otherwise("")
 
 
 _REG_ID = r"[A-Za-z][A-Za-z0-9-]{7,30}"

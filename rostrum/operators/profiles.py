@@ -45,9 +45,9 @@ def verify_officers(people: DataFrame, results: DataFrame) -> DataFrame:
         F.max_by(F.col("score"), rank).alias("top_score"))
     out = people.select("person_id").join(per, "person_id", "left")
     reason = (F.when(F.col("best").isNotNull(), "")
-              .when(F.col("top_score").isNull(), "LinkedIn verification failed: no profile in results")
-              .when(F.col("top_score") >= vocab.PROFILE_ACCEPT, "LinkedIn verification failed: name matched but company did not")
-              .otherwise("LinkedIn verification failed: no confident name match"))
+              .when(F.col("top_score").isNull(), f"{vocab.PROFILE_NAME} verification failed: no profile in results")
+              .when(F.col("top_score") >= vocab.PROFILE_ACCEPT, f"{vocab.PROFILE_NAME} verification failed: name matched but company did not")
+              .otherwise(f"{vocab.PROFILE_NAME} verification failed: no confident name match"))
     return out.select("person_id", F.col("best.url").alias("url"),
                       F.coalesce("best.confidence", F.lit("none")).alias("confidence"), reason.alias("reason"))
 
@@ -71,7 +71,7 @@ def checked_picks(picks: DataFrame, scored: DataFrame, n: int = 8) -> DataFrame:
         return F.regexp_replace(F.lower(F.trim(c)), "/$", "")
 
     listed = (scored.withColumn("item", F.row_number().over(w)).where((F.col("item") <= n) & (F.col("score") > 0))
-              .where(F.col("url").rlike(r"(?i)linkedin\.com/(?:in|pub)/"))
+              .where(F.col("url").rlike(rf"(?i){vocab.PROFILE_HOST_RE}/(?:in|pub)/"))
               .select("person_id", norm("url").alias("norm_url"), "url", "pos"))
     hit = picks.select("person_id", norm("url").alias("norm_url")).join(listed, ["person_id", "norm_url"])
     return hit.groupBy("person_id").agg(F.min_by("url", "pos").alias("url"))

@@ -11,6 +11,7 @@ from rostrum.functions import text as T
 
 def fill(template: str, **cols: Column) -> Column:
     """``'"{brand}" official website'`` with each name replaced by a Column."""
+    cols = {"site": F.lit(vocab.PROFILE_HOST), "net": F.lit(vocab.PROFILE_NAME), "netlow": F.lit(vocab.PROFILE_NAME.lower())} | cols
     parts, rest = [], template
     while rest:
         head, brace, tail = rest.partition("{")
@@ -49,10 +50,10 @@ def profile_queries(people: DataFrame) -> DataFrame:
     """Q2 on ``(person_name, company_name, designation)``."""
     df = with_brand(people)
     cols = {"p": F.col("person_name"), "c": F.trim("company_name"), "s": F.col("searched"), "b": F.col("brand"), "d": F.col("designation")}
-    before = ["{p} {c}", "{p} {s}", "{b} {p} LinkedIn", 'site:linkedin.com/in "{p}" "{b}"', "site:linkedin.com/in {p} {b}",
-              'site:linkedin.com/in "{p}" {b}', '"{p}" {b} linkedin', '"{p}" "{b}" linkedin profile']
-    with_role = ['site:linkedin.com/in "{p}" {d}', '"{p}" "{d}" {b} linkedin profile']
-    after = ['"{p}" linkedin.com/in {b}', 'site:linkedin.com/in "{p}"']
+    before = ["{p} {c}", "{p} {s}", "{b} {p} {net}", 'site:{site}/in "{p}" "{b}"', "site:{site}/in {p} {b}",
+              'site:{site}/in "{p}" {b}', '"{p}" {b} {netlow}', '"{p}" "{b}" {netlow} profile']
+    with_role = ['site:{site}/in "{p}" {d}', '"{p}" "{d}" {b} {netlow} profile']
+    after = ['"{p}" {site}/in {b}', 'site:{site}/in "{p}"']
     stated = F.coalesce(F.col("designation"), F.lit("")) != ""
     return explode_variants(df, "profile", F.array(
         *[fill(t, **cols) for t in before], *[F.when(stated, fill(t, **cols)) for t in with_role], *[fill(t, **cols) for t in after]))
@@ -85,16 +86,16 @@ def verify_queries(officers: DataFrame, matched: str = "matched_name") -> DataFr
 
     return explode_variants(df, "verify", F.flatten(F.array(
         F.array(fill("{n} {c}", n=F.col("full_name"), c=F.trim(c))),
-        both("{n} {v}"), both("{b} {n} LinkedIn"), both('site:linkedin.com/in "{n}" "{b}"'), both("site:linkedin.com/in {n} {b}"),
-        F.array(fill('"{s}" {b} {r} LinkedIn', s=brief, b=b, r=role), fill('"{s}" "{c}" LinkedIn', s=brief, c=c)),
-        both('site:linkedin.com/in "{n}"'))))
+        both("{n} {v}"), both("{b} {n} {net}"), both('site:{site}/in "{n}" "{b}"'), both("site:{site}/in {n} {b}"),
+        F.array(fill('"{s}" {b} {r} {net}', s=brief, b=b, r=role), fill('"{s}" "{c}" {net}', s=brief, c=c)),
+        both('site:{site}/in "{n}"'))))
 
 
 def title_queries(companies: DataFrame) -> DataFrame:
     """Q5, titles."""
     return _variants(companies, "titles", [
-        'site:linkedin.com/in "{n}" (director OR founder OR CEO OR chairman)',
-        'site:linkedin.com/in "{n}" "managing director"', 'site:linkedin.com/in "{n}" founder'], n=F.col("company_name"))
+        'site:{site}/in "{n}" (director OR founder OR CEO OR chairman)',
+        'site:{site}/in "{n}" "managing director"', 'site:{site}/in "{n}" founder'], n=F.col("company_name"))
 
 
 def snippet_queries(companies: DataFrame) -> DataFrame:

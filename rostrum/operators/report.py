@@ -27,7 +27,7 @@ def report_rows(rows: DataFrame) -> DataFrame:
     """SNK1: the ten report columns with placeholders instead of NULLs."""
     return with_labels(rows).select(
         _or_null_text("company_name").alias("company_name"), _or_null_text("person_name").alias("person_name"),
-        _or_null_text("designation").alias("designation"), _or_null_text("linkedin_url").alias("linkedin_url"),
+        _or_null_text("designation").alias("designation"), _or_null_text("profile_url").alias("profile_url"),
         F.coalesce(F.nullif("source", F.lit("")), F.lit(vocab.WEBSITE_SOURCE)).alias("source"), F.col("status_label").alias("status"),
         _or_null_text("din").alias("din"), _or_null_text("appointment_date").alias("appointment_date"),
         _or_null_text("source_url").alias("source_url"), F.coalesce("reason", F.lit("")).alias("reason"))
@@ -39,16 +39,16 @@ def write_report(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def summary(rows: DataFrame, cancelled_after: int | None = None, total: int | None = None) -> DataFrame:
-    """SNK2 + A7 + A8 + A9 on ``(pos, company_name, person_name, linkedin_url,
+    """SNK2 + A7 + A8 + A9 on ``(pos, company_name, person_name, profile_url,
     source, status)`` -> ``(section, metric, value, ord)``; ``ord`` ranks a
     section by descending count, first appearance on ties."""
     def given(c: str) -> Column:
         return ~F.coalesce(F.col(c), F.lit("")).isin("", vocab.NULL_TEXT)
 
     labelled = with_labels(rows)
-    person, linked = given("person_name"), given("person_name") & given("linkedin_url")
+    person, linked = given("person_name"), given("person_name") & given("profile_url")
     totals = rows.agg(F.count_distinct("company_name").alias("Total Companies"), F.count_if(person).alias("Rows With People Found"),
-                      F.count_if(linked).alias("Rows With LinkedIn Found"))
+                      F.count_if(linked).alias(f"Rows With {vocab.PROFILE_NAME} Found"))
     names = totals.columns
     if total is not None:
         totals = totals.withColumn("Total Companies", F.lit(total).cast("bigint"))

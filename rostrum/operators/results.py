@@ -129,9 +129,9 @@ def run_sets(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def check_requests(requests: DataFrame) -> DataFrame:
     """F11. ``(q, num, engine, params ARRAY)`` -> the same plus ``error`` (NULL = valid)."""
     known = F.array(*[F.lit(p) for p in ("q", "num", "limit", "api_key", "engine")])
-    num = F.coalesce(F.col("num").cast("double"), F.lit(10.0))
+    num = F.when(F.col("num").isNull(), 10.0).otherwise(F.col("num").try_cast("double"))
     error = (F.when(F.col("q").isNull() | (F.trim("q") == "") | (F.length("q") > 1000), "q must contain 1 to 1000 characters")
-             .when((num != F.floor(num)) | ~num.between(1, 50), "num must be an integer from 1 to 50")
+             .when(num.isNull() | (num != F.floor(num)) | ~num.between(1, 50), "num must be an integer from 1 to 50")
              .when((F.size(F.array_except("params", known)) > 0)
                    | (F.col("engine").isNotNull() & ~F.col("engine").isin("google", "own")), "unsupported parameter"))
     return requests.withColumn("error", error)

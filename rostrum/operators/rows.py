@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from rostrum import vocab
 from rostrum.functions import people as P
+from rostrum.operators.components import components
 from rostrum.session import cut_lineage
 
-ROW_FIELDS = ["person_name", "designation", "linkedin_url", "status", "source", "din", "appointment_date", "source_url", "reason"]
+ROW_FIELDS = ["person_name", "designation", "profile_url", "status", "source", "din", "appointment_date", "source_url", "reason"]
 
 
 # --- people of several sources ------------------------------------------------------
@@ -35,8 +36,8 @@ def rank_people(people: DataFrame, keep: int = vocab.MAX_PEOPLE) -> DataFrame:
 
 
 # --- statuses -------------------------------------------------------------------------
-def person_status(url: Column, confidence: Column, outage: Column, unmatched: str = "no_linkedin") -> Column:
-    """C1. ``unmatched`` is ``linkedin_unverified`` for registry people."""
+def person_status(url: Column, confidence: Column, outage: Column, unmatched: str = "no_profile") -> Column:
+    """C1. ``unmatched`` is ``profile_unverified`` for registry people."""
     found = F.coalesce(url, F.lit("")) != ""
     return (F.when(found & (confidence == "medium"), "ok_medium").when(found, "ok")
             .when(outage.isNotNull(), "search_unavailable").otherwise(unmatched))
@@ -77,21 +78,16 @@ def null_rows(companies: DataFrame, rows: DataFrame, status: str, source: str =
 
 
 # --- J4 -----------------------------------------------------------------------------------
-def _link_names(people: DataFrame, max_rounds: int = 50) -> DataFrame:
+def _link_names(people: DataFrame) -> DataFrame:
     """Name keys of a company that are tied together by shared addresses:
-    ``(company_id, name_key, person)``; only keys whose label changes appear."""
-    edges = people.where(F.col("linkedin_url").isNotNull()).select("company_id", "name_key", "linkedin_url").distinct()
-    shared = edges.groupBy("company_id", "linkedin_url").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    labels = cut_lineage(edges.join(shared, ["company_id", "linkedin_url"], "left_semi").withColumn("person", F.col("name_key")))
-    for _ in range(max_rounds):
-        by_url = labels.groupBy("company_id", "linkedin_url").agg(F.min("person").alias("low"))
-        step = labels.join(by_url, ["company_id", "linkedin_url"]).groupBy("company_id", "name_key").agg(F.min("low").alias("low"))
-        nxt = cut_lineage(labels.join(step, ["company_id", "name_key"]).select(
-            "company_id", "name_key", "linkedin_url", F.col("low").alias("person"), (F.col("low") != F.col("person")).alias("moved")))
-        labels = nxt.drop("moved")
-        if nxt.where("moved").isEmpty():
-            return labels.select("company_id", "name_key", "person").distinct()
-    raise RuntimeError(f"name links did not settle in {max_rounds} rounds")
+    ``(company_id, name_key, person)``, one component of names each.  Every
+    address ties its names to the least of them, so a busy address adds as many
+    edges as it has names."""
+    edges = people.where(F.col("profile_url").isNotNull()).select("company_id", "name_key", "profile_url").distinct()
+    low = edges.groupBy("company_id", "profile_url").agg(F.min("name_key").alias("low"), F.count("*").alias("n")).where("n > 1")
+    ties = edges.join(low, ["company_id", "profile_url"]).select(
+        F.struct("company_id", "name_key").alias("a"), F.struct("company_id", F.col("low").alias("name_key")).alias("b"))
+    return components(ties, "a", "b").select("node.company_id", "node.name_key", F.col("label.name_key").alias("person"))
 
 
 def merge_director_rows(rows: DataFrame, registry: DataFrame) -> DataFrame:
@@ -104,14 +100,16 @@ def merge_director_rows(rows: DataFrame, registry: DataFrame) -> DataFrame:
     """
     lost = (registry.where(F.col("person_name").isNull() & (F.col("status") == "search_unavailable")).groupBy("company_id")
             .agg(F.min_by(F.struct("reason", "source_url"), "pos").alias("lost")))
-    hit = F.col("linkedin_url").isNull() & F.col("lost").isNotNull()
+    hit = F.col("profile_url").isNull() & F.col("lost").isNotNull()
     base = (rows.join(lost, "company_id", "left")
             .withColumn("status", F.when(hit, "search_unavailable").otherwise(F.col("status")))
             .withColumn("reason", F.when(hit, F.col("lost.reason")).otherwise(F.col("reason")))
             .withColumn("source_url", F.when(hit, F.coalesce("source_url", "lost.source_url")).otherwise(F.col("source_url"))).drop("lost"))
     cols = ["company_id", "pos", *ROW_FIELDS]
     pool = (base.select(*cols, F.lit(0).alias("late")).unionByName(registry.where(F.col("person_name").isNotNull()).select(*cols, F.lit(1).alias("late")))
-            .withColumn("linkedin_url", F.nullif("linkedin_url", F.lit(""))).withColumn("name_key", P.name_key(F.col("person_name"))))
+            .withColumn("profile_url", F.nullif("profile_url", F.lit(""))).withColumn("name_key", P.name_key(F.col("person_name"))))
+    # A name without a Latin letter has no key: such rows meet by their address only.
+    pool = pool.withColumn("name_key", F.when(F.col("name_key") != "", F.col("name_key")).otherwise(F.concat_ws("#", F.lit(""), "late", "pos")))
     tied = (pool.join(_link_names(pool), ["company_id", "name_key"], "left")
             .withColumn("person", F.coalesce("person", "name_key")))
     item = F.struct("late", "pos", *ROW_FIELDS, "name_key")
@@ -119,7 +117,7 @@ def merge_director_rows(rows: DataFrame, registry: DataFrame) -> DataFrame:
     people = tied.groupBy("company_id", "person").agg(listed.alias("all"))
 
     def fold(acc: Column, reg: Column) -> Column:
-        same = F.array_position(F.transform(acc, lambda x: F.coalesce((x["name_key"] == reg["name_key"]) | (x["linkedin_url"] == reg["linkedin_url"]), F.lit(False))), F.lit(True))
+        same = F.array_position(F.transform(acc, lambda x: F.coalesce((x["name_key"] == reg["name_key"]) | (x["profile_url"] == reg["profile_url"]), F.lit(False))), F.lit(True))
         return F.when(same == 0, F.concat(acc, F.array(reg))).otherwise(
             F.transform(acc, lambda x, i: F.when(i == same - 1, _override(x, reg)).otherwise(x)))
 
@@ -129,12 +127,12 @@ def merge_director_rows(rows: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def _override(old: Column, reg: Column) -> Column:
-    url = F.coalesce(old["linkedin_url"], reg["linkedin_url"])
+    url = F.coalesce(old["profile_url"], reg["profile_url"])
     down = F.when(reg["status"] == "search_unavailable", reg).when(old["status"] == "search_unavailable", old)
-    had = old["linkedin_url"].isNotNull()
+    had = old["profile_url"].isNotNull()
     status = F.when(had, old["status"]).when(url.isNotNull(), reg["status"]).otherwise(F.coalesce(down["status"], reg["status"]))
     reason = F.when(url.isNull(), F.coalesce(down["reason"], reg["reason"], old["reason"]))
-    values = {"status": status, "reason": reason, "linkedin_url": url, "source": F.when(had, old["source"]).otherwise(reg["source"]),
+    values = {"status": status, "reason": reason, "profile_url": url, "source": F.when(had, old["source"]).otherwise(reg["source"]),
               "din": reg["din"], "appointment_date": reg["appointment_date"], "source_url": reg["source_url"],
               "person_name": reg["person_name"], "designation": reg["designation"]}
     return F.struct(old["late"].alias("late"), old["pos"].alias("pos"), *[values[c].alias(c) for c in ROW_FIELDS], reg["name_key"].alias("name_key"))
@@ -182,7 +180,7 @@ def resolve_companies(companies: DataFrame, sites: DataFrame, leaders: DataFrame
     plan = cut_lineage(plan.select("company_id", way.alias("way")))
     rows = looked.join(plan.where("way != 'registry'"), "company_id").select(
         "company_id", F.col("rank").cast("bigint").alias("pos"), F.col("name").alias("person_name"),
-        F.coalesce(F.nullif("role", F.lit("")), F.lit("Director")).alias("designation"), F.col("url").alias("linkedin_url"),
+        F.coalesce(F.nullif("role", F.lit("")), F.lit("Director")).alias("designation"), F.col("url").alias("profile_url"),
         person_status(F.col("url"), F.lit(""), F.col("outage")).alias("status"), F.lit(vocab.WEBSITE_SOURCE).alias("source"),
         *[F.lit(None).cast("string").alias(c) for c in ("din", "appointment_date", "source_url")], F.col("outage").alias("reason"), "way")
     reg = registry.join(plan, "company_id").select("company_id", "pos", *ROW_FIELDS, "way")
@@ -209,12 +207,12 @@ def resolve_direct(companies: DataFrame, supplied: DataFrame, found: DataFrame,
              .join(lookups, ["company_id", "name_key"], "left").withColumn("person_pos", F.col("pos"))
              .withColumn("blocking", F.coalesce("blocking", F.lit(False))))
     looked = spread_outages(asked).select(
-        "company_id", "pos", F.col("name").alias("person_name"), F.col("role").alias("designation"), F.col("url").alias("linkedin_url"),
+        "company_id", "pos", F.col("name").alias("person_name"), F.col("role").alias("designation"), F.col("url").alias("profile_url"),
         person_status(F.col("url"), F.lit(""), F.col("outage")).alias("status"), F.coalesce("source", F.lit(vocab.PROFILE_SOURCE)).alias("source"),
         F.col("outage").alias("reason"))
-    seen = own.select("company_id", "pos", F.col("name").alias("person_name"), F.col("role").alias("designation"), F.col("url").alias("linkedin_url"),
+    seen = own.select("company_id", "pos", F.col("name").alias("person_name"), F.col("role").alias("designation"), F.col("url").alias("profile_url"),
                       F.lit("ok").alias("status"), F.lit(vocab.PROFILE_SOURCE).alias("source"), F.lit(None).cast("string").alias("reason"))
     out = looked.unionByName(seen)
-    miss = null_rows(companies, out, "linkedin_unverified", vocab.PROFILE_SOURCE, "Neither LinkedIn nor SearXNG identified a named director at this company. "
-                     "Add a Director Name column to search known directors.").select(*out.columns)
+    miss = null_rows(companies, out, "profile_unverified", vocab.PROFILE_SOURCE, "No source names a person of this company; "
+                     "list known people in the input to search for them.").select(*out.columns)
     return out.unionByName(miss)

@@ -279,7 +279,8 @@ def registry_cascade(spark, sf):
     officers, outcome = registry.registry_outcome(companies, matched, matched.where(F.lit(False)), loaded, on_page.unionByName(summary), none, none)
     n = officers.groupBy("company_id").agg(F.count("*").alias("officers"))
     return (outcome.join(n, "company_id", "left").select("company_id", "ok", "reason", "confidence", F.coalesce("officers", F.lit(0)).alias("officers"),
-                                                         rows.registry_status(F.col("reason")).alias("status")))
+                                                         F.when(F.col("ok"), rows.person_status(F.lit(None), F.col("confidence"), F.lit(None), "profile_unverified"))
+                                                         .otherwise(rows.registry_status(F.col("reason"))).alias("status")))
 
 
 # --- profiles -------------------------------------------------------------------------------------------
@@ -381,12 +382,12 @@ def result_cards(spark, sf):
 def people_cards(spark, sf):
     """Saved people-search pages, one card per person and page class."""
     p, k = view(spark, sf, "v_person"), F.col("person_id") % 7
-    card = Q.fill('<div class="entity-result"><span class="entity-result__title-text"><a href="https://www.linkedin.com/in/{a}-{b}/?x=1"><span aria-hidden="true">{f} {l}</span><span class="visually-hidden">View</span></a></span>'
-                  '<div class="entity-result__primary-subtitle">{r} at {c}</div><button>Connect</button></div><div class="entity-result"><a href="/in/hidden">LinkedIn Member</a></div>',
+    card = Q.fill('<div class="entity-result"><span class="entity-result__title-text"><a href="https://www.profiles.example/in/{a}-{b}/?x=1"><span aria-hidden="true">{f} {l}</span><span class="visually-hidden">View</span></a></span>'
+                  '<div class="entity-result__primary-subtitle">{r} at {c}</div><button>Connect</button></div><div class="entity-result"><a href="/in/hidden">Profilenet Member</a></div>',
                   a=F.lower("fn"), b=F.lower("ln"), f=F.col("fn"), l=F.col("ln"), r=F.col("role"), c=F.col("company_name"))
     body = (F.when(k == 1, '<p class="search-no-results">None</p>').when(k == 2, "<p>Too many requests</p>").when(k == 3, '<input name="session_key">').when(k == 4, "<p>Security verification</p>")
             .when(k == 5, "<p>hm</p>").otherwise(card))
-    pages = p.select(F.col("person_id").alias("page_id"), F.lit("https://www.linkedin.com/search/results/people/").alias("url"), F.when(k == 6, 500).otherwise(200).alias("http_status"),
+    pages = p.select(F.col("person_id").alias("page_id"), F.lit("https://www.profiles.example/search/results/people/").alias("url"), F.when(k == 6, 500).otherwise(200).alias("http_status"),
                      F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
     found = markup.people_cards(pages)
     people = extract.card_people(found)
@@ -420,9 +421,9 @@ def fallback_cascade(spark, sf):
     r = view(spark, sf, "v_row").withColumn("name_key", P.name_key(F.col("person_name")))
     people = (r.where(F.col("person_name").isNotNull()).select(
         "company_id", "name_key", (F.col("pos") % 3).cast("int").alias("source_rank"), "pos", F.col("person_name").alias("name"),
-        F.when(F.col("pos") % 5 > 0, F.col("designation")).alias("role"), (F.col("pos") % 9).alias("score"), F.when(F.col("pos") % 13 == 0, F.col("linkedin_url")).alias("profile_url")))
+        F.when(F.col("pos") % 5 > 0, F.col("designation")).alias("role"), (F.col("pos") % 9).alias("score"), F.when(F.col("pos") % 13 == 0, F.col("profile_url")).alias("profile_url")))
     leaders = rows.rank_people(rows.website_leaders(people))
-    lookups = rows.first_source(people).select("company_id", "name_key", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("https://in.linkedin.com/in/"), "name_key")).alias("url"),
+    lookups = rows.first_source(people).select("company_id", "name_key", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("https://in.profiles.example/in/"), "name_key")).alias("url"),
                             F.when(F.col("pos") % 17 == 0, "captcha").alias("outage"), (F.col("pos") % 34 == 0).alias("blocking"))
     companies = view(spark, sf, "v_row").select("company_id").distinct()
     have_site = companies.where(F.col("company_id") % 4 > 0)
@@ -439,7 +440,7 @@ def direct_cascade(spark, sf):
     found = extract.leader_from_profile(view(spark, sf, "v_title_hit").where(k == 1).withColumn("headline", F.lit("")).withColumn("card_name", F.lit(""))).withColumn("name_key", P.name_key(F.col("name")))
     fallback = base.where(k > 1).where(k == 2).select("company_id", "name_key", (F.col("pos") % 2).cast("int").alias("source_rank"), "pos", "name", "role",
                                        F.when(F.col("pos") % 2 == 0, vocab.REGISTRY_SOURCE).otherwise(vocab.METASEARCH_SOURCE).alias("source"))
-    lookups = base.select("company_id", "name_key", F.when(F.col("pos") % 3 == 0, F.concat(F.lit("https://in.linkedin.com/in/"), "name_key")).alias("url"),
+    lookups = base.select("company_id", "name_key", F.when(F.col("pos") % 3 == 0, F.concat(F.lit("https://in.profiles.example/in/"), "name_key")).alias("url"),
                           F.when(F.col("pos") % 7 == 1, "limited").alias("outage"), F.lit(True).alias("blocking")).groupBy("company_id", "name_key").agg(
         F.max("url").alias("url"), F.max("outage").alias("outage"), F.max("blocking").alias("blocking"))
     return rows.resolve_direct(companies, supplied, found, fallback, lookups)

@@ -53,9 +53,9 @@ SELECT {div('page_id', 10)} AS query_id, page_id * 2 + 1 AS pos, 'b' AS source,
   substr(title, 1, 20) AS title, head AS snippet FROM {{v_page}}
 UNION ALL
 SELECT {div('page_id', 10)} AS query_id, page_id * 2 + 1000000000 AS pos, 'c' AS source,
-  'https://' || CASE WHEN page_id % 2 = 0 THEN 'in.' ELSE 'www.' END || 'linkedin.com/in/' || lower({first_name('page_id')}) || '-'
+  'https://' || CASE WHEN page_id % 2 = 0 THEN 'in.' ELSE 'www.' END || 'profiles.example/in/' || lower({first_name('page_id')}) || '-'
     || lower({last_name(div('page_id', 2))}) || CASE WHEN page_id % 3 = 0 THEN '/?trk=search' ELSE '' END AS url,
-  {first_name('page_id')} || ' ' || {last_name(div('page_id', 2))} || ' | LinkedIn' AS title,
+  {first_name('page_id')} || ' ' || {last_name(div('page_id', 2))} || ' | Profilenet' AS title,
   substr(para, 1, 60) AS snippet FROM {{v_page}}"""
 VIEWS["v_query"] = """
 SELECT query_id, max(title) AS q FROM {v_result} WHERE source = 'a' GROUP BY query_id"""
@@ -79,7 +79,7 @@ SELECT c.company_id, CAST(l.l_linenumber % 4 AS INT) + 1 AS variant_no, l.l_orde
   CASE CAST(l.l_suppkey % 8 AS INT)
     WHEN 0 THEN 'https://www.' || replace(c.p_name, ' ', '') || '.com/'
     WHEN 1 THEN 'https://in.' || replace(c.p_name, ' ', '-') || '.co.in/about'
-    WHEN 2 THEN 'https://www.linkedin.com/company/' || replace(c.p_name, ' ', '-')
+    WHEN 2 THEN 'https://www.profiles.example/company/' || replace(c.p_name, ' ', '-')
     WHEN 3 THEN 'https://shop.' || split_part(c.p_name, ' ', 2) || 'motors.biz/x'
     WHEN 4 THEN 'https://' || substr(c.p_name, 1, 1) || substr(split_part(c.p_name, ' ', 2), 1, 1) || '.com'
     WHEN 5 THEN 'https://' || split_part(c.p_name, ' ', 1) || '.tech/home'
@@ -124,11 +124,11 @@ SELECT person_id, company_id, company_name, CASE CAST(person_id % 13 AS INT)
   WHEN 6 THEN 'Smt. Dr ' || upper(fn || ' ' || ln) || ' and' WHEN 7 THEN split_part(company_name, ' ', 1) || ' ' || fn || ' ' || ln WHEN 8 THEN 'A. B.'
   WHEN 9 THEN fn WHEN 10 THEN '- ' || fn || ' ' || substr(fn, 1, 1) || '. ' || ln || ',' WHEN 11 THEN 'Annual Report ' || fn ELSE fn || ' ' || ln END AS raw_name FROM {v_person}"""
 VIEWS["v_profile_hit"] = """
-SELECT p.person_id, o.o_orderkey AS pos, 'https://in.linkedin.com/' || CASE CAST(o.o_orderkey % 6 AS INT)
+SELECT p.person_id, o.o_orderkey AS pos, 'https://in.profiles.example/' || CASE CAST(o.o_orderkey % 6 AS INT)
     WHEN 0 THEN 'in/' || lower(p.fn) || '-' || lower(p.ln) WHEN 1 THEN 'in/' || lower(substr(p.fn, 1, 3)) || lower(p.ln) || '-' || CAST(o.o_orderkey AS STRING)
     WHEN 2 THEN 'in/xx-' || CAST(o.o_orderkey AS STRING) WHEN 3 THEN 'company/' || lower(p.ln) WHEN 4 THEN 'in/' || lower(p.ln) || '-other' ELSE 'posts/' || lower(p.fn) END AS url,
-  CASE CAST(o.o_orderkey % 5 AS INT) WHEN 0 THEN p.fn || ' ' || p.ln || ' - ' || p.role || ' - ' || p.company_name || ' | LinkedIn'
-    WHEN 1 THEN 'Dr. ' || p.fn || ' ' || p.ln || ' | LinkedIn' WHEN 2 THEN p.fn || ' Kumar - Engineer - Unrelated Ltd' WHEN 3 THEN p.ln || ' ' || p.fn || ' - ' || p.role
+  CASE CAST(o.o_orderkey % 5 AS INT) WHEN 0 THEN p.fn || ' ' || p.ln || ' - ' || p.role || ' - ' || p.company_name || ' | Profilenet'
+    WHEN 1 THEN 'Dr. ' || p.fn || ' ' || p.ln || ' | Profilenet' WHEN 2 THEN p.fn || ' Kumar - Engineer - Unrelated Ltd' WHEN 3 THEN p.ln || ' ' || p.fn || ' - ' || p.role
     ELSE 'Leaders at ' || p.company_name || ': ' || p.fn || ' ' || p.ln END AS title,
   CASE CAST(o.o_orderkey % 4 AS INT) WHEN 0 THEN 'Experience: ' || p.company_name WHEN 1 THEN p.role || ' at ' || split_part(p.company_name, ' ', 1) ELSE o.o_orderpriority END AS snippet
 FROM {orders} o JOIN {v_person} p ON o.o_custkey = p.person_id"""
@@ -183,8 +183,8 @@ SELECT p.company_id, p.company_name, o.o_orderkey AS pos, CASE CAST(o.o_orderkey
     ELSE 'Companies Associated With ; ' || upper(p.company_name) || ', Company Secretary, 20-Sep-2006' END AS snippet
 FROM {{orders}} o JOIN {{v_person}} p ON o.o_custkey = p.person_id"""
 VIEWS["v_title_hit"] = """
-SELECT p.company_id, p.company_name, o.o_orderkey AS pos, 'https://in.linkedin.com/in/' || lower(p.fn) || '-' || lower(p.ln) || CASE WHEN o.o_orderkey % 4 = 0 THEN '-9' ELSE '' END AS url,
-  CASE CAST(o.o_orderkey % 6 AS INT) WHEN 0 THEN p.fn || ' ' || p.ln || ' - ' || p.role || ' - ' || p.company_name || ' | LinkedIn'
+SELECT p.company_id, p.company_name, o.o_orderkey AS pos, 'https://in.profiles.example/in/' || lower(p.fn) || '-' || lower(p.ln) || CASE WHEN o.o_orderkey % 4 = 0 THEN '-9' ELSE '' END AS url,
+  CASE CAST(o.o_orderkey % 6 AS INT) WHEN 0 THEN p.fn || ' ' || p.ln || ' - ' || p.role || ' - ' || p.company_name || ' | Profilenet'
     WHEN 1 THEN p.fn || ' ' || p.ln || ' | Engineer | ' || p.company_name WHEN 2 THEN p.fn || ' ' || p.ln || ' - ' || p.company_name
     WHEN 3 THEN 'Annual Report - ' || p.role || ' - ' || p.company_name WHEN 4 THEN p.fn || ' ' || p.ln || ' - ' || p.role || ' - Elsewhere'
     ELSE p.fn || ' ' || p.ln || ' ' || p.role END AS title,
@@ -203,8 +203,8 @@ FROM (SELECT conv_id, turn, text, '[' || {_OPEN} || 'Mr. ' || {_full('conv_id *
 VIEWS["v_row"] = f"""
 SELECT o_orderkey AS pos, {div('o_custkey', 3)} AS company_id, 'Firm ' || CAST({div('o_custkey', 3)} AS STRING) AS company_name,
   CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE {_full('o_orderkey')} END AS person_name, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE {role('o_orderkey')} END AS designation,
-  CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 3 = 0 THEN NULL ELSE 'https://in.linkedin.com/in/p' || CAST({div('o_orderkey', 2)} % 500 AS STRING) END AS linkedin_url,
-  {_pick("ok,ok_medium,no_linkedin,search_unavailable,linkedin_unverified,zauba_not_found,other", 'o_orderkey')} AS status,
+  CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 3 = 0 THEN NULL ELSE 'https://in.profiles.example/in/p' || CAST({div('o_orderkey', 2)} % 500 AS STRING) END AS profile_url,
+  {_pick("ok,ok_medium,no_profile,search_unavailable,profile_unverified,zauba_not_found,other", 'o_orderkey')} AS status,
   CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'ZaubaCorp' ELSE 'Official Website' END AS source,
   CASE WHEN o_orderkey % 2 = 0 THEN lpad(CAST(o_orderkey AS STRING), 8, '0') ELSE NULL END AS din, CASE WHEN o_orderkey % 2 = 0 THEN '17/03/2015' ELSE NULL END AS appointment_date,
   CASE WHEN o_orderkey % 4 = 0 THEN 'https://www.zaubacorp.com/X' ELSE NULL END AS source_url, CASE WHEN o_orderkey % 7 = 3 THEN 'captcha' ELSE NULL END AS reason FROM {{orders}}"""

@@ -54,7 +54,7 @@ def result(u):
 
 
 def merge_key(u):
-    return (f"CASE WHEN regexp_matches({host(u)}, '(^|\\.)linkedin\\.com$') THEN 'linkedin.com' || lower(regexp_replace({path(u)}, '/$', '')) "
+    return (f"CASE WHEN regexp_matches({host(u)}, '(^|\\.)profiles\\.example$') THEN 'profiles.example' || lower(regexp_replace({path(u)}, '/$', '')) "
             f"ELSE regexp_replace({u}, '/$', '') END")
 
 
@@ -146,7 +146,7 @@ def slug(u):
 
 
 def is_profile(u):
-    return (f"(regexp_matches(lower({u}), '^https?://([a-z]{{{{2,3}}}}\\.)?linkedin\\.com/(in|pub)/[^/]+') AND NOT regexp_matches(lower({u}), '{'|'.join(vocab.NON_PROFILE_PATHS)}') "
+    return (f"(regexp_matches(lower({u}), '^https?://([a-z]{{{{2,3}}}}\\.)?profiles\\.example/(in|pub)/[^/]+') AND NOT regexp_matches(lower({u}), '{'|'.join(vocab.NON_PROFILE_PATHS)}') "
             f"AND length({slug(u)}) >= 3)")
 
 
@@ -256,13 +256,13 @@ oracle("company_keys", f"""WITH k AS (SELECT company_id, {key('company_name')} A
 _PQ = {
     "site": ["'\"' || b || '\" official website'", "'\"' || b || '\" company official site'", "n || ' official website'", "n || ' homepage'"],
     "registry": ["'site:zaubacorp.com \"' || s || '\"'", "'site:zaubacorp.com \"' || b || '\"'", "'zaubacorp \"' || n || '\" directors'", "'zaubacorp ' || b || ' company directors'"],
-    "profile": ["p || ' ' || n", "p || ' ' || s", "b || ' ' || p || ' LinkedIn'", "'site:linkedin.com/in \"' || p || '\" \"' || b || '\"'", "'site:linkedin.com/in ' || p || ' ' || b",
-                "'site:linkedin.com/in \"' || p || '\" ' || b", "'\"' || p || '\" ' || b || ' linkedin'", "'\"' || p || '\" \"' || b || '\" linkedin profile'",
-                "'site:linkedin.com/in \"' || p || '\" ' || d", "'\"' || p || '\" \"' || d || '\" ' || b || ' linkedin profile'", "'\"' || p || '\" linkedin.com/in ' || b", "'site:linkedin.com/in \"' || p || '\"'"],
-    "verify": ["p || ' ' || n", "p || ' ' || s", "sh || ' ' || s", "b || ' ' || p || ' LinkedIn'", "b || ' ' || sh || ' LinkedIn'", "'site:linkedin.com/in \"' || p || '\" \"' || b || '\"'",
-               "'site:linkedin.com/in \"' || sh || '\" \"' || b || '\"'", "'site:linkedin.com/in ' || p || ' ' || b", "'site:linkedin.com/in ' || sh || ' ' || b",
-               "'\"' || sh || '\" ' || b || ' ' || coalesce(d, 'Director') || ' LinkedIn'", "'\"' || sh || '\" \"' || n || '\" LinkedIn'", "'site:linkedin.com/in \"' || p || '\"'", "'site:linkedin.com/in \"' || sh || '\"'"],
-    "titles": ["'site:linkedin.com/in \"' || n || '\" (director OR founder OR CEO OR chairman)'", "'site:linkedin.com/in \"' || n || '\" \"managing director\"'", "'site:linkedin.com/in \"' || n || '\" founder'"],
+    "profile": ["p || ' ' || n", "p || ' ' || s", "b || ' ' || p || ' Profilenet'", "'site:profiles.example/in \"' || p || '\" \"' || b || '\"'", "'site:profiles.example/in ' || p || ' ' || b",
+                "'site:profiles.example/in \"' || p || '\" ' || b", "'\"' || p || '\" ' || b || ' profilenet'", "'\"' || p || '\" \"' || b || '\" profilenet profile'",
+                "'site:profiles.example/in \"' || p || '\" ' || d", "'\"' || p || '\" \"' || d || '\" ' || b || ' profilenet profile'", "'\"' || p || '\" profiles.example/in ' || b", "'site:profiles.example/in \"' || p || '\"'"],
+    "verify": ["p || ' ' || n", "p || ' ' || s", "sh || ' ' || s", "b || ' ' || p || ' Profilenet'", "b || ' ' || sh || ' Profilenet'", "'site:profiles.example/in \"' || p || '\" \"' || b || '\"'",
+               "'site:profiles.example/in \"' || sh || '\" \"' || b || '\"'", "'site:profiles.example/in ' || p || ' ' || b", "'site:profiles.example/in ' || sh || ' ' || b",
+               "'\"' || sh || '\" ' || b || ' ' || coalesce(d, 'Director') || ' Profilenet'", "'\"' || sh || '\" \"' || n || '\" Profilenet'", "'site:profiles.example/in \"' || p || '\"'", "'site:profiles.example/in \"' || sh || '\"'"],
+    "titles": ["'site:profiles.example/in \"' || n || '\" (director OR founder OR CEO OR chairman)'", "'site:profiles.example/in \"' || n || '\" \"managing director\"'", "'site:profiles.example/in \"' || n || '\" founder'"],
     "snippets": ["'\"' || b || '\" \"managing director\" OR \"chief executive officer\"'", "'\"' || b || '\" board of directors names'", "'\"' || b || '\" leadership team chairman founder'"],
     "people": ["p || ' ' || b", "sh || ' ' || b"],
     "slug": ["substr(regexp_replace(regexp_replace(upper(b), '[^A-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80)"],
@@ -413,7 +413,7 @@ oracle("registry_index", f"""WITH h AS (SELECT i.*, o.o_orderkey % 9 AS k, p.fn
 oracle("registry_cascade", """WITH b AS (SELECT c_custkey AS company_id, c_custkey % 5 = 0 AS other, CASE c_custkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 2 END END AS n FROM {customer})
   SELECT company_id, NOT other AND n > 0 AS ok, CASE WHEN other THEN 'Company match confidence too low' WHEN n = 0 THEN 'Directors unavailable' ELSE '' END AS reason,
   CASE WHEN other THEN 'none' ELSE 'high' END AS confidence, CASE WHEN other THEN 0 ELSE n END AS officers,
-  CASE WHEN other THEN 'zauba_low_confidence' WHEN n = 0 THEN 'zauba_no_directors' ELSE 'zauba_error' END AS status FROM b""")
+  CASE WHEN other THEN 'zauba_low_confidence' WHEN n = 0 THEN 'zauba_no_directors' ELSE 'profile_unverified' END AS status FROM b""")
 
 # --- profiles -----------------------------------------------------------------------------------------------------
 _EVID = f"""fb AS (SELECT company_name, {brand('company_name')} AS br FROM (SELECT DISTINCT company_name FROM {{v_person}})),
@@ -456,8 +456,8 @@ oracle("officer_verification", f"""WITH e0 AS (SELECT company_name, {_ET0} AS l
   b AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY in_title DESC, score DESC, pos) AS rn FROM v WHERE score >= 10 AND (in_title OR in_snippet)),
   t AS (SELECT person_id, arg_max(score, struct_pack(a := in_title, b := score, c := -pos)) AS top FROM v GROUP BY 1)
   SELECT p.person_id, b.url, CASE WHEN b.url IS NULL THEN 'none' WHEN b.in_title THEN 'high' ELSE 'medium' END AS confidence,
-    CASE WHEN b.url IS NOT NULL THEN '' WHEN t.top IS NULL THEN 'LinkedIn verification failed: no profile in results'
-      WHEN t.top >= 10 THEN 'LinkedIn verification failed: name matched but company did not' ELSE 'LinkedIn verification failed: no confident name match' END AS reason
+    CASE WHEN b.url IS NOT NULL THEN '' WHEN t.top IS NULL THEN 'Profilenet verification failed: no profile in results'
+      WHEN t.top >= 10 THEN 'Profilenet verification failed: name matched but company did not' ELSE 'Profilenet verification failed: no confident name match' END AS reason
   FROM {{v_person}} p LEFT JOIN b ON p.person_id = b.person_id AND b.rn = 1 LEFT JOIN t ON p.person_id = t.person_id""")
 _TH = "th AS (SELECT h.*, o.o_orderkey % 6 AS tf, o.o_orderkey % 5 AS sf, p.fn || ' ' || p.ln AS nm, p.role FROM {v_title_hit} h JOIN {orders} o ON h.pos = o.o_orderkey JOIN {v_person} p ON o.o_custkey = p.person_id)"
 oracle("title_leaders", f"""WITH {_TH}, r AS (SELECT *, CASE WHEN tf IN (0, 4) THEN role WHEN sf = 0 THEN 'Founder' WHEN sf IN (1, 2, 3) THEN role END AS found FROM th WHERE tf IN (0, 1, 2, 4)
@@ -470,7 +470,7 @@ oracle("model_output_people", f"""SELECT conv_id * 1000 + turn AS answer_id, 0 A
 oracle("result_cards", f"""SELECT page_id, CASE WHEN page_id % 6 < 4 THEN 0 ELSE -1 END AS pos, CASE page_id % 6 WHEN 4 THEN 'empty' WHEN 5 THEN 'blocked' ELSE 'results' END AS status,
   CASE WHEN page_id % 6 < 4 THEN {result('url')} END AS url, CASE WHEN page_id % 6 < 4 THEN {squash('title')} END AS title, CASE WHEN page_id % 6 < 4 THEN {squash('head')} END AS snippet FROM {{v_page}}""")
 oracle("people_cards", f"""SELECT person_id AS page_id, CASE person_id % 7 WHEN 1 THEN 'empty' WHEN 2 THEN 'rate_limited' WHEN 3 THEN 'not_connected' WHEN 4 THEN 'verification_required' WHEN 5 THEN 'unexpected' WHEN 6 THEN 'unavailable' ELSE 'results' END AS page_class,
-  CASE WHEN person_id % 7 IN (0, 6) THEN 'https://www.linkedin.com/in/' || lower(fn) || '-' || lower(ln) END AS profile_url, CASE WHEN person_id % 7 IN (0, 6) THEN fn || ' ' || ln END AS name,
+  CASE WHEN person_id % 7 IN (0, 6) THEN 'https://www.profiles.example/in/' || lower(fn) || '-' || lower(ln) END AS profile_url, CASE WHEN person_id % 7 IN (0, 6) THEN fn || ' ' || ln END AS name,
   CASE WHEN person_id % 7 IN (0, 6) THEN role || ' at ' || company_name END AS headline, CASE WHEN person_id % 7 IN (0, 6) THEN {norm_role('role')} END AS designation FROM {{v_person}}""")
 
 # --- stored responses ---------------------------------------------------------------------------------------
@@ -486,7 +486,7 @@ oracle("source_priority", f"""WITH r AS (SELECT company_id, {name_key('person_na
   o AS (SELECT *, row_number() OVER (PARTITION BY company_id, name_key ORDER BY source_rank, pos) AS rn FROM r WHERE name_key <> '')
   SELECT company_id, name_key, source_rank, pos, person_name, designation FROM o WHERE rn = 1""")
 _DIRECT = f"""b AS (SELECT *, fn || ' ' || ln AS name, person_id AS pos, company_id % 4 AS k FROM {{v_person}}), kb AS (SELECT *, {name_key('name')} AS name_key FROM b),
-  look AS (SELECT company_id, name_key, max(CASE WHEN pos % 3 = 0 THEN 'https://in.linkedin.com/in/' || name_key END) AS url, max(CASE WHEN pos % 7 = 1 THEN 'limited' END) AS outage FROM kb GROUP BY 1, 2),
+  look AS (SELECT company_id, name_key, max(CASE WHEN pos % 3 = 0 THEN 'https://in.profiles.example/in/' || name_key END) AS url, max(CASE WHEN pos % 7 = 1 THEN 'limited' END) AS outage FROM kb GROUP BY 1, 2),
   sup AS (SELECT company_id, name_key, pos, name, role, NULL AS source FROM kb WHERE k = 0),
   low AS (SELECT company_id, min(pos % 2) AS r FROM kb WHERE k = 2 GROUP BY 1),
   fb0 AS (SELECT kb.*, row_number() OVER (PARTITION BY kb.company_id, name_key ORDER BY pos) AS rn FROM kb JOIN low ON kb.company_id = low.company_id AND pos % 2 = r WHERE k = 2),
@@ -498,18 +498,18 @@ _DIRECT = f"""b AS (SELECT *, fn || ' ' || ln AS name, person_id AS pos, company
   res AS (SELECT *, CASE WHEN url IS NULL THEN CASE WHEN later THEN why ELSE out0 END END AS reason FROM done)"""
 oracle("direct_cascade", f"""WITH {_DIRECT}, {_TH}, own0 AS (SELECT company_id, pos, nm, role, url, {name_key('nm')} AS nk FROM th WHERE company_id % 4 = 1 AND (tf = 0 OR (tf IN (1, 2, 4) AND sf IN (1, 2)))),
   own AS (SELECT *, row_number() OVER (PARTITION BY company_id, nk ORDER BY pos) AS rn FROM own0),
-  o AS (SELECT company_id, pos, name AS person_name, role AS designation, url AS linkedin_url, CASE WHEN url IS NOT NULL THEN 'ok' WHEN reason IS NOT NULL THEN 'search_unavailable' ELSE 'no_linkedin' END AS status,
-      coalesce(source, 'LinkedIn Direct') AS source, reason FROM res
-    UNION ALL SELECT company_id, pos, nm, {norm_role('role')}, url, 'ok', 'LinkedIn Direct', NULL FROM own WHERE rn = 1)
-  SELECT * FROM o UNION ALL SELECT DISTINCT company_id, 0, NULL, NULL, NULL, 'linkedin_unverified', 'LinkedIn Direct',
-    'Neither LinkedIn nor SearXNG identified a named director at this company. Add a Director Name column to search known directors.' FROM {{v_person}} p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.company_id = p.company_id)""")
+  o AS (SELECT company_id, pos, name AS person_name, role AS designation, url AS profile_url, CASE WHEN url IS NOT NULL THEN 'ok' WHEN reason IS NOT NULL THEN 'search_unavailable' ELSE 'no_profile' END AS status,
+      coalesce(source, 'Profilenet Direct') AS source, reason FROM res
+    UNION ALL SELECT company_id, pos, nm, {norm_role('role')}, url, 'ok', 'Profilenet Direct', NULL FROM own WHERE rn = 1)
+  SELECT * FROM o UNION ALL SELECT DISTINCT company_id, 0, NULL, NULL, NULL, 'profile_unverified', 'Profilenet Direct',
+    'No source names a person of this company; list known people in the input to search for them.' FROM {{v_person}} p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.company_id = p.company_id)""")
 _LABEL = "coalesce(CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in vocab.STATUS_LABELS.items()) + " END, nullif(status, ''), 'NULL')"
-oracle("report_rows", f"""SELECT coalesce(company_name, 'NULL') AS company_name, coalesce(person_name, 'NULL') AS person_name, coalesce(designation, 'NULL') AS designation, coalesce(linkedin_url, 'NULL') AS linkedin_url,
+oracle("report_rows", f"""SELECT coalesce(company_name, 'NULL') AS company_name, coalesce(person_name, 'NULL') AS person_name, coalesce(designation, 'NULL') AS designation, coalesce(profile_url, 'NULL') AS profile_url,
   coalesce(source, 'Official Website') AS source, {_LABEL} AS status, coalesce(din, 'NULL') AS din, coalesce(appointment_date, 'NULL') AS appointment_date, coalesce(source_url, 'NULL') AS source_url,
   coalesce(reason, '') AS reason FROM {{v_row}}""")
 oracle("report_summary", f"""WITH t AS (SELECT 'totals' AS section, 'Total Companies' AS metric, count(DISTINCT company_name) AS value, 1 AS ord FROM {{v_row}}
   UNION ALL SELECT 'totals', 'Rows With People Found', count(person_name), 2 FROM {{v_row}}
-  UNION ALL SELECT 'totals', 'Rows With LinkedIn Found', count(*) FILTER (WHERE person_name IS NOT NULL AND linkedin_url IS NOT NULL), 3 FROM {{v_row}}),
+  UNION ALL SELECT 'totals', 'Rows With Profilenet Found', count(*) FILTER (WHERE person_name IS NOT NULL AND profile_url IS NOT NULL), 3 FROM {{v_row}}),
   o AS (SELECT 'outcome' AS section, {_LABEL} AS metric, count(*) AS value, min(pos) AS f FROM {{v_row}} GROUP BY 2),
   s AS (SELECT 'people by source' AS section, coalesce(source, 'Official Website') AS metric, count(*) AS value, min(pos) AS f FROM {{v_row}} WHERE person_name IS NOT NULL GROUP BY 2)
   SELECT * FROM t UNION ALL SELECT section, metric, value, row_number() OVER (ORDER BY value DESC, f) FROM o UNION ALL SELECT section, metric, value, row_number() OVER (ORDER BY value DESC, f) FROM s""")

@@ -20,16 +20,31 @@ def cell_text(v: Column) -> Column:
     return F.coalesce(F.when(v["rich_text"].isNotNull(), rich), v["text"], v["result"], F.lit(""))
 
 
-def read_csv_cells(spark, path: str) -> DataFrame:
+def csv_width(spark, path: str, multi_line: bool = False) -> int:
+    """An upper bound of the columns of any row, by one aggregate over the rows
+    (a comma inside quotes counts too, which only adds empty columns)."""
+    rows = spark.read.text(path).select("value")
+    if multi_line:  # rows wider than one column come back whole
+        parsed = spark.read.csv(path, schema="value string, whole string", columnNameOfCorruptRecord="whole", multiLine=True)
+        rows = parsed.select(F.concat_ws(",", "value", "whole").alias("value"))
+    commas = F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
+    return (rows.agg(F.max(commas)).first()[0] or 0) + 1
+
+
+def read_csv_cells(spark, path: str, width: int | None = None, multi_line: bool = False) -> DataFrame:
     """SRC1 source: a headerless CSV as ``(row_no, col_no, value)`` cells.
 
-    ``row_no`` comes from the file position, so it is increasing in file order
-    without gathering the file in one task.
+    Rows may be ragged: ``width`` columns are read (None: as many as the widest
+    line has), so a title row of one cell hides nothing; short rows lack their
+    last cells.  ``multi_line`` accepts line breaks inside quotes, for which a
+    file can't be split.  ``row_no`` follows the position in a file; of several
+    files each keeps its order and none is mixed with another.
     """
-    raw = spark.read.csv(path, header=False)
+    names = [f"_c{i}" for i in range(width or csv_width(spark, path, multi_line))]
+    raw = spark.read.csv(path, schema=", ".join(f"{c} string" for c in names), header=False, multiLine=multi_line)
     lines = raw.withColumn("row_no", F.monotonically_increasing_id() + 1)
-    cells = F.array(*[F.struct(F.lit(i + 1).alias("col_no"), F.col(c).alias("value")) for i, c in enumerate(raw.columns)])
-    return lines.select("row_no", F.explode(cells).alias("c")).select("row_no", "c.*")
+    cells = F.array(*[F.struct(F.lit(i + 1).alias("col_no"), F.col(c).alias("value")) for i, c in enumerate(names)])
+    return lines.select("row_no", F.explode(cells).alias("c")).select("row_no", "c.*").where("value is not null")
 
 
 def header_layout(cells: DataFrame) -> DataFrame:

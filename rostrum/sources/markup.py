@@ -162,21 +162,19 @@ def page_text(html: Column, max_chars: int | None = None) -> Column:
 
 
 def anchors(pages: DataFrame) -> DataFrame:
-    """SRC8, regex form: every ``<a href="...">`` with its plain text."""
-    pattern = r'(?i)<a[^>]+href="([^"]*)"[^>]*>([\s\S]{0,400}?)</a>'
-    pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)).alias("href"),
-                         F.regexp_extract_all("html", F.lit(pattern), F.lit(2)).alias("inner"))
+    """SRC8, regex form: every ``<a href=...>`` with its plain text.  The address
+    may stand in either kind of quotes or in none; the text may be of any length."""
+    whole = r"(?is)<a(?:\s[^>]*)?\shref\s*=[^>]*>.*?</a\s*>"
+    head = r"""(?is)^<a(?:\s[^>]*?)?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*))"""
+    pairs = F.transform(F.regexp_extract_all("html", F.lit(whole), F.lit(0)), lambda a: F.struct(
+        F.concat(*[F.regexp_extract(a, head, i) for i in (1, 2, 3)]).alias("href"),
+        F.regexp_replace(F.regexp_replace(a, r"(?is)^<a\s[^>]*>", ""), r"(?i)</a\s*>$", "").alias("inner")))
     found = T.once(pages.select("page_id", "url", "html"), pairs=pairs)
     return (found.select("page_id", "url", F.posexplode("pairs").alias("pos", "a"))
             .select("page_id", F.col("url").alias("base"), "pos", F.col("a.href").alias("href"),
                     T.squash(T.decode_entities(F.regexp_replace("a.inner", "<[^>]+>", " "))).alias("text")))
 
 
-def titled_anchors(links: DataFrame) -> DataFrame:
-    """SRC8 as a hit source: titles of 6 to 200 characters."""
-    return links.where(F.length("text").between(6, 200))
-
-
 def anchor_snippets(pages: DataFrame) -> DataFrame:
     """SRC8, ancestor form: snippet from the nearest of four ancestors whose text
     is over forty characters longer than the title."""

@@ -112,8 +112,14 @@ def paused_timeline(events: DataFrame, keys: list[str], limit: int = 0, bucket_r
 
     Time slots of a key are packed into buckets of about ``bucket_rows`` events,
     so a quiet key is one bucket and a busy one is spread over many tasks;
-    ``longest`` is the longest pause that can occur.
+    ``longest`` is the longest pause that can occur.  Events without a time, an
+    order or a key belong to no timeline: they come out as not skipped.
     """
+    named = F.lit(True)
+    for c in (*keys, "ts", order):
+        named = named & F.col(c).isNotNull()
+    loose = events.where(~named).withColumns({"skipped": F.lit(False), "streak": F.lit(0), "until": F.lit(OPEN).cast("double")})
+    events = events.where(named)
     t = F.col("ts").cast("timestamp").cast("double")
     slim = events.select(*keys, t.alias("_t"), F.floor(t / slot_seconds).alias("_s"), F.col(order).alias("_o"), "cool", "is_empty")
     slots = slim.groupBy(*keys, "_s").agg(F.count("*").alias("_n"))
@@ -156,7 +162,7 @@ def paused_timeline(events: DataFrame, keys: list[str], limit: int = 0, bucket_r
     entry = pieces.groupBy(*keys).applyInPandas(chain, f"{key_ddl}, _b bigint, in_streak int, in_until double")
     state = slim.join(entry, [*keys, "_b"]).groupBy(*keys, "_b").applyInPandas(
         replay, f"{key_ddl}, _o bigint, skipped boolean, streak int, until double")
-    return events.join(state.withColumnRenamed("_o", order), [*keys, order])
+    return events.join(state.withColumnRenamed("_o", order), [*keys, order]).unionByName(loose)
 
 
 def health_snapshot(timeline: DataFrame, keys: list[str], now: Column, order: str = "event_id") -> DataFrame:

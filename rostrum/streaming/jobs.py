@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LOG_KEPT, LOG_SHOWN = 2000, 200
+LOG_SHOWN = 200
 
 
 def _latest(value: Column, when: Column, order: Column) -> Column:
@@ -26,7 +26,7 @@ def job_state(events: DataFrame) -> DataFrame:
         F.count_if(rows & F.col("person").isNotNull()).alias("people_rows"),
         F.count_if(rows & F.col("person").isNotNull() & F.col("url").isNotNull()).alias("profile_rows"))
     percent = F.when(F.col("status") == "done", 100).otherwise(
-        F.least(F.lit(99), F.round(F.coalesce(F.col("done") / F.col("total"), F.lit(0.0)) * 100).cast("int")))
+        F.least(F.lit(99), F.round(F.coalesce(F.try_divide("done", "total"), F.lit(0.0)) * 100).cast("int")))
     return agg.withColumn("percent", percent)
 
 

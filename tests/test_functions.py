@@ -26,14 +26,14 @@ def test_company_names(spark):
     assert vals(spark, ["industries", "sons", "boxes", "gas", "glass"], T.singular) == ["industry", "son", "box", "gas", "glass"]
     assert vals(spark, ["ﬁrst ＡＢ é"], T.strip_accents) == ["first AB e"]
     assert vals(spark, ["a&amp;b &#8211; &#39;x&#39; &lt;", "x&nbsp;y"], T.decode_entities) == ["a&b – 'x' <", "x y"]
-    assert vals(spark, ["LinkedInhttps://in.linkedin.com › in › falguni-nayar Falguni Nayar - Nykaa"], T.clean_title) == ["Falguni Nayar - Nykaa"]
+    assert vals(spark, ["Profilenethttps://in.profiles.example › in › falguni-nayar Falguni Nayar - Nykaa"], T.clean_title) == ["Falguni Nayar - Nykaa"]
     got = ev(spark, [("ABC Technologies", "abc ltd"), ("Foo", "Bar")], "a string, b string", s=T.same_company(F.col("a"), F.col("b")))
     assert [r["s"] for r in got] == [True, False]
 
 
 def test_urls(spark):
     assert vals(spark, ["abc.tech", "abc.biz", "abc.co.in", "tcs.com", "in.abc.com"], U.domain_core) == ["abc", "abc", "abc", "tcs", "abc"]
-    assert vals(spark, ["https://vertex.com/", "https://sunshine.com/", "https://x.com/foo", "https://www.linkedin.com/in/foo",
+    assert vals(spark, ["https://vertex.com/", "https://sunshine.com/", "https://x.com/foo", "https://www.profiles.example/in/foo",
                         "https://www.zaubacorp.com/company/x", "https://www.amazon.in/x"], U.is_blocked_host) == [False, False, True, True, True, True]
     assert vals(spark, ["https://example.com/Team?member=AbC&utm_source=google", "javascript:alert(1)", "https://u:p@x.test/",
                         "https://www.google.com/url?q=https%3A%2F%2Fa.test%2FB", "HTTP://A.test:80#x"], U.result_url) == [
@@ -46,8 +46,8 @@ def test_urls(spark):
                         "https://www.zaubacorp.com/ACME-FOODS-LLP-AAK-7453", "https://www.zaubacorp.com/ASHA-RAO-00001234", "https://zaubacorp.test/A-U12345AA2000PTC123456",
                         "https://www.zaubacorp.com/%ZZ-U12345AA2000PTC123456"], lambda c: U.registry_record(c)["cin"]) == [
         "U12345AA2000PTC123456", "U12345AA2000PTC123456", "AAK-7453", None, None, None]
-    assert vals(spark, ["https://in.linkedin.com/in/Asha-Rao", "/in/asha", "https://linkedin.com:444/in/asha", "https://x.test/in/a"],
-                U.canonical_profile_url) == ["https://www.linkedin.com/in/Asha-Rao", "https://www.linkedin.com/in/asha", "", ""]
+    assert vals(spark, ["https://in.profiles.example/in/Asha-Rao", "/in/asha", "https://profiles.example:444/in/asha", "https://x.test/in/a"],
+                U.canonical_profile_url) == ["https://www.profiles.example/in/Asha-Rao", "https://www.profiles.example/in/asha", "", ""]
     got = ev(spark, [("bhel", "Bharat Heavy Electricals Limited"), ("koel", "Kirloskar Oil Engines Limited"), ("tcsion", "Tata Consultancy Services"),
                      ("tatamotors", "Tata Consultancy Services")], "c string, n string", s=U.domain_score(F.col("c"), T.brand_tokens(F.col("n"))))
     assert [(r["s"]["kind"], r["s"]["score"]) for r in got] == [("acronym-prefix", 12), ("acronym-prefix", 12), ("none", -6), ("partial(1/3)", -3)]
@@ -85,10 +85,10 @@ def test_relevance(spark):
     rows = [("Blue Tokai Coffee Roasters", "https://a.test", "Blue - Color", "", False), ("Blue Tokai Coffee Roasters", "https://a.test", "Blue Tokai Coffee Roasters", "", True),
             ('site:zaubacorp.com "Times Comtrade Private Limited"', "https://www.zaubacorp.com/x", "Times Comtrade Private Limited", "", True),
             ('site:zaubacorp.com "Times Comtrade Private Limited"', "https://www.zaubacorp.com/x", "Times Green Power", "", False),
-            ("site:linkedin.com/in Asha Rao", "https://linkedin.com.evil.test/in/asha", "Asha Rao", "", False),
-            ("site:linkedin.com/in Asha Rao", "https://evil.test/linkedin.com/in/asha", "Asha Rao", "", False),
-            ("site:linkedin.com/in Asha Rao", "https://linkedin.com/industry/asha", "Asha Rao", "", False),
-            ("site:linkedin.com/in Asha Rao", "https://in.linkedin.com/in/asha", "Asha Rao", "", True)]
+            ("site:profiles.example/in Asha Rao", "https://profiles.example.evil.test/in/asha", "Asha Rao", "", False),
+            ("site:profiles.example/in Asha Rao", "https://evil.test/profiles.example/in/asha", "Asha Rao", "", False),
+            ("site:profiles.example/in Asha Rao", "https://profiles.example/industry/asha", "Asha Rao", "", False),
+            ("site:profiles.example/in Asha Rao", "https://in.profiles.example/in/asha", "Asha Rao", "", True)]
     got = ev(spark, rows, "q string, u string, t string, s string, want boolean", t=F.col("t"), want=F.col("want"),
              ok=R.is_relevant(F.col("u"), F.col("t"), F.col("s"), R.query_constraints(F.col("q")), min_coverage=0.6))
     assert [r for r in got if r["ok"] != r["want"]] == []
@@ -102,17 +102,17 @@ def test_company_matching(spark):
 
 
 def test_profile_score(spark):
-    title = "Vinod Nahar - Chairman and Director - Plasmagen Biosciences Pvt. Ltd. | LinkedIn"
+    title = "Vinod Nahar - Chairman and Director - Plasmagen Biosciences Pvt. Ltd. | Profilenet"
     co, vn = "Plasmagen Biosciences Pvt Ltd", "Vinod Nahar"
-    b = "https://in.linkedin.com/in/"
+    b = "https://in.profiles.example/in/"
     rows = [(b + "vinod-nahar", title, vn, co, "", True), (b + "vinod-n-8a4b21", title, vn, co, "", True), (b + "vn-472913", title, vn, co, "", True),
-            (b + "vn-472913", "Dr. Vinod Nahar - Chairman - Plasmagen Biosciences | LinkedIn", vn, co, "", True),
-            (b + "rk-9182", "Rajesh Kumar Sharma - MD - Acme Foods | LinkedIn", "Rajesh Kumar Sharma", "Acme Foods Ltd", "", True),
-            (b + "vinod-x-1122", "Vinod Nahar - Founder - Unrelated Ltd | LinkedIn", vn, co, "", False),
-            (b + "vinod-gupta", "Vinod Gupta - CEO - Other Corp | LinkedIn", vn, co, "", False),
-            (b + "someone-else-99", "Top leaders at Plasmagen Biosciences: Vinod Nahar, Asha Rao | LinkedIn", vn, co, "", False),
-            ("https://www.linkedin.com/company/plasmagen", title, vn, co, "", False),
-            (b + "aj-77", "Arnav Jain | LinkedIn", "Arnav Jain", co, "Experience: Plasmagen Biosciences.", True), (b + "aj-77", "Arnav Jain | LinkedIn", "Arnav Jain", co, "", False)]
+            (b + "vn-472913", "Dr. Vinod Nahar - Chairman - Plasmagen Biosciences | Profilenet", vn, co, "", True),
+            (b + "rk-9182", "Rajesh Kumar Sharma - MD - Acme Foods | Profilenet", "Rajesh Kumar Sharma", "Acme Foods Ltd", "", True),
+            (b + "vinod-x-1122", "Vinod Nahar - Founder - Unrelated Ltd | Profilenet", vn, co, "", False),
+            (b + "vinod-gupta", "Vinod Gupta - CEO - Other Corp | Profilenet", vn, co, "", False),
+            (b + "someone-else-99", "Top leaders at Plasmagen Biosciences: Vinod Nahar, Asha Rao | Profilenet", vn, co, "", False),
+            ("https://www.profiles.example/company/plasmagen", title, vn, co, "", False),
+            (b + "aj-77", "Arnav Jain | Profilenet", "Arnav Jain", co, "Experience: Plasmagen Biosciences.", True), (b + "aj-77", "Arnav Jain | Profilenet", "Arnav Jain", co, "", False)]
     got = ev(spark, rows, "u string, t string, p string, c string, s string, want boolean", u=F.col("u"), want=F.col("want"),
              ok=M.profile_score(F.col("u"), F.col("t"), F.col("p"), F.col("c"), F.col("s")) >= 10)
     assert [r for r in got if r["ok"] != r["want"]] == []
@@ -121,9 +121,9 @@ def test_profile_score(spark):
 def test_small_helpers(spark):
     assert vals(spark, ["https://www.zaubacorp.com/X?y=1#d", "https://u:p@zaubacorp.com/", "ftp://zaubacorp.com/", "https://zaubacorp.com.evil.test/"],
                 U.registry_source_url) == ["https://www.zaubacorp.com/X?y=1#d", None, None, None]
-    assert vals(spark, ["https://in.linkedin.com/in/asha-rao", "https://linkedin.com/in/ab", "https://www.linkedin.com/posts/asha", "https://linkedin.com/in/x/posts/"],
+    assert vals(spark, ["https://in.profiles.example/in/asha-rao", "https://profiles.example/in/ab", "https://www.profiles.example/posts/asha", "https://profiles.example/in/x/posts/"],
                 U.is_profile_url) == [True, False, False, False]
-    assert vals(spark, ["https://in.linkedin.com/in/Jos%C3%A9-X/", "https://a.test/"], U.profile_slug) == ["josé-x", ""]
+    assert vals(spark, ["https://in.profiles.example/in/Jos%C3%A9-X/", "https://a.test/"], U.profile_slug) == ["josé-x", ""]
     assert vals(spark, ["www.a.test/x", "https://www.a.test/x"], U.display_url) == ["a.test/x", "a.test/x"]
     assert vals(spark, ["a < b & c > d"], T.escape_html) == ["a &lt; b &amp; c &gt; d"]
     assert vals(spark, ["Asha Kumar Rao", "Asha Rao"], P.short_name) == ["Asha Rao", "Asha Rao"]

@@ -8,7 +8,7 @@ from rostrum.operators.rows import ROW_FIELDS
 SCHEMA = "company_id bigint, pos bigint, " + ", ".join(f"{c} string" for c in ROW_FIELDS)
 
 
-def row(company, pos, name, url=None, status="no_linkedin", source="Official Website", din=None, reason=None, source_url=None, role="Director"):
+def row(company, pos, name, url=None, status="no_profile", source="Official Website", din=None, reason=None, source_url=None, role="Director"):
     return (company, pos, name, role, url, status, source, din, None, source_url, reason)
 
 
@@ -22,22 +22,22 @@ def merge_plain(site, reg):
     out = []
     for r in site:
         r = dict(r)
-        if not r["linkedin_url"] and lost:
+        if not r["profile_url"] and lost:
             r.update(status="search_unavailable", reason=lost["reason"], source_url=r["source_url"] or lost["source_url"])
         out.append(r)
     for g in reg:
         if not g["person_name"]:
             continue
-        at = next((i for i, r in enumerate(out) if key(r["person_name"]) == key(g["person_name"]) or (r["linkedin_url"] and r["linkedin_url"] == g["linkedin_url"])), None)
+        at = next((i for i, r in enumerate(out) if key(r["person_name"]) == key(g["person_name"]) or (r["profile_url"] and r["profile_url"] == g["profile_url"])), None)
         if at is None:
             out.append(dict(g))
             continue
         old = out[at]
-        url = old["linkedin_url"] or g["linkedin_url"]
+        url = old["profile_url"] or g["profile_url"]
         down = g if g["status"] == "search_unavailable" else old if old["status"] == "search_unavailable" else None
-        new = {**old, **g, "pos": old["pos"], "linkedin_url": url}
-        new["status"] = old["status"] if old["linkedin_url"] else g["status"] if url else (down or g)["status"]
-        new["source"] = old["source"] if old["linkedin_url"] else g["source"]
+        new = {**old, **g, "pos": old["pos"], "profile_url": url}
+        new["status"] = old["status"] if old["profile_url"] else g["status"] if url else (down or g)["status"]
+        new["source"] = old["source"] if old["profile_url"] else g["source"]
         new["reason"] = None if url else (down["reason"] if down and down["reason"] else g["reason"] or old["reason"])
         out[at] = new
     return out
@@ -55,10 +55,10 @@ def test_merge_matches_sequential_merge(spark):
             if key(n) in seen:
                 continue
             seen.add(key(n))
-            site.append(row(c, p, n, rnd.choice(urls), rnd.choice(["ok", "no_linkedin", "search_unavailable"]), reason=rnd.choice([None, "w"])))
+            site.append(row(c, p, n, rnd.choice(urls), rnd.choice(["ok", "no_profile", "search_unavailable"]), reason=rnd.choice([None, "w"])))
         for p in range(rnd.randrange(7)):
             n = rnd.choice(names + [None])
-            reg.append(row(c, p, n, rnd.choice(urls) if n else None, rnd.choice(["ok", "linkedin_unverified", "search_unavailable"]), "ZaubaCorp", f"{p:08d}", rnd.choice([None, "r"]), "s"))
+            reg.append(row(c, p, n, rnd.choice(urls) if n else None, rnd.choice(["ok", "profile_unverified", "search_unavailable"]), "ZaubaCorp", f"{p:08d}", rnd.choice([None, "r"]), "s"))
     s, r = spark.createDataFrame(site, SCHEMA), spark.createDataFrame(reg, SCHEMA)
     got = sorted(repr(tuple(x)) for x in rows.merge_director_rows(s, r).select("company_id", *ROW_FIELDS).collect())
     names_ = ["company_id", "pos", *ROW_FIELDS]
@@ -74,7 +74,7 @@ def test_chain_of_shared_addresses(spark):
     """A and C never share a key or an address, B ties them through its own."""
     site = spark.createDataFrame([row(1, 0, "Asha Rao", "u1", "ok")], SCHEMA)
     reg = spark.createDataFrame([row(1, 0, "Bimal Shah", "u1", "ok", "ZaubaCorp"), row(1, 1, "Bimal Shah", "u2", "ok", "ZaubaCorp"), row(1, 2, "Chitra Nair", "u2", "ok", "ZaubaCorp")], SCHEMA)
-    got = [(r.person_name, r.linkedin_url) for r in rows.merge_director_rows(site, reg).orderBy("late", "pos").collect()]
+    got = [(r.person_name, r.profile_url) for r in rows.merge_director_rows(site, reg).orderBy("late", "pos").collect()]
     assert got == [("Bimal Shah", "u1"), ("Chitra Nair", "u2")]
 
 
@@ -102,7 +102,7 @@ def test_cascade_ways(spark):
                                     "company_id bigint, name_key string, name string, role string, rank int, profile_url string, source_rank int, pos bigint")
     lookups = spark.createDataFrame([(3, "bimal-shah", None, None, False)], "company_id bigint, name_key string, url string, outage string, blocking boolean")
     registry = spark.createDataFrame([row(1, 0, "Reg One", "r1", "ok", "ZaubaCorp"), row(3, 0, "Bimal Shah", "b1", "ok", "ZaubaCorp", "00000001"), row(4, 0, None, None, "zauba_not_found", "ZaubaCorp")], SCHEMA)
-    got = {(r.company_id, r.person_name, r.linkedin_url, r.status, r.source) for r in rows.resolve_companies(companies, sites, leaders, lookups, registry).collect()}
+    got = {(r.company_id, r.person_name, r.profile_url, r.status, r.source) for r in rows.resolve_companies(companies, sites, leaders, lookups, registry).collect()}
     assert got == {(1, "Reg One", "r1", "ok", "ZaubaCorp"), (2, "Asha Rao", "u9", "ok", "Official Website"), (3, "Bimal Shah", "b1", "ok", "ZaubaCorp"),
                    (4, None, None, "zauba_not_found", "ZaubaCorp"), (5, None, None, "error", "Official Website")}
 
@@ -125,6 +125,6 @@ def test_merge_does_not_depend_on_partitioning(spark):
 
 
 def test_regional_profiles_merge(spark):
-    rows_ = [(1, 0, "https://in.linkedin.com/in/Asha-Rao", "Asha Rao", "one", "searxng"), (1, 1, "https://www.linkedin.com/in/asha-rao/?trk=search", "Asha Rao - CEO", "two", "brave")]
+    rows_ = [(1, 0, "https://in.profiles.example/in/Asha-Rao", "Asha Rao", "one", "searxng"), (1, 1, "https://www.profiles.example/in/asha-rao/?trk=search", "Asha Rao - CEO", "two", "brave")]
     got = results.merge_sources(spark.createDataFrame(rows_, "query_id int, pos int, url string, title string, snippet string, source string")).collect()
-    assert [(r.url, r.title, r.snippet, r.sources) for r in got] == [("https://in.linkedin.com/in/Asha-Rao", "Asha Rao - CEO", "one two", ["searxng", "brave"])]
+    assert [(r.url, r.title, r.snippet, r.sources) for r in got] == [("https://in.profiles.example/in/Asha-Rao", "Asha Rao - CEO", "one two", ["searxng", "brave"])]

@@ -98,9 +98,9 @@ def test_model_answers(spark):
 
 def test_model_pick_must_be_listed(spark):
     people = spark.createDataFrame([(1, "Arnav Jain", "Plasmagen Biosciences Pvt Ltd")], "person_id int, person_name string, company_name string")
-    hits = spark.createDataFrame([(1, 0, "https://in.linkedin.com/in/jain-x1", "Arnav Jain | LinkedIn", "Plasmagen Biosciences")], "person_id int, pos int, url string, title string, snippet string")
+    hits = spark.createDataFrame([(1, 0, "https://in.profiles.example/in/jain-x1", "Arnav Jain | Profilenet", "Plasmagen Biosciences")], "person_id int, pos int, url string, title string, snippet string")
     scored = profiles.score_profiles(people, hits)
-    for pick, want in (("https://in.linkedin.com/in/JAIN-x1/", 1), ("https://in.linkedin.com/in/made-up", 0)):
+    for pick, want in (("https://in.profiles.example/in/JAIN-x1/", 1), ("https://in.profiles.example/in/made-up", 0)):
         assert profiles.checked_picks(spark.createDataFrame([(1, pick)], "person_id int, url string"), scored).count() == want
 
 
@@ -112,7 +112,7 @@ def test_blocked_pages(spark):
 def test_queries_keep_order_and_drop_repeats(spark):
     df = spark.createDataFrame([("Acme Foods Pvt Ltd", "Asha Rao", None)], "company_name string, person_name string, designation string")
     got = [r.q for r in Q.profile_queries(df).orderBy("variant_no").collect()]
-    assert got[:3] == ["Asha Rao Acme Foods Pvt Ltd", "acme foods Asha Rao LinkedIn", 'site:linkedin.com/in "Asha Rao" "acme foods"'] and len(got) == 9
+    assert got[:3] == ["Asha Rao Acme Foods Pvt Ltd", "acme foods Asha Rao Profilenet", 'site:profiles.example/in "Asha Rao" "acme foods"'] and len(got) == 9
 
 
 @pytest.mark.parametrize("layout,html,status", [("list", "<p>Did not match any documents</p>", "empty"), ("list", "<p>Please solve the CAPTCHA</p>", "blocked"), ("card", "<p>hello</p>", "unreadable")])
