@@ -21,21 +21,28 @@ def registry_candidates(results: DataFrame) -> DataFrame:
     return first_seen(rows, ("company_id", "cin"))
 
 
-def match_candidates(companies: DataFrame, candidates: DataFrame) -> DataFrame:
-    """J2 + M3 + M4: every candidate with the better of its two verdicts."""
-    names = companies.select("company_id", "company_name", T.comparable_tokens(F.col("company_name")).alias("want"))
-
-    def better(x):
-        return F.when(x["by_slug"]["score"] > x["by_name"]["score"], x["by_slug"]).otherwise(x["by_name"])
+def pair_similarity(pairs: DataFrame) -> DataFrame:
+    """M3 for each different ``(company_name, name)``: names are cut into tokens
+    once each and pairs scored once, however many rows carry them.  Scoring is
+    the costly part, so it keeps the full number of partitions."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.where("company_name is not null and name is not null").distinct()
+    want = T.once(pairs.select("company_name").distinct(), want=T.comparable_tokens(F.col("company_name")))
+    told = T.once(pairs.select("name").distinct(), told=T.comparable_tokens(F.col("name")))
+    scored = pairs.join(want, "company_name").join(told, "name").repartition(parts, "company_name", "name")
+    return T.once(scored, sim=M.name_similarity(F.col("want"), F.col("told"))).select("company_name", "name", "sim")
 
-    def verdicts(x):
-        by_name = M.name_verdict(M.name_similarity(F.col("want"), x["printed"]))
-        # the slug mostly spells the printed name: one verdict serves both
-        by_slug = F.when(x["printed"] == x["slug"], F.lit(None)).otherwise(M.name_verdict(M.name_similarity(F.col("want"), x["slug"])))
-        return T.let({"by_name": by_name, "by_slug": by_slug}, better)
 
-    printed, slug = T.comparable_tokens(F.col("candidate_name")), T.comparable_tokens(F.col("alt_name"))
-    return T.once(candidates.join(names, "company_id"), match=T.let({"printed": printed, "slug": slug}, verdicts)).drop("want")
+def match_candidates(companies: DataFrame, candidates: DataFrame) -> DataFrame:
+    """J2 + M3 + M4: every candidate with the better of its two verdicts, by its
+    printed name and by its address."""
+    rows = candidates.join(companies.select("company_id", "company_name"), "company_id")
+    pairs = rows.select("company_name", F.explode(F.array("candidate_name", "alt_name")).alias("name"))
+    scored = T.once(pair_similarity(pairs), match=M.name_verdict(F.col("sim"))).select("company_name", "name", "match")
+    for name, verdict in (("candidate_name", "by_name"), ("alt_name", "by_slug")):
+        rows = rows.join(scored.select("company_name", F.col("name").alias(name), F.col("match").alias(verdict)), ["company_name", name], "left")
+    best = F.when(F.col("by_name").isNull() | (F.col("by_slug.score") > F.col("by_name.score")), F.col("by_slug")).otherwise(F.col("by_name"))
+    return rows.select(*candidates.columns, "company_name", best.alias("match"))
 
 
 def best_candidate(matched: DataFrame) -> DataFrame:

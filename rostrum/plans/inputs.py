@@ -228,14 +228,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for f in df.schema.fields:
         if f.dataType.typeName() == "timestamp_ntz":  # watermarks need TIMESTAMP; sessions run in UTC
             df = df.withColumn(f.name, df[f.name].cast("timestamp"))
-    return spread(df)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer splits than cores (one small file) is dealt out to all
-    cores; larger tables keep their own splits and see no shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 32) else df
+    # A session over small single-block files may ask for its scans to be dealt out; off unless set.
+    parts = int(df.sparkSession.conf.get("spark.rostrum.scan.parts", "0"))
+    return df.repartition(parts) if parts else df
 
 
 def _names(text: str) -> list[str]:

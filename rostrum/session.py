@@ -10,6 +10,7 @@ def local_session(cpus: str = "8", memory: str = "12g", name: str = "rostrum") -
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName(name)
              .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
              .config("spark.sql.adaptive.enabled", "true")
+             .config("spark.rostrum.scan.parts", cpus if cpus.isdigit() else "8")
              .config("spark.sql.adaptive.skewJoin.enabled", "true")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
