@@ -45,9 +45,9 @@ def one_of(words: list[str]) -> Column:
 
 
 def in_words(t: Column, words: list[str]) -> Column:
-    """Membership in a word list, as a single constant instead of one literal
-    per word (which costs seconds of plan building for the longer lists)."""
-    return F.array_contains(one_of(words), t)
+    """Membership in a word list: a hash set for a long list, one constant array
+    for a short one."""
+    return t.isin(words) if len(words) > 100 else F.array_contains(one_of(words), t)
 
 
 def squash(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rostrum import vocab
 from rostrum.functions import people as P
+from rostrum.functions import urls as U
 from rostrum.operators.components import components
 from rostrum.session import cut_lineage
 
@@ -77,6 +78,31 @@ def null_rows(companies: DataFrame, rows: DataFrame, status: str, source: str =
             .select("company_id", F.lit(0).cast("bigint").alias("pos"), *[blank[c].alias(c) for c in ROW_FIELDS]))
 
 
+def registry_people_rows(officers: DataFrame, outcome: DataFrame, lookups: DataFrame) -> DataFrame:
+    """Registry people as result rows: C7's officers and outcome, M6's lookups
+    ``(company_id, name_key, url, confidence, outage, blocking)``, C1 and C6.
+
+    Each officer is a row with the status of the lookup, ``profile_unverified``
+    where nothing fits; a company without officers is one row with the status of
+    its reason (C2).  The row's source address is the registry page's section.
+    """
+    named = officers.withColumn("name_key", P.name_key(F.col("person_name"))).join(lookups, ["company_id", "name_key"], "left")
+    looked = spread_outages(named.withColumn("person_pos", F.col("pos")).withColumn("blocking", F.coalesce("blocking", F.lit(False))))
+    page = outcome.select("company_id", U.registry_source_url(F.col("page_url")).alias("page"), "reason", "ok")
+
+    def text(name: str) -> Column:
+        return F.col(name) if name in officers.columns else F.lit(None).cast("string").alias(name)
+
+    people = looked.join(page.select("company_id", "page"), "company_id", "left").select(
+        "company_id", F.col("pos").cast("bigint").alias("pos"), "person_name", F.coalesce(F.nullif("designation", F.lit("")), F.lit("Director")).alias("designation"),
+        F.nullif("url", F.lit("")).alias("profile_url"), person_status(F.col("url"), F.coalesce("confidence", F.lit("")), F.col("outage"), "profile_unverified").alias("status"),
+        F.lit(vocab.REGISTRY_SOURCE).alias("source"), text("din"), text("appointment_date"), F.col("page").alias("source_url"), F.col("outage").alias("reason"))
+    blank = {c: F.lit(None).cast("string") for c in ROW_FIELDS} | {
+        "status": registry_status(F.col("reason")), "source": F.lit(vocab.REGISTRY_SOURCE), "source_url": F.col("page"), "reason": F.col("reason")}
+    missed = page.where(~F.col("ok")).select("company_id", F.lit(0).cast("bigint").alias("pos"), *[v.alias(c) for c, v in blank.items()])
+    return people.unionByName(missed)
+
+
 # --- J4 -----------------------------------------------------------------------------------
 def _link_names(people: DataFrame) -> DataFrame:
     """Name keys of a company that are tied together by shared addresses:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rostrum import vocab
@@ -262,13 +262,15 @@ def registry_index(spark, sf):
     return extract.officers_from_index(view(spark, sf, "v_index_hit")).select("company_id", "person_name", "designation", "din", "appointment_date", "source_url")
 
 
-@query
-def registry_cascade(spark, sf):
+def _registry(spark, sf, found=None, opened=None):
+    """C7 over the registry pages; ``found`` / ``opened`` say which companies a
+    search finds and whose page loads."""
     pages = view(spark, sf, "v_registry_page")
     companies = pages.select("company_id", F.lit("Kestrel Foods Private Limited").alias("company_name"))
     hits = pages.select("company_id", F.lit(1).alias("pos"), F.concat(F.lit("https://www.zaubacorp.com/"), F.when(F.col("company_id") % 5 == 0, "OTHER-POWER").otherwise("KESTREL-FOODS"),
                         F.lit("-U12345AA2000PTC"), F.lpad((F.col("company_id") % 1000000).cast("string"), 6, "0")).alias("url"), F.lit("").alias("title"))
-    matched = registry.match_candidates(companies, registry.registry_candidates(hits))
+    matched = registry.match_candidates(companies, registry.registry_candidates(hits if found is None else hits.where(found)))
+    pages = pages if opened is None else pages.where(opened)
     rows_ = cut_lineage(markup.registry_rows(pages))
     cols = ["company_id", "pos", "person_name", "designation"]
     on_page = extract.officers_from_rows(rows_, pages).withColumn("company_id", F.col("page_id")).select(*cols)
@@ -276,11 +278,28 @@ def registry_cascade(spark, sf):
     loaded = (pages.select("company_id").join(rows_.select(F.col("page_id").alias("company_id"), "section_present"), "company_id", "left")
               .select("company_id", F.coalesce("section_present", F.lit(False)).alias("section_present")))
     none = on_page.where(F.lit(False))
-    officers, outcome = registry.registry_outcome(companies, matched, matched.where(F.lit(False)), loaded, on_page.unionByName(summary), none, none)
+    return registry.registry_outcome(companies, matched, matched.where(F.lit(False)), loaded, on_page.unionByName(summary), none, none)
+
+
+@query
+def registry_cascade(spark, sf):
+    officers, outcome = _registry(spark, sf)
     n = officers.groupBy("company_id").agg(F.count("*").alias("officers"))
-    return (outcome.join(n, "company_id", "left").select("company_id", "ok", "reason", "confidence", F.coalesce("officers", F.lit(0)).alias("officers"),
-                                                         F.when(F.col("ok"), rows.person_status(F.lit(None), F.col("confidence"), F.lit(None), "profile_unverified"))
-                                                         .otherwise(rows.registry_status(F.col("reason"))).alias("status")))
+    status = F.when(F.col("ok"), rows.person_status(F.lit(None), F.col("confidence"), F.lit(None), "profile_unverified")).otherwise(rows.registry_status(F.col("reason")))
+    return outcome.join(n, "company_id", "left").select("company_id", "ok", "reason", "confidence", F.coalesce("officers", F.lit(0)).alias("officers"), status.alias("status"))
+
+
+@query
+def registry_rows(spark, sf):
+    """Registry people to result rows; every fourth person is found for sure,
+    found with less confidence, not found, or met by an outage."""
+    officers, outcome = map(cut_lineage, _registry(spark, sf, F.col("company_id") % 7 != 0, F.col("company_id") % 11 != 0))
+    turn = (F.col("company_id") + F.row_number().over(Window.partitionBy("company_id").orderBy("pos"))) % 4
+    lookups = officers.withColumn("turn", turn).select(
+        "company_id", P.name_key(F.col("person_name")).alias("name_key"), F.when(F.col("turn") < 2, F.concat(F.lit("https://p.test/"), F.col("company_id").cast("string"))).alias("url"),
+        F.when(F.col("turn") == 1, "medium").otherwise("high").alias("confidence"), F.when(F.col("turn") == 3, "search down").alias("outage"), F.lit(False).alias("blocking"))
+    out = rows.registry_people_rows(officers, outcome, lookups)
+    return out.groupBy("company_id", "status").agg(F.count("*").alias("n"), F.count("person_name").alias("people"), F.count("profile_url").alias("profiles"), F.min("reason").alias("reason"))
 
 
 # --- profiles -------------------------------------------------------------------------------------------
