@@ -4,15 +4,16 @@ count-vector R-trees.
 1. Texts with one set are one class.  Two classes that link share a gram among
    the first ``n - ceil(t * n) + 1`` grams of each in a common order (grams seen
    often in a bounded sample come last), so the join falls into one block for
-   each such gram.  Blocks with the same members are kept once.
+   each such gram.  Blocks with the same members are kept once, with their number.
 2. In a block, a class is a point: its grams are hashed into groups, and the
    counts by group are the coordinates.  The sum of the coordinate minima of two
    points bounds the overlap of their sets; an R-tree bounds whole boxes alike.
-   The tree of each block first gives every point its best partner.
-3. Pairs are verified on the sets, and the verified links give components.  Then
-   the trees are searched for all pairs that the bound allows and that lie in
-   different components; these are verified too.  No link that could join two
-   components is left out; links inside a component decide nothing.
+3. The trees give every class its best partner by bound in another component
+   (at first each class is its own); these pairs are verified on the sets, and
+   verified links merge components.  That is done twice.  Then the trees are
+   searched for all pairs that the bound allows and that still lie in different
+   components; these are verified too.  No link that could join two components
+   is left out; links inside a component decide nothing.
 
 A block of many points is cut into tiles (every pair of tiles is searched), so
 neither a task nor the driver holds a whole block.
@@ -31,7 +32,7 @@ from rostrum.llm import grams, samples
 from rostrum.llm.store import shared_table
 from rostrum.operators.components import components
 
-COARSE_BITS = 4
+COARSE_BITS, FINE_BITS = 4, 8
 LEAF = 32
 TILE = 2_048
 BROADCAST_ROWS = 500_000
@@ -73,10 +74,20 @@ def prefix(s: np.ndarray, percent: int, hot: np.ndarray, sieve: np.ndarray) -> n
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Counts of the set's grams by hash group; about four grams a group, so
-    that the bound stays sharp for large sets."""
-    bits = max(COARSE_BITS, (len(s) // 4).bit_length())
-    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
+    """Counts of the set's grams by hash group; two to four grams a group, so
+    that the bound is sharp, until a set has more grams than 256 groups allow."""
+    bits = min(FINE_BITS, max(COARSE_BITS, (len(s) // 4).bit_length()))
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
+def pack_point(p: np.ndarray) -> bytes:
+    """One byte a count where all fit, else four; the first byte tells which."""
+    small = p.max(initial=0) < 256
+    return bytes([int(small)]) + p.astype(np.uint8 if small else np.uint32).tobytes()
+
+
+def unpack_point(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.uint8 if b[0] else np.uint32, offset=1).astype(np.int64)
 
 
 def _folded(p: np.ndarray, bits: int) -> np.ndarray:
@@ -155,71 +166,135 @@ def _fine(x: Tree, y: Tree, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
-_ROWS = "key bigint, ti int, tj int, side int, cls bigint, n bigint, comp_c bigint, comp_n bigint, pts binary"
-_PAIRS = "a bigint, an bigint, b bigint, bn bigint"
+_PAIRS = "a bigint, an bigint, b bigint, bn bigint, w bigint, score double"
+_COLUMNS = ["key", "ti", "tj", "side", "cls", "n", "comp_c", "comp_n", "w", "pts"]
+
+
+def _matrices(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """Points of many rows as one matrix for each level: level and row in it."""
+    points = [unpack_point(x) for x in packed]
+    level = np.array([len(x).bit_length() - 1 for x in points], np.int64)
+    at, out = np.zeros(len(points), np.int64), {}
+    for g in np.unique(level).tolist():
+        mine = np.flatnonzero(level == g)
+        at[mine] = np.arange(len(mine))
+        out[g] = np.stack([points[i] for i in mine])
+    return level, at, out
+
+
+def _short_blocks(col: dict[str, np.ndarray], start: np.ndarray, size: np.ndarray, percent: int):
+    """Pairs of all blocks that are one leaf, together: the same bounds as in
+    the tree, with no box above the points."""
+    rows = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+    within = rows - np.repeat(start, size)
+    after = np.repeat(size, size) - 1 - within
+    p = np.repeat(rows, after)
+    q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(after) - after, after)
+    n = col["n"]
+    keep = 100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q])
+    keep &= (col["comp_c"][p] != col["comp_c"][q]) | (col["comp_n"][p] != col["comp_n"][q])
+    p, q = p[keep], q[keep]
+    if not len(p):
+        return p, q, np.zeros(0, np.int64)
+    used, back = np.unique(np.concatenate([p, q]), return_inverse=True)
+    level, at, made = _matrices(col["pts"][used])
+    i, j = back.ravel()[:len(p)], back.ravel()[len(p):]
+    bound, low = np.zeros(len(p), np.int64), np.minimum(level[i], level[j])
+    for g in np.unique(low).tolist():
+        folded = {h: m.reshape(len(m), 1 << g, -1).sum(2) for h, m in made.items() if h >= g}
+        for x in np.unique(level[i][low == g]).tolist():
+            for y in np.unique(level[j][low == g]).tolist():
+                mine = np.flatnonzero((low == g) & (level[i] == x) & (level[j] == y))
+                for s in range(0, len(mine), 8192):
+                    part = mine[s:s + 8192]
+                    bound[part] = np.minimum(folded[x][at[i[part]]], folded[y][at[j[part]]]).sum(1)
+    keep = (100 + percent) * bound >= _needed(n[p], n[q], percent)
+    return p[keep], q[keep], bound[keep]
+
+
+def _best_of_each(p: np.ndarray, q: np.ndarray, score: np.ndarray):
+    """Of each row the partner with the greatest bound relative to the sizes."""
+    p, q, score = np.concatenate([p, q]), np.concatenate([q, p]), np.tile(score, 2)
+    order = np.lexsort([q, -score, p])
+    best = order[np.flatnonzero(np.diff(p[order], prepend=-1))]
+    return p[best], q[best], score[best]
+
+
+def _long_block(col: dict[str, np.ndarray], start: int, stop: int, percent: int):
+    """Pairs of one block (or pair of tiles) by its trees."""
+    side = col["side"][start:stop]
+    left, right = np.flatnonzero(side == 0) + start, np.flatnonzero(side == 1) + start
+    if not len(left):
+        return []
+    comp = np.stack([col["comp_c"], col["comp_n"]], 1)
+    x = Tree(col["n"][left], [unpack_point(col["pts"][i]) for i in left])
+    y = Tree(col["n"][right], [unpack_point(col["pts"][i]) for i in right]) if len(right) else x
+    other = right if len(right) else left
+    return [(left[p], other[q], b) for p, q, b in candidate_pairs(x, y, percent, lambda p, q: (comp[left[p]] != comp[other[q]]).any(1))]
 
 
 def _search(blocks: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Run the tree of every block over rows dealt and sorted by block."""
-    def emit(rows, out):
-        sizes, comp = rows["n"], np.stack([rows["comp_c"], rows["comp_n"]], 1)
-        pts = [np.frombuffer(p, np.uint16) for p in rows["pts"]]
-        left = np.flatnonzero(rows["side"] == 0)
-        right = np.flatnonzero(rows["side"] == 1)
-        if not len(left) or (len(right) == 0 and len(left) < 2):
-            return
-        x = Tree(sizes[left], [pts[i] for i in left])
-        y = Tree(sizes[right], [pts[i] for i in right]) if len(right) else x
-        other = right if len(right) else left
-        apart = None if nearest else lambda p, q: (comp[left[p]] != comp[other[q]]).any(1)
-        found = list(candidate_pairs(x, y, percent, apart))
-        if not found:
-            return
-        p, q, bound = (np.concatenate(c) for c in zip(*found))
-        p, q = left[p], other[q]
-        if nearest:
-            # The best partner of each point: the pair with the greatest bound relative to the sizes.
-            score = bound / (sizes[p] + sizes[q])
-            ends, which = np.concatenate([p, q]), np.tile(np.arange(len(p)), 2)
-            order = np.lexsort([which, -score[which], ends])
-            which = np.unique(which[order][np.flatnonzero(np.diff(ends[order], prepend=-1))])
-            p, q = p[which], q[which]
-        out.append((rows["cls"][p], sizes[p], rows["cls"][q], sizes[q]))
+    """Pairs of classes that the bounds allow, from rows dealt and sorted by
+    block.  ``nearest`` keeps each class's best partner, else all pairs.
 
+    A pair's blocks also bound its overlap: all common grams that lie in the
+    first grams of the set whose first grams end earlier are blocks of both, and
+    ``w`` says for how many grams a block stands.
+    """
     def run(batches):
-        held, names = [], ["key", "ti", "tj", "side", "cls", "n", "comp_c", "comp_n", "pts"]
+        held: list = []
 
         def cut(tables, final):
             table = pa.Table.from_batches(tables).combine_chunks()
-            col = {c: table.column(c).to_numpy() for c in names}
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(col["key"]) != 0) | (np.diff(col["ti"]) != 0) | (np.diff(col["tj"]) != 0)]))
-            ends, out = np.append(new[1:], len(col["key"])), []
-            for s, e in zip(new, ends):
-                if e == ends[-1] and not final:
-                    break
-                if e - s > 1:
-                    emit({c: v[s:e] for c, v in col.items()}, out)
-            rest = [] if final else table.slice(int(new[-1])).to_batches()
-            return out, rest
-
-        def send(out):
-            if out:
-                columns = [np.concatenate(c) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "an", "b", "bn"])
+            col = {c: table.column(c).to_numpy(zero_copy_only=False) if c == "pts" else table.column(c).to_numpy() for c in _COLUMNS}
+            turn = np.zeros(len(col["key"]), bool)
+            turn[0] = True
+            for c in ("key", "ti", "tj"):
+                turn[1:] |= col[c][1:] != col[c][:-1]
+            start = np.flatnonzero(turn)
+            size = np.diff(np.append(start, len(turn)))
+            if not final:
+                rest = table.slice(int(start[-1])).to_batches()
+                start, size = start[:-1], size[:-1]
+            short = (size > 1) & (size <= LEAF) & (col["ti"][start] == col["tj"][start])
+            found = [_short_blocks(col, start[short], size[short], percent)] if short.any() else []
+            for s, m in zip(start[~short & (size > 1)], size[~short & (size > 1)]):
+                found += _long_block(col, int(s), int(s + m), percent)
+            return col, found, [] if final else rest
+
+        def send(col, found):
+            found = [f for f in found if len(f[0])]
+            if found:
+                p, q, bound = (np.concatenate(c) for c in zip(*found))
+                score = bound / (col["n"][p] + col["n"][q])
+                if nearest:
+                    p, q, score = _best_of_each(p, q, score)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (col["cls"][p], col["n"][p], col["cls"][q], col["n"][q], col["w"][p], score)],
+                                                 names=["a", "an", "b", "bn", "w", "score"])
 
         for batch in batches:
             if batch.num_rows:
-                out, held = cut([*held, batch], False)
-                yield from send(out)
+                col, found, held = cut([*held, batch], False)
+                yield from send(col, found)
         if held:
-            yield from send(cut(held, True)[0])
+            col, found, _ = cut(held, True)
+            yield from send(col, found)
 
     dealt = blocks.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
-    pairs = dealt.select("key", "ti", "tj", "side", "cls", "n", "comp_c", "comp_n", "pts").mapInArrow(run, _PAIRS)
-    # One order of the two ends, so that a pair met in several blocks is one row.
-    flip = "(a > b) or (a = b and an > bn)"
-    ends = [F.expr(f"if({flip}, {p}, {q})").alias(q) for p, q in (("b", "a"), ("bn", "an"), ("a", "b"), ("an", "bn"))]
-    return pairs.select(*ends).distinct()
+    pairs = dealt.select(*_COLUMNS).mapInArrow(run, _PAIRS)
+    if not nearest:  # one order of the two ends
+        flip = "(a > b) or (a = b and an > bn)"
+        pairs = pairs.select(*[F.expr(f"if({flip}, {p}, {q})").alias(q) for p, q in (("b", "a"), ("bn", "an"), ("a", "b"), ("an", "bn"))], "w", "score")
+    seen = pairs.groupBy("a", "an", "b", "bn").agg(F.sum("w").alias("w"), F.max("score").alias("score"))
+    # Grams outside the first ones, plus the blocks they share, must make up the overlap a link needs.
+    beyond = F.greatest(*[F.ceil(F.lit(percent) * F.col(c) / 100) - 1 for c in ("an", "bn")])
+    lack = F.lit(percent) * (F.col("an") + F.col("bn")) - (100 + percent) * beyond
+    if not nearest:
+        return seen.where((100 + percent) * F.col("w") >= lack).select("a", "an", "b", "bn")
+    # A best partner may change from block to block, so here half the blocks will do: what is
+    # passed over is looked at again in the search for all pairs.
+    best = F.max(F.struct("w", "score", "b", "bn")).alias("best")
+    return seen.where(2 * (100 + percent) * F.col("w") >= lack).groupBy("a", "an").agg(best).select("a", "an", "best.b", "best.bn")
 
 
 def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
@@ -290,7 +365,7 @@ def _linked(docs: DataFrame, k: int = 5, percent: int = 75, sample: int = 4_096,
                 sets = text_sets(data, offsets, powers, k)
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "mark")], pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()),
-                     pa.array([point(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "mark", "n", "cls", "pts"])
+                     pa.array([pack_point(point(s)) for s in sets], pa.binary())], names=["doc_id", "mark", "n", "cls", "pts"])
 
     def first_grams(batches):
         powers, told = grams.Powers(), set()
@@ -316,17 +391,20 @@ def _linked(docs: DataFrame, k: int = 5, percent: int = 75, sample: int = 4_096,
     members = ends.where("lo <> hi").dropDuplicates(["key", "cls", "n"])
     members = members.select("*", F.count("*").over(by_key).alias("m"), F.expr("bit_xor(xxhash64(cls, n)) over (partition by key)").alias("mark"))
     members = shared_table(members)
-    kept = members.groupBy("lo", "hi", "m", "mark").agg(F.min("key").alias("key")).select("key")
-    blocks = shared_table(members.join(kept, "key", "left_semi").select("key", "cls", "n", "m"))
+    per_key = members.groupBy("key").agg(*[F.first(c).alias(c) for c in ("lo", "hi", "m", "mark")])
+    kept = per_key.groupBy("lo", "hi", "m", "mark").agg(F.min("key").alias("key"), F.count("*").alias("w")).select("key", "w")
+    blocks = shared_table(members.join(kept, "key").select("key", "cls", "n", "m", "w"))
 
     # One text of each class in a block stands for it.
     one = about.select("cls", "n", F.struct("doc_id", "pts").alias("x")).groupBy("cls", "n").agg(F.min("x").alias("x")).select("cls", "n", "x.*")
     classes = shared_table(one.join(blocks.select("cls", "n").distinct(), ["cls", "n"]))
-    first = _verified(_search(_tiled(blocks, classes, None), percent, True), docs, classes, k, percent)
-    found = _components(first)
-    across = _search(_tiled(blocks, classes, found), percent, False)
-    links = shared_table(first.union(_verified(across, docs, classes, k, percent)))
-    return _named(about.drop("pts"), _components(links))
+    found, links = None, None
+    for nearest in (True, True, False):
+        pairs = _search(_tiled(blocks, classes, found, not nearest), percent, nearest)
+        new = _verified(pairs, docs, classes, k, percent)
+        links = new if links is None else links.union(new)
+        found = _components(links)
+    return _named(about.drop("pts"), found)
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
@@ -350,22 +428,22 @@ def _sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     return shared_table(made.join(chosen.select("cls", "n"), ["cls", "n"], "left_semi").dropDuplicates(["cls", "n"]))
 
 
-def _tiled(blocks: DataFrame, classes: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Rows of the blocks with their points, dealt into tiles.  Before
-    components are known (``found`` is None) a tile is searched by itself; then
-    every pair of tiles of a block that still has two components."""
+def _tiled(blocks: DataFrame, classes: DataFrame, found: DataFrame | None, crossed: bool) -> DataFrame:
+    """Rows of the blocks of at least two components with their points, dealt
+    into tiles.  With ``crossed`` every pair of tiles of a block is searched,
+    else each tile by itself."""
     tiles = F.ceil(F.col("m") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("cls", "n"), tiles).cast("int")
-    if found is None:
-        rows = blocks.select("key", own.alias("ti"), own.alias("tj"), F.lit(0).alias("side"), "cls", "n", F.col("cls").alias("comp_c"), F.col("n").alias("comp_n"))
-    else:
+    known = blocks.withColumns({"comp_c": F.col("cls"), "comp_n": F.col("n")})
+    if found is not None:
         known = blocks.join(found, ["cls", "n"], "left").withColumns({"comp_c": F.coalesce("comp_c", "cls"), "comp_n": F.coalesce("comp_n", "n")})
         mixed = known.groupBy("key").agg(F.min(F.struct("comp_c", "comp_n")).alias("x"), F.max(F.struct("comp_c", "comp_n")).alias("y")).where("x <> y")
-        open_ = known.join(mixed.select("key"), "key", "left_semi").withColumns({"tiles": tiles, "own": own})
-        # A row meets the rows of its own tile and of every other, on one side of the pair.
-        rows = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-            "key", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), (F.col("own") > F.col("other")).cast("int").alias("side"),
-            "cls", "n", "comp_c", "comp_n")
+        known = known.join(mixed.select("key"), "key", "left_semi")
+    known = known.withColumns({"tiles": tiles, "own": F.pmod(F.xxhash64("cls", "n"), tiles).cast("int")})
+    # A row meets the rows of its own tile and of every other, on one side of the pair.
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)) if crossed else F.col("own")
+    rows = known.withColumn("other", other).select(
+        "key", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), (F.col("own") > F.col("other")).cast("int").alias("side"),
+        "cls", "n", "comp_c", "comp_n", "w")
     return rows.join(classes.select("cls", "n", "pts"), ["cls", "n"])
 
 

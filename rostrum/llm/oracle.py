@@ -4,7 +4,43 @@ _STOPS = """'the','of','and','to','in','that','is','with','be','it','for','on','
  'der','die','das','und','den','von','mit','ist','im','für','nicht','ein','eine','zu','des','sich','auf','le','la','les','de','et','en','un','une','que','du',
  'dans','est','pour','qui','par','au','sur','el','los','las','y','del','por','para','una','como','más','su','al','con'"""
 
-ORACLE = {"op6_sharding": r"""
+_PARTS = [("assign", "secret", r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, "length(g) >= 8"),
+          ("access", "identifier", "AKIA[A-Z0-9]+", 0, "length(m) >= 16"), ("hex", "secret", "[0-9a-f]+", 0, "length(m) >= 32"),
+          ("ident", "identifier", r"""(?i:(?:access_?key_?id|client_?id|username|user|login|account)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9_.@+-]{3,})""", 0, "true"),
+          ("phrase", "secret", r"""(?i:(?:pwd|pass|pin|auth|credentials?)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=!@#%-]{4,})""", 0, "true"),
+          ("mixed", "secret", "[A-Za-z0-9+/_-]{20,}", 0, "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]')"),
+          ("endpoint", "endpoint", r"https?://[A-Za-z0-9.:/_-]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5}", 0, "true"),
+          ("", "break", r"\n[\x20\t]*\n", 0, "true")]
+
+
+def _placed(no: int, kind: str, role: str, regex: str, group: int, cond: str) -> str:
+    before = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)"
+    return f"""SELECT doc_id, {no} AS no, '{kind}' AS kind, '{role}' AS role, s AS start, s + length(m) AS stop FROM (
+        SELECT doc_id, ms[i] AS m, gs[i] AS g, {before.format('ps[1:i]')} + {before.format('ms[1:i - 1]')} AS s FROM (
+            SELECT doc_id, ms, gs, ps, unnest(range(1, len(ms) + 1)) AS i FROM (
+                SELECT doc_id, regexp_extract_all(t, '{regex}') AS ms, regexp_extract_all(t, '{regex}', {group}) AS gs, string_split_regex(t, '{regex}') AS ps FROM d)))
+    WHERE {cond}"""
+
+
+def _beside(roles: str) -> str:
+    return (f"EXISTS (SELECT 1 FROM parts y WHERE y.doc_id = x.doc_id AND y.scope = x.scope AND y.role IN ({roles}) "
+            "AND greatest(y.start - x.stop, x.start - y.stop) BETWEEN 0 AND 400)")
+
+
+_SECRETS = f"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ found AS MATERIALIZED ({' UNION ALL '.join(_placed(i, *p) for i, p in enumerate(_PARTS))}),
+ breaks AS (SELECT doc_id, start FROM found WHERE role = 'break'),
+ parts AS MATERIALIZED (SELECT f.*, (SELECT count(*) FROM breaks b WHERE b.doc_id = f.doc_id AND b.start <= f.start) AS scope FROM found f WHERE role <> 'break'),
+ kept AS (SELECT * FROM parts x WHERE no < 3 OR (NOT EXISTS (SELECT 1 FROM parts y WHERE y.doc_id = x.doc_id AND y.no < 3 AND y.start < x.stop AND x.start < y.stop)
+    AND CASE role WHEN 'identifier' THEN {_beside("'secret'")} WHEN 'secret' THEN {_beside("'identifier', 'endpoint'")}
+        ELSE {_beside("'secret'")} AND {_beside("'identifier'")} END)),
+ listed AS (SELECT doc_id, count(*) FILTER (WHERE no = 0) AS n_assign, count(*) FILTER (WHERE no = 1) AS n_access, count(*) FILTER (WHERE no = 2) AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) FILTER (WHERE no < 3) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) AS spans FROM kept GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN listed USING (doc_id)"""
+
+ORACLE = {"op1_secrets": _SECRETS, "op6_sharding": r"""
 WITH RECURSIVE shards AS (SELECT i, printf('shard-%02d', i) AS shard, ('0x' || substr(md5(printf('shard-%02d', i)), 1, 15))::BIGINT % 4099 AS head,
         ('0x' || substr(md5(printf('shard-%02d', i)), 16, 15))::BIGINT % 4098 + 1 AS stride FROM range(16) t(i)),
  turns AS (SELECT 0 AS turn, list_transform(range(4099), lambda x: -1) AS owner
