@@ -14,7 +14,7 @@ from rostrum.session import local_session  # noqa: E402
 
 HEADLINE = ["accepted_first_topn", "result_merge_fuller_title", "relevance_filter", "variant_early_stop", "company_group_people", "company_keys",
             "site_candidates_best", "company_registry_link", "page_links_ranked", "page_text_blocked", "page_leaders", "name_variant_merge",
-            "registry_officers", "registry_index", "profile_link_best", "title_leaders", "source_merge_rows", "fallback_cascade",
+            "registry_officers", "registry_index", "registry_cascade", "company_leaders", "direct_cascade", "profile_link_best", "title_leaders", "source_merge_rows", "fallback_cascade",
             "report_summary", "engine_cooldown", "first_accepted_cutoff", "job_state"]
 
 
