@@ -78,7 +78,9 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     """Weight of each bucket and bias.  Rows are arrays of buckets.  Each step
     takes a batch of both kinds, estimates  prior * P(+) + max(0, U(-) - prior *
     P(-))  (kept from falling below ``-slack * prior``) with the sigmoid loss, and steps by adaptive gradient; buckets whose
-    shares do not differ have no weight.
+    shares do not differ have no weight.  Weights multiply the log ratios, start
+    alike and stay non-negative: the loss is flat far from the boundary, where a
+    feature once turned against its ratio could not come back.
 
     Without positives every text scores 0; without unlabelled rows the prior's
     log odds are the bias."""
@@ -89,7 +91,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     if not unlabelled:
         return np.zeros(1 << BUCKET_BITS), bias
     scale = contrast(positive, unlabelled, prior, least)
-    w, g2 = np.zeros(len(scale)), np.full(len(scale), 1e-2)
+    w, g2 = np.where(scale != 0, 0.1, 0.0), np.full(len(scale), 1e-2)
     positive, unlabelled = ([r[scale[r] != 0] for r in rows] for rows in (positive, unlabelled))
     rng = np.random.default_rng(seed)
     steps = -(-len(unlabelled) // batch)
@@ -109,7 +111,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
             grad = np.bincount(flat, np.repeat(np.concatenate([gp, gu]), np.diff(at)), minlength=len(w)) * scale + decay * w
             used = np.flatnonzero(grad)
             g2[used] += grad[used] ** 2
-            w[used] -= rate * grad[used] / np.sqrt(g2[used])
+            w[used] = np.maximum(w[used] - rate * grad[used] / np.sqrt(g2[used]), 0)
             gb = float(gp.sum() + gu.sum())
             b2 += gb ** 2
             bias -= rate / np.sqrt(b2) * gb
