@@ -10,7 +10,8 @@ count-vector R-trees.
    points bounds the overlap of their sets; an R-tree bounds whole boxes alike.
 3. The trees give every class its best partner by bound in another component
    (at first each class is its own); these pairs are verified on the sets, and
-   verified links merge components.  That is done twice.  Then the trees are
+   verified links merge components, which mostly halves those of a group of
+   near copies each time.  After a few such ``rounds`` the trees are
    searched for all pairs that the bound allows and that still lie in different
    components; these are verified too.  No link that could join two components
    is left out; links inside a component decide nothing.
@@ -34,7 +35,7 @@ from rostrum.operators.components import components
 
 COARSE_BITS, FINE_BITS = 4, 8
 LEAF = 32
-TILE = 2_048
+TILE = 1_024
 BROADCAST_ROWS = 500_000
 
 
@@ -74,20 +75,23 @@ def prefix(s: np.ndarray, percent: int, hot: np.ndarray, sieve: np.ndarray) -> n
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Counts of the set's grams by hash group; two to four grams a group, so
-    that the bound is sharp, until a set has more grams than 256 groups allow."""
-    bits = min(FINE_BITS, max(COARSE_BITS, (len(s) // 4).bit_length()))
+    """Counts of the set's grams by hash group; one or two grams a group, so that
+    the bound is sharp, until a set has more grams than 256 groups allow."""
+    bits = min(FINE_BITS, max(COARSE_BITS, (len(s) // 2).bit_length()))
     return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
 
 def pack_point(p: np.ndarray) -> bytes:
-    """One byte a count where all fit, else four; the first byte tells which."""
-    small = p.max(initial=0) < 256
-    return bytes([int(small)]) + p.astype(np.uint8 if small else np.uint32).tobytes()
+    """Half a byte a count where all fit, else one or four; the first byte tells."""
+    most = p.max(initial=0)
+    if most < 16:
+        return b"\2" + (p[::2] | p[1::2] << 4).astype(np.uint8).tobytes()
+    return b"\1" + p.astype(np.uint8).tobytes() if most < 256 else b"\0" + p.astype(np.uint32).tobytes()
 
 
 def unpack_point(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, np.uint8 if b[0] else np.uint32, offset=1).astype(np.int64)
+    raw = np.frombuffer(b, np.uint8 if b[0] else np.uint32, offset=1)
+    return (np.stack([raw & 15, raw >> 4], 1).ravel() if b[0] == 2 else raw).astype(np.int64)
 
 
 def _folded(p: np.ndarray, bits: int) -> np.ndarray:
@@ -321,7 +325,8 @@ def link(docs: DataFrame, **options) -> DataFrame:
     but give a component no id (null if it has no other).  Repeated rows are
     copies.  ``sample`` and ``often`` only set the order of grams, on which the
     result doesn't depend.  Other columns are not read.  Options are ``k``
-    words a gram, ``percent``, ``sample`` and ``often``.
+    words a gram, ``percent``, ``sample`` and ``often``, and ``rounds`` of best
+    partners, on which only the work of the last search depends.
     """
     return _linked(docs, **options).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
@@ -348,7 +353,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     return kept
 
 
-def _linked(docs: DataFrame, k: int = 5, percent: int = 75, sample: int = 4_096, often: int = 3) -> DataFrame:
+def _linked(docs: DataFrame, k: int = 5, percent: int = 75, sample: int = 4_096, often: int = 3, rounds: int = 3) -> DataFrame:
     """Per row: doc_id, ``mark`` of the text, ``n`` grams, the component as
     (comp_c, comp_n) and by its smallest doc_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -399,7 +404,7 @@ def _linked(docs: DataFrame, k: int = 5, percent: int = 75, sample: int = 4_096,
     one = about.select("cls", "n", F.struct("doc_id", "pts").alias("x")).groupBy("cls", "n").agg(F.min("x").alias("x")).select("cls", "n", "x.*")
     classes = shared_table(one.join(blocks.select("cls", "n").distinct(), ["cls", "n"]))
     found, links = None, None
-    for nearest in (True, True, False):
+    for nearest in [True] * rounds + [False]:
         pairs = _search(_tiled(blocks, classes, found, not nearest), percent, nearest)
         new = _verified(pairs, docs, classes, k, percent)
         links = new if links is None else links.union(new)

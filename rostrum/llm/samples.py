@@ -1,7 +1,6 @@
 """Maps over whole texts, and bounded samples of them for training."""
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -62,8 +61,3 @@ def keep_texts(docs: DataFrame, fn: Callable) -> DataFrame:
                 yield batch.slice(lo, hi - lo).filter(pa.array(fn(data, offsets, powers)))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def crc_fold(doc_id: int, folds: int) -> int:
-    """The remainder of ``fold`` for one id, for tests and small tables."""
-    return zlib.crc32(str(doc_id).encode()) % folds

@@ -94,6 +94,8 @@ def test_bound_is_never_below_the_overlap():
     p, q = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
     overlap = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(p, q)])
     assert (jaccard._fine(tree, tree, p, q) >= overlap).all()
+    for point in (np.arange(16), np.arange(16) * 15, np.arange(16) * 1000, np.ones(256, int)):
+        assert (jaccard.unpack_point(jaccard.pack_point(point)) == point).all()
     for percent in (30, 60, 75):
         found = {tuple(sorted(map(int, x))) for a, b, _ in jaccard.candidate_pairs(tree, tree, percent) for x in zip(a, b)}
         linked = {(int(i), int(j)) for i, j, o in zip(p, q, overlap) if i < j and 100 * o >= percent * (len(sets[i]) + len(sets[j]) - o)}
