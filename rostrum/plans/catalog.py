@@ -459,10 +459,37 @@ def direct_cascade(spark, sf):
     found = extract.leader_from_profile(view(spark, sf, "v_title_hit").where(k == 1).withColumn("headline", F.lit("")).withColumn("card_name", F.lit(""))).withColumn("name_key", P.name_key(F.col("name")))
     fallback = base.where(k > 1).where(k == 2).select("company_id", "name_key", (F.col("pos") % 2).cast("int").alias("source_rank"), "pos", "name", "role",
                                        F.when(F.col("pos") % 2 == 0, vocab.REGISTRY_SOURCE).otherwise(vocab.METASEARCH_SOURCE).alias("source"))
-    lookups = base.select("company_id", "name_key", F.when(F.col("pos") % 3 == 0, F.concat(F.lit("https://in.profiles.example/in/"), "name_key")).alias("url"),
-                          F.when(F.col("pos") % 7 == 1, "limited").alias("outage"), F.lit(True).alias("blocking")).groupBy("company_id", "name_key").agg(
+    return rows.resolve_direct(companies, supplied, found, fallback, _direct_lookups(base))
+
+
+def _direct_lookups(base):
+    return base.select("company_id", "name_key", F.when(F.col("pos") % 3 == 0, F.concat(F.lit("https://in.profiles.example/in/"), "name_key")).alias("url"),
+                       F.when(F.col("pos") % 7 == 1, "limited").alias("outage"), F.lit(True).alias("blocking")).groupBy("company_id", "name_key").agg(
         F.max("url").alias("url"), F.max("outage").alias("outage"), F.max("blocking").alias("blocking"))
-    return rows.resolve_direct(companies, supplied, found, fallback, lookups)
+
+
+def _direct_sources(spark, sf):
+    """Supplied, found and fallback people of every company, less what the nation
+    of its people says: the input list names those of nations 0 and 1, and a
+    company with people of nations 23 and 24 has no search hits.  Headline and
+    card name come from the saved people-search cards."""
+    base = view(spark, sf, "v_person").withColumn("name", F.concat_ws(" ", "fn", "ln")).withColumn("name_key", P.name_key(F.col("name"))).withColumn("pos", F.col("person_id"))
+    supplied = base.where(F.col("c_nationkey") < 2).select("company_id", "name_key", "pos", "name", "role")
+    cards = (people_cards(spark, sf).where(F.col("profile_url").isNotNull()).join(base.select("company_id", F.col("person_id").alias("page_id")), "page_id")
+             .select("company_id", U.profile_slug(F.col("profile_url")).alias("slug"), "headline", F.col("name").alias("card_name")))
+    hits = view(spark, sf, "v_title_hit").join(base.where(F.col("c_nationkey") > 22).select("company_id"), "company_id", "left_anti")
+    hits = hits.withColumn("slug", U.profile_slug(F.col("url"))).join(cards, ["company_id", "slug"], "left").drop("slug")
+    found = extract.leader_from_profile(hits.withColumns({c: F.coalesce(c, F.lit("")) for c in ("headline", "card_name")})).withColumn("name_key", P.name_key(F.col("name")))
+    fallback = base.select("company_id", "name_key", (F.col("pos") % 2).cast("int").alias("source_rank"), "pos", "name", "role",
+                           F.when(F.col("pos") % 2 == 0, vocab.REGISTRY_SOURCE).otherwise(vocab.METASEARCH_SOURCE).alias("source"))
+    return base, supplied, found, fallback
+
+
+@query
+def direct_cascade_whole(spark, sf):
+    """C5 with all sources of all companies, so that they compete."""
+    base, supplied, found, fallback = _direct_sources(spark, sf)
+    return rows.resolve_direct(base.select("company_id", "company_name").distinct(), supplied, found, fallback, _direct_lookups(base))
 
 
 @query

@@ -514,6 +514,26 @@ oracle("direct_cascade", f"""WITH {_DIRECT}, {_TH}, own0 AS (SELECT company_id,
     UNION ALL SELECT company_id, pos, nm, {norm_role('role')}, url, 'ok', 'Profilenet Direct', NULL FROM own WHERE rn = 1)
   SELECT * FROM o UNION ALL SELECT DISTINCT company_id, 0, NULL, NULL, NULL, 'profile_unverified', 'Profilenet Direct',
     'No source names a person of this company; list known people in the input to search for them.' FROM {{v_person}} p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.company_id = p.company_id)""")
+oracle("direct_cascade_whole", f"""WITH kb AS (SELECT *, {name_key('name')} AS name_key FROM (SELECT *, fn || ' ' || ln AS name, person_id AS pos FROM {{v_person}})),
+  look AS (SELECT company_id, name_key, max(CASE WHEN pos % 3 = 0 THEN 'https://in.profiles.example/in/' || name_key END) AS url, max(CASE WHEN pos % 7 = 1 THEN 'limited' END) AS outage FROM kb GROUP BY 1, 2),
+  sup AS (SELECT company_id, name_key, pos, name, role, NULL AS source FROM kb WHERE c_nationkey < 2),
+  th AS (SELECT h.company_id, h.pos, h.url, o.o_orderkey % 6 AS tf, o.o_orderkey % 5 AS sf, p.person_id % 7 IN (0, 6) AND o.o_orderkey % 4 <> 0 AS carded, p.fn || ' ' || p.ln AS nm, p.role
+    FROM {{v_title_hit}} h JOIN {{orders}} o ON h.pos = o.o_orderkey JOIN {{v_person}} p ON o.o_custkey = p.person_id),
+  own0 AS (SELECT *, {name_key('nm')} AS nk FROM th WHERE (carded OR tf = 0 OR (tf IN (1, 2, 4) AND sf IN (1, 2))) AND company_id NOT IN (SELECT company_id FROM sup)
+    AND company_id NOT IN (SELECT company_id FROM {{v_person}} WHERE c_nationkey > 22)),
+  own AS (SELECT *, row_number() OVER (PARTITION BY company_id, nk ORDER BY pos) AS rn FROM own0),
+  last AS (SELECT * FROM kb WHERE company_id NOT IN (SELECT company_id FROM sup) AND company_id NOT IN (SELECT company_id FROM own)),
+  low AS (SELECT company_id, min(pos % 2) AS r FROM last GROUP BY 1),
+  fb0 AS (SELECT last.*, row_number() OVER (PARTITION BY last.company_id, name_key ORDER BY pos) AS rn FROM last JOIN low ON last.company_id = low.company_id AND pos % 2 = r),
+  fb AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY pos) AS n FROM fb0 WHERE rn = 1),
+  asked AS (SELECT * FROM sup UNION ALL SELECT company_id, name_key, pos, name, role, CASE WHEN pos % 2 = 0 THEN 'ZaubaCorp' ELSE 'SearXNG' END FROM fb WHERE n <= 8),
+  al AS (SELECT a.*, look.url AS url0, look.outage AS out0 FROM asked a JOIN look USING (company_id, name_key)),
+  st AS (SELECT company_id, min(pos) AS stop, arg_min(out0, pos) AS why FROM al WHERE out0 IS NOT NULL GROUP BY 1),
+  done AS (SELECT al.*, CASE WHEN coalesce(pos > stop, false) THEN NULL ELSE url0 END AS url, coalesce(pos > stop, false) AS later, why FROM al LEFT JOIN st USING (company_id)),
+  res AS (SELECT *, CASE WHEN url IS NULL THEN CASE WHEN later THEN why ELSE out0 END END AS reason FROM done)
+  SELECT company_id, pos, name AS person_name, role AS designation, url AS profile_url, CASE WHEN url IS NOT NULL THEN 'ok' WHEN reason IS NOT NULL THEN 'search_unavailable' ELSE 'no_profile' END AS status,
+    coalesce(source, 'Profilenet Direct') AS source, reason FROM res
+  UNION ALL SELECT company_id, pos, nm, {norm_role('role')}, url, 'ok', 'Profilenet Direct', NULL FROM own WHERE rn = 1""")
 _LABEL = "coalesce(CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in vocab.STATUS_LABELS.items()) + " END, nullif(status, ''), 'NULL')"
 oracle("report_rows", f"""SELECT coalesce(company_name, 'NULL') AS company_name, coalesce(person_name, 'NULL') AS person_name, coalesce(designation, 'NULL') AS designation, coalesce(profile_url, 'NULL') AS profile_url,
   coalesce(source, 'Official Website') AS source, {_LABEL} AS status, coalesce(din, 'NULL') AS din, coalesce(appointment_date, 'NULL') AS appointment_date, coalesce(source_url, 'NULL') AS source_url,
