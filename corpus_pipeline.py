@@ -31,7 +31,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.sample(docs, MIX, MIX_RATE).where("sampled").select(*docs.columns)
+    return mixing.sample(docs, MIX, MIX_RATE, keep_unlisted=True).where("sampled").select(*docs.columns)
 
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,15 +48,20 @@ def cells_of(docs: DataFrame, topic: Column | None = None) -> DataFrame:
     return celled.groupBy("_cell").agg(F.count("*").alias("n_docs"), F.sum(token_count(F.coalesce("text", F.lit("")))).alias("tokens")).select("_cell.*", "n_docs", "tokens")
 
 
-def _target(cells: DataFrame, dim: str, wanted: dict[str, float]) -> Column:
+def _target(cells: DataFrame, dim: str, wanted: dict[str, float], keep_unlisted: bool = False) -> Column:
     """Share of each value: the listed one, or its natural part of what the
-    list leaves over; normalised over the values that have tokens."""
+    list leaves over; normalised over the values that have tokens.  A list
+    that leaves nothing over gives the others 0; with ``keep_unlisted`` they
+    keep their natural share of all tokens and the listed ones divide the rest,
+    so that only a listed 0 drops documents."""
     named = sum(wanted.values())
     left = max(0.0, 1 - named)
     sums = cells.groupBy(dim).agg(F.sum("tokens").alias("t")).where("t > 0")
     listed = F.create_map(*[x for k, v in wanted.items() for x in (F.lit(k), F.lit(float(v)))])[F.col(dim)] if wanted else F.lit(None).cast("double")
-    have, rest = sums.agg(F.sum(listed), F.sum(F.when(listed.isNull(), F.col("t")))).first()
+    have, rest, total = sums.agg(F.sum(listed), F.sum(F.when(listed.isNull(), F.col("t"))), F.sum("t")).first()
     have, rest = have or 0.0, rest or 0
+    if keep_unlisted and rest and left < 1e-9:  # shares that add up to 1 but for rounding leave nothing
+        left = have * rest / (total - rest) if have and total > rest else 1.0
     whole = have + (left if rest else 0.0)
     if not whole:
         return F.lit(0.0)
@@ -64,7 +69,7 @@ def _target(cells: DataFrame, dim: str, wanted: dict[str, float]) -> Column:
     return F.coalesce(listed, F.lit(left / rest if rest else 0.0) * natural) / F.lit(whole)
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]], tolerance: float = 1e-6, batch: int = 4, most: int = 50) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]], tolerance: float = 1e-6, batch: int = 4, most: int = 50, keep_unlisted: bool = False) -> DataFrame:
     """``cells`` with ``weight``: tokens raked to the targets by dimension.
 
     Each step scales every value of one dimension to its target; one round does
@@ -75,7 +80,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], tolerance: floa
     target 0 gets no weight.  Cells without tokens keep weight 0.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    shares = {d: _target(cells, d, targets.get(d, {})) for d in DIMS}
+    shares = {d: _target(cells, d, targets.get(d, {}), keep_unlisted) for d in DIMS}
     state = shared_table(cells.select("*", F.col("tokens").cast("double").alias("weight"), *[(s * total).alias(f"to_{d}") for d, s in shares.items()]))
     for _ in range(most if total else 0):
         for _ in range(batch):
@@ -116,7 +121,7 @@ def calibrate(raked: DataFrame, rate: float, points: int = 48, passes: int = 4)
     return cells.withColumn("probability", F.round(F.least(F.lit(1.0), F.col("ratio") * scale), 9)).drop("ratio")
 
 
-def sample(docs: DataFrame, targets: dict[str, dict[str, float]], rate: float, topic: Column | None = None, seed: int = 0) -> DataFrame:
+def sample(docs: DataFrame, targets: dict[str, dict[str, float]], rate: float, topic: Column | None = None, seed: int = 0, keep_unlisted: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with ``topic``, ``probability`` and
     ``sampled`` (replacing columns of these names).
 
@@ -124,9 +129,11 @@ def sample(docs: DataFrame, targets: dict[str, dict[str, float]], rate: float, t
     empty.  Rows without tokens share their cell's probability (1 in a cell
     without any tokens).  The draw depends on the doc_id and the seed alone (on
     the text where doc_id is null), so repeated ids stay or go together and a
-    second run draws alike.  An empty table stays empty.
+    second run draws alike.  An empty table stays empty.  Documents of a value
+    that the targets don't list are dropped if the listed shares add up to 1,
+    unless ``keep_unlisted`` leaves such values their natural share.
     """
-    cells = shared_table(calibrate(rake(shared_table(cells_of(docs, topic)), targets), rate))
+    cells = shared_table(calibrate(rake(shared_table(cells_of(docs, topic)), targets, keep_unlisted=keep_unlisted), rate))
     drawn = (F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit("")))))
              .bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53)))
     named = cells.select(F.struct(*DIMS).alias("_cell"), F.col("probability").alias("_p"))

@@ -50,13 +50,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, filters).select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-#: Wanted shares of tokens; values that are not listed share the rest as they come.
+#: Wanted shares of tokens; values that are not listed share the rest as they come, or keep their natural share where nothing is left.
 MIX = {"source": {"src0": 0.1}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}, "topic": {"prose": 0.85}}
 MIX_RATE = 0.5
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.sample(table(spark, sf_dir, "documents"), MIX, MIX_RATE)
+    mixed = mixing.sample(table(spark, sf_dir, "documents"), MIX, MIX_RATE, keep_unlisted=True)
     return mixed.select("doc_id", "source", "lang", "topic", "probability", "sampled")
 
 
