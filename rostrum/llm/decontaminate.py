@@ -44,16 +44,38 @@ class TestBlock:
             ok = self.length > j
             rows[ok, j] = words.hash[at[ok] + j]
         packed, first, which = np.unique(rows, axis=0, return_index=True, return_inverse=True) if len(at) else (rows, at, at)
-        self.rows, self.row_at, self.row_length = packed, at[first], self.length[first]
+        self.rows, self.row_length = packed, self.length[first]
         order = np.argsort(which.ravel(), kind="stable")
         names = np.array([None if ids[t] is None else str(ids[t]) for t in text[at]], object)[order] if len(at) else np.zeros(0, object)
         self.items = [sorted({x for x in part if x is not None}) for part in np.split(names, np.searchsorted(which.ravel()[order], np.arange(1, len(packed))))] if len(packed) else []
+        # All test positions of each window, in the order of the words that follow.
+        place = np.lexsort([_suffix_ranks(words.hash, room)[at], which.ravel()]) if len(at) else at
+        self.places = at[place]
+        self.row_first = np.searchsorted(which.ravel()[place], np.arange(len(packed) + 1))
+        listed = sorted({str(x) for x in ids if x is not None})
+        number = {x: i for i, x in enumerate(listed)}
+        self.listed = listed
+        self.place_item = np.array([len(listed) if ids[t] is None else number[str(ids[t])] for t in text[self.places]], np.int64)
         self.depth = min(3, int(self.row_length.min())) if len(packed) else 0
         self.heads = np.unique(grams.row_hash([packed[:, j] for j in range(self.depth)])) if self.depth else np.zeros(0, np.uint64)
         self.sieve = np.zeros(1 << _FILTER_BITS, bool)
         self.sieve[self.heads >> np.uint64(64 - _FILTER_BITS)] = True
 
 
+def _suffix_ranks(h: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Rank of each word position by the words from it to the end of its item
+    (the end comes before any word), by doubling the length compared."""
+    rank = np.unique(h, return_inverse=True)[1].ravel().astype(np.int64) + 1
+    step, n = 1, len(h)
+    while step < room.max(initial=0) and rank.max() < n:
+        after = np.where(room > step, rank[np.minimum(np.arange(n) + step, n - 1)], 0)
+        order = np.lexsort([after, rank])
+        new = np.concatenate([[1], (np.diff(rank[order]) != 0) | (np.diff(after[order]) != 0)]).astype(np.int64)
+        rank[order] = np.cumsum(new)
+        step *= 2
+    return rank
+
+
 def _suffix_array(words: grams.Words, room: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.ndarray]:
     """Positions that share the first words of a test suffix, in the order of
     the words that follow, and those words (0 past the end of the text)."""
@@ -102,18 +124,47 @@ def _occurrences(words: grams.Words, room: np.ndarray, block: TestBlock) -> tupl
     return at[lo[which] + inner], which
 
 
-def _extend(words: grams.Words, room: np.ndarray, block: TestBlock, pos: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Length of the verbatim match from each occurrence on."""
-    test = block.row_at[which]
+def _common(words: grams.Words, room: np.ndarray, block: TestBlock, pos: np.ndarray, place: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Equal words from each position and test place on, ``known`` of which are."""
+    test = block.places[place]
     most = np.minimum(room[pos], block.room[test])
-    length, live = block.row_length[which].astype(np.int64), np.arange(len(pos))
+    length, live = np.array(known, np.int64), np.arange(len(pos))
     while len(live := live[length[live] < most[live]]):
-        same = words.hash[pos[live] + length[live]] == block.words[test[live] + length[live]]
-        live = live[same]
+        live = live[words.hash[pos[live] + length[live]] == block.words[test[live] + length[live]]]
         length[live] += 1
     return length
 
 
+def _extend(words: grams.Words, room: np.ndarray, block: TestBlock, pos: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Length of the longest verbatim match from each occurrence on, with any
+    test place of its window: the places are in order, so the best one is next
+    to where the document's words would be put in."""
+    lo, hi = block.row_first[which].copy(), block.row_first[which + 1].copy()
+    base = block.row_length[which].astype(np.int64)
+    low, high = base.copy(), base.copy()  # words shared with the place before lo and with the one at hi
+    while len(live := np.flatnonzero(lo < hi)):
+        mid = (lo[live] + hi[live]) >> 1
+        n = _common(words, room, block, pos[live], mid, np.minimum(low[live], high[live]))
+        test = block.places[mid]
+        text_left, test_left = room[pos[live]] > n, block.room[test] > n
+        a = words.hash[np.minimum(pos[live] + n, len(words.hash) - 1)]
+        b = block.words[np.minimum(test + n, len(block.words) - 1)]
+        right = text_left & (~test_left | (a > b))
+        lo[live[right]], low[live[right]] = mid[right] + 1, n[right]
+        hi[live[~right]], high[live[~right]] = mid[~right], n[~right]
+    return np.maximum(low, high)
+
+
+def _least_item(words: grams.Words, room: np.ndarray, block: TestBlock, pos: int, which: int, length: int) -> str | None:
+    """Smallest item of the test places whose match has this length."""
+    place = np.arange(block.row_first[which], block.row_first[which + 1])
+    place = place[block.room[block.places[place]] >= length]
+    for k in range(int(block.row_length[which]), length):
+        place = place[block.words[block.places[place] + k] == words.hash[pos + k]]
+    least = block.place_item[place].min()
+    return block.listed[least] if least < len(block.listed) else None
+
+
 def search(data: np.ndarray, offsets: np.ndarray, blocks: list, powers: grams.Powers) -> dict[str, list]:
     """Matches of one shard of texts with all test blocks."""
     words = grams.Words(grams.LOWER[data], offsets, grams.ALNUM, powers)
@@ -133,8 +184,12 @@ def search(data: np.ndarray, offsets: np.ndarray, blocks: list, powers: grams.Po
         order = np.lexsort([pos, -length, text[pos]])
         for i in order[np.flatnonzero(np.diff(text[pos][order], prepend=-1))]:
             t = text[pos[i]]
-            if length[i] > longest[t][0]:
-                longest[t] = (int(length[i]), int(pos[i] - words.first[t]), min(block.items[which[i]], default=None))
+            n, at = int(length[i]), int(pos[i] - words.first[t])
+            if (n, -at) >= (longest[t][0], -(longest[t][1] or 0)):
+                item, held = _least_item(words, room, block, pos[i], which[i], n), longest[t]
+                if (n, at) == held[:2] and held[2] is not None and (item is None or held[2] < item):
+                    item = held[2]
+                longest[t] = (n, at, item)
     covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)]) if len(words.hash) else np.zeros(1, np.int64)
     return {"n_words": words.counts.tolist(), "n_hit": (covered[words.first[1:]] - covered[words.first[:-1]]).tolist(),
             "items": [sorted(x) for x in items], "longest_words": [x[0] for x in longest],
