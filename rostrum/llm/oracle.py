@@ -96,4 +96,9 @@ WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower_az, '[^\x00-\x2F\x3A-\
  n AS (SELECT doc_id, count(*) AS n_words FROM d GROUP BY doc_id)
 SELECT x.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(n_words, 0) AS contaminated
-FROM documents x LEFT JOIN n USING (doc_id) LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)"""}
+FROM documents x LEFT JOIN n USING (doc_id) LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)""",
+          "op11_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+ f AS (SELECT t, min(page_id) AS low FROM p WHERE strlen(t) >= 100 GROUP BY t)
+SELECT page_id, strlen(t) AS payload_bytes, sha256(t) AS payload_digest, CASE WHEN low < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN low < page_id THEN low END AS refers_to, true AS intact FROM p LEFT JOIN f USING (t)"""}

@@ -4,20 +4,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below ``spark.checkpoint.dir`` and read again,
-    so that what follows neither recomputes it nor loses it with an executor.
-    A session on one machine without that setting gets a scratch folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, kind: str = "table") -> str:
+    """A new path below ``spark.checkpoint.dir``.  A session on one machine
+    without that setting gets a scratch folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="rostrum-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/rostrum-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/rostrum-{kind}-{uuid.uuid4().hex}"
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again, so that
+    what follows neither recomputes it nor loses it with an executor."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
