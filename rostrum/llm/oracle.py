@@ -40,6 +40,16 @@ _SECRETS = f"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FR
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN listed USING (doc_id)"""
 
+# CRC-32 of the UTF-8 bytes of a string, from its rule.
+_CRC = """crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl)"""
+
+
+def _crc(text: str) -> str:
+    codes = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(c >> 8, tbl[xor(c, b) % 256 + 1])), 4294967295)"
+
+
 ORACLE = {"op1_secrets": _SECRETS, "op6_sharding": r"""
 WITH RECURSIVE shards AS (SELECT i, printf('shard-%02d', i) AS shard, ('0x' || substr(md5(printf('shard-%02d', i)), 1, 15))::BIGINT % 4099 AS head,
         ('0x' || substr(md5(printf('shard-%02d', i)), 16, 15))::BIGINT % 4098 + 1 AS stride FROM range(16) t(i)),
@@ -101,4 +111,20 @@ FROM documents x LEFT JOIN n USING (doc_id) LEFT JOIN hits USING (doc_id) LEFT J
 WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
  f AS (SELECT t, min(page_id) AS low FROM p WHERE strlen(t) >= 100 GROUP BY t)
 SELECT page_id, strlen(t) AS payload_bytes, sha256(t) AS payload_digest, CASE WHEN low < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN low < page_id THEN low END AS refers_to, true AS intact FROM p LEFT JOIN f USING (t)"""}
+       CASE WHEN low < page_id THEN low END AS refers_to, true AS intact FROM p LEFT JOIN f USING (t)""",
+          "op12_importance": rf"""
+WITH {_CRC},
+ d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+ q AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+ dw AS (SELECT doc_id, unnest(ws) AS w FROM d),
+ hashed AS (SELECT w, {_crc('w')} % 10000 AS b FROM (SELECT w FROM dw UNION SELECT w FROM q), crc_table),
+ src AS (SELECT b, count(*) AS n FROM dw JOIN hashed USING (w) GROUP BY b), tgt AS (SELECT b, count(*) AS n FROM q JOIN hashed USING (w) GROUP BY b),
+ alls AS (SELECT (SELECT count(*) FROM dw) AS s_all, (SELECT count(*) FROM q) AS t_all),
+ gain AS (SELECT x.b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * (t_all + 10000)))) AS g
+    FROM (SELECT unnest(range(10000)) AS b) x LEFT JOIN src s USING (b) LEFT JOIN tgt t USING (b), alls),
+ weighed AS (SELECT doc_id, sum(g) AS total FROM dw JOIN hashed USING (w) JOIN gain USING (b) GROUP BY doc_id),
+ scored AS (SELECT doc_id, len(ws) AS n_features, coalesce(floor(total / len(ws)), 0)::BIGINT AS weight,
+        coalesce(floor(total / len(ws)), 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0)))::BIGINT AS score
+    FROM d LEFT JOIN weighed USING (doc_id)),
+ placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM scored LEFT JOIN placed USING (doc_id)"""}
