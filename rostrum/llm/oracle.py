@@ -127,4 +127,17 @@ WITH {_CRC},
         coalesce(floor(total / len(ws)), 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0)))::BIGINT AS score
     FROM d LEFT JOIN weighed USING (doc_id)),
  placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
-SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM scored LEFT JOIN placed USING (doc_id)"""}
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM scored LEFT JOIN placed USING (doc_id)""",
+          "op13_prefix_trie": rf"""
+WITH {_CRC},
+ t AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+ h AS (SELECT conv_id, ts, {_crc('conv_id::VARCHAR')} % 6 AS h FROM t, crc_table),
+ r AS (SELECT h.conv_id, list_concat(t.ts[1:h], h.ts[h + 1:]) AS s FROM h LEFT JOIN t ON t.conv_id = h.conv_id - h.conv_id % 100),
+ m AS (SELECT conv_id, d, s[1:d] AS p, len(s) = d AS ends FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM r)),
+ n AS (SELECT p, d, min(conv_id) AS low, count(*) AS n, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends) AS e FROM m GROUP BY p, d),
+ k AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS k FROM n WHERE d > 0 GROUP BY ALL),
+ u AS (SELECT p[1:a] AS p, a AS d, sum(CASE WHEN leaf THEN 1 ELSE 0 END) AS leaves, sum(own) AS saved
+    FROM (SELECT n.p, unnest(range(n.d + 1)) AS a, k.k IS NULL AS leaf, CASE WHEN n.d = 0 THEN 0 ELSE (n - 1) * length(n.p[n.d].x) END AS own FROM n LEFT JOIN k ON k.d = n.d AND k.p = n.p) GROUP BY ALL)
+SELECT n.low AS conv_id, n.d AS depth, up.low AS parent_conv_id, n.n AS n_convs, coalesce(k.k, 0) AS n_children, u.leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens,
+       sha256(coalesce(n.e, '')) AS ends_sha256
+FROM n JOIN u ON u.d = n.d AND u.p = n.p LEFT JOIN k ON k.d = n.d AND k.p = n.p LEFT JOIN n up ON up.d = n.d - 1 AND up.p = n.p[1:n.d - 1]"""}

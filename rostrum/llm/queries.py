@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import decontaminate, embeddings, importance, jaccard, language_id, mixing, quality_rules, secrets, sharding, token_counts, toxicity, warc
+from rostrum.llm import decontaminate, embeddings, importance, jaccard, language_id, mixing, prefix_trie, quality_rules, secrets, sharding, token_counts, toxicity, warc
 from rostrum.llm.samples import fold
 
 
@@ -96,4 +96,8 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_quality_classifier": op2_quality_classifier, "op3_toxicity": op3_toxicity, "op4_language_id": op4_language_id, "op5_mixing": op5_mixing, "op6_sharding": op6_sharding, "op7_quality_rules": op7_quality_rules, "op8_jaccard_join": op8_jaccard_join, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination, "op11_warc": op11_warc, "op12_importance": op12_importance}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_quality_classifier": op2_quality_classifier, "op3_toxicity": op3_toxicity, "op4_language_id": op4_language_id, "op5_mixing": op5_mixing, "op6_sharding": op6_sharding, "op7_quality_rules": op7_quality_rules, "op8_jaccard_join": op8_jaccard_join, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination, "op11_warc": op11_warc, "op12_importance": op12_importance, "op13_prefix_trie": op13_prefix_trie}
