@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.llm import grams, samples
-from rostrum.llm.store import shared_table
+from rostrum.llm.store import shared_table, shuffles_removed
 from rostrum.operators.components import components
 
 COARSE_BITS, FINE_BITS = 4, 8
@@ -364,34 +364,21 @@ def _linked(docs: DataFrame, k: int = 5, percent: int = 75, sample: int = 4_096,
     held = spark.sparkContext.broadcast((hot, np.packbits(sieve)))
 
     def describe(batches):
-        powers = grams.Powers()
+        powers, told = grams.Powers(), set()
+        often_, sieve_ = held.value[0], np.unpackbits(held.value[1]).astype(bool)
         for batch in batches:
             for lo, hi, data, offsets in grams.chunks(batch.column("text")):
                 sets = text_sets(data, offsets, powers, k)
+                named = [(digest(s), len(s)) for s in sets]
+                # A copy in the same task adds no member to any block.
+                first = [prefix(s, percent, often_, sieve_).view(np.int64) if len(s) and x not in told and not told.add(x) else None for s, x in zip(sets, named)]
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "mark")], pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()),
-                     pa.array([pack_point(point(s)) for s in sets], pa.binary())], names=["doc_id", "mark", "n", "cls", "pts"])
+                    [*[batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "mark")], pa.array([n for _, n in named], pa.int64()), pa.array([d for d, _ in named], pa.int64()),
+                     pa.array([pack_point(point(s)) for s in sets], pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "mark", "n", "cls", "pts", "first"])
 
-    def first_grams(batches):
-        powers, told = grams.Powers(), set()
-        often_, sieve_ = held.value[0], np.unpackbits(held.value[1]).astype(bool)
-        for batch in batches:
-            for _, _, data, offsets in grams.chunks(batch.column("text")):
-                keys, cls, sizes = [], [], []
-                for s in text_sets(data, offsets, powers, k):
-                    if len(s) and (d := (digest(s), len(s))) not in told:
-                        told.add(d)
-                        keys.append(prefix(s, percent, often_, sieve_))
-                        cls.append(d[0])
-                        sizes.append(d[1])
-                if keys:
-                    times = [len(x) for x in keys]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(cls, np.int64), times)),
-                                                      pa.array(np.repeat(np.array(sizes, np.int64), times))], names=["key", "cls", "n"])
-
-    about = shared_table(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(describe, "doc_id bigint, mark bigint, n bigint, cls bigint, pts binary"))
+    about = shared_table(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(describe, "doc_id bigint, mark bigint, n bigint, cls bigint, pts binary, first array<bigint>"))
     by_key = Window.partitionBy("key")
-    keyed = docs.select("text").mapInArrow(first_grams, "key bigint, cls bigint, n bigint")
+    keyed = about.select(F.explode("first").alias("key"), "cls", "n")
     ends = keyed.select("*", F.min("cls").over(by_key).alias("lo"), F.max("cls").over(by_key).alias("hi"))
     members = ends.where("lo <> hi").dropDuplicates(["key", "cls", "n"])
     members = members.select("*", F.count("*").over(by_key).alias("m"), F.expr("bit_xor(xxhash64(cls, n)) over (partition by key)").alias("mark"))
@@ -408,8 +395,9 @@ def _linked(docs: DataFrame, k: int = 5, percent: int = 75, sample: int = 4_096,
         pairs = _search(_tiled(blocks, classes, found, not nearest), percent, nearest)
         new = _verified(pairs, docs, classes, k, percent)
         links = new if links is None else links.union(new)
-        found = _components(links)
-    return _named(about.drop("pts"), found)
+        with shuffles_removed(spark):
+            found = _components(links)
+    return _named(about.drop("pts", "first"), found)
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
