@@ -12,7 +12,7 @@ from rostrum.functions import people as P
 from rostrum.functions import relevance as R
 from rostrum.functions import text as T
 from rostrum.functions import urls as U
-from rostrum.operators import extract, links, profiles, queries as Q, registry, report, results, rows, sites
+from rostrum.operators import extract, links, profiles, queries as Q, registry, registry_link, report, results, rows, sites
 from rostrum.plans.inputs import view
 from rostrum.session import cut_lineage
 from rostrum.sources import cells, markup, model_output, search_json
@@ -178,6 +178,17 @@ def company_registry_link(spark, sf):
     return registry.best_candidate(registry.match_candidates(view(spark, sf, "v_company"), cand)).select("company_id", "cin", "candidate_name", "score", "confidence")
 
 
+@query
+def registry_name_pairs(spark, sf):
+    mine = registry_link.comparable_names(view(spark, sf, "v_company"), "company_name")
+    return registry_link.accepted_pairs(mine, registry_link.comparable_names(view(spark, sf, "v_registry"), "registry_name"))
+
+
+@query
+def company_registry_whole(spark, sf):
+    return registry_link.registry_entries(view(spark, sf, "v_company").select("company_id", "company_name"), view(spark, sf, "v_registry"))
+
+
 # --- pages ----------------------------------------------------------------------------------------
 @query
 def page_links_ranked(spark, sf):

@@ -98,6 +98,14 @@ SELECT c.company_id, l.l_orderkey * 8 + l.l_linenumber AS pos,
       WHEN 2 THEN o.company_name ELSE c.p_name || ' - Zauba Corp' END AS title
 FROM {lineitem} l JOIN {v_company} c ON l.l_partkey = c.company_id JOIN {v_company} o ON l.l_suppkey = o.company_id"""
 
+VIEWS["v_registry"] = f"""
+SELECT 'R' || lpad(CAST(p_partkey AS STRING), 8, '0') AS registry_id, upper(CASE CAST(p_partkey % 6 AS INT)
+    WHEN 0 THEN p_name || ' private limited' WHEN 1 THEN replace(p_name, 'e', 'ee') || ' ltd' WHEN 2 THEN 'new ' || p_name || ' industries llp'
+    WHEN 3 THEN replace(p_name, 'r', '') || ' services' WHEN 4 THEN p_name || ' ' || {FIELD.format(k='p_size')} || ' (india) limited'
+    ELSE split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) END) AS registry_name FROM {{part}}
+UNION ALL
+SELECT 'S' || lpad(CAST(s_suppkey AS STRING), 8, '0') AS registry_id, replace(s_name, '#', ' ') || ' Trading Pvt Ltd' AS registry_name FROM {{supplier}}"""
+
 # --- input sheet ---------------------------------------------------------------------------
 VIEWS["v_sheet"] = f"""
 SELECT o_orderkey + 3 AS row_no, CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN ' ' || f || '  Foods Ltd' WHEN 1 THEN upper(f || ' Foods Ltd') ELSE f || ' Foods Ltd' END AS company,
