@@ -325,8 +325,8 @@ def link(docs: DataFrame, **options) -> DataFrame:
     but give a component no id (null if it has no other).  Repeated rows are
     copies.  ``sample`` and ``often`` only set the order of grams, on which the
     result doesn't depend.  Other columns are not read.  Options are ``k``
-    words a gram, ``percent``, ``sample`` and ``often``, and ``rounds`` of best
-    partners, on which only the work of the last search depends.
+    words a gram, ``percent``, ``sample`` and ``often``, and the most ``rounds`` of
+    best partners, on which only the work of the last search depends.
     """
     return _linked(docs, **options).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
@@ -390,13 +390,18 @@ def _linked(docs: DataFrame, k: int = 5, percent: int = 75, sample: int = 4_096,
     # One text of each class in a block stands for it.
     one = about.select("cls", "n", F.struct("doc_id", "pts").alias("x")).groupBy("cls", "n").agg(F.min("x").alias("x")).select("cls", "n", "x.*")
     classes = shared_table(one.join(blocks.select("cls", "n").distinct(), ["cls", "n"]))
-    found, links = None, None
-    for nearest in [True] * rounds + [False]:
+    found, links, before, left = None, None, None, rounds
+    while left >= 0:
+        nearest = left > 0
         pairs = _search(_tiled(blocks, classes, found, not nearest), percent, nearest)
         new = _verified(pairs, docs, classes, k, percent)
         links = new if links is None else links.union(new)
         with shuffles_removed(spark):
             found = _components(links)
+        n_new = new.count() if left > 1 else 0
+        # Groups of near copies still halve; where links get few, another round of partners saves nothing.
+        left = 0 if nearest and before is not None and 4 * n_new < before else left - 1
+        before = n_new
     return _named(about.drop("pts", "first"), found)
 
 
