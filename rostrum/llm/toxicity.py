@@ -20,7 +20,8 @@ HEADS = (3, 4, 5, 6)
 
 
 def features(data: np.ndarray, offsets: np.ndarray, powers: grams.Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and bucket of every feature; a word of a text counts once."""
+    """Text number and bucket of every feature, in order; a bucket counts once a
+    text, however many words lead to it.  Training and scoring both use this."""
     data = grams.LOWER[data]
     words = grams.Words(data, offsets, grams.ALNUM, powers)
     text, shift = words.text_of(), np.uint64(64 - BUCKET_BITS)
@@ -40,7 +41,8 @@ def features(data: np.ndarray, offsets: np.ndarray, powers: grams.Powers) -> tup
         ok = stop - start >= n
         texts.append(text[ok])
         buckets.append(part(start[ok], n, n))
-    return np.concatenate(texts), np.concatenate(buckets).astype(np.int64)
+    seen = np.unique(np.concatenate(texts) << BUCKET_BITS | np.concatenate(buckets).astype(np.int64))
+    return seen >> BUCKET_BITS, seen & ((1 << BUCKET_BITS) - 1)
 
 
 def _sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,9 +122,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 
 def _pack(data, offsets, powers) -> dict[str, list[bytes]]:
     text, bucket = features(data, offsets, powers)
-    seen = np.unique(text << BUCKET_BITS | bucket)
-    cut = np.searchsorted(seen >> BUCKET_BITS, np.arange(1, len(offsets) - 1))
-    return {"buckets": [x.astype(np.uint32).tobytes() for x in np.split(seen & ((1 << BUCKET_BITS) - 1), cut)]}
+    return {"buckets": [x.astype(np.uint32).tobytes() for x in np.split(bucket, np.searchsorted(text, np.arange(1, len(offsets) - 1)))]}
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_positive: int = 4_000,
