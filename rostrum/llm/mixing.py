@@ -34,18 +34,17 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def _celled(docs: DataFrame, topic: Column | None) -> DataFrame:
-    """The cell of each row, beside its own columns."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.withColumn("_cell", F.struct(F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"),
-                                             F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"),
-                                             F.coalesce(topic if topic is not None else topic_of(text), F.lit(NONE)).alias("topic")))
+def _cell(topic: Column | None) -> Column:
+    """The cell of a row of documents."""
+    own = topic if topic is not None else topic_of(F.coalesce("text", F.lit("")))
+    return F.struct(F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"),
+                    F.coalesce(own, F.lit(NONE)).alias("topic"))
 
 
 def cells_of(docs: DataFrame, topic: Column | None = None) -> DataFrame:
     """Rows and tokens of each cell, combined before the shuffle."""
-    celled = _celled(docs.select("source", "lang", "text"), topic)
-    return celled.groupBy("_cell").agg(F.count("*").alias("n_docs"), F.sum(token_count(F.coalesce("text", F.lit("")))).alias("tokens")).select("_cell.*", "n_docs", "tokens")
+    celled = docs.select(_cell(topic).alias("cell"), token_count(F.coalesce("text", F.lit(""))).alias("n"))
+    return celled.groupBy("cell").agg(F.count("*").alias("n_docs"), F.sum("n").alias("tokens")).select("cell.*", "n_docs", "tokens")
 
 
 def _target(cells: DataFrame, dim: str, wanted: dict[str, float], keep_unlisted: bool = False) -> Column:
@@ -136,12 +135,13 @@ def sample(docs: DataFrame, targets: dict[str, dict[str, float]], rate: float, t
     cells = shared_table(calibrate(rake(shared_table(cells_of(docs, topic)), targets, keep_unlisted=keep_unlisted), rate))
     drawn = (F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit("")))))
              .bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53)))
-    named = cells.select(F.struct(*DIMS).alias("_cell"), F.col("probability").alias("_p"))
-    rows = _celled(docs, topic).withColumn("_draw", drawn)
+    named = cells.select(F.struct(*DIMS).alias("cell"), "probability")
+    # The row is one value, so that no column of it can have the name of one made here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _cell(topic).alias("cell"), drawn.alias("draw"),
+                       F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int").alias("salt"))
     if cells.count() <= BROADCAST_CELLS:
-        joined = rows.join(F.broadcast(named), "_cell")
+        joined = rows.join(F.broadcast(named), "cell")
     else:  # a cell may hold a third of all rows: deal it out
-        salted = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")).join(salted, ["_cell", "_salt"])
-    rest = [c for c in docs.columns if c not in ("topic", "probability", "sampled")]
-    return joined.select(*rest, F.col("_cell.topic").alias("topic"), F.col("_p").alias("probability"), (F.col("_draw") < F.col("_p")).alias("sampled"))
+        joined = rows.join(named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["cell", "salt"])
+    rest = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("topic", "probability", "sampled")]
+    return joined.select(*rest, F.col("cell.topic").alias("topic"), "probability", (F.col("draw") < F.col("probability")).alias("sampled"))

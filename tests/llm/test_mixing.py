@@ -97,3 +97,11 @@ def test_edges(spark):
     assert only == {1: 1.0, 2: 0.0}
     own = mixing.sample(docs, {"topic": {"x": 0.5}}, 1.0, F.lit("x"))
     assert {r.topic for r in own.collect()} == {"x"}
+
+
+def test_columns_with_the_names_used_inside(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 1, 2, 3, 4, 5, "x.y"), (2, "c", "de", "s", 1, 2, 3, 4, 5, "z")],
+                                 "doc_id long, text string, lang string, source string, _p int, _cell int, row int, cell int, salt int, `a.b` string")
+    got = mixing.sample(docs, {"lang": {"en": 0.5, "de": 0.5}}, 1.0)
+    assert got.columns == [*docs.columns, "topic", "probability", "sampled"]
+    assert sorted(tuple(r)[:10] for r in got.collect()) == sorted(tuple(r) for r in docs.collect())
