@@ -241,7 +241,7 @@ def _end_hashes(ends: DataFrame) -> DataFrame:
     return listed.repartition("key").sortWithinPartitions("key", "chunk").select("key", "ids").mapInArrow(run, "key string, sha string")
 
 
-def nodes(members: DataFrame, limit: int = 4096) -> DataFrame:
+def nodes(members: DataFrame, limit: int = 512) -> DataFrame:
     """Nodes of the trie over ``members`` (conv_id, ids, sizes; conv_id is
     unique): smallest member, depth, parent's smallest member, members,
     children, childless nodes of the subtree, tokens saved in the subtree, and
@@ -288,7 +288,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def prefix_trie(turns: DataFrame, limit: int = 4096) -> DataFrame:
+def prefix_trie(turns: DataFrame, limit: int = 512) -> DataFrame:
     """Trie nodes of ``turns`` (conv_id, turn, role, text), whose conversations
     are first given the opening turns of the first one of their hundred.  Null,
     repeated and tied turns: see :func:`sequences`; an exact copy of a row is a
