@@ -194,7 +194,7 @@ def company_registry_whole(spark, sf):
 def page_links_ranked(spark, sf):
     pages = view(spark, sf, "v_page").select("page_id", "url", F.replace("html", F.lit("</ul></nav>"), F.lit(
         '<li><a href="/our-team/">Our Team</a></li><li><a href="leadership?x=1#top">Leadership</a></li><li><a href="/blog/board">Board news</a></li></ul></nav>')).alias("html"))
-    found = links.ranked_links(markup.anchors(pages))
+    found = links.ranked_links(markup.anchors(pages), text_chars=80)
     return links.top_links(found).select("page_id", "rank", "url", "text", "score")
 
 
@@ -219,7 +219,7 @@ def html_blocks(spark, sf):
 def anchor_snippets(spark, sf):
     pages = view(spark, sf, "v_page")
     card = Q.fill('<div class="hit"><p><a href="{u}">Team page {i}</a></p><p>Who runs the company, who sits on its board and since when they do so</p></div></body>', u=F.col("url"), i=F.col("page_id").cast("string"))
-    return markup.anchor_snippets(pages.select("page_id", F.concat(F.regexp_replace("html", "(?s)<footer>.*$", ""), card).alias("html")))
+    return markup.anchor_snippets(pages.select("page_id", F.concat(F.regexp_replace("html", "(?s)<footer>.*$", ""), card).alias("html")), snippet_chars=300)
 
 
 @query

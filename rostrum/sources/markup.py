@@ -32,6 +32,10 @@ NOISE_ROLE = {"navigation", "banner", "contentinfo", "search"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 NAME_TAGS = HEADINGS | {"strong", "b", "a", "span", "p", "div", "td", "figcaption", "dt"}
 CARD_CHARS = 400
+#: Elements whose content is no part of the page for a browser that runs scripts.
+INERT = frozenset({"script", "style", "template", "noscript", "textarea", "iframe"})
+#: An open anchor in one of these is not closed by an anchor inside it.
+ANCHOR_SCOPE = {"td", "th", "caption", "object", "button", "template", "html", "body"}
 
 
 class _Page(HTMLParser):
@@ -77,6 +81,8 @@ class _Page(HTMLParser):
             return
         if tag in CLOSES_P:
             self._end_open({"p"}, SCOPE | {"td", "th", "li"})
+        if tag == "a":
+            self._end_open({"a"}, ANCHOR_SCOPE)
         if tag in SIBLING_END:
             self._end_open(SIBLING_END[tag], SCOPE - ({"table"} if tag == "tbody" else set()))
         self.tag.append(tag)
@@ -162,22 +168,22 @@ def page_text(html: Column, max_chars: int | None = None) -> Column:
 
 
 def anchors(pages: DataFrame) -> DataFrame:
-    """SRC8, regex form: every ``<a href=...>`` with its plain text.  The address
-    may stand in either kind of quotes or in none; the text may be of any length."""
-    whole = r"(?is)<a(?:\s[^>]*)?\shref\s*=[^>]*>.*?</a\s*>"
-    head = r"""(?is)^<a(?:\s[^>]*?)?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*))"""
-    pairs = F.transform(F.regexp_extract_all("html", F.lit(whole), F.lit(0)), lambda a: F.struct(
-        F.concat(*[F.regexp_extract(a, head, i) for i in (1, 2, 3)]).alias("href"),
-        F.regexp_replace(F.regexp_replace(a, r"(?is)^<a\s[^>]*>", ""), r"(?i)</a\s*>$", "").alias("inner")))
-    found = T.once(pages.select("page_id", "url", "html"), pairs=pairs)
-    return (found.select("page_id", "url", F.posexplode("pairs").alias("pos", "a"))
-            .select("page_id", F.col("url").alias("base"), "pos", F.col("a.href").alias("href"),
-                    T.squash(T.decode_entities(F.regexp_replace("a.inner", "<[^>]+>", " "))).alias("text")))
-
-
-def anchor_snippets(pages: DataFrame) -> DataFrame:
+    """SRC8: every ``<a>`` with an address, with its plain text; tags inside it
+    count as spaces.  An anchor ends at its end tag, at the next anchor, with the
+    element around it or with the page, so unclosed and nested ones all count."""
+    def rows(rec):
+        page = _Page(rec["html"], INERT)
+        found = (i for i, tag in enumerate(page.tag) if tag == "a" and "href" in page.attrs[i])
+        for pos, i in enumerate(found):
+            yield pos, page.attrs[i]["href"].strip(), " ".join(" ".join(page.text[page.start[i]:page.end[i]]).split())
+
+    return _pages_to(pages.select("page_id", F.col("url").alias("base"), "html"), rows, "page_id BIGINT, base STRING, pos INT, href STRING, text STRING", ["page_id", "base"])
+
+
+def anchor_snippets(pages: DataFrame, snippet_chars: int | None = None, title_chars: tuple[int, int] = (6, 200)) -> DataFrame:
     """SRC8, ancestor form: snippet from the nearest of four ancestors whose text
-    is over forty characters longer than the title."""
+    is over forty characters longer than the title.  Titles have a length within
+    ``title_chars``; ``snippet_chars`` cuts the snippet, which is whole by default."""
     def rows(rec):
         page, pos = _Page(rec["html"]), 0
         for i, tag in enumerate(page.tag):
@@ -185,10 +191,10 @@ def anchor_snippets(pages: DataFrame) -> DataFrame:
             if tag != "a" or not re.match("https?:", href, re.I):
                 continue
             title = " ".join(page.raw(i).split())
-            if not 6 <= len(title) <= 200:
+            if not title_chars[0] <= len(title) <= title_chars[1]:
                 continue
             near = (" ".join(page.raw(j).split()) for j in list(page.up(page.parent[i]))[:4])
-            yield pos, href, title, next((t[:300] for t in near if len(t) > len(title) + 40), "")
+            yield pos, href, title, next((t[:snippet_chars] for t in near if len(t) > len(title) + 40), "")
             pos += 1
 
     html = with_separators(F.regexp_replace("html", r"(?i)<br\s*/?>", " "))
