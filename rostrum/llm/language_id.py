@@ -107,19 +107,25 @@ def votes(filters: Filters, data: np.ndarray, offsets: np.ndarray, powers: grams
     return np.clip(share, 0, 1), n_letters
 
 
+#: Parts in which the learning rows of a language are first ordered.
+PARTS = 8
+
+
 def fit(docs: DataFrame, learn: Column, max_rows: int = 1_000, least: int = 3, within: float = 40.0, bits: int = SLOT_BITS) -> Filters:
     """Filters from at most ``max_rows`` texts of each language for which
     ``learn`` holds.  A language contains an n-gram that occurs ``least`` times
     in its texts, not more than ``within`` times rarer than in any language.
     Rows without language or text teach nothing; of rows that repeat an id the
-    least text does.  Up to 1,000 rows Spark cuts each task's part of a language
-    before the shuffle."""
+    least text does."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(learn)
     langs = sorted(r[0] for r in known.select("lang").distinct().collect())
     if not langs:
         return build([], [])
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("doc_id", "lang", order.alias("k")).where(F.col("k") <= max_rows).select("doc_id", "lang").distinct()
+    # First in a few parts of each language, so that no task orders a whole language.
+    place = F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "doc_id"))
+    ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.pmod(F.hash("doc_id"), F.lit(PARTS)).alias("part")).withColumn("k", place).where(F.col("k") <= max_rows)
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    ids = ids.withColumn("k", order).where(F.col("k") <= max_rows).select("doc_id", "lang").distinct()
     picked = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     picked = picked.select("lang", "text")
 
