@@ -47,11 +47,14 @@ def read_csv_cells(spark, path: str, width: int | None = None, multi_line: bool
     return lines.select("row_no", F.explode(cells).alias("c")).select("row_no", "c.*").where("value is not null")
 
 
-def header_layout(cells: DataFrame) -> DataFrame:
-    """SRC2. At most one row: ``header_row, company_col, person_col, role_col``.
+def header_layout(cells: DataFrame, by: str | None = None) -> DataFrame:
+    """SRC2. At most one row: ``header_row, company_col, person_col, role_col``;
+    with ``by``, the column that tells many lists apart, one of each.
 
     Only the first five rows are read, so this side is bounded by their width.
     """
+    if by:
+        return _layouts(cells, by)
     top = cells.where(F.col("row_no") <= HEADER_ROWS).withColumn("h", F.lower(squash(F.col("value"))))
     row = (top.where(F.col("h").isin(COMPANY_HEADERS)).groupBy("row_no").agg(F.max("col_no").alias("company_col"))
            .agg(F.min(F.struct("row_no", "company_col")).alias("r")).where(F.col("r").isNotNull()).select("r.*"))
@@ -65,23 +68,41 @@ def header_layout(cells: DataFrame) -> DataFrame:
         first_of(PERSON_HEADERS).alias("person_col"), first_of(ROLE_HEADERS).alias("role_col"))
 
 
-def sheet_rows(cells: DataFrame) -> DataFrame:
-    """SRC1 + F10: usable ``(row_no, company, person, role)`` input rows."""
-    layout = F.broadcast(header_layout(cells).withColumn("sheet", F.lit(1)))  # one row
+def _layouts(cells: DataFrame, by: str) -> DataFrame:
+    top = cells.where(F.col("row_no") <= HEADER_ROWS).select(by, "row_no", "col_no", F.lower(squash(F.col("value"))).alias("h"))
+    at = F.max_by("col_no", F.struct(-F.col("row_no"), "col_no")).alias("company_col")  # last one of the first row
+    row = top.where(F.col("h").isin(COMPANY_HEADERS)).groupBy(by).agg(F.min("row_no").alias("header_row"), at)
+
+    def first_of(headers: list[str]) -> Column:
+        rank = F.array_position(F.array(*[F.lit(h) for h in headers]), F.col("h"))
+        return F.min(F.when(rank > 0, F.struct(rank.alias("rank"), "col_no")))["col_no"]
+
+    named = top.join(row, by).where(F.col("row_no") == F.col("header_row"))
+    return named.groupBy(by, "header_row", "company_col").agg(first_of(PERSON_HEADERS).alias("person_col"), first_of(ROLE_HEADERS).alias("role_col"))
+
+
+def sheet_rows(cells: DataFrame, by: str | None = None) -> DataFrame:
+    """SRC1 + F10: usable ``(row_no, company, person, role)`` input rows; with
+    ``by``, the rows of many lists, each by its own header, and that column."""
+    keys = [by, "row_no"] if by else ["row_no"]
     value = squash(F.col("value"))
-    joined = cells.withColumn("value", value).withColumn("sheet", F.lit(1)).join(layout, "sheet", "left")
+    if by:
+        joined = cells.withColumn("value", value).join(header_layout(cells, by), by, "left")
+    else:
+        layout = F.broadcast(header_layout(cells).withColumn("sheet", F.lit(1)))  # one row
+        joined = cells.withColumn("value", value).withColumn("sheet", F.lit(1)).join(layout, "sheet", "left")
     known = F.col("company_col").isNotNull()
 
     def pick(col: str) -> Column:
         return F.max(F.when(F.col("col_no") == F.col(col), F.col("value")))
 
     first = F.min_by("value", F.when(~known & (F.col("value") != "") & (F.col("col_no") <= FIRST_COLUMNS), F.col("col_no")))
-    rows = (joined.where(~known | (F.col("row_no") > F.col("header_row"))).groupBy("row_no")
+    rows = (joined.where(~known | (F.col("row_no") > F.col("header_row"))).groupBy(*keys)
             .agg(F.coalesce(pick("company_col"), first).alias("company"), pick("person_col").alias("person"), pick("role_col").alias("role")))
     person = F.col("person")
     usable = F.length(person).between(2, 150) & ~person.rlike(r"^(?i)(?:null|n/?a|not found)$")
     return (rows.where(F.length("company").between(2, 150) & ~F.col("company").rlike(r"^(?i)compan(?:y|ies)\s*name?$"))
-            .select("row_no", "company", F.when(usable, person).alias("person"),
+            .select(*keys, "company", F.when(usable, person).alias("person"),
                     F.when(usable, F.coalesce("role", F.lit(""))).alias("role")))
 
 
