@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum import vocab
+from rostrum.sources.sheets import write_workbooks
 
 
 def _or_null_text(c: str) -> Column:
@@ -34,7 +35,10 @@ def report_rows(rows: DataFrame) -> DataFrame:
 
 
 def write_report(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """SNK1 sink: one file per task, partition-parallel."""
+    """SNK1 sink: one file per task, partition-parallel; ``workbooks`` gives
+    containers with the report's own headings."""
+    if fmt == "workbooks":
+        return write_workbooks(report_rows(rows).toDF(*vocab.REPORT_HEADINGS), path, vocab.REPORT_SHEET)
     report_rows(rows).write.mode("errorifexists").option("header", True).format(fmt).save(path)
 
 

@@ -14,8 +14,8 @@ from rostrum.functions import text as T
 from rostrum.functions import urls as U
 from rostrum.operators import extract, links, profiles, queries as Q, registry, registry_link, report, results, rows, sites
 from rostrum.plans.inputs import view
-from rostrum.session import cut_lineage
-from rostrum.sources import cells, markup, model_output, search_json
+from rostrum.session import cut_lineage, shared_folder
+from rostrum.sources import cells, markup, model_output, search_json, sheets
 from rostrum.streaming import arrivals, health, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -508,6 +508,25 @@ def report_rows(spark, sf):
     return report.report_rows(view(spark, sf, "v_row"))
 
 
+@query
+def report_workbooks(spark, sf):
+    """The report written as workbooks and read back, cell by cell."""
+    path = shared_folder(spark, "report")
+    report.write_report(view(spark, sf, "v_row"), path, "workbooks")
+    found = sheets.read_workbooks(spark, path).where("row_no > 1")
+    names = ["company_name", "person_name", "designation", "profile_url", "source", "status", "din", "appointment_date", "source_url", "reason"]
+    cell = [F.coalesce(F.max(F.when(F.col("col_no") == i + 1, F.col("value"))), F.lit("")).alias(n) for i, n in enumerate(names)]
+    return found.groupBy("file", "row_no").agg(*cell).drop("file", "row_no")
+
+
+@query
+def report_as_input(spark, sf):
+    """Exported reports as the next run's input lists: each file by its own header."""
+    path = shared_folder(spark, "report")
+    report.write_report(view(spark, sf, "v_row"), path, "workbooks")
+    return cells.sheet_rows(sheets.read_workbooks(spark, path), "file").select("company", "person", "role")
+
+
 @query
 def report_summary(spark, sf):
     return report.summary(view(spark, sf, "v_row"))

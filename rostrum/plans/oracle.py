@@ -550,6 +550,12 @@ _LABEL = "coalesce(CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in
 oracle("report_rows", f"""SELECT coalesce(company_name, 'NULL') AS company_name, coalesce(person_name, 'NULL') AS person_name, coalesce(designation, 'NULL') AS designation, coalesce(profile_url, 'NULL') AS profile_url,
   coalesce(source, 'Official Website') AS source, {_LABEL} AS status, coalesce(din, 'NULL') AS din, coalesce(appointment_date, 'NULL') AS appointment_date, coalesce(source_url, 'NULL') AS source_url,
   coalesce(reason, '') AS reason FROM {{v_row}}""")
+oracle("report_workbooks", f"""SELECT coalesce(company_name, 'NULL') AS company_name, coalesce(person_name, 'NULL') AS person_name, coalesce(designation, 'NULL') AS designation, coalesce(profile_url, 'NULL') AS profile_url,
+  coalesce(source, 'Official Website') AS source, {_LABEL} AS status, coalesce(din, 'NULL') AS din, coalesce(appointment_date, 'NULL') AS appointment_date, coalesce(source_url, 'NULL') AS source_url,
+  coalesce(reason, '') AS reason FROM {{v_row}}""")
+oracle("report_as_input", f"""WITH r AS (SELECT {squash("coalesce(company_name, 'NULL')")} AS company, {squash("coalesce(person_name, 'NULL')")} AS p, {squash("coalesce(designation, 'NULL')")} AS d FROM {{v_row}}),
+  u AS (SELECT *, length(p) BETWEEN 2 AND 150 AND NOT regexp_matches(p, '^(?i)(?:null|n/?a|not found)$') AS usable FROM r WHERE length(company) BETWEEN 2 AND 150)
+  SELECT company, CASE WHEN usable THEN p END AS person, CASE WHEN usable THEN d END AS role FROM u""")
 oracle("report_summary", f"""WITH t AS (SELECT 'totals' AS section, 'Total Companies' AS metric, count(DISTINCT company_name) AS value, 1 AS ord FROM {{v_row}}
   UNION ALL SELECT 'totals', 'Rows With People Found', count(person_name), 2 FROM {{v_row}}
   UNION ALL SELECT 'totals', 'Rows With Profilenet Found', count(*) FILTER (WHERE person_name IS NOT NULL AND profile_url IS NOT NULL), 3 FROM {{v_row}}),

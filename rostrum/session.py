@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,14 @@ def local_session(cpus: str = "8", memory: str = "12g", name: str = "rostrum") -
     return spark
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new path below ``spark.checkpoint.dir``, under the rule of :func:`cut_lineage`."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{(root or tempfile.mkdtemp(prefix='rostrum-shared-')).rstrip('/')}/rostrum-{kind}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
 
