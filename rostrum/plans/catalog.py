@@ -419,11 +419,30 @@ def people_cards(spark, sf):
             .when(k == 5, "<p>hm</p>").otherwise(card))
     pages = p.select(F.col("person_id").alias("page_id"), F.lit("https://www.profiles.example/search/results/people/").alias("url"), F.when(k == 6, 500).otherwise(200).alias("http_status"),
                      F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
-    found = markup.people_cards(pages)
+    found = extract.read_cards(markup.people_cards(pages))
     people = extract.card_people(found)
     return (extract.people_page_class(pages, found).join(people.select("page_id", F.col("url").alias("profile_url"), "name", "headline", "designation"), "page_id", "left"))
 
 
+@query
+def workspace_cards(spark, sf):
+    """The same people in the layout with generated class names: whole cards, cards
+    whose name leads elsewhere, mixed evidence, shells, members without a name."""
+    p, k = view(spark, sf, "v_person"), F.col("person_id") % 6
+    parts = dict(a=F.lower("fn"), b=F.lower("ln"), f=F.col("fn"), l=F.col("ln"), r=F.col("role"), c=F.col("company_name"))
+    whole = '<div role="listitem"><a href="/in/{a}-{b}/"></a><div><p><a href="/in/%s/?x=1">%s</a> · 2nd</p><div><p>{r} at {c}</p></div><div><p>Current: {r}<br>Past: Analyst</p></div>%s</div><button>Connect</button></div>'
+    body = (F.when(k == 1, Q.fill(whole % ("somebody-else", "{f} {l}", ""), **parts))
+            .when(k == 2, Q.fill(whole % ("{a}-{b}", "{f} {l}", '<p><a href="/in/somebody-else">Else</a></p>'), **parts))
+            .when(k == 3, Q.fill(whole % ("{a}-{b}", "", ""), **parts)).when(k == 4, F.lit(f'<div role="listitem"><p>{vocab.PROFILE_NAME} Member</p></div>'))
+            .otherwise(Q.fill(whole % ("{a}-{b}", "{f} {l}", "") + '<div role="listitem"><p>advert</p></div>', **parts)))
+    html = F.concat(F.lit('<main id="workspace"><p><a href="/in/own-account">Own Account</a></p><div data-testid="lazy-column"><div role="list">'), body,
+                    F.lit('</div></div><div role="list"><div role="listitem"><p><a href="/in/other">Other</a></p></div></div></main>'))
+    pages = p.select(F.col("person_id").alias("page_id"), F.lit("https://www.profiles.example/search/results/people/").alias("url"), F.lit(200).alias("http_status"), html.alias("html"))
+    read = extract.read_cards(markup.people_cards(pages))
+    people = extract.card_people(read).select("page_id", F.col("url").alias("profile_url"), "name", "headline", "designation", "snippet")
+    return extract.people_page_class(pages, read).join(people, "page_id", "left")
+
+
 # --- result rows -----------------------------------------------------------------------------------------------
 @query
 def source_priority(spark, sf):

@@ -367,37 +367,93 @@ TITLE_VIEW = "search-result-lockup-title"
 HEADLINE_CLASSES = {"entity-result__primary-subtitle", "search-result__snippets"}
 HEADLINE_VIEW = "search-result-lockup-subtitle"
 HIDDEN_CLASSES = {"visually-hidden", "sr-only", "entity-result__badge", "entity-result__insights"}
+#: The generated-class layout is known by its ancestors only: (attribute, value), outermost first.
+WORKSPACE_PATH = [("id", "workspace"), ("data-testid", "lazy-column"), ("role", "list"), ("role", "listitem")]
+LINE_TAGS = {"p", "div", "li", "h1", "h2", "h3", "h4"}
+
+
+class _Lines:
+    """Visible text of any element as lines, from tables made once a page:
+    ``hider`` is the nearest hidden element at or above each one, ``ends`` maps
+    a text position where a line ends to the least hider of what ends it there."""
+
+    def __init__(self, page: _Page):
+        self.page, self.hider, self.ends = page, [], {}
+        for j, up in enumerate(page.parent):
+            hidden = set(page.classes(j)) & HIDDEN_CLASSES or "hidden" in page.attrs[j]
+            self.hider.append(j if hidden else self.hider[up] if up >= 0 else -1)
+            for at in (page.start[j], page.end[j]) if page.tag[j] in LINE_TAGS or page.tag[j] == "br" else ():
+                self.ends[at] = min(self.ends.get(at, len(page.tag)), self.hider[j])
+
+    def of(self, i: int) -> list[str]:
+        """Different lines in order, without what is hidden inside ``i``."""
+        page, out = self.page, [""]
+        for t in range(page.start[i], page.end[i]):
+            if self.ends.get(t, i + 1) <= i:
+                out.append("")
+            if page.owner[t] < 0 or self.hider[page.owner[t]] <= i:
+                out[-1] += page.text[t]
+        flat = (" ".join(x.split()) for part in out for x in re.split("[\r\n]+", part))
+        return list(dict.fromkeys(x for x in flat if x))
+
+
+def _outermost(page: _Page) -> list[tuple[int, bool]]:
+    """Cards that are in no other card, and whether they are of the workspace
+    layout; one pass over the elements in document order."""
+    found, level, end = [], [], -1
+    for j, up in enumerate(page.parent):
+        above, attrs = level[up] if up >= 0 else 0, page.attrs[j]
+        key, value = WORKSPACE_PATH[above]
+        fits = attrs.get(key) == value and (above or page.tag[j] == "main")
+        workspace = fits and above == len(WORKSPACE_PATH) - 1
+        level.append(above + 1 if fits and not workspace else above)
+        card = workspace or set(page.classes(j)) & CARD_CLASSES or attrs.get("data-view-name") == CARD_VIEW or re.match(
+            "urn:li:(member|fsd_profile):", attrs.get("data-chameleon-result-urn", ""))
+        if card and j > end:
+            found.append((j, bool(workspace)))
+            end = page.last[j]
+    return found
 
 
 def people_cards(pages: DataFrame) -> DataFrame:
-    """SRC14, markup half: one row per result card with its link, name, headline
-    and the text lines found inside that card only."""
-    def lines(page, i):
-        hidden = [(j, page.last[j]) for j in page.inside(i) if set(page.classes(j)) & HIDDEN_CLASSES or "hidden" in page.attrs[j]]
-        out, owner = [], None
-        for t, o in zip(page.text[page.start[i]:page.end[i]], page.owner[page.start[i]:page.end[i]]):
-            if any(a <= o <= b for a, b in hidden):
-                continue
-            block = next((j for j in page.up(o) if page.tag[j] in HEADINGS | {"p", "div", "li"}), -1)
-            if block != owner:
-                out.append("")
-                owner = block
-            out[-1] += t
-        flat = [" ".join(x.split()) for part in out for x in part.split("\n")]
-        return list(dict.fromkeys(x for x in flat if x))
+    """SRC14, markup half: one row per outermost result card.  ``options`` are
+    the links that may name the person, ``roots`` the parts of the card that
+    may be evidence for one (``options.root`` counts into them), ``hrefs`` all links
+    of the card; ``hidden`` marks a member without a name.  Work grows with the
+    page; evidence comes from inside the card only."""
+    def shown(page, lines, j):
+        return " ".join(lines.of(next((k for k in page.inside(j) if page.tag[k] == "span" and page.attrs[k].get("aria-hidden") == "true"), j)))
 
     def rows(rec):
         page = _Page(rec["html"], frozenset({"script", "style", "button", "svg", "template"}))
-        cards = [i for i in range(len(page.tag)) if set(page.classes(i)) & CARD_CLASSES or page.attrs[i].get("data-view-name") == CARD_VIEW
-                 or re.match("urn:li:(member|fsd_profile):", page.attrs[i].get("data-chameleon-result-urn", ""))]
-        for n, c in enumerate(c for c in cards if not any(o != c and o <= c <= page.last[o] for o in cards)):
+        lines = _Lines(page)
+        for n, (c, workspace) in enumerate(_outermost(page)):
             links = [j for j in page.inside(c) if page.tag[j] == "a" and "href" in page.attrs[j]]
-            marked = [j for j in links if page.attrs[j].get("data-view-name") == TITLE_VIEW or any(
-                set(page.classes(k)) & TITLE_CLASSES or page.attrs[k].get("data-view-name") == TITLE_VIEW for k in page.up(j) if k >= c)]
-            options = [(page.attrs[j]["href"], " ".join(lines(page, next(
-                (k for k in page.inside(j) if page.tag[k] == "span" and page.attrs[k].get("aria-hidden") == "true"), j)))) for j in marked[:1] + links]
-            head = next((j for j in page.inside(c) if set(page.classes(j)) & HEADLINE_CLASSES or page.attrs[j].get("data-view-name") == HEADLINE_VIEW), -1)
-            yield n, [o[0] for o in options], [o[1] for o in options], " ".join(lines(page, head)) if head >= 0 else "", "\n".join(lines(page, c))
-
-    return _pages_to(pages.select("page_id", "html"), rows,
-                     "page_id BIGINT, card_no INT, hrefs ARRAY<STRING>, names ARRAY<STRING>, headline STRING, evidence STRING", ["page_id"])
+            options, roots = [], {}
+            if workspace:
+                heads = {}
+                for j in links:
+                    p = next((k for k in page.up(j) if page.tag[k] == "p" or k <= c), c)
+                    if p <= c:
+                        continue
+                    if p not in heads:  # the paragraph of the division right behind the name
+                        behind = page.last[p] + 1
+                        is_next = behind < len(page.tag) and page.parent[behind] == page.parent[p] and page.tag[behind] == "div"
+                        head = next((k for k in page.inside(behind) if page.tag[k] == "p"), -1) if is_next else -1
+                        heads[p] = " ".join(lines.of(head)) if head >= 0 else ""
+                    root = roots.setdefault(page.parent[p], len(roots))
+                    options.append({"href": page.attrs[j]["href"], "name": shown(page, lines, j), "headline": heads[p], "root": root, "titled": False})
+            else:
+                roots[c] = 0
+                head = next((j for j in page.inside(c) if set(page.classes(j)) & HEADLINE_CLASSES or page.attrs[j].get("data-view-name") == HEADLINE_VIEW), -1)
+                headline = " ".join(lines.of(head)) if head >= 0 else ""
+                title = next((j for j in links if page.attrs[j].get("data-view-name") == TITLE_VIEW or any(
+                    set(page.classes(k)) & TITLE_CLASSES or page.attrs[k].get("data-view-name") == TITLE_VIEW for k in page.up(j) if k >= c)), None)
+                options = [{"href": page.attrs[j]["href"], "name": shown(page, lines, j), "headline": headline, "root": 0, "titled": titled}
+                           for j, titled in [(title, True)] * (title is not None) + [(j, False) for j in links]]
+            parts = [{"evidence": "\n".join(lines.of(r)), "hrefs": [page.attrs[j]["href"] for j in links if r < j <= page.last[r]]} for r in roots]
+            hidden = bool(re.search(rf"{re.escape(vocab.PROFILE_NAME)}\s+member", page.raw(c), re.I))
+            yield n, workspace, hidden, options, parts, [page.attrs[j]["href"] for j in links]
+
+    return _pages_to(pages.select("page_id", "html"), rows, """page_id BIGINT, card_no INT, workspace BOOLEAN, hidden BOOLEAN,
+        options ARRAY<STRUCT<href: STRING, name: STRING, headline: STRING, root: INT, titled: BOOLEAN>>, roots ARRAY<STRUCT<evidence: STRING, hrefs: ARRAY<STRING>>>, hrefs ARRAY<STRING>""", ["page_id"])
