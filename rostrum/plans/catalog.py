@@ -619,6 +619,15 @@ def job_log_tail(spark, sf):
     return jobs.log_tail(view(spark, sf, "v_job_event"), 5).select("job_id", "event_id", "back")
 
 
+@query
+def job_event_payloads(spark, sf):
+    """Job events as JSON payloads, some broken, read as VARIANT and folded."""
+    e = view(spark, sf, "v_job_event")
+    whole = F.to_json(F.struct("type", "status", "done", "total", "person", "url", F.lit("line").alias("message")))
+    raw = e.select("job_id", "ts", "event_id", F.when(F.col("event_id") % 11 == 0, F.lit('{"type":')).when(F.col("event_id") % 11 == 1, F.lit('{"type": "progress", "done": "many"}')).otherwise(whole).alias("payload"))
+    return jobs.job_state(jobs.read_events(raw))
+
+
 @query
 def partial_run(spark, sf):
     e = view(spark, sf, "v_job_event")

@@ -605,6 +605,12 @@ oracle("job_state", """WITH a AS (SELECT job_id, coalesce(arg_max(status, struct
     coalesce(arg_max(done, struct_pack(a := ts, b := event_id)) FILTER (WHERE type = 'progress'), 0) AS done, max(total) AS total,
     count(*) FILTER (WHERE type = 'row' AND person IS NOT NULL) AS people_rows, count(*) FILTER (WHERE type = 'row' AND person IS NOT NULL AND url IS NOT NULL) AS profile_rows FROM {v_job_event} GROUP BY 1)
   SELECT *, CAST(CASE WHEN status = 'done' THEN 100 ELSE least(99, round(coalesce(done / total, 0.0) * 100)) END AS INT) AS percent FROM a""")
+oracle("job_event_payloads", """WITH e AS (SELECT job_id, {struct_ts} AS o, CASE event_id % 11 WHEN 0 THEN NULL WHEN 1 THEN 'progress' ELSE type END AS type, CASE WHEN event_id % 11 > 1 THEN status END AS status,
+    CASE WHEN event_id % 11 > 1 THEN done END AS done, CASE WHEN event_id % 11 > 1 THEN total END AS total, CASE WHEN event_id % 11 > 1 THEN person END AS person, CASE WHEN event_id % 11 > 1 THEN url END AS url FROM {v_job_event}),
+  a AS (SELECT job_id, coalesce(arg_max(status, o) FILTER (WHERE type = 'state' AND status IN ('done', 'error', 'cancelled')), arg_max(status, o) FILTER (WHERE type = 'state'), 'queued') AS status,
+    coalesce(arg_max_null(done, o) FILTER (WHERE type = 'progress'), 0) AS done, max(total) FILTER (WHERE type = 'progress') AS total,
+    count(*) FILTER (WHERE type = 'row' AND person IS NOT NULL) AS people_rows, count(*) FILTER (WHERE type = 'row' AND person IS NOT NULL AND url IS NOT NULL) AS profile_rows FROM e GROUP BY 1)
+  SELECT *, CAST(CASE WHEN status = 'done' THEN 100 ELSE least(99, round(coalesce(done / total, 0.0) * 100)) END AS INT) AS percent FROM a""".replace("{struct_ts}", "struct_pack(a := ts, b := event_id)"))
 oracle("job_log_tail", """WITH l AS (SELECT job_id, event_id, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS back FROM {v_job_event} WHERE type = 'log')
   SELECT job_id, event_id, CAST(back AS INT) AS back FROM l WHERE back <= 5""")
 oracle("partial_run", """WITH c AS (SELECT job_id, min(ts) AS cut FROM {v_job_event} WHERE status = 'cancelled' GROUP BY 1)
