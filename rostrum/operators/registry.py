@@ -52,24 +52,33 @@ def best_candidate(matched: DataFrame) -> DataFrame:
             .agg(F.max_by(row, F.struct("match.score", (-F.col("pos")).alias("p"))).alias("b")).select("company_id", "b.*"))
 
 
-def registry_outcome(companies: DataFrame, web: DataFrame, site: DataFrame, pages: DataFrame,
-                     page_officers: DataFrame, indexed_officers: DataFrame, followup_officers: DataFrame) -> tuple[DataFrame, DataFrame]:
+def registry_outcome(companies: DataFrame, web: DataFrame, site: DataFrame, pages: DataFrame, page_officers: DataFrame,
+                     indexed_officers: DataFrame, followup_officers: DataFrame, outages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """C7. Returns ``(officers, outcome)``.
 
     ``web`` / ``site``: matched candidates from web search and the registry's own
     search; ``pages(company_id, section_present)``: loaded registry pages; the
     three officer tables share ``(company_id, pos, person_name, ...)``.
     A page with a section is final even when it names nobody.
+
+    ``outages(company_id, step, message)`` says which searches were down: ``web``
+    (no candidates and no indexed results come from it), ``site`` or ``officers``
+    (the follow-up query).  An outage counts only where the cascade asks that
+    search; ``unavailable`` marks companies whose answer is missing because of
+    one of the web searches.  Of repeated outages of a step the least message counts.
     """
-    best_web = best_candidate(web)
-    best = best_web.unionByName(best_candidate(site).join(best_web, "company_id", "left_anti"))
-    any_candidate = web.select("company_id").union(site.select("company_id")).distinct().withColumn("any_candidate", F.lit(True))
+    down = _outages(companies, outages)
+    best_web = best_candidate(_up(web, down, "web"))
+    best = best_web.unionByName(best_candidate(_up(site, down, "site")).join(best_web, "company_id", "left_anti"))
+    any_candidate = (_up(web, down, "web").select("company_id").union(_up(site, down, "site").select("company_id")).distinct()
+                     .withColumn("any_candidate", F.lit(True)))
     loaded = pages.groupBy("company_id").agg(F.max("section_present").alias("section_present"))
 
     def stage(df: DataFrame, rank: int) -> DataFrame:
         return df.withColumn("stage", F.lit(rank))
 
-    pool = (stage(page_officers, 1).unionByName(stage(indexed_officers, 2)).unionByName(stage(followup_officers, 3))
+    told = [stage(page_officers, 1), stage(_up(indexed_officers, down, "web"), 2), stage(_up(followup_officers, down, "officers"), 3)]
+    pool = (told[0].unionByName(told[1], allowMissingColumns=True).unionByName(told[2], allowMissingColumns=True)
             .join(best.select("company_id"), "company_id", "left_semi").join(loaded, "company_id", "left")
             .where((F.col("stage") == 1) | ~F.coalesce("section_present", F.lit(False))))
     first_stage = pool.groupBy("company_id").agg(F.min("stage").alias("stage"))
@@ -77,12 +86,40 @@ def registry_outcome(companies: DataFrame, web: DataFrame, site: DataFrame, page
     outcome = (companies.select("company_id").join(any_candidate, "company_id", "left")
                .join(best.select("company_id", "url", "candidate_name", "confidence"), "company_id", "left")
                .join(loaded, "company_id", "left").join(first_stage, "company_id", "left"))
-    reason = (F.when(F.col("url").isNull() & F.col("any_candidate"), "Company match confidence too low")
-              .when(F.col("url").isNull(), "ZaubaCorp page not found")
-              .when(F.col("stage").isNotNull(), "")
+    if down is not None:
+        outcome = outcome.join(down, "company_id", "left")
+    web_down, site_down, officers_down = (F.col(f"{step}_down") if down is not None else F.lit(None).cast("string") for step in OUTAGE_STEPS)
+    lost, named = F.col("url").isNull(), F.col("stage").isNotNull()
+    open_page = ~F.coalesce("section_present", F.lit(False))
+    no_site = F.concat(F.lit("ZaubaCorp site search could not be loaded: "), site_down)
+    reason = (F.when(lost & web_down.isNotNull(), F.concat_ws("; ", F.concat(F.lit("ZaubaCorp company search could not recover after: "), web_down), no_site))
+              .when(lost & site_down.isNotNull(), no_site)
+              .when(lost & F.col("any_candidate"), "Company match confidence too low")
+              .when(lost, "ZaubaCorp page not found")
+              .when(named, "")
+              .when(open_page & officers_down.isNotNull(), F.concat(F.lit("ZaubaCorp company matched, but director information could not be recovered: "), officers_down))
               .when(F.col("section_present").isNotNull(), "Directors unavailable")
               .otherwise("ZaubaCorp page could not be loaded; indexed results did not identify directors"))
+    unavailable = (lost & web_down.isNotNull()) | (~lost & ~named & open_page & officers_down.isNotNull())
     return officers, outcome.select("company_id", F.concat("url", F.lit(f"#{vocab.REGISTRY_SECTION}")).alias("page_url"),
                                     F.col("candidate_name").alias("matched_name"),
                                     F.coalesce("confidence", F.lit("none")).alias("confidence"),
-                                    F.col("stage").isNotNull().alias("ok"), reason.alias("reason"))
+                                    named.alias("ok"), reason.alias("reason"), unavailable.alias("unavailable"))
+
+
+#: Searches of the registry cascade that can be down.
+OUTAGE_STEPS = ("web", "site", "officers")
+
+
+def _outages(companies: DataFrame, outages: DataFrame | None) -> DataFrame | None:
+    """One row per company with the message of each step that was down."""
+    if outages is None:
+        return None
+    said = F.coalesce("message", F.lit(""))
+    return outages.where(F.col("company_id").isNotNull()).groupBy("company_id").agg(
+        *[F.min(F.when(F.col("step") == step, said)).alias(f"{step}_down") for step in OUTAGE_STEPS])
+
+
+def _up(rows: DataFrame, down: DataFrame | None, step: str) -> DataFrame:
+    """Rows of companies for which the search of ``step`` answered."""
+    return rows if down is None else rows.join(down.where(F.col(f"{step}_down").isNotNull()).select("company_id"), "company_id", "left_anti")

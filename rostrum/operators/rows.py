@@ -84,21 +84,25 @@ def registry_people_rows(officers: DataFrame, outcome: DataFrame, lookups: DataF
 
     Each officer is a row with the status of the lookup, ``profile_unverified``
     where nothing fits; a company without officers is one row with the status of
-    its reason (C2).  The row's source address is the registry page's section.
+    its reason (C2), or ``search_unavailable`` where the outcome says so.  The
+    row's source and address are the officer's own where it has them (indexed
+    results), else the registry page's section.
     """
     named = officers.withColumn("name_key", P.name_key(F.col("person_name"))).join(lookups, ["company_id", "name_key"], "left")
     looked = spread_outages(named.withColumn("person_pos", F.col("pos")).withColumn("blocking", F.coalesce("blocking", F.lit(False))))
-    page = outcome.select("company_id", U.registry_source_url(F.col("page_url")).alias("page"), "reason", "ok")
+    unavailable = F.coalesce("unavailable", F.lit(False)) if "unavailable" in outcome.columns else F.lit(False)
+    page = outcome.select("company_id", U.registry_source_url(F.col("page_url")).alias("page"), "reason", "ok", unavailable.alias("unavailable"))
 
     def text(name: str) -> Column:
-        return F.col(name) if name in officers.columns else F.lit(None).cast("string").alias(name)
+        return (F.col(name) if name in officers.columns else F.lit(None).cast("string")).alias(name)
 
     people = looked.join(page.select("company_id", "page"), "company_id", "left").select(
         "company_id", F.col("pos").cast("bigint").alias("pos"), "person_name", F.coalesce(F.nullif("designation", F.lit("")), F.lit("Director")).alias("designation"),
         F.nullif("url", F.lit("")).alias("profile_url"), person_status(F.col("url"), F.coalesce("confidence", F.lit("")), F.col("outage"), "profile_unverified").alias("status"),
-        F.lit(vocab.REGISTRY_SOURCE).alias("source"), text("din"), text("appointment_date"), F.col("page").alias("source_url"), F.col("outage").alias("reason"))
+        F.coalesce(text("source"), F.lit(vocab.REGISTRY_SOURCE)).alias("source"), text("din"), text("appointment_date"),
+        F.coalesce(F.nullif(text("source_url"), F.lit("")), "page").alias("source_url"), F.col("outage").alias("reason"))
     blank = {c: F.lit(None).cast("string") for c in ROW_FIELDS} | {
-        "status": registry_status(F.col("reason")), "source": F.lit(vocab.REGISTRY_SOURCE), "source_url": F.col("page"), "reason": F.col("reason")}
+        "status": F.when(F.col("unavailable"), "search_unavailable").otherwise(registry_status(F.col("reason"))), "source": F.lit(vocab.REGISTRY_SOURCE), "source_url": F.col("page"), "reason": F.col("reason")}
     missed = page.where(~F.col("ok")).select("company_id", F.lit(0).cast("bigint").alias("pos"), *[v.alias(c) for c, v in blank.items()])
     return people.unionByName(missed)
 
@@ -165,14 +169,56 @@ def _override(old: Column, reg: Column) -> Column:
 
 
 # --- cascades ------------------------------------------------------------------------------
-def website_leaders(pool: DataFrame) -> DataFrame:
+#: Searches of the main cascade that can be down.
+STEPS = ("site", "titles", "snippets")
+
+
+def _down(outages: DataFrame) -> DataFrame:
+    """One row per company: ``<step>`` holds (reason, blocking) of each step that
+    was down; of repeated ones a blocking one counts, then the least reason."""
+    what = F.struct((~F.coalesce("blocking", F.lit(False))).alias("passing"), F.coalesce("reason", F.lit("")).alias("reason"))
+    return outages.where(F.col("company_id").isNotNull()).groupBy("company_id").agg(
+        *[F.min(F.when(F.col("step") == step, what)).alias(step) for step in STEPS])
+
+
+def search_outages(companies: DataFrame, pool: DataFrame, outages: DataFrame) -> DataFrame:
+    """C4 / C6: what the outages ``(company_id, step, reason, blocking)`` of the
+    searches for people leave behind: ``(company_id, site_reason, reason,
+    blocking, no_titles, no_snippets)`` for companies that had any.
+
+    A search counts only where the cascade asks it: titles below two titled
+    people of the site, snippets where nobody is titled and titles were not
+    blocked.  The later outage stands.  An outage of the site search is passed on
+    as ``site_reason``.
+    """
+    down = companies.select("company_id").join(_down(outages), "company_id")
+    own = first_source(pool).join(down.select("company_id"), "company_id", "left_semi")
+    titled = F.coalesce(F.col("role"), F.lit("")) != ""
+    n = own.groupBy("company_id").agg(*[F.count_if(titled & (F.col("source_rank") == i)).alias(f"n{i}") for i in range(2)])
+    n0, n1 = (F.coalesce(f"n{i}", F.lit(0)) for i in range(2))
+    no_titles = (n0 < 2) & F.col("titles").isNotNull()
+    stopped = no_titles & ~F.coalesce("titles.passing", F.lit(False))
+    asked = (n0 == 0) & (F.col("titles").isNotNull() | (n1 == 0)) & ~stopped
+    no_snippets = asked & F.col("snippets").isNotNull()
+    last = F.when(no_snippets, F.col("snippets")).when(no_titles, F.col("titles"))
+    return (down.join(n, "company_id", "left").withColumn("last", last)
+            .select("company_id", F.col("site.reason").alias("site_reason"), F.col("last.reason").alias("reason"),
+                    F.coalesce(~F.col("last.passing"), F.lit(False)).alias("blocking"), no_titles.alias("no_titles"), (no_snippets | stopped).alias("no_snippets")))
+
+
+def website_leaders(pool: DataFrame, outages: DataFrame | None = None) -> DataFrame:
     """C4, people half, over ``(company_id, name_key, source_rank, pos, role, ...)``
     with ranks 0 = crawled, 1 = result titles, 2 = snippets.
 
     Titles top up companies with fewer than two titled people, snippets those
     with none; untitled people go once any is titled.  Snippets are only read
     where titles are, so one row per person can be chosen before the counts.
+    People of a search that :func:`search_outages` reports as down do not exist.
     """
+    if outages is not None:
+        pool = (pool.join(outages.select("company_id", "no_titles", "no_snippets"), "company_id", "left")
+                .where(~((F.col("source_rank") == 1) & F.coalesce("no_titles", F.lit(False))) & ~((F.col("source_rank") == 2) & F.coalesce("no_snippets", F.lit(False))))
+                .drop("no_titles", "no_snippets"))
     people = first_source(pool)
     titled = F.coalesce(F.col("role"), F.lit("")) != ""
     n = people.groupBy("company_id").agg(*[F.count_if(titled & (F.col("source_rank") == i)).alias(f"n{i}") for i in range(3)])
@@ -183,7 +229,8 @@ def website_leaders(pool: DataFrame) -> DataFrame:
     return people.join(n, "company_id").where(read & (titled | (used == 0))).drop("n0", "n1", "n2")
 
 
-def resolve_companies(companies: DataFrame, sites: DataFrame, leaders: DataFrame, lookups: DataFrame, registry: DataFrame) -> DataFrame:
+def resolve_companies(companies: DataFrame, sites: DataFrame, leaders: DataFrame, lookups: DataFrame, registry: DataFrame,
+                      outages: DataFrame | None = None) -> DataFrame:
     """C4. ``leaders``: W4 output with ``profile_url``; ``lookups(company_id,
     name_key, url, outage, blocking)``; ``registry``: result rows of the registry
     (``person_name`` NULL = explained miss).
@@ -191,7 +238,18 @@ def resolve_companies(companies: DataFrame, sites: DataFrame, leaders: DataFrame
     No site and the registry names someone (or is down): its rows stand.
     No people at all: its rows, whatever they say.  People, some without an
     address: rows merged with the registry's.  Otherwise the rows as found.
+
+    ``outages``: what :func:`search_outages` returns.  A site search that was down
+    counts where there is no site: the registry's answer stands, else one
+    ``search_unavailable`` row; nobody else is looked for.  A blocking outage of
+    the people searches ends lookups and registry alike: known addresses stay,
+    the others carry its reason; without people it is the answer.  A passing one
+    is the answer only where neither people nor the registry gave one.
     """
+    if outages is not None:
+        down = outages.select("company_id", "site_reason", F.col("reason").alias("late_reason"), F.coalesce("blocking", F.lit(False)).alias("late_blocking"))
+        shut = down.where("site_reason is not null").join(sites.select("company_id"), "company_id", "left_anti")
+        leaders = leaders.join(shut.select("company_id"), "company_id", "left_anti")
     # the looked-up people feed several branches: keep them once
     people = cut_lineage(leaders.join(lookups, ["company_id", "name_key"], "left")
                          .withColumn("person_pos", F.col("rank")).withColumn("known_url", F.nullif("profile_url", F.lit("")))
@@ -199,21 +257,41 @@ def resolve_companies(companies: DataFrame, sites: DataFrame, leaders: DataFrame
     has_site = sites.select("company_id", F.lit(True).alias("has_site")).distinct()
     answered = registry.groupBy("company_id").agg(F.max(F.col("person_name").isNotNull() | (F.col("status") == "search_unavailable")).alias("answered"))
     looked = spread_outages(people)
+    if outages is not None:
+        ended = F.coalesce("late_blocking", F.lit(False))
+        looked = (looked.join(down.select("company_id", "late_reason", "late_blocking"), "company_id", "left")
+                  .withColumn("url", F.when(ended, F.col("known_url")).otherwise(F.col("url")))
+                  .withColumn("outage", F.when(F.col("url").isNull(), F.when(ended, F.col("late_reason")).otherwise(F.col("outage"))))
+                  .withColumn("stopped", F.col("stopped") | ended).drop("late_reason", "late_blocking"))
     state = looked.groupBy("company_id").agg(F.max(F.col("url").isNull()).alias("open"), F.max("stopped").alias("stopped"))
     plan = (companies.select("company_id").join(has_site, "company_id", "left").join(answered, "company_id", "left").join(state, "company_id", "left"))
     way = (F.when((F.col("has_site").isNull() & F.coalesce("answered", F.lit(False))) | F.col("open").isNull(), "registry")
            .when(F.col("open") & ~F.col("stopped"), "merge").otherwise("rows"))
-    plan = cut_lineage(plan.select("company_id", way.alias("way")))
-    rows = looked.join(plan.where("way != 'registry'"), "company_id").select(
+    said = F.lit(None).cast("string")
+    if outages is not None:
+        plan = plan.join(down, "company_id", "left")
+        unanswered = ~F.coalesce("answered", F.lit(False))
+        shut = F.col("has_site").isNull() & F.col("site_reason").isNotNull() & unanswered
+        nobody = F.col("open").isNull() & F.col("late_reason").isNotNull() & (F.col("late_blocking") | unanswered)
+        gone = F.col("has_site").isNull() & ~unanswered
+        way = F.when(shut, "site down").when(nobody & ~gone, "search down").otherwise(way)
+        said = F.when(shut, F.col("site_reason")).when(nobody, F.col("late_reason"))
+    plan = cut_lineage(plan.select("company_id", way.alias("way"), said.alias("said")))
+    rows = looked.join(plan.where("way in ('merge', 'rows')").select("company_id", "way"), "company_id").select(
         "company_id", F.col("rank").cast("bigint").alias("pos"), F.col("name").alias("person_name"),
         F.coalesce(F.nullif("role", F.lit("")), F.lit("Director")).alias("designation"), F.col("url").alias("profile_url"),
         person_status(F.col("url"), F.lit(""), F.col("outage")).alias("status"), F.lit(vocab.WEBSITE_SOURCE).alias("source"),
         *[F.lit(None).cast("string").alias(c) for c in ("din", "appointment_date", "source_url")], F.col("outage").alias("reason"), "way")
-    reg = registry.join(plan, "company_id").select("company_id", "pos", *ROW_FIELDS, "way")
+    reg = registry.join(plan.select("company_id", "way"), "company_id").select("company_id", "pos", *ROW_FIELDS, "way")
     merged = merge_director_rows(rows.where("way = 'merge'").drop("way"), reg.where("way = 'merge'").drop("way")).drop("late")
     out = merged.unionByName(rows.where("way = 'rows'").drop("way")).unionByName(reg.where("way = 'registry'").drop("way"))
     silent = plan.where("way = 'registry'").join(registry.select("company_id").distinct(), "company_id", "left_anti")
-    return out.unionByName(null_rows(silent, registry.where(F.lit(False)), "error"))
+    out = out.unionByName(null_rows(silent, registry.where(F.lit(False)), "error"))
+    if outages is None:
+        return out
+    blank = {c: F.lit(None).cast("string") for c in ROW_FIELDS} | {
+        "status": F.lit("search_unavailable"), "source": F.when(F.col("way") == "site down", vocab.REGISTRY_SOURCE).otherwise(vocab.WEBSITE_SOURCE), "reason": F.col("said")}
+    return out.unionByName(plan.where("way in ('site down', 'search down')").select("company_id", F.lit(0).cast("bigint").alias("pos"), *[v.alias(c) for c, v in blank.items()]))
 
 
 def resolve_direct(companies: DataFrame, supplied: DataFrame, found: DataFrame, fallback: DataFrame, lookups: DataFrame) -> DataFrame:
