@@ -253,6 +253,8 @@ def resolve_companies(companies: DataFrame, sites: DataFrame, leaders: DataFrame
     # the looked-up people feed several branches: keep them once
     people = cut_lineage(leaders.join(lookups, ["company_id", "name_key"], "left")
                          .withColumn("person_pos", F.col("rank")).withColumn("known_url", F.nullif("profile_url", F.lit("")))
+                         # nobody looks for a person whose address is known
+                         .withColumn("outage", F.when(F.col("known_url").isNull(), F.col("outage")))
                          .withColumn("blocking", F.coalesce("blocking", F.lit(False))))
     has_site = sites.select("company_id", F.lit(True).alias("has_site")).distinct()
     answered = registry.groupBy("company_id").agg(F.max(F.col("person_name").isNotNull() | (F.col("status") == "search_unavailable")).alias("answered"))

@@ -313,6 +313,41 @@ def registry_rows(spark, sf):
     return out.groupBy("company_id", "status").agg(F.count("*").alias("n"), F.count("person_name").alias("people"), F.count("profile_url").alias("profiles"), F.min("reason").alias("reason"))
 
 
+@query
+def registry_stages(spark, sf):
+    """C7 with all its sources: web and site candidates, pages, indexed and
+    follow-up officers, and outages of each search.  What the searches of a company
+    gave follows from the sum of the nations of its people (``w``); officers are
+    looked up among the company's people."""
+    people = view(spark, sf, "v_person")
+    companies = cut_lineage(people.groupBy("company_id", "company_name").agg(F.sum("c_nationkey").alias("w")))
+    luck = companies.select("company_id", "w", (F.col("w") % 7).alias("luck"))
+    hits = cut_lineage(view(spark, sf, "v_index_hit").join(luck, "company_id"))
+    hits = hits.withColumn("snippet", F.when(F.col("w") % 5 < 4, F.col("snippet")))
+    other = F.when(F.col("luck") == 4, F.lit("OTHER-POWER"))
+    asked = hits.withColumn("url", F.when(other.isNotNull(), F.regexp_replace("url", "(zaubacorp.com/).*(-U)", F.concat(F.lit("$1"), other, F.lit("$2")))).otherwise(F.col("url")))
+    asked = asked.withColumn("title", F.when(other.isNull(), F.col("title")).otherwise(F.lit("")))
+    matched = cut_lineage(registry.match_candidates(companies, registry.registry_candidates(asked)).join(luck.select("company_id", "luck"), "company_id"))
+    by_web = F.col("luck").isin(0, 1, 2, 5)
+    found = cut_lineage(extract.officers_from_index(hits).join(luck.select("company_id", "luck"), "company_id"))
+    pages = (view(spark, sf, "v_registry_page").withColumn("company_id", F.col("page_id") - 1).join(luck, "company_id").where(F.col("w") % 11 < 6)
+             .withColumn("html", F.when(F.col("w") % 11 == 5, F.regexp_replace("html", "Directors of", "People of")).otherwise(F.col("html"))))
+    rows_ = cut_lineage(markup.registry_rows(pages))
+    on_page = extract.officers_from_rows(rows_, pages).unionByName(extract.officers_from_summary(pages, rows_), allowMissingColumns=True)
+    on_page = on_page.withColumn("company_id", F.col("page_id") - 1).drop("page_id")
+    loaded = (pages.select("company_id", "page_id").join(rows_.select("page_id", "section_present"), "page_id", "left")
+              .select("company_id", F.coalesce("section_present", F.lit(False)).alias("section_present")))
+    w = F.col("w")
+    down = F.array(F.when(F.col("luck") == 5, "web"), F.when((F.col("luck") == 6) | ((F.col("luck") == 5) & (w % 2 == 1)), "site"), F.when(w % 3 == 0, "officers"))
+    outages = luck.select("company_id", F.explode(F.array_compact(down)).alias("step")).withColumn("message", F.concat("step", F.lit(" limited")))
+    officers, outcome = registry.registry_outcome(companies, matched.where(by_web).drop("luck"), matched.where(F.col("luck").isin(3, 4, 5, 6)).drop("luck"), loaded, on_page,
+                                                  found.where(by_web).drop("luck"), found.where(~by_web).drop("luck"), outages)
+    known = (people.select("company_id", P.name_key(F.concat_ws(" ", "fn", "ln")).alias("name_key")).distinct()
+             .select("*", F.concat(F.lit("https://p.test/"), "name_key").alias("url"), F.lit("high").alias("confidence"), F.lit(None).cast("string").alias("outage"), F.lit(False).alias("blocking")))
+    out = rows.registry_people_rows(officers.drop("name_key"), outcome, known)
+    return out.select("company_id", "person_name", "designation", "din", "status", "source", "reason")
+
+
 # --- profiles -------------------------------------------------------------------------------------------
 def _people(spark, sf):
     return view(spark, sf, "v_person").select("person_id", F.concat_ws(" ", "fn", "ln").alias("person_name"), "company_name")
@@ -480,6 +515,34 @@ def fallback_cascade(spark, sf):
     return rows.resolve_companies(companies, have_site, leaders, lookups, reg)
 
 
+@query
+def cascade_outages(spark, sf):
+    """C4 / C6 with searches that were down: rows without a person say which one.
+    Few people come from the site itself, so that titles and snippets are asked."""
+    r = cut_lineage(view(spark, sf, "v_row").withColumn("name_key", P.name_key(F.col("person_name"))))
+    has_site = F.col("company_id") % 4 > 0
+    rank = F.when((F.col("pos") % 23 == 0) & has_site, 0).when(F.col("pos") % 23 < 2, 1).otherwise(2)
+    people = r.where(F.col("person_name").isNotNull()).select(
+        "company_id", "name_key", rank.alias("source_rank"), "pos", F.col("person_name").alias("name"), F.when(F.col("pos") % 5 > 0, F.col("designation")).alias("role"),
+        (F.col("pos") % 9).alias("score"), F.when(F.col("pos") % 13 == 0, F.col("profile_url")).alias("profile_url"))
+    companies = r.select("company_id").distinct()
+    step = F.element_at(F.array(*[F.lit(x) for x in rows.STEPS]), (F.col("pos") % 3 + 1).cast("int"))
+    outages = r.where(F.col("person_name").isNull() & F.col("status").isin("search_unavailable", "other")).select(
+        "company_id", step.alias("step"), F.concat(step, F.lit(" limited")).alias("reason"), (F.col("pos") % 2 == 0).alias("blocking"))
+    down = cut_lineage(rows.search_outages(companies, people, outages))
+    limited = F.col("pos") % 17 == 0
+    lookups = rows.first_source(people).select(
+        "company_id", "name_key", F.when((F.col("pos") % 2 == 0) & ~limited, F.concat(F.lit("https://in.profiles.example/in/"), "name_key")).alias("url"),
+        F.when(limited, "captcha").alias("outage"), (F.col("pos") % 34 == 0).alias("blocking"))
+    told = r.where((F.col("source") == vocab.REGISTRY_SOURCE) & (F.col("status").isin("profile_unverified") | F.col("person_name").isNull()))
+    told = told.withColumns({"person_name": F.concat("person_name", F.lit(" Senior")), "profile_url": F.lit(None).cast("string")})
+    named = results.first_seen(told.where(F.col("person_name").isNotNull()), ("company_id", "name_key"))
+    cols = ["company_id", "pos", *rows.ROW_FIELDS]
+    reg = named.select(*cols).unionByName(told.where(F.col("person_name").isNull()).select(*cols))
+    out = rows.resolve_companies(companies, companies.where(has_site), rows.rank_people(rows.website_leaders(people, down)), lookups, reg, down)
+    return out.select("company_id", "pos", "person_name", "designation", "profile_url", "status", "source", "reason")
+
+
 @query
 def direct_cascade(spark, sf):
     companies = view(spark, sf, "v_person").select("company_id", "company_name").distinct()

@@ -438,6 +438,32 @@ oracle("registry_rows", """WITH b AS (SELECT c_custkey AS company_id, c_custkey
       WHEN reason LIKE 'Directors%' THEN 'zauba_no_directors' ELSE 'zauba_unreachable' END, 0, 0, reason FROM s WHERE reason IS NOT NULL)
   SELECT company_id, status, count(*) AS n, sum(person) AS people, sum(profile) AS profiles, min(reason) AS reason FROM r GROUP BY ALL""")
 
+oracle("registry_stages", f"""WITH c AS (SELECT company_id, CAST(sum(c_nationkey) AS BIGINT) AS w FROM {{v_person}} GROUP BY 1),
+  l AS (SELECT c.*, w % 7 AS luck, company_id + 1 AS page, w % 11 < 6 AND company_id + 1 IN (SELECT c_custkey FROM {{customer}}) AS opened,
+    company_id IN (SELECT company_id FROM {{v_index_hit}} WHERE pos % 3 = 0) AS linked FROM c),
+  o AS (SELECT *, w % 3 = 0 AS no_officers, CASE WHEN luck = 5 THEN 'web limited' END AS no_web, CASE WHEN luck = 6 OR (luck = 5 AND w % 2 = 1) THEN 'site limited' END AS no_site FROM l),
+  m AS (SELECT *, linked AND (luck < 4 OR (luck = 5 AND no_site IS NULL)) AS matched, opened AND page % 3 > 0 AS section FROM o),
+  onpage AS (SELECT company_id, {_officer('page * 2')}, 1 AS stage FROM m WHERE opened AND page % 3 = 2
+    UNION ALL SELECT company_id, {_officer('page * 2 + 1')}, 1 FROM m WHERE opened AND page % 3 = 2 AND page % 4 <> 0
+    UNION ALL SELECT company_id, upper({_full('page * 2')}), 'Director', NULL, NULL, 1 FROM m WHERE opened AND page % 3 = 0 AND w % 11 < 5
+    UNION ALL SELECT company_id, upper({_full('page * 2 + 1')}), 'Director', NULL, NULL, 1 FROM m WHERE opened AND page % 3 = 0 AND w % 11 < 5),
+  h AS (SELECT i.*, o.o_orderkey % 9 AS k, p.fn || ' ' || p.ln AS nm, lpad(CAST(p.person_id AS VARCHAR), 8, '0') AS id FROM {{v_index_hit}} i JOIN {{orders}} o ON i.pos = o.o_orderkey JOIN {{v_person}} p ON o.o_custkey = p.person_id),
+  f AS (SELECT company_id, 0 AS late, pos, 0 AS j, nm AS person_name, 'Director' AS designation, NULL AS din FROM h WHERE k = 0 UNION ALL SELECT company_id, 0, pos, 1, 'Zoya Lobo', 'Director', NULL FROM h WHERE k = 0
+    UNION ALL SELECT company_id, 1, pos, 0, upper(nm), CASE k WHEN 1 THEN 'Director' ELSE 'Managing Director' END, id FROM h WHERE k IN (1, 5)),
+  ix AS (SELECT f.*, m.* EXCLUDE (company_id), row_number() OVER (PARTITION BY f.company_id, {name_key('person_name')} ORDER BY late, f.pos, j) AS rn FROM f JOIN m ON f.company_id = m.company_id WHERE w % 5 < 4),
+  told AS (SELECT company_id, person_name, designation, din, stage FROM onpage
+    UNION ALL SELECT company_id, person_name, designation, din, CASE WHEN luck < 3 THEN 2 ELSE 3 END FROM ix WHERE rn = 1 AND NOT section AND (luck < 3 OR (luck IN (3, 4, 6) AND NOT no_officers))),
+  best AS (SELECT company_id, min(stage) AS stage FROM told GROUP BY 1),
+  t AS (SELECT m.*, b.stage, coalesce(CASE WHEN matched THEN CASE WHEN b.stage IS NOT NULL THEN '' WHEN NOT section AND no_officers THEN 'ZaubaCorp company matched, but director information could not be recovered: officers limited'
+      WHEN opened THEN 'Directors unavailable' ELSE 'ZaubaCorp page could not be loaded; indexed results did not identify directors' END END,
+    'ZaubaCorp company search could not recover after: ' || no_web || coalesce('; ZaubaCorp site search could not be loaded: ' || no_site, ''), 'ZaubaCorp site search could not be loaded: ' || no_site,
+    CASE WHEN luck = 4 AND linked THEN 'Company match confidence too low' ELSE 'ZaubaCorp page not found' END) AS why FROM m LEFT JOIN best b ON m.company_id = b.company_id),
+  kp AS (SELECT DISTINCT company_id, {name_key("fn || ' ' || ln")} AS nk FROM {{v_person}})
+  SELECT t.company_id, x.person_name, x.designation, x.din, CASE WHEN kp.nk IS NULL THEN 'profile_unverified' ELSE 'ok' END AS status, CASE WHEN t.stage = 1 THEN 'ZaubaCorp' ELSE 'ZaubaCorp (search result)' END AS source, NULL AS reason
+    FROM t JOIN told x ON t.company_id = x.company_id AND t.stage = x.stage LEFT JOIN kp ON kp.company_id = t.company_id AND kp.nk = {name_key('x.person_name')} WHERE t.matched
+  UNION ALL SELECT company_id, NULL, NULL, NULL, CASE WHEN why LIKE '%recover%' THEN 'search_unavailable' WHEN why LIKE '%not found' THEN 'zauba_not_found' WHEN why LIKE '%too low' THEN 'zauba_low_confidence'
+      WHEN why LIKE 'Directors%' THEN 'zauba_no_directors' ELSE 'zauba_unreachable' END, 'ZaubaCorp', why FROM t WHERE why <> ''""")
+
 # --- profiles -----------------------------------------------------------------------------------------------------
 _EVID = f"""fb AS (SELECT company_name, {brand('company_name')} AS br FROM (SELECT DISTINCT company_name FROM {{v_person}})),
   fw AS (SELECT company_name, br, {words("array_to_string(br, ' ')")} AS dw FROM fb), ft AS (SELECT company_name, list_distinct(CASE WHEN len(dw) > 0 THEN dw ELSE br END) AS toks,
@@ -530,6 +556,45 @@ oracle("direct_cascade", f"""WITH {_DIRECT}, {_TH}, own0 AS (SELECT company_id,
     UNION ALL SELECT company_id, pos, nm, {norm_role('role')}, url, 'ok', 'Profilenet Direct', NULL FROM own WHERE rn = 1)
   SELECT * FROM o UNION ALL SELECT DISTINCT company_id, 0, NULL, NULL, NULL, 'profile_unverified', 'Profilenet Direct',
     'No source names a person of this company; list known people in the input to search for them.' FROM {{v_person}} p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.company_id = p.company_id)""")
+oracle("cascade_outages", f"""WITH r AS (SELECT *, CASE WHEN person_name IS NOT NULL THEN {name_key('person_name')} END AS nk FROM {{v_row}}),
+  c AS (SELECT DISTINCT company_id, company_id % 4 > 0 AS site FROM r),
+  p AS (SELECT company_id, nk, CASE WHEN pos % 23 = 0 AND company_id % 4 > 0 THEN 0 WHEN pos % 23 < 2 THEN 1 ELSE 2 END AS rk, pos, person_name, CASE WHEN pos % 5 > 0 THEN designation END AS role,
+    pos % 9 AS score, CASE WHEN pos % 13 = 0 THEN profile_url END AS url FROM r WHERE nk IS NOT NULL),
+  p1 AS (SELECT *, row_number() OVER (PARTITION BY company_id, nk ORDER BY rk, pos) AS rn FROM p),
+  look AS (SELECT company_id, nk, CASE WHEN pos % 2 = 0 AND pos % 17 > 0 THEN 'https://in.profiles.example/in/' || nk END AS found, pos % 17 = 0 AS limited, pos % 34 = 0 AS blocks FROM p1 WHERE rn = 1),
+  dn AS (SELECT company_id, pos % 3 AS step, pos % 2 = 0 AS b FROM r WHERE person_name IS NULL AND status IN ('search_unavailable', 'other')),
+  d AS (SELECT company_id, bool_or(step = 0) AS s, bool_or(step = 1) AS t, bool_or(step = 1 AND b) AS tb, bool_or(step = 2) AS n, bool_or(step = 2 AND b) AS nb FROM dn GROUP BY 1),
+  cnt AS (SELECT company_id, count(*) FILTER (WHERE rk = 0 AND role IS NOT NULL) AS n0, count(*) FILTER (WHERE rk = 1 AND role IS NOT NULL) AS n1 FROM p1 WHERE rn = 1 GROUP BY 1),
+  g AS (SELECT c.company_id, c.site, coalesce(d.s, false) AS s, coalesce(d.t AND coalesce(n0, 0) < 2, false) AS no_t, coalesce(d.tb, false) AS tb, coalesce(d.n, false) AS n, coalesce(d.nb, false) AS nb,
+    coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1 FROM c LEFT JOIN d ON c.company_id = d.company_id LEFT JOIN cnt ON c.company_id = cnt.company_id),
+  g2 AS (SELECT *, n0 = 0 AND (no_t OR n1 = 0) AND NOT (no_t AND tb) AND n AS no_n FROM g),
+  g3 AS (SELECT *, CASE WHEN no_n THEN 'snippets limited' WHEN no_t THEN 'titles limited' END AS late, CASE WHEN no_n THEN nb WHEN no_t THEN tb ELSE false END AS ends FROM g2),
+  q AS (SELECT p.*, g3.* EXCLUDE (company_id, n0, n1), row_number() OVER (PARTITION BY p.company_id, nk ORDER BY rk, p.pos) AS rn FROM p JOIN g3 ON p.company_id = g3.company_id
+    WHERE NOT (rk = 1 AND no_t) AND NOT (rk = 2 AND (no_n OR (no_t AND tb)))),
+  q1 AS (SELECT *, count(*) FILTER (WHERE rk = 0 AND role IS NOT NULL) OVER w AS m0, count(*) FILTER (WHERE rk = 1 AND role IS NOT NULL) OVER w AS m1, count(*) FILTER (WHERE rk = 2 AND role IS NOT NULL) OVER w AS m2
+    FROM q WHERE rn = 1 WINDOW w AS (PARTITION BY company_id)),
+  q2 AS (SELECT * FROM q1 WHERE (rk = 0 OR (rk = 1 AND m0 < 2) OR (rk = 2 AND m0 + m1 = 0)) AND (role IS NOT NULL OR m0 + CASE WHEN m0 < 2 THEN m1 ELSE 0 END + CASE WHEN m0 + m1 = 0 THEN m2 ELSE 0 END = 0)),
+  q3 AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY url IS NULL, role IS NULL, score DESC, rk, pos) AS rank FROM q2),
+  reg0 AS (SELECT company_id, pos, person_name || ' Senior' AS person_name, designation, status, source, reason, row_number() OVER (PARTITION BY company_id, nk ORDER BY pos) AS rn FROM r
+    WHERE source = 'ZaubaCorp' AND (status = 'profile_unverified' OR person_name IS NULL)),
+  reg AS (SELECT * FROM reg0 WHERE rn = 1 OR person_name IS NULL),
+  ans AS (SELECT company_id, bool_or(person_name IS NOT NULL OR status = 'search_unavailable') AS answered, min(CASE WHEN person_name IS NULL AND status = 'search_unavailable' THEN pos END) AS lost_pos FROM reg GROUP BY 1),
+  q4 AS (SELECT q3.*, look.found, look.limited, look.blocks FROM q3 JOIN look ON q3.company_id = look.company_id AND q3.nk = look.nk WHERE rank <= 8 AND (site OR NOT s)),
+  stp AS (SELECT company_id, min(rank) AS halt FROM q4 WHERE url IS NULL AND limited AND blocks GROUP BY 1),
+  seen AS (SELECT q4.*, coalesce(url, CASE WHEN NOT ends AND rank <= coalesce(halt, 99) THEN found END) AS address, halt IS NOT NULL OR ends AS stopped,
+    CASE WHEN ends THEN late WHEN rank > coalesce(halt, 99) OR limited THEN 'captcha' END AS said FROM q4 LEFT JOIN stp ON q4.company_id = stp.company_id),
+  st AS (SELECT company_id, bool_or(address IS NULL) AS open, bool_or(stopped) AS stopped FROM seen GROUP BY 1),
+  way AS (SELECT g3.company_id, late, answered, lost_pos, CASE WHEN NOT site AND coalesce(answered, false) THEN 'registry' WHEN NOT site AND s THEN 'site' WHEN open IS NULL AND late IS NOT NULL AND (ends OR NOT coalesce(answered, false)) THEN 'search'
+      WHEN open IS NULL THEN 'registry' WHEN open AND NOT st.stopped THEN 'merge' ELSE 'rows' END AS way
+    FROM g3 LEFT JOIN ans ON g3.company_id = ans.company_id LEFT JOIN st ON g3.company_id = st.company_id)
+  SELECT s.company_id, CAST(rank AS BIGINT) AS pos, s.person_name, coalesce(role, 'Director') AS designation, address AS profile_url,
+    CASE WHEN address IS NOT NULL THEN 'ok' WHEN said IS NOT NULL OR (way = 'merge' AND lost_pos IS NOT NULL) THEN 'search_unavailable' ELSE 'no_profile' END AS status, 'Official Website' AS source,
+    CASE WHEN address IS NULL THEN CASE WHEN way = 'merge' AND lost_pos IS NOT NULL THEN (SELECT x.reason FROM reg x WHERE x.company_id = way.company_id AND x.pos = lost_pos) ELSE said END END AS reason
+  FROM seen s JOIN way ON s.company_id = way.company_id WHERE way IN ('merge', 'rows')
+  UNION ALL SELECT reg.company_id, pos, person_name, designation, NULL, status, source, reason FROM reg JOIN way ON reg.company_id = way.company_id WHERE way = 'registry' OR (way = 'merge' AND person_name IS NOT NULL)
+  UNION ALL SELECT company_id, 0, NULL, NULL, NULL, 'search_unavailable', CASE way WHEN 'site' THEN 'ZaubaCorp' ELSE 'Official Website' END, CASE way WHEN 'site' THEN 'site limited' ELSE late END FROM way WHERE way IN ('site', 'search')
+  UNION ALL SELECT company_id, 0, NULL, NULL, NULL, 'error', 'Official Website', NULL FROM way WHERE way = 'registry' AND company_id NOT IN (SELECT company_id FROM reg)""")
+
 oracle("direct_cascade_whole", f"""WITH kb AS (SELECT *, {name_key('name')} AS name_key FROM (SELECT *, fn || ' ' || ln AS name, person_id AS pos FROM {{v_person}})),
   look AS (SELECT company_id, name_key, max(CASE WHEN pos % 3 = 0 THEN 'https://in.profiles.example/in/' || name_key END) AS url, max(CASE WHEN pos % 7 = 1 THEN 'limited' END) AS outage FROM kb GROUP BY 1, 2),
   sup AS (SELECT company_id, name_key, pos, name, role, NULL AS source FROM kb WHERE c_nationkey < 2),

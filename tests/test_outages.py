@@ -109,6 +109,15 @@ def test_main_cascade_equals_a_walk(spark):
             ("search_unavailable", "Official Website", "snippets down")} <= kinds
 
 
+def test_known_address_is_not_looked_up(spark):
+    """An outage recorded for a person with an address stops nobody."""
+    companies = spark.range(1).toDF("company_id")
+    people = spark.createDataFrame([(0, "asha-rao", 0, 0, "Asha Rao", "CEO", 1, "u"), (0, "dev-menon", 0, 1, "Dev Menon", "CFO", 1, None)], POOL)
+    looks = spark.createDataFrame([(0, "asha-rao", None, "captcha", True), (0, "dev-menon", "v", None, False)], "company_id bigint, name_key string, url string, outage string, blocking boolean")
+    got = rows.resolve_companies(companies, companies, rows.rank_people(rows.website_leaders(people)), looks, spark.createDataFrame([], SCHEMA))
+    assert sorted((r.person_name, r.profile_url, r.status) for r in got.collect()) == [("Asha Rao", "u", "ok"), ("Dev Menon", "v", "ok")]
+
+
 def test_no_outage_changes_nothing(spark):
     companies = spark.range(3).toDF("company_id")
     people = spark.createDataFrame([(0, "asha-rao", 0, 0, "Asha Rao", "CEO", 1, "u"), (1, "dev-menon", 2, 0, "Dev Menon", None, 1, None)], POOL)
