@@ -15,7 +15,7 @@ from rostrum.functions import urls as U
 from rostrum.operators import extract, links, profiles, queries as Q, registry, registry_link, report, results, rows, sites
 from rostrum.plans.inputs import view
 from rostrum.session import cut_lineage, shared_folder
-from rostrum.sources import cells, markup, model_output, search_json, sheets
+from rostrum.sources import cells, markup, model_output, search_json, sheets, tables
 from rostrum.streaming import arrivals, health, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -429,9 +429,7 @@ def search_json_c(spark, sf):
             .select("query_id", "href", "title", "snippet", F.array_join("engines", ",").alias("engines"), "down", "reason", health.suspension(F.col("reason")).alias("pause")))
 
 
-@query
-def result_cards(spark, sf):
-    """Saved result pages of every layout, wrapped around the page texts."""
+def _result_pages(spark, sf):
     p, k = view(spark, sf, "v_page"), F.col("page_id") % 6
     u, t, s = F.col("url"), T.escape_html(F.col("title")), T.escape_html(F.col("head"))
     body = (F.when(k == 0, Q.fill('<div class="result"><a class="result__a" href="{u}">{t}</a><div class="result__snippet">{s}</div></div><div class="result result--ad"><a class="result__a" href="{u}">ad</a></div>', u=u, t=t, s=s))
@@ -440,7 +438,27 @@ def result_cards(spark, sf):
             .when(k == 3, Q.fill("<rss><channel><item><title>{t}</title><link>{u}</link><description>{s}</description></item></channel></rss>", u=T.escape_html(u), t=t, s=s))
             .when(k == 4, F.lit("<p>No results found for this</p>")).otherwise(F.lit('<form id="challenge-form"></form>')))
     layout = F.when(k == 1, "card").when(k == 2, "heading").when(k == 3, "feed").otherwise("list")
-    return markup.result_cards(p.select("page_id", layout.alias("layout"), body.alias("html"))).select("page_id", "pos", "status", U.result_url(F.col("href")).alias("url"), "title", "snippet")
+    return p.select("page_id", "url", layout.alias("layout"), body.alias("html"))
+
+
+@query
+def result_cards(spark, sf):
+    """Saved result pages of every layout, wrapped around the page texts."""
+    return markup.result_cards(_result_pages(spark, sf)).select("page_id", "pos", "status", U.result_url(F.col("href")).alias("url"), "title", "snippet")
+
+
+@query
+def result_cards_beside(spark, sf):
+    """The same hits by the table function: layout and address of the page stay."""
+    found = tables.beside(_result_pages(spark, sf), "result_cards(p.layout, p.html)", "t.pos, t.status, t.href, t.title")
+    return found.select("page_id", "layout", "pos", "status", "title", (U.result_url(F.col("href")) == U.result_url(F.col("url"))).alias("same_url"))
+
+
+@query
+def registry_tables(spark, sf):
+    """Rows of the registry pages' tables by the table function, company beside."""
+    found = tables.beside(view(spark, sf, "v_registry_page"), "registry_cells(p.html)")
+    return found.select("page_id", "company_name", "table_no", "section_present", "heading", "row_no", F.array_join("headers", "|").alias("headers"), F.array_join("cells", "|").alias("cells"))
 
 
 @query

@@ -518,6 +518,23 @@ oracle("model_output_people", f"""SELECT conv_id * 1000 + turn AS answer_id, 0 A
   FROM {{conversations}} WHERE (conv_id + turn) % 4 < 3""")
 oracle("result_cards", f"""SELECT page_id, CASE WHEN page_id % 6 < 4 THEN 0 ELSE -1 END AS pos, CASE page_id % 6 WHEN 4 THEN 'empty' WHEN 5 THEN 'blocked' ELSE 'results' END AS status,
   CASE WHEN page_id % 6 < 4 THEN {result('url')} END AS url, CASE WHEN page_id % 6 < 4 THEN {squash('title')} END AS title, CASE WHEN page_id % 6 < 4 THEN {squash('head')} END AS snippet FROM {{v_page}}""")
+oracle("result_cards_beside", f"""SELECT page_id, CASE page_id % 6 WHEN 1 THEN 'card' WHEN 2 THEN 'heading' WHEN 3 THEN 'feed' ELSE 'list' END AS layout, CASE WHEN page_id % 6 < 4 THEN 0 ELSE -1 END AS pos,
+  CASE page_id % 6 WHEN 4 THEN 'empty' WHEN 5 THEN 'blocked' ELSE 'results' END AS status, CASE WHEN page_id % 6 < 4 THEN {squash('title')} END AS title, CASE WHEN page_id % 6 < 4 THEN true END AS same_url FROM {{v_page}}""")
+_FIVE, _THREE = "din/dpin|name of director|designation|date of appointment|date of cessation", "din|name|designation"
+
+
+def _raw_officer(k, ceased):
+    return f"lpad(CAST({k} AS VARCHAR), 8, '0') || '|' || upper({_full(k)}) || '|' || {role_sql(k)} || '|17/03/2015|' || {ceased}"
+
+
+oracle("registry_tables", f"""WITH b AS (SELECT c_custkey AS page_id, c_custkey, c_custkey % 3 AS k, 'Kestrel Foods Private Limited' AS company_name FROM {{customer}})
+  SELECT page_id, company_name, -1 AS table_no, true AS section_present, '' AS heading, -1 AS row_no, '' AS headers, '' AS cells FROM b WHERE k > 0
+  UNION ALL SELECT page_id, company_name, 0, false, 'Other contacts', 1, 'phone', '1' FROM b WHERE k = 0
+  UNION ALL SELECT page_id, company_name, 0, true, 'Current Directors & Key Managerial Personnel', 1, '{_FIVE}', {_raw_officer('c_custkey * 2', "'-'")} FROM b WHERE k = 2
+  UNION ALL SELECT page_id, company_name, 0, true, 'Current Directors & Key Managerial Personnel', 2, '{_FIVE}',
+    {_raw_officer('c_custkey * 2 + 1', "CASE WHEN c_custkey % 4 = 0 THEN '01/01/2020' WHEN c_custkey % 4 = 1 THEN 'N/A' ELSE '-' END")} FROM b WHERE k = 2
+  UNION ALL SELECT page_id, company_name, 1, true, 'Past Directors', 1, '{_THREE}', '00001111|Zubin Past|Director' FROM b WHERE k = 2
+  UNION ALL SELECT page_id, company_name, 2, true, 'Other Directorships', 1, 'cin|company name|designation', 'U1|Another Foods|Director' FROM b WHERE k = 2""")
 oracle("people_cards", f"""SELECT person_id AS page_id, CASE person_id % 7 WHEN 1 THEN 'empty' WHEN 2 THEN 'rate_limited' WHEN 3 THEN 'not_connected' WHEN 4 THEN 'verification_required' WHEN 5 THEN 'unexpected' WHEN 6 THEN 'unavailable' ELSE 'results' END AS page_class,
   CASE WHEN person_id % 7 IN (0, 6) THEN 'https://www.profiles.example/in/' || lower(fn) || '-' || lower(ln) END AS profile_url, CASE WHEN person_id % 7 IN (0, 6) THEN fn || ' ' || ln END AS name,
   CASE WHEN person_id % 7 IN (0, 6) THEN role || ' at ' || company_name END AS headline, CASE WHEN person_id % 7 IN (0, 6) THEN {norm_role('role')} END AS designation FROM {{v_person}}""")

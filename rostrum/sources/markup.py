@@ -261,102 +261,127 @@ def flat_blocks(paged: DataFrame) -> DataFrame:
     return paged.select("page_id", F.explode("blocks").alias("b")).select("page_id", "b.*").drop("cards")
 
 
+RESULT_CARD = "pos INT, status STRING, href STRING, title STRING, snippet STRING"
+
+
+def _box(page, i, names):
+    return next((j for j in page.up(i) if set(page.classes(j)) & names), -1)
+
+
+def _first_of(page, i, names):
+    return next((j for j in page.inside(i) if set(page.classes(j)) & names), -1) if i >= 0 else -1
+
+
+def _squashed(page, i):
+    return " ".join(page.raw(i).split()) if i >= 0 else ""
+
+
+def _found_cards(layout, html):
+    if layout == "feed":
+        for item in re.findall(r"(?is)<item\b.*?</item>", html):
+            part = {t: " ".join(_Page("".join(re.findall(rf"(?is)<{t}>(.*?)</{t}>", item))).text) for t in ("link", "title", "description")}
+            yield part["link"].strip(), " ".join(part["title"].split()), " ".join(part["description"].split())
+        return
+    page = _Page(html)
+    for i, tag in enumerate(page.tag):
+        cls = set(page.classes(i))
+        if layout == "list" and "result" in cls and "result--ad" not in cls:
+            a = _first_of(page, i, {"result__a"})
+            yield (page.attrs[a].get("href") if a >= 0 else None), _squashed(page, a), _squashed(page, _first_of(page, i, {"result__snippet"}))
+        elif layout == "card" and "snippet" in cls:
+            t = _first_of(page, i, {"search-snippet-title", "title"})
+            a = next((j for j in page.up(t) if page.tag[j] == "a" and "href" in page.attrs[j]), -1) if t >= 0 else -1
+            yield (page.attrs[a].get("href") if a >= 0 else None), _squashed(page, t), _squashed(page, _first_of(page, i, {"generic-snippet", "snippet-description"}))
+        elif layout == "heading" and tag == "h3":
+            a = next((j for j in page.up(i) if page.tag[j] == "a" and "href" in page.attrs[j]), -1)
+            yield (page.attrs[a].get("href") if a >= 0 else None), _squashed(page, i), _squashed(
+                page, _first_of(page, _box(page, i, {"MjjYud", "g", "Gx5Zad"}), {"VwiC3b", "IsZvec", "aCOpRe"}))
+
+
+def result_card_rows(layout: str, html: str):
+    """SRC7 for one page."""
+    n = 0
+    for href, title, snippet in _found_cards(layout, html):
+        if href and title:
+            yield n, "results", href, title, snippet
+            n += 1
+    if n == 0:
+        body = " ".join("".join(_Page(html).text).split())
+        if re.search("no results found|did not match any documents|there are no results|no web results found", body, re.I):
+            yield -1, "empty", None, None, None
+        elif re.search("captcha|verify you are human|unusual traffic|anomaly-modal|enablejs|challenge-form", html, re.I):
+            yield -1, "blocked", None, None, None
+        else:
+            yield -1, "unreadable", None, None, None
+
+
 def result_cards(pages: DataFrame) -> DataFrame:
     """SRC7. Saved result pages ``(page_id, layout, html)`` -> hits plus one
     ``status`` row (results / empty / blocked / unreadable) with NULL href."""
-    def box(page, i, names):
-        return next((j for j in page.up(i) if set(page.classes(j)) & names), -1)
+    return _pages_to(pages.select("page_id", "layout", "html"), lambda rec: result_card_rows(rec["layout"], rec["html"] or ""), f"page_id BIGINT, {RESULT_CARD}", ["page_id"])
 
-    def first(page, i, names):
-        return next((j for j in page.inside(i) if set(page.classes(j)) & names), -1) if i >= 0 else -1
 
-    def text(page, i):
-        return " ".join(page.raw(i).split()) if i >= 0 else ""
+REGISTRY_CELLS = "table_no INT, section_present BOOLEAN, heading STRING, row_no INT, headers ARRAY<STRING>, cells ARRAY<STRING>"
 
-    def find(layout, html):
-        if layout == "feed":
-            for item in re.findall(r"(?is)<item\b.*?</item>", html):
-                part = {t: " ".join(_Page("".join(re.findall(rf"(?is)<{t}>(.*?)</{t}>", item))).text) for t in ("link", "title", "description")}
-                yield part["link"].strip(), " ".join(part["title"].split()), " ".join(part["description"].split())
-            return
-        page = _Page(html)
-        for i, tag in enumerate(page.tag):
-            cls = set(page.classes(i))
-            if layout == "list" and "result" in cls and "result--ad" not in cls:
-                a = first(page, i, {"result__a"})
-                yield (page.attrs[a].get("href") if a >= 0 else None), text(page, a), text(page, first(page, i, {"result__snippet"}))
-            elif layout == "card" and "snippet" in cls:
-                t = first(page, i, {"search-snippet-title", "title"})
-                a = next((j for j in page.up(t) if page.tag[j] == "a" and "href" in page.attrs[j]), -1) if t >= 0 else -1
-                yield (page.attrs[a].get("href") if a >= 0 else None), text(page, t), text(page, first(page, i, {"generic-snippet", "snippet-description"}))
-            elif layout == "heading" and tag == "h3":
-                a = next((j for j in page.up(i) if page.tag[j] == "a" and "href" in page.attrs[j]), -1)
-                yield (page.attrs[a].get("href") if a >= 0 else None), text(page, i), text(
-                    page, first(page, box(page, i, {"MjjYud", "g", "Gx5Zad"}), {"VwiC3b", "IsZvec", "aCOpRe"}))
 
-    def rows(rec):
-        html, n = rec["html"] or "", 0
-        for href, title, snippet in find(rec["layout"], html):
-            if href and title:
-                yield n, "results", href, title, snippet
-                n += 1
-        if n == 0:
-            body = " ".join("".join(_Page(html).text).split())
-            if re.search("no results found|did not match any documents|there are no results|no web results found", body, re.I):
-                yield -1, "empty", None, None, None
-            elif re.search("captcha|verify you are human|unusual traffic|anomaly-modal|enablejs|challenge-form", html, re.I):
-                yield -1, "blocked", None, None, None
-            else:
-                yield -1, "unreadable", None, None, None
-
-    return _pages_to(pages.select("page_id", "layout", "html"), rows,
-                     "page_id BIGINT, pos INT, status STRING, href STRING, title STRING, snippet STRING", ["page_id"])
+def _header(page: _Page, t: int):
+    trs = [j for j in page.inside(t) if page.tag[j] == "tr"]
+    heads = [j for j in page.inside(t) if page.tag[j] in ("th", "td") and any(page.tag[k] == "thead" for k in page.up(j) if k > t)]
+    cells = heads or ([j for j in page.inside(trs[0]) if page.tag[j] in ("th", "td")] if trs else [])
+    return [" ".join(page.raw(j).split()).lower() for j in cells], trs
+
+
+def _heads_before(page: _Page) -> list[int]:
+    """For each element its nearest earlier sibling that can head a table, or -1."""
+    last, out = {}, []
+    for j, up in enumerate(page.parent):
+        out.append(last.get(up, -1))
+        if page.tag[j] in HEADINGS | {"p", "strong", "b"}:
+            last[up] = j
+    return out
+
+
+def _heading_above(page: _Page, headed: list[int], t: int, levels: int = 6) -> str:
+    """Text of the nearest heading before the table or one of the elements around it."""
+    node = t
+    for _ in range(levels):
+        if node < 0:
+            break
+        if headed[node] >= 0:
+            return " ".join(page.raw(headed[node]).split())
+        node = page.parent[node]
+    return ""
+
+
+def registry_cell_rows(html: str):
+    """SRC11, markup half, for one page; a table's heading is looked up once."""
+    page = _Page(html)
+    headed = _heads_before(page)
+    section = next((i for i in range(len(page.tag)) if page.attrs[i].get("id") == vocab.REGISTRY_SECTION), -1)
+    tables = [i for i, tag in enumerate(page.tag) if tag == "table"]
+    if section >= 0:
+        spans = [(section, page.last[section])]
+        if page.tag[section] in HEADINGS | {"a"}:
+            for j in range(page.last[section] + 1, page.last[page.parent[section]] + 1 if page.parent[section] >= 0 else len(page.tag)):
+                if page.parent[j] == page.parent[section]:
+                    if page.tag[j] in HEADINGS | {"section"}:
+                        break
+                    spans.append((j, page.last[j]))
+        tables = [t for t in tables if any(a <= t <= b for a, b in spans)]
+        yield -1, True, "", -1, [], []
+    for n, t in enumerate(tables):
+        heads, trs = _header(page, t)
+        heading = _heading_above(page, headed, t)
+        for r, tr in enumerate(trs):
+            cells = [" ".join(page.raw(j).split()) for j in page.children(tr) if page.tag[j] == "td"]
+            if cells:
+                yield n, section >= 0, heading, r, heads, cells
 
 
 def registry_rows(pages: DataFrame) -> DataFrame:
     """SRC11, markup half: table rows as arrays with their headers and the heading
     above; one row with ``table_no = -1`` marks a page whose section is present."""
-    def header(page, t):
-        trs = [j for j in page.inside(t) if page.tag[j] == "tr"]
-        heads = [j for j in page.inside(t) if page.tag[j] in ("th", "td") and any(page.tag[k] == "thead" for k in page.up(j) if k > t)]
-        cells = heads or ([j for j in page.inside(trs[0]) if page.tag[j] in ("th", "td")] if trs else [])
-        return [" ".join(page.raw(j).split()).lower() for j in cells], trs
-
-    def above(page, t):
-        node = t
-        for _ in range(6):
-            if node < 0:
-                return ""
-            prev = [j for j in range(node - 1, page.parent[node], -1)
-                    if page.parent[j] == page.parent[node] and page.tag[j] in HEADINGS | {"p", "strong", "b"}]
-            if prev:
-                return " ".join(page.raw(prev[0]).split())
-            node = page.parent[node]
-        return ""
-
-    def rows(rec):
-        page = _Page(rec["html"])
-        section = next((i for i in range(len(page.tag)) if page.attrs[i].get("id") == vocab.REGISTRY_SECTION), -1)
-        tables = [i for i, tag in enumerate(page.tag) if tag == "table"]
-        if section >= 0:
-            spans = [(section, page.last[section])]
-            if page.tag[section] in HEADINGS | {"a"}:
-                for j in range(page.last[section] + 1, page.last[page.parent[section]] + 1 if page.parent[section] >= 0 else len(page.tag)):
-                    if page.parent[j] == page.parent[section]:
-                        if page.tag[j] in HEADINGS | {"section"}:
-                            break
-                        spans.append((j, page.last[j]))
-            tables = [t for t in tables if any(a <= t <= b for a, b in spans)]
-            yield -1, True, "", -1, [], []
-        for n, t in enumerate(tables):
-            heads, trs = header(page, t)
-            for r, tr in enumerate(trs):
-                cells = [" ".join(page.raw(j).split()) for j in page.children(tr) if page.tag[j] == "td"]
-                if cells:
-                    yield n, section >= 0, above(page, t), r, heads, cells
-
-    return _pages_to(pages.select("page_id", "html"), rows,
-                     "page_id BIGINT, table_no INT, section_present BOOLEAN, heading STRING, row_no INT, headers ARRAY<STRING>, cells ARRAY<STRING>", ["page_id"])
+    return _pages_to(pages.select("page_id", "html"), lambda rec: registry_cell_rows(rec["html"] or ""), f"page_id BIGINT, {REGISTRY_CELLS}", ["page_id"])
 
 
 # fixed values: card selectors of the people-search layouts (class names, attribute values)
@@ -415,45 +440,51 @@ def _outermost(page: _Page) -> list[tuple[int, bool]]:
     return found
 
 
+PEOPLE_CARD = """card_no INT, workspace BOOLEAN, hidden BOOLEAN,
+    options ARRAY<STRUCT<href: STRING, name: STRING, headline: STRING, root: INT, titled: BOOLEAN>>, roots ARRAY<STRUCT<evidence: STRING, hrefs: ARRAY<STRING>>>, hrefs ARRAY<STRING>"""
+
+
+def _shown_name(page, lines, j):
+    return " ".join(lines.of(next((k for k in page.inside(j) if page.tag[k] == "span" and page.attrs[k].get("aria-hidden") == "true"), j)))
+
+
+def people_card_rows(html: str):
+    """SRC14, markup half, for one page."""
+    page = _Page(html, frozenset({"script", "style", "button", "svg", "template"}))
+    lines = _Lines(page)
+    for n, (c, workspace) in enumerate(_outermost(page)):
+        links = [j for j in page.inside(c) if page.tag[j] == "a" and "href" in page.attrs[j]]
+        options, roots = [], {}
+        if workspace:
+            heads = {}
+            for j in links:
+                p = next((k for k in page.up(j) if page.tag[k] == "p" or k <= c), c)
+                if p <= c:
+                    continue
+                if p not in heads:  # the paragraph of the division right behind the name
+                    behind = page.last[p] + 1
+                    is_next = behind < len(page.tag) and page.parent[behind] == page.parent[p] and page.tag[behind] == "div"
+                    head = next((k for k in page.inside(behind) if page.tag[k] == "p"), -1) if is_next else -1
+                    heads[p] = " ".join(lines.of(head)) if head >= 0 else ""
+                root = roots.setdefault(page.parent[p], len(roots))
+                options.append({"href": page.attrs[j]["href"], "name": _shown_name(page, lines, j), "headline": heads[p], "root": root, "titled": False})
+        else:
+            roots[c] = 0
+            head = next((j for j in page.inside(c) if set(page.classes(j)) & HEADLINE_CLASSES or page.attrs[j].get("data-view-name") == HEADLINE_VIEW), -1)
+            headline = " ".join(lines.of(head)) if head >= 0 else ""
+            title = next((j for j in links if page.attrs[j].get("data-view-name") == TITLE_VIEW or any(
+                set(page.classes(k)) & TITLE_CLASSES or page.attrs[k].get("data-view-name") == TITLE_VIEW for k in page.up(j) if k >= c)), None)
+            options = [{"href": page.attrs[j]["href"], "name": _shown_name(page, lines, j), "headline": headline, "root": 0, "titled": titled}
+                       for j, titled in [(title, True)] * (title is not None) + [(j, False) for j in links]]
+        parts = [{"evidence": "\n".join(lines.of(r)), "hrefs": [page.attrs[j]["href"] for j in links if r < j <= page.last[r]]} for r in roots]
+        hidden = bool(re.search(rf"{re.escape(vocab.PROFILE_NAME)}\s+member", page.raw(c), re.I))
+        yield n, workspace, hidden, options, parts, [page.attrs[j]["href"] for j in links]
+
+
 def people_cards(pages: DataFrame) -> DataFrame:
     """SRC14, markup half: one row per outermost result card.  ``options`` are
     the links that may name the person, ``roots`` the parts of the card that
     may be evidence for one (``options.root`` counts into them), ``hrefs`` all links
     of the card; ``hidden`` marks a member without a name.  Work grows with the
     page; evidence comes from inside the card only."""
-    def shown(page, lines, j):
-        return " ".join(lines.of(next((k for k in page.inside(j) if page.tag[k] == "span" and page.attrs[k].get("aria-hidden") == "true"), j)))
-
-    def rows(rec):
-        page = _Page(rec["html"], frozenset({"script", "style", "button", "svg", "template"}))
-        lines = _Lines(page)
-        for n, (c, workspace) in enumerate(_outermost(page)):
-            links = [j for j in page.inside(c) if page.tag[j] == "a" and "href" in page.attrs[j]]
-            options, roots = [], {}
-            if workspace:
-                heads = {}
-                for j in links:
-                    p = next((k for k in page.up(j) if page.tag[k] == "p" or k <= c), c)
-                    if p <= c:
-                        continue
-                    if p not in heads:  # the paragraph of the division right behind the name
-                        behind = page.last[p] + 1
-                        is_next = behind < len(page.tag) and page.parent[behind] == page.parent[p] and page.tag[behind] == "div"
-                        head = next((k for k in page.inside(behind) if page.tag[k] == "p"), -1) if is_next else -1
-                        heads[p] = " ".join(lines.of(head)) if head >= 0 else ""
-                    root = roots.setdefault(page.parent[p], len(roots))
-                    options.append({"href": page.attrs[j]["href"], "name": shown(page, lines, j), "headline": heads[p], "root": root, "titled": False})
-            else:
-                roots[c] = 0
-                head = next((j for j in page.inside(c) if set(page.classes(j)) & HEADLINE_CLASSES or page.attrs[j].get("data-view-name") == HEADLINE_VIEW), -1)
-                headline = " ".join(lines.of(head)) if head >= 0 else ""
-                title = next((j for j in links if page.attrs[j].get("data-view-name") == TITLE_VIEW or any(
-                    set(page.classes(k)) & TITLE_CLASSES or page.attrs[k].get("data-view-name") == TITLE_VIEW for k in page.up(j) if k >= c)), None)
-                options = [{"href": page.attrs[j]["href"], "name": shown(page, lines, j), "headline": headline, "root": 0, "titled": titled}
-                           for j, titled in [(title, True)] * (title is not None) + [(j, False) for j in links]]
-            parts = [{"evidence": "\n".join(lines.of(r)), "hrefs": [page.attrs[j]["href"] for j in links if r < j <= page.last[r]]} for r in roots]
-            hidden = bool(re.search(rf"{re.escape(vocab.PROFILE_NAME)}\s+member", page.raw(c), re.I))
-            yield n, workspace, hidden, options, parts, [page.attrs[j]["href"] for j in links]
-
-    return _pages_to(pages.select("page_id", "html"), rows, """page_id BIGINT, card_no INT, workspace BOOLEAN, hidden BOOLEAN,
-        options ARRAY<STRUCT<href: STRING, name: STRING, headline: STRING, root: INT, titled: BOOLEAN>>, roots ARRAY<STRUCT<evidence: STRING, hrefs: ARRAY<STRING>>>, hrefs ARRAY<STRING>""", ["page_id"])
+    return _pages_to(pages.select("page_id", "html"), lambda rec: people_card_rows(rec["html"] or ""), f"page_id BIGINT, {PEOPLE_CARD}", ["page_id"])
