@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rostrum.operators import components as module
 from rostrum.operators.components import components
 
 
@@ -44,3 +45,31 @@ def test_struct_nodes_nulls_loops_repeats_and_no_edges(spark):
     got = {tuple(r.node): tuple(r.label) for r in components(table, "a", "b").collect()}
     assert got == brute(edges)
     assert components(table.where(F.lit(False)), "a", "b").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["chain", "star", "random"])
+def test_many_blocks_over_many_tasks(spark, monkeypatch, kind):
+    """Blocks of three links in tasks that adaptive execution leaves apart: the
+    rounds have to join what the blocks share."""
+    monkeypatch.setattr(module, "BLOCK", 3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        edges = graph(kind)
+        table = spark.createDataFrame(edges, "a bigint, b bigint").repartition(5)
+        assert {r.node: r.label for r in components(table, "a", "b").collect()} == brute(edges)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_fields_that_are_null_come_first(spark):
+    table = spark.createDataFrame([((None, 2), ("a", 1)), (("a", 1), ("b", None)), (("b", None), ("b", 0)), (("x", 1), ("x", None))], "a struct<k: string, n: int>, b struct<k: string, n: int>")
+    got = {tuple(r.node): tuple(r.label) for r in components(table, "a", "b").collect()}
+    assert got == {n: (None, 2) for n in [(None, 2), ("a", 1), ("b", None), ("b", 0)]} | {n: ("x", None) for n in [("x", 1), ("x", None)]}
+
+
+def test_other_types_are_left_to_the_rounds(spark):
+    edges = [(float(x), float(y)) for x, y in graph("random")]
+    table = spark.createDataFrame(edges, "a double, b double")
+    assert {r.node: r.label for r in components(table, "a", "b").collect()} == brute(edges)
