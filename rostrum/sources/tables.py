@@ -6,7 +6,8 @@ the pages have, which the ``DataFrame`` readers in ``markup`` drop:
     SELECT p.*, c.title FROM pages p, LATERAL result_cards(p.layout, p.html) c
 
 Rows of a call are those of the reader of the same name, without its key column.
-A page that is null gives what the reader gives for an empty one.
+A page that is null gives what the reader gives for an empty one.  The functions
+take rows one by one: as Arrow ones they would make a frame for each page.
 """
 from __future__ import annotations
 
@@ -18,7 +19,7 @@ from rostrum.sources import markup
 NAMES = ("result_cards", "registry_cells", "people_card_parts")
 
 
-@udtf(returnType=markup.RESULT_CARD, useArrow=True)
+@udtf(returnType=markup.RESULT_CARD, useArrow=False)
 class ResultCards:
     """SRC7: hits of a saved result page, or one row with its status."""
 
@@ -26,7 +27,7 @@ class ResultCards:
         yield from markup.result_card_rows(layout or "", html or "")
 
 
-@udtf(returnType=markup.REGISTRY_CELLS, useArrow=True)
+@udtf(returnType=markup.REGISTRY_CELLS, useArrow=False)
 class RegistryCells:
     """SRC11, markup half: the table rows of a registry page."""
 
@@ -34,7 +35,7 @@ class RegistryCells:
         yield from markup.registry_cell_rows(html or "")
 
 
-@udtf(returnType=markup.PEOPLE_CARD, useArrow=True)
+@udtf(returnType=markup.PEOPLE_CARD, useArrow=False)
 class PeopleCardParts:
     """SRC14, markup half: one row per outermost card."""
 
