@@ -472,7 +472,7 @@ def people_cards(spark, sf):
             .when(k == 5, "<p>hm</p>").otherwise(card))
     pages = p.select(F.col("person_id").alias("page_id"), F.lit("https://www.profiles.example/search/results/people/").alias("url"), F.when(k == 6, 500).otherwise(200).alias("http_status"),
                      F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
-    found = extract.read_cards(markup.people_cards(pages))
+    found = cut_lineage(extract.read_cards(markup.people_cards(pages)))  # read twice below; pages are parsed once
     people = extract.card_people(found)
     return (extract.people_page_class(pages, found).join(people.select("page_id", F.col("url").alias("profile_url"), "name", "headline", "designation"), "page_id", "left"))
 
@@ -491,7 +491,7 @@ def workspace_cards(spark, sf):
     html = F.concat(F.lit('<main id="workspace"><p><a href="/in/own-account">Own Account</a></p><div data-testid="lazy-column"><div role="list">'), body,
                     F.lit('</div></div><div role="list"><div role="listitem"><p><a href="/in/other">Other</a></p></div></div></main>'))
     pages = p.select(F.col("person_id").alias("page_id"), F.lit("https://www.profiles.example/search/results/people/").alias("url"), F.lit(200).alias("http_status"), html.alias("html"))
-    read = extract.read_cards(markup.people_cards(pages))
+    read = cut_lineage(extract.read_cards(markup.people_cards(pages)))  # read twice below; pages are parsed once
     people = extract.card_people(read).select("page_id", F.col("url").alias("profile_url"), "name", "headline", "designation", "snippet")
     return extract.people_page_class(pages, read).join(people, "page_id", "left")
 
