@@ -55,52 +55,51 @@ def cache_events(df: DataFrame) -> DataFrame:
 # --- one bucket ---------------------------------------------------------------------------
 def _walk(t, cool, empty, streak, until, limit, pause):
     """Forward pass: skipped flags, state after every event."""
-    n = len(t)
-    skipped, streaks, untils = np.zeros(n, bool), np.zeros(n, np.int32), np.zeros(n)
-    for i in range(n):
-        if t[i] < until:
-            skipped[i] = True
-        elif cool[i] > 0:
-            streak, until = 0, t[i] + cool[i]
-        elif empty[i] and limit:
-            streak, until = streak + 1, OPEN
-            if streak >= limit:
-                streak, until = 0, t[i] + pause
-        else:
-            streak, until = 0, OPEN
-        streaks[i], untils[i] = streak, until
-    return skipped, streaks, untils
+    skipped, streaks, untils = [], [], []
+    for at, cooling, is_empty in zip(t.tolist(), cool.tolist(), empty.tolist()):  # plain numbers: array items cost more than the walk
+        skip = at < until
+        if not skip:
+            if cooling > 0:
+                streak, until = 0, at + cooling
+            elif is_empty and limit:
+                streak, until = streak + 1, OPEN
+                if streak >= limit:
+                    streak, until = 0, at + pause
+            else:
+                streak, until = 0, OPEN
+        skipped.append(skip)
+        streaks.append(streak)
+        untils.append(until)
+    return np.array(skipped, bool), np.array(streaks, np.int32), np.array(untils, float)
 
 
 def _transfer(t, cool, empty, limit, pause, longest):
     """Exit state for every entry state, as rows ``(streak, lo, hi, out_streak,
     out_until)``: entered with ``lo < until <= hi``.  Computed right to left."""
     n, k = len(t), max(limit, 1)
-    out_s, out_u = np.zeros((n + 1, k), np.int32), np.full((n + 1, k), OPEN)
-    out_s[n] = range(k)
+    ends = t + np.where(cool > 0, cool, pause)  # of the pause that an event opens, and the first event behind it
+    behind = np.searchsorted(t, ends, side="left").tolist()
+    t, cool, empty, ends = t.tolist(), cool.tolist(), empty.tolist(), ends.tolist()
+    out = [None] * n + [[(s, OPEN) for s in range(k)]]
     for i in range(n - 1, -1, -1):
-        for s in range(k):
-            if cool[i] > 0 or (empty[i] and limit and s + 1 >= limit):
-                until = t[i] + (cool[i] if cool[i] > 0 else pause)
-                j = int(np.searchsorted(t, until, side="left"))
-                if j == n:
-                    out_s[i, s], out_u[i, s] = 0, until
-                else:
-                    out_s[i, s], out_u[i, s] = out_s[j, 0], out_u[j, 0]
-            else:
-                nxt = s + 1 if empty[i] and limit else 0
-                out_s[i, s], out_u[i, s] = out_s[i + 1, nxt], out_u[i + 1, nxt]
-    rows = [(s, -np.inf, t[0], out_s[0, s], out_u[0, s]) for s in range(k)]
+        paused = (0, ends[i]) if behind[i] == n else out[behind[i]][0]
+        if cool[i] > 0:
+            out[i] = [paused] * k
+        elif empty[i] and limit:
+            out[i] = [paused if s + 1 >= limit else out[i + 1][s + 1] for s in range(k)]
+        else:
+            out[i] = [out[i + 1][0]] * k
+    rows = [(s, -np.inf, t[0], *out[0][s]) for s in range(k)]
     for i in range(1, n):
         if t[i - 1] - t[0] > longest:
             break
         if t[i] == t[i - 1]:
             continue
         last = rows[-1]
-        if last[0] == 0 and i > 1 and (last[3], last[4]) == (out_s[i, 0], out_u[i, 0]) and last[2] == t[i - 1]:
+        if last[0] == 0 and i > 1 and last[3:] == out[i][0] and last[2] == t[i - 1]:
             rows[-1] = (0, last[1], t[i], last[3], last[4])
         else:
-            rows.append((0, t[i - 1], t[i], out_s[i, 0], out_u[i, 0]))
+            rows.append((0, t[i - 1], t[i], *out[i][0]))
     return rows, t[-1]
 
 
