@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from rostrum.llm import grams, samples
 from rostrum.llm.store import shared_table, shuffles_removed
 from rostrum.operators.components import components
+from rostrum.session import packed
 
 COARSE_BITS, FINE_BITS = 4, 8
 LEAF = 32
@@ -237,9 +238,9 @@ def _long_block(col: dict[str, np.ndarray], start: int, stop: int, percent: int)
     return [(left[p], other[q], b) for p, q, b in candidate_pairs(x, y, percent, lambda p, q: (comp[left[p]] != comp[other[q]]).any(1))]
 
 
-def _search(blocks: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs of classes that the bounds allow, from rows dealt and sorted by
-    block.  ``nearest`` keeps each class's best partner, else all pairs.
+def _search(blocks: DataFrame, rows: int, percent: int, nearest: bool) -> DataFrame:
+    """Pairs of classes that the bounds allow, from about ``rows`` rows dealt and
+    sorted by block.  ``nearest`` keeps each class's best partner, else all pairs.
 
     A pair's blocks also bound its overlap: all common grams that lie in the
     first grams of the set whose first grams end earlier are blocks of both, and
@@ -284,12 +285,13 @@ def _search(blocks: DataFrame, percent: int, nearest: bool) -> DataFrame:
             col, found, _ = cut(held, True)
             yield from send(col, found)
 
-    dealt = blocks.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
+    # A block lies in one partition, so partitions that are put together do not mix blocks.
+    dealt = packed(blocks.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj"), rows)
     pairs = dealt.select(*_COLUMNS).mapInArrow(run, _PAIRS)
     if not nearest:  # one order of the two ends
         flip = "(a > b) or (a = b and an > bn)"
         pairs = pairs.select(*[F.expr(f"if({flip}, {p}, {q})").alias(q) for p, q in (("b", "a"), ("bn", "an"), ("a", "b"), ("an", "bn"))], "w", "score")
-    seen = pairs.groupBy("a", "an", "b", "bn").agg(F.sum("w").alias("w"), F.max("score").alias("score"))
+    seen = packed(pairs.groupBy("a", "an", "b", "bn").agg(F.sum("w").alias("w"), F.max("score").alias("score")), rows)
     # Grams outside the first ones, plus the blocks they share, must make up the overlap a link needs.
     beyond = F.greatest(*[F.ceil(F.lit(percent) * F.col(c) / 100) - 1 for c in ("an", "bn")])
     lack = F.lit(percent) * (F.col("an") + F.col("bn")) - (100 + percent) * beyond
@@ -298,7 +300,7 @@ def _search(blocks: DataFrame, percent: int, nearest: bool) -> DataFrame:
     # A best partner may change from block to block, so here half the blocks will do: what is
     # passed over is looked at again in the search for all pairs.
     best = F.max(F.struct("w", "score", "b", "bn")).alias("best")
-    return seen.where(2 * (100 + percent) * F.col("w") >= lack).groupBy("a", "an").agg(best).select("a", "an", "best.b", "best.bn")
+    return packed(seen.where(2 * (100 + percent) * F.col("w") >= lack).groupBy("a", "an").agg(best), rows).select("a", "an", "best.b", "best.bn")
 
 
 def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
@@ -383,32 +385,37 @@ def _linked(docs: DataFrame, k: int = 5, percent: int = 75, sample: int = 4_096,
     members = ends.where("lo <> hi").dropDuplicates(["key", "cls", "n"])
     members = members.select("*", F.count("*").over(by_key).alias("m"), F.expr("bit_xor(xxhash64(cls, n)) over (partition by key)").alias("mark"))
     members = shared_table(members)
-    per_key = members.groupBy("key").agg(*[F.first(c).alias(c) for c in ("lo", "hi", "m", "mark")])
-    kept = per_key.groupBy("lo", "hi", "m", "mark").agg(F.min("key").alias("key"), F.count("*").alias("w")).select("key", "w")
-    blocks = shared_table(members.join(kept, "key").select("key", "cls", "n", "m", "w"))
+    n_members = members.count()
+    per_key = packed(members.groupBy("key").agg(*[F.first(c).alias(c) for c in ("lo", "hi", "m", "mark")]), n_members)
+    kept = packed(per_key.groupBy("lo", "hi", "m", "mark").agg(F.min("key").alias("key"), F.count("*").alias("w")), n_members).select("key", "w")
+    blocks = shared_table(packed(members.join(kept, "key"), n_members).select("key", "cls", "n", "m", "w"))
 
     # One text of each class in a block stands for it.
     one = about.select("cls", "n", F.struct("doc_id", "pts").alias("x")).groupBy("cls", "n").agg(F.min("x").alias("x")).select("cls", "n", "x.*")
-    classes = shared_table(one.join(blocks.select("cls", "n").distinct(), ["cls", "n"]))
-    found, links, before, left = None, None, None, rounds
+    n_about, n_blocks = about.count(), blocks.count()
+    classes = shared_table(packed(one.join(blocks.select("cls", "n").distinct(), ["cls", "n"]), n_about))
+    found, links, n_links, before, left = None, None, 0, None, rounds
     while left >= 0:
         nearest = left > 0
-        pairs = _search(_tiled(blocks, classes, found, not nearest), percent, nearest)
+        rows = n_blocks if nearest else blocks.agg(F.sum(_tiles())).first()[0] or 0
+        pairs = _search(_tiled(blocks, rows, classes, found, not nearest), rows, percent, nearest)
         new = _verified(pairs, docs, classes, k, percent)
-        links = new if links is None else links.union(new)
-        with shuffles_removed(spark):
-            found = _components(links)
-        n_new = new.count() if left > 1 else 0
+        n_new = new.count()
+        links, n_links = new if links is None else links.union(new), n_links + n_new
+        if n_new or found is None:
+            with shuffles_removed(spark):
+                found = _components(links, n_links)
         # Groups of near copies still halve; where links get few, another round of partners saves nothing.
         left = 0 if nearest and before is not None and 4 * n_new < before else left - 1
         before = n_new
-    return _named(about.drop("pts", "first"), found)
+    return _named(about.drop("pts", "first"), found, n_about)
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     """Sets of the chosen classes, from the text of each one's ``doc_id``."""
-    ids = chosen.select(F.col("doc_id").alias("chosen_id")).distinct()
-    texts = docs.join(_maybe_broadcast(ids, chosen.count()), F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi").select("text")
+    n = chosen.count()
+    ids = packed(chosen.select(F.col("doc_id").alias("chosen_id")).distinct(), n)
+    texts = docs.join(_maybe_broadcast(ids, n), F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi").select("text")
 
     def run(batches):
         powers, told = grams.Powers(), set()
@@ -423,56 +430,63 @@ def _sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
 
     made = texts.mapInArrow(run, "cls bigint, n bigint, grams array<bigint>")
     # A doc_id that is repeated with other texts brings sets that nobody asked for.
-    return shared_table(made.join(chosen.select("cls", "n"), ["cls", "n"], "left_semi").dropDuplicates(["cls", "n"]))
+    wanted = _maybe_broadcast(chosen.select("cls", "n"), n)
+    return shared_table(packed(made.join(wanted, ["cls", "n"], "left_semi").dropDuplicates(["cls", "n"]), n))
 
 
-def _tiled(blocks: DataFrame, classes: DataFrame, found: DataFrame | None, crossed: bool) -> DataFrame:
-    """Rows of the blocks of at least two components with their points, dealt
-    into tiles.  With ``crossed`` every pair of tiles of a block is searched,
-    else each tile by itself."""
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
+def _tiles():
+    return F.ceil(F.col("m") / TILE).cast("int")
+
+
+def _tiled(blocks: DataFrame, n_rows: int, classes: DataFrame, found: DataFrame | None, crossed: bool) -> DataFrame:
+    """Rows (``n_rows`` at most) of the blocks of at least two components with
+    their points, dealt into tiles.  With ``crossed`` every pair of tiles of a
+    block is searched, else each tile by itself."""
+    tiles = _tiles()
     known = blocks.withColumns({"comp_c": F.col("cls"), "comp_n": F.col("n")})
     if found is not None:
-        known = blocks.join(found, ["cls", "n"], "left").withColumns({"comp_c": F.coalesce("comp_c", "cls"), "comp_n": F.coalesce("comp_n", "n")})
+        known = blocks.join(_maybe_broadcast(found, found.count()), ["cls", "n"], "left").withColumns({"comp_c": F.coalesce("comp_c", "cls"), "comp_n": F.coalesce("comp_n", "n")})
         mixed = known.groupBy("key").agg(F.min(F.struct("comp_c", "comp_n")).alias("x"), F.max(F.struct("comp_c", "comp_n")).alias("y")).where("x <> y")
-        known = known.join(mixed.select("key"), "key", "left_semi")
+        known = packed(known.join(mixed.select("key"), "key", "left_semi"), n_rows)
     known = known.withColumns({"tiles": tiles, "own": F.pmod(F.xxhash64("cls", "n"), tiles).cast("int")})
     # A row meets the rows of its own tile and of every other, on one side of the pair.
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)) if crossed else F.col("own")
     rows = known.withColumn("other", other).select(
         "key", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), (F.col("own") > F.col("other")).cast("int").alias("side"),
         "cls", "n", "comp_c", "comp_n", "w")
-    return rows.join(classes.select("cls", "n", "pts"), ["cls", "n"])
+    return packed(rows.join(classes.select("cls", "n", "pts"), ["cls", "n"]), n_rows)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose sets do link; only classes of a pair have their set made."""
     pairs = shared_table(pairs)
-    ends = pairs.select(F.col("a").alias("cls"), F.col("an").alias("n")).union(pairs.select("b", "bn")).distinct()
-    sets = _sets(docs, shared_table(classes.drop("pts").join(ends, ["cls", "n"])), k)
+    n_pairs = pairs.count()
+    ends = packed(pairs.select(F.col("a").alias("cls"), F.col("an").alias("n")).union(pairs.select("b", "bn")).distinct(), n_pairs)
+    sets = _sets(docs, shared_table(classes.drop("pts").join(_maybe_broadcast(ends, 2 * n_pairs), ["cls", "n"])), k)
     x = sets.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("grams").alias("ga"))
     y = sets.select(F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("grams").alias("gb"))
-    both = pairs.join(x, ["a", "an"]).join(y, ["b", "bn"])
+    both = packed(packed(pairs.join(x, ["a", "an"]), n_pairs).join(y, ["b", "bn"]), n_pairs)
     overlap = F.size(F.array_intersect("ga", "gb"))
     return shared_table(both.where((100 + percent) * overlap >= percent * (F.col("an") + F.col("bn"))).select("a", "an", "b", "bn"))
 
 
-def _components(links: DataFrame) -> DataFrame:
+def _components(links: DataFrame, rows: int) -> DataFrame:
     """Class and the class that names its component, both as two columns."""
     ends = links.select(F.struct(F.col("a").alias("cls"), F.col("an").alias("n")).alias("x"), F.struct(F.col("b").alias("cls"), F.col("bn").alias("n")).alias("y"))
-    return shared_table(components(ends, "x", "y").select("node.cls", "node.n", F.col("label.cls").alias("comp_c"), F.col("label.n").alias("comp_n")))
+    return shared_table(components(ends, "x", "y", rows).select("node.cls", "node.n", F.col("label.cls").alias("comp_c"), F.col("label.n").alias("comp_n")))
 
 
-def _named(about: DataFrame, found: DataFrame) -> DataFrame:
+def _named(about: DataFrame, found: DataFrame, rows: int) -> DataFrame:
     """Component of each row and its least doc_id."""
     some, none = about.where("n > 0"), about.where("n = 0")
-    classes = some.groupBy("cls", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    classes = packed(some.groupBy("cls", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), rows)
+    found = _maybe_broadcast(found, found.count())
     linked = classes.join(found, ["cls", "n"])
     least = linked.groupBy("comp_c", "comp_n").agg(F.min("first").alias("least"))
     by_link = linked.join(least, ["comp_c", "comp_n"]).select("cls", "n", "comp_c", "comp_n", "least")
     by_copy = classes.where("copies > 1").join(found, ["cls", "n"], "left_anti").select("cls", "n", F.col("cls").alias("comp_c"), F.col("n").alias("comp_n"), F.col("first").alias("least"))
     # A class that stands alone needs no partner row: its document names itself.
-    whole = some.join(by_link.union(by_copy), ["cls", "n"], "left")
+    whole = packed(some.join(by_link.union(by_copy), ["cls", "n"], "left"), rows)
     own = F.when(F.col("comp_c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
     whole = whole.select("doc_id", "mark", "n", F.coalesce("comp_c", "cls").alias("comp_c"), F.coalesce("comp_n", "n").alias("comp_n"), own)
     return whole.union(none.select("doc_id", "mark", "n", "cls", "n", F.col("doc_id").alias("component_id")))

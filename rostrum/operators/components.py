@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rostrum.session import cut_lineage
+from rostrum.session import cut_lineage, packed
 
 #: Links that a task joins at once; more are joined block by block.
 BLOCK = 500_000
+#: Links that weigh as much as one row of a wider table when tasks are put together.
+LINKS_A_ROW = 4
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -20,11 +22,11 @@ def _lowest(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u").withColumn("m", F.least("m", "u"))
 
 
-def _all_stars(links: DataFrame) -> bool:
+def _all_stars(links: DataFrame, fit=lambda df: df) -> bool:
     """Whether each node has one link at most and none leads to a node that has
     one itself: then every link leads to the least node of its component."""
     roles = links.selectExpr("u AS node", "1 AS up", "0 AS down").union(links.selectExpr("v AS node", "0 AS up", "1 AS down"))
-    return roles.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
+    return fit(roles.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
 
 def _plain(kind: T.DataType) -> bool:
@@ -94,7 +96,7 @@ def _short(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, links.schema)
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, rows: int | None = None) -> DataFrame:
     """``node`` and ``label``, the least node of its component, for every node
     of an edge.  Any type with an order serves as node; edges with a null end
     and loops join nothing (a loop alone still names its node).
@@ -104,14 +106,18 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     around it.  A chain of n nodes shrinks to a star in O(log n) rounds; no
     list of neighbours is ever built and there is no limit on rounds.  Before
     each round a task joins the links that lie in it, so that few are needed.
+    ``rows``, the counted edges, lets tasks of a few links be put together.
     """
+    def fit(df: DataFrame) -> DataFrame:
+        return df if rows is None else packed(df, rows // LINKS_A_ROW)
+
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     nodes = pairs.select("u").union(pairs.select("v")).distinct()
-    links = cut_lineage(_short(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()))
-    while not _all_stars(links):
+    links = cut_lineage(_short(fit(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())))
+    while not _all_stars(links, fit):
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _lowest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        around = _lowest(large)
+        large = fit(_lowest(both)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        around = fit(_lowest(large))
         small = around.select("v", "m").union(around.select("u", "m")).toDF("u", "v").where("u <> v").distinct()
-        links = cut_lineage(_short(small))
-    return nodes.join(links, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("label"))
+        links = cut_lineage(_short(fit(small)))
+    return fit(nodes.join(links, "u", "left")).select(F.col("u").alias("node"), F.coalesce("v", "u").alias("label"))

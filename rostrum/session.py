@@ -7,6 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows worth a task of their own after a shuffle.
+TASK_ROWS = 4_096
+
+
 def local_session(cpus: str = "8", memory: str = "12g", name: str = "rostrum") -> SparkSession:
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName(name)
              .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
@@ -30,6 +34,15 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{(root or tempfile.mkdtemp(prefix='rostrum-shared-')).rstrip('/')}/rostrum-{kind}-{uuid.uuid4().hex}"
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, the outcome of a shuffle of about ``rows`` counted rows, in as
+    many tasks as those rows are worth.  A shuffle dealt to many more partitions
+    costs a start and a file each for a handful of rows; a large one stays as it
+    was dealt."""
+    tasks = max(1, -(-rows // TASK_ROWS))
+    return df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
 

@@ -81,6 +81,31 @@ def test_group_of_many_near_copies(spark):
     assert sorted(map(tuple, jaccard.link(docs).collect()), key=str) == sorted(brute(rows), key=str)
 
 
+def test_few_rows_make_few_tasks(spark, monkeypatch):
+    """With many partitions that adaptive execution leaves apart, tables of a few
+    hundred rows are still written by a few tasks."""
+    rows = [(i, t) for i, t in enumerate(texts(7, 60, 8, 60))]
+    files, write = [], jaccard.shared_table
+
+    def shared_table(df):
+        out = write(df)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(jaccard, "shared_table", shared_table)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [tuple(r) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(got) == sorted(brute(rows))
+    # All but the members of blocks, whose number nobody knows before.
+    assert sum(n > 12 for n in files) <= 1, files
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string").where("false")
     assert jaccard.link(docs).count() == 0

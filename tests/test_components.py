@@ -63,6 +63,35 @@ def test_many_blocks_over_many_tasks(spark, monkeypatch, kind):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("kind", ["chain", "star", "random"])
+def test_counted_links_share_tasks(spark, monkeypatch, kind):
+    """Told the number of links, rounds put partitions together; the result stays."""
+    from rostrum import session
+    parts, cut = [], module.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(module, "cut_lineage", counted)
+    monkeypatch.setattr(module, "BLOCK", 3)
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "17")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        edges = graph(kind)
+        table = spark.createDataFrame(edges, "a bigint, b bigint").repartition(5)
+        assert {r.node: r.label for r in components(table, "a", "b", len(edges)).collect()} == brute(edges)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert max(parts) <= 3, parts
+
+
 def test_fields_that_are_null_come_first(spark):
     table = spark.createDataFrame([((None, 2), ("a", 1)), (("a", 1), ("b", None)), (("b", None), ("b", 0)), (("x", 1), ("x", None))], "a struct<k: string, n: int>, b struct<k: string, n: int>")
     got = {tuple(r.node): tuple(r.label) for r in components(table, "a", "b").collect()}
