@@ -10,8 +10,9 @@ from rostrum.functions import text as T
 from rostrum.functions import urls as U
 
 
-def site_score(url: Column, title: Column, snippet: Column, brand: Column) -> Column:
-    """M1 -> STRUCT<domain, kind, score>; NULL when the row is no candidate."""
+def site_score(url: Column, title: Column, snippet: Column, forms: Column) -> Column:
+    """M1 on the brand's U7 forms -> STRUCT<domain, kind, score>; NULL when the
+    row is no candidate."""
     text = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit(""))))
 
     def total(x: Column) -> Column:
@@ -25,12 +26,12 @@ def site_score(url: Column, title: Column, snippet: Column, brand: Column) -> Co
 
     def measure(x: Column) -> Column:
         return T.let({"dom": x["dom"], "text": x["text"], "home": x["home"],
-                      "base": U.domain_score(U.domain_core(x["dom"]), x["brand"]),
-                      "hits": F.size(F.filter(x["brand"], lambda t: (F.length(t) >= 3) & x["text"].contains(t)))}, total)
+                      "base": U.domain_score_of(U.domain_core(x["dom"]), x["forms"]),
+                      "hits": F.size(F.filter(x["forms"]["words"], lambda t: (F.length(t) >= 3) & x["text"].contains(t)))}, total)
 
     home = F.regexp_replace(U.path(url), "/$", "") == ""
-    ok = (F.size(brand) > 0) & ~U.is_blocked_host(url)
-    return F.when(ok, T.let({"dom": U.domain(url), "brand": brand, "text": text, "home": home}, measure))
+    ok = F.size(forms["words"]) > 0
+    return F.when(ok, T.let(U.domain(url), lambda dom: F.when(~U.is_blocked_domain(dom), T.let({"dom": dom, "forms": forms, "text": text, "home": home}, measure))))
 
 
 def name_similarity(a: Column, b: Column) -> Column:

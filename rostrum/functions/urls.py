@@ -135,19 +135,38 @@ def merge_key(url: Column) -> Column:
 
 def is_blocked_host(url: Column) -> Column:
     """U6. Whole hosts and whole labels only; unreadable addresses are blocked."""
+    return let(domain(url), is_blocked_domain)
+
+
+def is_blocked_domain(dom: Column) -> Column:
+    """U6 on a U1 result.  Last labels of an ASCII domain are looked up; ``$`` also
+    stands before a line separator beyond ASCII, which is left to the pattern."""
     hosts = "|".join(h.replace(".", r"\.") for h in vocab.BLOCKED_HOSTS)
-    labels = "|".join(vocab.BLOCKED_LABELS)
-    return domain(url).rlike(rf"^$|(?:^|\.)(?:{hosts})$|(?:^|\.)(?:{labels})(?:\.|$)")
+    labels = rf"(?:^|\.)(?:{'|'.join(vocab.BLOCKED_LABELS)})(?:\.|$)"
+    listed = dom == ""
+    for dots in sorted({h.count(".") for h in vocab.BLOCKED_HOSTS}):
+        listed |= F.substring_index(dom, ".", -dots - 1).isin([h for h in vocab.BLOCKED_HOSTS if h.count(".") == dots])
+    return F.when(F.length(dom) == F.octet_length(dom), listed | dom.rlike(labels)).otherwise(dom.rlike(rf"^$|(?:^|\.)(?:{hosts})$|{labels}"))
+
+
+def brand_forms(brand: Column) -> Column:
+    """What U7 compares of S6 tokens -> STRUCT<words, joined, acronym>."""
+    return F.struct(brand.alias("words"), F.array_join(brand, "").alias("joined"),
+                    F.array_join(F.transform(brand, lambda t: F.substring(t, 1, 1)), "").alias("acronym"))
 
 
 def domain_score(core: Column, brand: Column) -> Column:
     """U7 -> STRUCT<score, kind>."""
-    return let({"core": core, "brand": brand}, lambda x: _domain_score(x["core"], x["brand"]))
+    return domain_score_of(core, brand_forms(brand))
+
+
+def domain_score_of(core: Column, forms: Column) -> Column:
+    """U7 on forms that are already worked out, as once for all hits of a company."""
+    return let({"core": core, "forms": forms}, lambda x: _domain_score(x["core"], x["forms"]))
 
 
-def _domain_score(core: Column, brand: Column) -> Column:
-    joined = F.array_join(brand, "")
-    acronym = F.array_join(F.transform(brand, lambda t: F.substring(t, 1, 1)), "")
+def _domain_score(core: Column, forms: Column) -> Column:
+    brand, joined, acronym = forms["words"], forms["joined"], forms["acronym"]
     hit = F.filter(brand, lambda t: (F.length(t) >= 3) & core.contains(t))
 
     def cut_first(left: Column, t: Column) -> Column:

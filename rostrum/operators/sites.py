@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions import match as M
 from rostrum.functions import text as T
+from rostrum.functions import urls as U
 
 
 def official_sites(companies: DataFrame, hits: DataFrame, first_n: int = 12) -> DataFrame:
@@ -17,9 +18,9 @@ def official_sites(companies: DataFrame, hits: DataFrame, first_n: int = 12) ->
     """
     w = Window.partitionBy("company_id", "variant_no").orderBy("pos")
     top = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= first_n)
-    brands = companies.select("company_id", T.brand_tokens(F.col("company_name")).alias("brand"))
-    scored = (T.once(top.join(brands, "company_id"), s=M.site_score(F.col("url"), F.col("title"), F.col("snippet"), F.col("brand")))
-              .where(F.col("s").isNotNull()).select("company_id", "variant_no", "pos", F.size("brand").alias("n_words"), "s"))
+    brands = T.once(T.once(companies.select("company_id", "company_name"), brand=T.brand_tokens(F.col("company_name"))), forms=U.brand_forms(F.col("brand"))).select("company_id", "forms")
+    scored = (T.once(top.join(brands, "company_id"), s=M.site_score(F.col("url"), F.col("title"), F.col("snippet"), F.col("forms")))
+              .where(F.col("s").isNotNull()).select("company_id", "variant_no", "pos", F.size("forms.words").alias("n_words"), "s"))
     best = (scored.groupBy("company_id", "variant_no").agg(
         F.max_by(F.struct("s.domain", "s.kind", "s.score", "n_words", "pos"),
                  F.struct("s.score", (-F.col("pos")).alias("p"))).alias("b"))
