@@ -229,9 +229,17 @@ _REG_ID = r"[A-Za-z][A-Za-z0-9-]{7,30}"
 _REG_NAME = r"[A-Za-z0-9&'.\-%]+"
 
 
+#: An address as the registry itself prints it, which is its own canonical form.
+_CIN_CHARS = 21
+_REG_PLAIN = rf"^https://www\.{vocab.REGISTRY_HOST.replace('.', chr(92) + '.')}/[A-Z0-9]+(?:-[A-Z0-9]+)*-[A-Z]\d{{5}}[A-Z]{{2}}\d{{4}}[A-Z]{{3}}\d{{6}}\z"
+
+
 def registry_record(url: Column) -> Column:
-    """U11 -> STRUCT<url, cin, name> or NULL."""
-    return let(url, _registry_record)
+    """U11 -> STRUCT<url, cin, name> or NULL.  A canonical address is only cut."""
+    head = len(f"https://www.{vocab.REGISTRY_HOST}/")
+    name = F.translate(url.substr(F.lit(head + 1), F.length(url) - (head + _CIN_CHARS + 1)), "-", " ")
+    plain = F.struct(url.alias("url"), F.right(url, F.lit(_CIN_CHARS)).alias("cin"), name.alias("name"))
+    return F.when(url.rlike(_REG_PLAIN), plain).otherwise(let(url, _registry_record))
 
 
 def _registry_record(url: Column) -> Column:
