@@ -9,6 +9,7 @@ from rostrum.functions import match as M
 from rostrum.functions import text as T
 from rostrum.functions import urls as U
 from rostrum.operators.results import first_seen
+from rostrum.session import cut_lineage
 
 
 def registry_candidates(results: DataFrame) -> DataFrame:
@@ -58,11 +59,40 @@ def match_candidates(companies: DataFrame, candidates: DataFrame) -> DataFrame:
     return rows.select(*candidates.columns, "company_name", best.alias("match"))
 
 
+def _best(matched: Column | None = None) -> Column:
+    """W2 as an aggregate over matched candidates, or those that ``matched`` picks."""
+    fits = F.col("match.accepted") if matched is None else F.col("match.accepted") & matched
+    row = F.struct("cin", "pos", "url", "candidate_name", "alt_name", "match.score", "match.confidence")
+    return F.max_by(F.when(fits, row), F.when(fits, F.struct("match.score", (-F.col("pos")).alias("p"))))
+
+
 def best_candidate(matched: DataFrame) -> DataFrame:
     """W2. Highest accepted score, earliest on ties."""
-    row = F.struct("cin", "pos", "url", "candidate_name", "alt_name", "match.score", "match.confidence")
-    return (matched.where("match.accepted").groupBy("company_id")
-            .agg(F.max_by(row, F.struct("match.score", (-F.col("pos")).alias("p"))).alias("b")).select("company_id", "b.*"))
+    return matched.where("match.accepted").groupBy("company_id").agg(_best().alias("b")).select("company_id", "b.*")
+
+
+def _known(web: DataFrame, site: DataFrame, pages: DataFrame, outages: DataFrame | None) -> DataFrame:
+    """One row for each company of which any table knows something: its best
+    candidate, whether it has any, its page's section and what was down.  All
+    tables are put below each other and grouped once."""
+    told = (web.withColumn("search", F.lit("web")).unionByName(site.withColumn("search", F.lit("site")))
+            .select("company_id", "search", "cin", "pos", "url", "candidate_name", "alt_name", "match")
+            .unionByName(pages.select("company_id", "section_present"), allowMissingColumns=True))
+    if outages is not None:
+        told = told.unionByName(outages.where(F.col("company_id").isNotNull()).select("company_id", "step", F.coalesce("message", F.lit("")).alias("said")),
+                                allowMissingColumns=True)
+
+    def down(step: str) -> Column:
+        return F.min(F.when(F.col("step") == step, F.col("said"))) if outages is not None else F.lit(None).cast("string")
+
+    by = {s: F.col("search") == s for s in ("web", "site")}
+    known = told.groupBy("company_id").agg(
+        *[_best(by[s]).alias(f"best_{s}") for s in by], *[F.coalesce(F.max(by[s]), F.lit(False)).alias(f"any_{s}") for s in by],
+        F.max("section_present").alias("section_present"), *[down(step).alias(f"{step}_down") for step in OUTAGE_STEPS])
+    up = {s: F.col(f"{s}_down").isNull() for s in by}
+    return known.select("company_id", F.coalesce(*[F.when(up[s], F.col(f"best_{s}")) for s in by]).alias("best"),
+                        ((up["web"] & F.col("any_web")) | (up["site"] & F.col("any_site"))).alias("any_candidate"),
+                        "section_present", *[f"{step}_down" for step in OUTAGE_STEPS])
 
 
 def registry_outcome(companies: DataFrame, web: DataFrame, site: DataFrame, pages: DataFrame, page_officers: DataFrame,
@@ -79,31 +109,27 @@ def registry_outcome(companies: DataFrame, web: DataFrame, site: DataFrame, page
     (the follow-up query).  An outage counts only where the cascade asks that
     search; ``unavailable`` marks companies whose answer is missing because of
     one of the web searches.  Of repeated outages of a step the least message counts.
+
+    What is known of a company and its officers are worked out once and kept, as
+    both results read them.
     """
-    down = _outages(companies, outages)
-    best_web = best_candidate(_up(web, down, "web"))
-    best = best_web.unionByName(best_candidate(_up(site, down, "site")).join(best_web, "company_id", "left_anti"))
-    any_candidate = (_up(web, down, "web").select("company_id").union(_up(site, down, "site").select("company_id")).distinct()
-                     .withColumn("any_candidate", F.lit(True)))
-    loaded = pages.groupBy("company_id").agg(F.max("section_present").alias("section_present"))
+    known = cut_lineage(_known(web, site, pages, outages))
 
     def stage(df: DataFrame, rank: int) -> DataFrame:
         return df.withColumn("stage", F.lit(rank))
 
-    told = [stage(page_officers, 1), stage(_up(indexed_officers, down, "web"), 2), stage(_up(followup_officers, down, "officers"), 3)]
-    pool = (told[0].unionByName(told[1], allowMissingColumns=True).unionByName(told[2], allowMissingColumns=True)
-            .join(best.select("company_id"), "company_id", "left_semi").join(loaded, "company_id", "left")
-            .where((F.col("stage") == 1) | ~F.coalesce("section_present", F.lit(False))))
-    first_stage = pool.groupBy("company_id").agg(F.min("stage").alias("stage"))
-    officers = pool.join(first_stage, ["company_id", "stage"], "left_semi").drop("section_present")
-    outcome = (companies.select("company_id").join(any_candidate, "company_id", "left")
-               .join(best.select("company_id", "url", "candidate_name", "confidence"), "company_id", "left")
-               .join(loaded, "company_id", "left").join(first_stage, "company_id", "left"))
-    if down is not None:
-        outcome = outcome.join(down, "company_id", "left")
-    web_down, site_down, officers_down = (F.col(f"{step}_down") if down is not None else F.lit(None).cast("string") for step in OUTAGE_STEPS)
-    lost, named = F.col("url").isNull(), F.col("stage").isNotNull()
+    told = (stage(page_officers, 1).unionByName(stage(indexed_officers, 2), allowMissingColumns=True)
+            .unionByName(stage(followup_officers, 3), allowMissingColumns=True))
     open_page = ~F.coalesce("section_present", F.lit(False))
+    asked = ((F.col("stage") == 1) | (open_page & (((F.col("stage") == 2) & F.col("web_down").isNull())
+                                                   | ((F.col("stage") == 3) & F.col("officers_down").isNull()))))
+    found = known.where(F.col("best").isNotNull()).select("company_id", "section_present", "web_down", "officers_down")
+    pool = told.join(found, "company_id").where(asked).withColumn("_first", F.min("stage").over(Window.partitionBy("company_id")))
+    officers = cut_lineage(pool.where(F.col("stage") == F.col("_first")).select("company_id", *[c for c in told.columns if c != "company_id"]))
+    outcome = (companies.select("company_id").join(known, "company_id", "left")
+               .join(officers.groupBy("company_id").agg(F.min("stage").alias("stage")), "company_id", "left"))
+    lost, named = F.col("best").isNull(), F.col("stage").isNotNull()
+    web_down, site_down, officers_down = (F.col(f"{step}_down") for step in OUTAGE_STEPS)
     no_site = F.concat(F.lit("ZaubaCorp site search could not be loaded: "), site_down)
     reason = (F.when(lost & web_down.isNotNull(), F.concat_ws("; ", F.concat(F.lit("ZaubaCorp company search could not recover after: "), web_down), no_site))
               .when(lost & site_down.isNotNull(), no_site)
@@ -114,25 +140,11 @@ def registry_outcome(companies: DataFrame, web: DataFrame, site: DataFrame, page
               .when(F.col("section_present").isNotNull(), "Directors unavailable")
               .otherwise("ZaubaCorp page could not be loaded; indexed results did not identify directors"))
     unavailable = (lost & web_down.isNotNull()) | (~lost & ~named & open_page & officers_down.isNotNull())
-    return officers, outcome.select("company_id", F.concat("url", F.lit(f"#{vocab.REGISTRY_SECTION}")).alias("page_url"),
-                                    F.col("candidate_name").alias("matched_name"),
-                                    F.coalesce("confidence", F.lit("none")).alias("confidence"),
+    return officers, outcome.select("company_id", F.concat("best.url", F.lit(f"#{vocab.REGISTRY_SECTION}")).alias("page_url"),
+                                    F.col("best.candidate_name").alias("matched_name"),
+                                    F.coalesce("best.confidence", F.lit("none")).alias("confidence"),
                                     named.alias("ok"), reason.alias("reason"), unavailable.alias("unavailable"))
 
 
 #: Searches of the registry cascade that can be down.
 OUTAGE_STEPS = ("web", "site", "officers")
-
-
-def _outages(companies: DataFrame, outages: DataFrame | None) -> DataFrame | None:
-    """One row per company with the message of each step that was down."""
-    if outages is None:
-        return None
-    said = F.coalesce("message", F.lit(""))
-    return outages.where(F.col("company_id").isNotNull()).groupBy("company_id").agg(
-        *[F.min(F.when(F.col("step") == step, said)).alias(f"{step}_down") for step in OUTAGE_STEPS])
-
-
-def _up(rows: DataFrame, down: DataFrame | None, step: str) -> DataFrame:
-    """Rows of companies for which the search of ``step`` answered."""
-    return rows if down is None else rows.join(down.where(F.col(f"{step}_down").isNotNull()).select("company_id"), "company_id", "left_anti")

@@ -51,6 +51,19 @@ def test_a_name_is_judged_the_same_wherever_it_stands(spark):
         assert s == (by_slug if by_name is None or by_slug is not None and by_slug > by_name else by_name)
 
 
+def test_the_outcome_is_a_small_plan(spark):
+    """Everything known of a company is grouped once; nothing of it is worked out again for officers and outcome."""
+    companies = spark.createDataFrame([(1, "Acme Foods")], "company_id bigint, company_name string")
+    candidates = spark.createDataFrame([(1, "C", 1, "u", "Acme Foods", "ACME FOODS")], "company_id bigint, cin string, pos bigint, url string, candidate_name string, alt_name string")
+    matched = registry.match_candidates(companies, candidates)
+    pages = spark.createDataFrame([(1, True)], "company_id bigint, section_present boolean")
+    officers = spark.createDataFrame([(1, 5, "Asha Rao")], "company_id bigint, pos bigint, person_name string")
+    told, outcome = registry.registry_outcome(companies, matched, matched, pages, officers, officers, officers)
+    assert plan(outcome).count("Exchange") <= 4 and plan(told).count("Exchange") == 0
+    assert [(r.ok, r.matched_name, r.page_url) for r in outcome.collect()] == [(True, "Acme Foods", "u#director-information")]
+    assert [tuple(r) for r in told.collect()] == [(1, 5, "Asha Rao", 1)]
+
+
 def test_reordered_joins_give_the_rows_of_the_view(spark):
     part = spark.createDataFrame([(i, f"steel rod {i % 3}", i % 7) for i in range(12)] + [(3, "steel rod twice", 1), (None, "steel", 2)], "p_partkey bigint, p_name string, p_size int")
     line = spark.createDataFrame([(i, i % 4, i % 13, i % 5 if i % 9 else None) for i in range(60)], "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint")
