@@ -10,6 +10,8 @@ from rostrum import vocab
 
 # White space as browsers see it, and ASCII-only word boundaries.
 WS = r"[\s   -     　﻿]"
+# No white space is a printed ASCII character: told at once, before the long class is tried.
+NOT_PRINTED = "(?![!-~])"
 WB = r"(?<![A-Za-z0-9_])"
 WE = r"(?![A-Za-z0-9_])"
 
@@ -52,7 +54,7 @@ def in_words(t: Column, words: list[str]) -> Column:
 
 def squash(c: Column) -> Column:
     """Collapse white space and trim; NULL becomes an empty string."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), WS + "+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), NOT_PRINTED + WS + "+", " "))
 
 
 def tokens(c: Column, sep: str = WS + "+") -> Column:
@@ -164,8 +166,13 @@ _ENTITIES = [("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " ")]
 
 
 def decode_entities(c: Column) -> Column:
-    """S9. Decimal references are replaced one distinct code at a time."""
-    s = F.replace(F.coalesce(c, F.lit("")), F.lit("&amp;"), F.lit("&"))
+    """S9. Decimal references are replaced one distinct code at a time; a text
+    without an ampersand has none."""
+    return let(F.coalesce(c, F.lit("")), lambda x: F.when(x.contains("&"), _decoded(x)).otherwise(x))
+
+
+def _decoded(c: Column) -> Column:
+    s = F.replace(c, F.lit("&amp;"), F.lit("&"))
     s = F.replace(s, F.lit("&quot;"), F.lit('"'))
     s = F.regexp_replace(s, "(?i)&#0?39;|&apos;|&#x27;", "'")
     for name, ch in _ENTITIES[1:]:

@@ -24,18 +24,6 @@ def registry_candidates(results: DataFrame) -> DataFrame:
     return first_seen(rows, ("company_id", "cin"))
 
 
-def pair_similarity(pairs: DataFrame) -> DataFrame:
-    """M3 for each different ``(company_name, name)``: names are cut into tokens
-    once each and pairs scored once, however many rows carry them.  Scoring is
-    the costly part, so it keeps the full number of partitions."""
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.where("company_name is not null and name is not null").distinct()
-    want = T.once(pairs.select("company_name").distinct(), want=T.comparable_tokens(F.col("company_name")))
-    told = T.once(pairs.select("name").distinct(), told=T.comparable_tokens(F.col("name")))
-    scored = pairs.join(want, "company_name").join(told, "name").repartition(parts, "company_name", "name")
-    return T.once(scored, sim=M.name_similarity(F.col("want"), F.col("told"))).select("company_name", "name", "sim")
-
-
 def name_match(name: Column, words: Column) -> Column:
     """M3 + M4 of a company, given as its comparable words, and a printed name."""
     return M.name_verdict(M.name_similarity(words, T.comparable_tokens(name)))

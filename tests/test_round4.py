@@ -26,6 +26,13 @@ def some_hits(spark, tmp_path):
     return spark.read.parquet(str(tmp_path / "hits"))
 
 
+def test_indexed_results_are_read_once_for_each_kind_of_page(spark, tmp_path):
+    found = extract.officers_from_index(some_hits(spark, tmp_path))
+    assert plan(found).count("FileScan") == 2
+    got = sorted((r.person_name, r.designation, r.din, r.appointment_date) for r in found.collect())
+    assert got == [("Asha Rao", "Director", None, None), ("OM NAIR", "Director", "00000007", "20-Sep-2006"), ("Zoya Lobo", "Director", None, None)]
+
+
 def test_candidates_are_dealt_out_once(spark, tmp_path):
     companies = spark.createDataFrame([(1, "Acme Foods Pvt Ltd"), (2, None), (3, "Zenith Solar Ltd")], "company_id bigint, company_name string")
     rows = some_hits(spark, tmp_path).select(F.explode(F.expr("array(1L, 2L, 3L, 4L)")).alias("company_id"), "pos", "url", "title")
@@ -73,6 +80,14 @@ def test_reordered_joins_give_the_rows_of_the_view(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_clean_names_are_seen_at_once(spark):
+    names = ["Asha Rao", "ASHA RAO", "Mr Rao", "Mr Asha Rao", "asha Dr", "Asha Rao and", "Asha and Rao", "Asha Rao ASHA rao", "Asha Asha", "Asha  Rao", " Asha Rao", "Asha Rao\n",
+             "Asha\tRao", "Asha", "", None, "Asha Rao Director", "Managing Rao", "Asha Non", "Late Asha Rao", "Asha Rao,", "A B A B", "Asha R. Rao", "Ásha Rao", "Asha Rao ",
+             "a b c a b c", "ab a", "Asha Rao DIN 12", "Of The", "the a", "Mr Mr"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", P.clean_name(F.col("n")).alias("got"), P._clean_name(F.col("n")).alias("want"))
+    assert [tuple(r) for r in rows.where("NOT (got <=> want)").collect()] == []
+
+
 def test_canonical_registry_addresses_are_only_cut(spark):
     head, cin = f"https://www.{vocab.REGISTRY_HOST}/", "U12345AA2000PTC000001"
     urls = [f"{head}ACME-FOODS-{cin}", f"{head}A-{cin}", f"{head}{cin}", f"{head}-{cin}", f"{head}ACME--FOODS-{cin}", f"{head}ACME-FOODS-{cin}/", f"{head}ACME-FOODS-{cin}\n", f"{head}acme-{cin}",
@@ -80,3 +95,10 @@ def test_canonical_registry_addresses_are_only_cut(spark):
             f"{head}company/ACME/{cin}", "https://www.zaubacorpxcom/ACME-" + cin, None, ""]
     rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", U.registry_record(F.col("u")).alias("got"), T.let(F.col("u"), U._registry_record).alias("want"))
     assert [tuple(r) for r in rows.where("NOT (got <=> want)").collect()] == []
+
+
+def test_texts_without_ampersand_have_no_entities(spark):
+    texts = ["a b", "a &amp; b", "&#65;", "a   b  c", None, "", "﻿a\r\nb", "&amp;lt;"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.decode_entities(F.col("t")).alias("d"), T.squash(F.col("t")).alias("s")).collect()
+    assert [r.d for r in got] == ["a b", "a & b", "A", "a   b  c", "", "", "﻿a\r\nb", "<"]
+    assert [r.s for r in got] == ["a b", "a &amp; b", "&#65;", "a b c", "", "", "a b", "&amp;lt;"]
