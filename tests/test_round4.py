@@ -37,8 +37,13 @@ def test_candidates_are_dealt_out_once(spark, tmp_path):
     companies = spark.createDataFrame([(1, "Acme Foods Pvt Ltd"), (2, None), (3, "Zenith Solar Ltd")], "company_id bigint, company_name string")
     rows = some_hits(spark, tmp_path).select(F.explode(F.expr("array(1L, 2L, 3L, 4L)")).alias("company_id"), "pos", "url", "title")
     matched = registry.match_candidates(companies, registry.registry_candidates(rows))
-    assert plan(matched).count("FileScan") == 1
-    assert plan(matched).count("Exchange hashpartitioning") == 2  # the results and the companies
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are not small
+    try:
+        text = plan(matched)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("FileScan") == 1
+    assert text.count("Exchange hashpartitioning") == 2  # the results and the companies
     got = {r.company_id: r.match and (r.match.accepted, r.match.score, r.match.confidence) for r in matched.collect()}
     assert got == {1: (True, 1.0, "high"), 2: None, 3: (False, 0.0, "low")}
 
