@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ class PauseProcessor(StatefulProcessor):
         streak, until = self.pause.get() if self.pause.exists() else (0, OPEN)
         if due:
             t, o, cool, empty, ok = zip(*due)
-            skipped, streaks, untils = _walk(t, cool, empty, streak, until, self.limit, self.length)
+            skipped, streaks, untils = _walk(*map(np.array, (t, cool, empty)), streak, until, self.limit, self.length)
             streak, until = int(streaks[-1]), float(untils[-1])
             good = [a for a, k, s in zip(t, ok, skipped) if k and not s]
             if good:
